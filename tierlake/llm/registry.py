@@ -6,8 +6,11 @@ from importlib import import_module
 
 #: Query name: module that has it as a function; ORACLE_SQL of the module may have its SQL.
 MODULES = {
+    "op1_digest": "digest",
+    "op2_simhash": "simhash",
     "op4_packing": "packing",
     "op5_bpe_codec": "bpe",
+    "op6_secrets": "secrets",
 }
 
 
