@@ -11,6 +11,7 @@ MODULES = {
     "op4_packing": "packing",
     "op5_bpe_codec": "bpe",
     "op6_secrets": "secrets",
+    "op8_warc": "warc",
 }
 
 
