@@ -12,6 +12,8 @@ MODULES = {
     "op5_bpe_codec": "bpe",
     "op6_secrets": "secrets",
     "op8_warc": "warc",
+    "op9_substring": "substring",
+    "op10_topk": "topk",
 }
 
 
