@@ -8,9 +8,11 @@ from importlib import import_module
 MODULES = {
     "op1_digest": "digest",
     "op2_simhash": "simhash",
+    "op3_language": "language",
     "op4_packing": "packing",
     "op5_bpe_codec": "bpe",
     "op6_secrets": "secrets",
+    "op7_quality": "quality",
     "op8_warc": "warc",
     "op9_substring": "substring",
     "op10_topk": "topk",
