@@ -4,7 +4,7 @@ import numpy as np
 
 from tierlake.llm import language, quality
 
-EDGE = "doc_id long, text string, lang string, score string, row int"
+EDGE = "doc_id long, text string, lang string, score string, `a row, <of> x` int"
 
 
 def edge(spark):

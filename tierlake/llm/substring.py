@@ -24,80 +24,130 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from numpy.lib.stride_tricks import sliding_window_view
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import partitions, shared_path, table, text_of
 
 _RNG = np.random.default_rng(20)
 _BYTE = _RNG.integers(1 << 20, 1 << 63, 256, np.uint64)
 _BYTE[32] = 0
-_STEP = np.uint64(0x9E3779B97F4A7C15)
+_STEP = 0x9E3779B97F4A7C15
+_INVERSE = pow(_STEP, -1, 1 << 64)
+_POWERS: dict[int, np.ndarray] = {}
 
 
 def _mixed(h: np.ndarray) -> np.ndarray:
     """Spread every bit over all others."""
     h = h ^ (h >> np.uint64(32))
-    h = h * np.uint64(0xD6E8FEB86659FD93)
+    h *= np.uint64(0xD6E8FEB86659FD93)
     h ^= h >> np.uint64(29)
     h *= np.uint64(0xA0761D6478BD642F)
-    return h ^ (h >> np.uint64(32))
+    h ^= h >> np.uint64(32)
+    return h
 
 
-def _powers(base: np.uint64, n: int) -> np.ndarray:
-    return np.cumprod(np.concatenate((np.ones(1, np.uint64), np.full(n - 1, base, np.uint64))))
+def _powers(base: int, n: int) -> np.ndarray:
+    known = _POWERS.get(base)
+    if known is None or len(known) < n:
+        size = max(n, 1 << 10)
+        known = _POWERS[base] = np.cumprod(np.concatenate((np.ones(1, np.uint64), np.full(size - 1, base, np.uint64))))
+    return known[:n]
 
 
-class Words:
-    """A text's words, as the blank-separated runs of ``text``, and hashes of them and their grams."""
+#: Marks, among the other columns, a text that was null.
+_NULL = "text is null"
+
 
-    def __init__(self, text: str):
-        self.words = text.encode().split()  # bytes split at ASCII blanks only
-        self.n = len(self.words)
+class Words:
+    """The words of several texts in one row, with hashes of them and of their grams."""
+
+    def __init__(self, texts: list[str]):
+        split = [t.encode().split() for t in texts]  # bytes split at ASCII blanks only
+        self.split = split
+        self.count = np.fromiter(map(len, split), np.int64, len(split))
+        self.first = np.concatenate(([0], np.cumsum(self.count)))  # each text's first word
+        self.n = int(self.first[-1])
         self.hash = np.empty(0, np.uint64)
         if self.n:
-            data = np.frombuffer(b" ".join(self.words) + b" ", np.uint8)
+            data = np.frombuffer(b" ".join([b" ".join(w) for w in split if w]) + b" ", np.uint8)
             ends = np.flatnonzero(data == 32)
+            sums = _BYTE[data]
+            sums *= _powers(_STEP, len(data))
+            np.cumsum(sums, out=sums)
+            until = sums[ends]
+            h = until.copy()
+            h[1:] -= until[:-1]
             starts = np.concatenate(([0], ends[:-1] + 1))
-            place = np.arange(len(data)) - np.repeat(starts, ends - starts + 1)
-            self.hash = _mixed(np.add.reduceat(_BYTE[data] * _powers(_STEP, int(place.max()) + 1)[place], starts))
+            self.hash = _mixed(h * _powers(_INVERSE, len(data))[starts])
 
     def grams(self, width: int, salt: int, at: np.ndarray | None = None) -> np.ndarray:
         """Hashes of the word sequences of the given width, at every start or at those given."""
-        count = self.n - width + 1
-        out = np.zeros(max(0, count) if at is None else len(at), np.uint64)
-        for j, p in enumerate(_powers(np.uint64(2 * salt + 0x632BE59BD9B4E019), width)):
+        count = max(0, self.n - width + 1)
+        out = np.zeros(count if at is None else len(at), np.uint64)
+        for j, p in enumerate(_powers(2 * salt + 0x632BE59BD9B4E019, width)):
             out += (self.hash[j : j + count] if at is None else self.hash[at + j]) * p
         return _mixed(out)
 
-    def anchors(self, length: int, gram: int) -> tuple[np.ndarray, np.ndarray]:
-        """Of each window its fingerprint, and the place of the gram that gave it."""
+    def windows(self, length: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(start, fingerprint, place of its gram) of every window inside one text, in order.
+
+        Of equal least hashes in a window the leftmost counts, so equal windows have theirs at equal
+        offsets. Hashes are compared by 40 bits, then by place, as running minima of blocks.
+        """
         if self.n < length:
-            return np.empty(0, np.uint64), np.empty(0, np.int64)
+            none = np.empty(0, np.int64)
+            return none, none.view(np.uint64), none
         g = self.grams(gram, 1)
-        place = sliding_window_view(g, length - gram + 1).argmin(1) + np.arange(self.n - length + 1)
-        return g[place], place
-
-    def open_windows(self, length: int, gram: int, repeated: list[int] | None) -> np.ndarray:
-        """Starts of windows that may occur elsewhere: with a repeated fingerprint, or one that the text itself repeats."""
-        value, place = self.anchors(length, gram)
-        if not len(value):
-            return place
-        own, count = np.unique(value[np.concatenate(([True], place[1:] != place[:-1]))], return_counts=True)
-        hot = np.concatenate((own[count > 1], np.array(repeated or [], np.int64).view(np.uint64)))
-        return np.flatnonzero(np.isin(value, hot))
+        width = length - gram + 1
+        blocks = -(-len(g) // width)
+        key = np.full(blocks * width, np.iinfo(np.uint64).max)
+        key[: len(g)] = g >> np.uint64(24) << np.uint64(24) | (np.arange(len(g), dtype=np.uint64) & np.uint64((1 << 24) - 1))
+        key = key.reshape(blocks, width)
+        fore = np.minimum.accumulate(key, axis=1).ravel()
+        back = np.minimum.accumulate(key[:, ::-1], axis=1)[:, ::-1].ravel()
+        low = np.minimum(back[: len(g) - width + 1], fore[width - 1 : len(g)]) & np.uint64((1 << 24) - 1)
+        start = np.concatenate([np.arange(f, f + n - length + 1) for f, n in zip(self.first.tolist(), self.count.tolist()) if n >= length] or [np.empty(0, np.int64)])
+        place = low.astype(np.int64)[start]
+        return start, g[place], place
+
+    def open_windows(self, length: int, gram: int, repeated: list[list[int] | None]) -> np.ndarray:
+        """Starts of the windows whose fingerprint is among their text's repeated ones."""
+        start, value, _ = self.windows(length, gram)
+        cut = np.searchsorted(start, self.first)
+        found = [np.empty(0, np.int64)]
+        for i, hot in enumerate(repeated):
+            if hot and cut[i] < cut[i + 1]:
+                own = slice(cut[i], cut[i + 1])
+                found.append(start[own][np.isin(value[own], np.array(hot, np.int64).view(np.uint64))])
+        return np.concatenate(found)
+
+
+def _chunks(texts: list[str], size: int = 1_000_000) -> Iterator[slice]:
+    """Runs of texts of about so many characters; places within one stay below 24 bits unless a text alone is longer."""
+    at = 0
+    while at < len(texts):
+        end, n = at, 0
+        while end < len(texts) and (end == at or n + len(texts[end]) < size):
+            n += len(texts[end])
+            end += 1
+        yield slice(at, end)
+        at = end
 
 
 def _fingerprints(docs: DataFrame, length: int, gram: int) -> DataFrame:
+    """(g, key), once for every place that gives a fingerprint: one that a text repeats counts as repeated."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys, values = batch.column(0).to_numpy(), []
-            texts = batch.column(1)
-            for text in texts.to_pylist():
-                values.append(np.unique(Words(text).anchors(length, gram)[0]))
-            key = np.repeat(keys, [len(v) for v in values])
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(values).view(np.int64) if values else np.empty(0, np.int64)), pa.array(key, pa.int64())], names=["g", "key"])
+            keys, texts = batch.column(0).to_numpy(), batch.column(1).to_pylist()
+            for part in _chunks(texts):
+                words = Words(texts[part])
+                start, value, place = words.windows(length, gram)
+                new = np.concatenate(([True], place[1:] != place[:-1]))[: len(place)]
+                key = keys[part][np.searchsorted(words.first, start[new], "right") - 1]
+                yield pa.RecordBatch.from_arrays([pa.array(value[new].view(np.int64)), pa.array(key, pa.int64())], names=["g", "key"])
 
     return docs.select("key", "text").mapInArrow(run, "g long, key long")
 
@@ -118,25 +168,26 @@ def compact(runs: list[DataFrame], buckets: int) -> DataFrame:
     return _write_run(rows.distinct(), buckets)
 
 
-def _windows(docs: DataFrame, repeated: DataFrame, length: int, gram: int) -> DataFrame:
-    """(w, v, key, p): verification hashes and starts of the windows with repeated fingerprints."""
+def _windows(joined: DataFrame, length: int, gram: int) -> DataFrame:
+    """(w, v, key, p): verification hashes and starts of the windows with repeated fingerprints.
+
+    ``joined`` has (key, text, rest, hot); rest is only there so that its exchange is the same one
+    that the last step reads.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            parts: list[tuple] = []
-            for key, text, hot in zip(*(c.to_pylist() for c in batch.columns)):
-                words = Words(text)
-                at = words.open_windows(length, gram, hot)
-                if len(at):
-                    parts.append((words.grams(length, 2, at).view(np.int64), words.grams(length, 3, at).astype(np.uint32).view(np.int32), np.full(len(at), key), at))
-                if sum(len(p[3]) for p in parts) > 200_000:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*parts)], names=["w", "v", "key", "p"])
-                    parts = []
-            if parts:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*parts)], names=["w", "v", "key", "p"])
-
-    joined = docs.join(repeated, "key", "left").select("key", "text", "hot")
-    return joined.mapInArrow(run, "w long, v int, key long, p long")
+            keys, texts, hot = batch.column(0).to_numpy(), batch.column(1).to_pylist(), batch.column(3).to_pylist()
+            some = [i for i, h in enumerate(hot) if h]
+            keys, texts, hot = keys[some], [texts[i] for i in some], [hot[i] for i in some]
+            for part in _chunks(texts):
+                words = Words(texts[part])
+                at = words.open_windows(length, gram, hot[part])
+                of = np.searchsorted(words.first, at, "right") - 1
+                cols = words.grams(length, 2, at).view(np.int64), words.grams(length, 3, at).astype(np.uint32).view(np.int32), keys[part][of], at - words.first[of]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["w", "v", "key", "p"])
+
+    return joined.select("key", "text", "rest", "hot").mapInArrow(run, "w long, v int, key long, p long")
 
 
 def _lists(rows: DataFrame) -> DataFrame:
@@ -166,7 +217,8 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     wide = lambda c: c if narrow else c.cast("decimal(38,0)")
     start = wide(F.col("key")) * wide(F.lit(shift).cast("long")) + wide(F.col("p"))
 
-    keyed = docs.select(as_key.alias("key"), text_of(text_col).alias("text"), F.struct("*").alias("rest"))
+    others = [c for c in docs.columns if c != text_col]
+    keyed = docs.select(as_key.alias("key"), text_of(text_col).alias("text"), F.struct(*[F.col(f"`{c}`") for c in others], F.col(text_col).isNull().alias(_NULL)).alias("rest"))
     cuts = docs.agg(F.percentile_approx(id_col, [i / batches for i in range(1, batches)] or [0.5], 10000)).first()[0] or []
     cuts = sorted({int(c) + (1 if narrow else 0) for c in cuts})[: batches - 1]
     bounds = list(zip([None, *cuts], [*cuts, None]))
@@ -182,23 +234,34 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     def finish(batches_: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches_:
+            texts, hot, firsts = (batch.column(i).to_pylist() for i in range(3))
             total, gone, kept = [], [], []
-            for text, hot, firsts in zip(*(batch.column(i).to_pylist() for i in range(3))):
-                words = Words(text)
-                at = words.open_windows(length, gram, hot)
+            for part in _chunks(texts):
+                some = [i for i in range(part.start, part.stop) if hot[i]]
+                words = Words([texts[i] for i in some])
+                at = words.open_windows(length, gram, [hot[i] for i in some])
+                of = np.searchsorted(words.first, at, "right") - 1
+                code = at - words.first[of] << 32 | words.grams(length, 3, at).astype(np.uint32).astype(np.int64)
+                cut = np.searchsorted(of, np.arange(len(some) + 1))
                 covered = np.zeros(words.n + 1, np.int64)
-                if len(at):
-                    code = at << 32 | words.grams(length, 3, at).astype(np.uint32).astype(np.int64)
-                    again = at[~np.isin(code, np.array(firsts or [], np.int64))]
-                    np.add.at(covered, again, 1)
-                    np.add.at(covered, again + length, -1)
+                for j, i in enumerate(some):
+                    own = slice(cut[j], cut[j + 1])
+                    again = at[own][~np.isin(code[own], np.array(firsts[i] or [], np.int64))]
+                    covered[again] += 1
+                    covered[again + length] -= 1
                 drop = np.cumsum(covered)[:-1] > 0
-                total.append(words.n)
-                gone.append(int(drop.sum()))
-                kept.append(b" ".join([w for w, d in zip(words.words, drop.tolist()) if not d] if drop.any() else words.words).decode())
-            yield pa.RecordBatch.from_arrays([pa.array(total, pa.int64()), pa.array(gone, pa.int64()), pa.array(kept, pa.string()), batch.column(3)], names=["n_words", "n_removed", "kept", "rest"])
-
-    rest_type = keyed.schema["rest"].dataType.simpleString()
+                of_doc = dict(zip(some, range(len(some))))
+                for i in range(part.start, part.stop):
+                    j = of_doc.get(i)
+                    mine = words.split[j] if j is not None else texts[i].encode().split()
+                    left = drop[words.first[j] : words.first[j + 1]] if j is not None else None
+                    n = int(left.sum()) if left is not None else 0
+                    total.append(len(mine))
+                    gone.append(n)
+                    kept.append(b" ".join([w for w, d in zip(mine, left.tolist()) if not d] if n else mine).decode())
+            yield pa.RecordBatch.from_arrays([pa.array(total, pa.int64()), pa.array(gone, pa.int64()), pa.array(kept, pa.string()), batch.column(0), batch.column(3)], names=["n_words", "n_removed", "kept", "text", "rest"])
+
+    done_type = T.StructType.fromDDL("n_words long, n_removed long, kept string, text string").add("rest", keyed.schema["rest"].dataType)
     runs: list[DataFrame] = []
     out = None
     for low, high in bounds:
@@ -216,10 +279,9 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             lists = _lists(source.join(repeated.hint("merge"), "g", "left_semi"))
             if source is run:
                 own = lists
-                part = _windows(slice_of(shuffled, low, high), lists, length, gram)
+                part = _windows(slice_of(shuffled, low, high).join(lists, "key"), length, gram)
             else:
-                old_docs = slice_of(shuffled, None, low)
-                part = _windows(old_docs.join(lists.select("key"), "key", "left_semi"), lists, length, gram)
+                part = _windows(slice_of(shuffled, None, low).join(lists, "key"), length, gram)
             windows = part if windows is None else windows.unionByName(part)
         firsts = windows.select("w", "v", start.alias("start")).groupBy("w", "v").agg(F.min("start").alias("start"))
         key = F.floor(F.col("start") / wide(F.lit(shift).cast("long"))).cast("long") if not narrow else F.shiftright("start", 26)
@@ -228,12 +290,13 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         firsts = firsts.select(key.alias("key"), "start", "v").select("key", place.alias("p"), "v")
         firsts = slice_of(firsts, low, high).groupBy("key").agg(F.collect_list(code).alias("firsts"))
         joined = slice_of(shuffled, low, high).join(own, "key", "left").join(firsts, "key", "left").select("text", "hot", "firsts", "rest")
-        done = joined.mapInArrow(finish, f"n_words long, n_removed long, kept string, rest {rest_type}")
+        done = joined.mapInArrow(finish, done_type)
         out = done if out is None else out.unionByName(done)
         runs.append(run)
         if len(runs) > max_runs:
             runs = [compact(runs, n)]
-    return out.select(F.col(f"rest.`{id_col}`").alias(id_col), "n_words", "n_removed", "kept", "rest")
+    back = F.struct(*[(F.when(~F.col(f"rest.`{_NULL}`"), F.col("text")) if c == text_col else F.col(f"rest.`{c}`")).alias(c) for c in docs.columns])
+    return out.select(F.col(f"rest.`{id_col}`").alias(id_col), "n_words", "n_removed", "kept", back.alias("rest"))
 
 
 def op9_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
