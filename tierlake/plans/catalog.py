@@ -2,10 +2,498 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 
-def queries() -> dict:
-    return {}
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from ..functions import text as tx
+from ..functions.porter import terms_col
+from ..operators import documents, index, learn, lint, search, shape
+from ..sources.tables import coerced_body, is_container, latest, tenant_col, valid_identifier_col
+from . import adapters as ad
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def add(f: Callable) -> Callable:
+        QUERIES[f.__name__] = f
+        if sql:
+            SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(SQL)
+
+
+W = r"[^\p{L}\p{N}_]+"
+TOK = rf"tok AS (SELECT doc_id, lang, source, unnest([t FOR t IN regexp_split_to_array(lower(source || '/' || doc_id || ' ' || text), '{W}') IF t <> '']) AS term FROM documents), "
+STATS = TOK + "dl AS (SELECT doc_id, count(*) AS dl FROM tok GROUP BY doc_id), st AS (SELECT (SELECT count(*) FROM documents) AS n, (SELECT count(*) FROM tok) / (SELECT count(*) FROM documents) AS avgdl), "
+BM25 = "-greatest(ln((n - df + 0.5) / (df + 0.5)), 1e-6) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl))"
+TF = STATS + "tf AS (SELECT doc_id, any_value(lang) AS lang, term, count(*) AS tf FROM tok WHERE term IN ({words}) GROUP BY doc_id, term), df AS (SELECT term, count(*) AS df FROM tf GROUP BY term), "
+SCORE = TF + f"hit AS (SELECT doc_id, any_value(lang) AS lang, sum({BM25}) AS rank, count(*) AS held FROM tf JOIN df USING (term) JOIN dl USING (doc_id), st GROUP BY doc_id)"
+
+
+def _score(*words: str) -> str:
+    return "WITH " + SCORE.replace("{words}", ", ".join(f"'{w}'" for w in words))
+
+
+def _refs(spark: SparkSession, sf: str) -> index.Index:
+    return index.build(index.searchable(reference=ad.references(spark, sf)))
+
+
+def flagship(spark: SparkSession, sf: str) -> DataFrame:
+    """The best documents for three words by BM25."""
+    return bm25_and(spark, sf)
+
+
+# search
+
+
+@query(_score("the", "and", "by") + " SELECT doc_id, round(rank, 6) AS rank FROM hit WHERE held = 3 ORDER BY hit.rank, doc_id LIMIT 20")
+def bm25_and(spark, sf):
+    return search.rank_words(_refs(spark, sf), [["the", "and", "by"]], 20).select(F.col("seq").alias("doc_id"), F.round("rank", 6).alias("rank"))
+
+
+@query(_score("estion", "oution") + " SELECT doc_id, held AS words, round(rank, 6) AS rank FROM hit")
+def bm25_or(spark, sf):
+    got = search.rank_words(_refs(spark, sf), [["estion"], ["oution"]], 10_000)
+    return got.groupBy(F.col("seq").alias("doc_id")).agg(F.count(F.lit(1)).alias("words"), F.round(F.sum("rank"), 6).alias("rank"))
+
+
+@query(_score("the", "and") + " SELECT doc_id, round(rank, 6) AS rank FROM hit WHERE held = 2 AND lang = 'en' ORDER BY hit.rank, doc_id LIMIT 15")
+def bm25_tenant_filter(spark, sf):
+    return search.rank_words(_refs(spark, sf), [["the", "and"]], 15, tenant="en").select(F.col("seq").alias("doc_id"), F.round("rank", 6).alias("rank"))
+
+
+@query("WITH " + STATS + "df AS (SELECT term, count(DISTINCT doc_id) AS df FROM tok GROUP BY term) SELECT term, df, round(greatest(ln((n - df + 0.5) / (df + 0.5)), 1e-6), 6) AS idf FROM df, st")
+def term_statistics(spark, sf):
+    built = _refs(spark, sf)
+    df = built.postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    n = built.stats.select("n_docs")  # one row
+    return df.crossJoin(F.broadcast(n)).select("term", "df", F.round(F.greatest(F.log((F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(1e-6)), 6).alias("idf"))
+
+
+@query("WITH " + STATS + "x AS (SELECT 1) SELECT n AS n_docs, round(avgdl, 6) AS avgdl FROM st")
+def corpus_statistics(spark, sf):
+    return _refs(spark, sf).stats.select("n_docs", F.round("avgdl", 6).alias("avgdl"))
+
+
+PART_TEXT = "'p' || p_partkey || ' part/' || p_brand || ' {\"name\":\"' || p_name || '\",\"type\":\"' || p_type || '\",\"size\":' || p_size || '}'"
+EVENT_TEXT = "'{\"' || event_type || '\":1,\"bucket-' || (CAST(props->>'$.k' AS INT) // 25) || '\":' || CAST(props->>'$.k' AS INT) || '} [\"' || event_type || ' ' || (CAST(props->>'$.k' AS INT) // 10) || 'x\"]  '"
+
+
+@query(
+    rf"""
+WITH d AS (SELECT 'entity' AS tier, p_partkey AS seq, {PART_TEXT} AS t FROM part UNION ALL SELECT 'journal', event_id, {EVENT_TEXT} FROM events),
+tok AS (SELECT tier, seq, unnest([t FOR t IN regexp_split_to_array(lower(t), '{W}') IF t <> '']) AS term FROM d),
+dl AS (SELECT tier, seq, count(*) AS dl FROM tok GROUP BY ALL), st AS (SELECT tier, count(*) AS n, avg(dl) AS avgdl FROM dl GROUP BY tier),
+tf AS (SELECT tier, seq, term, count(*) AS tf FROM tok WHERE term = '1' GROUP BY ALL), df AS (SELECT tier, term, count(*) AS df FROM tf GROUP BY ALL),
+hit AS (SELECT tier, seq, {BM25} AS rank FROM tf JOIN df USING (tier, term) JOIN dl USING (tier, seq) JOIN st USING (tier)),
+r AS (SELECT *, row_number() OVER (PARTITION BY tier ORDER BY rank, seq) AS pos FROM hit)
+SELECT tier, seq, round(rank, 6) AS rank, CAST(pos AS INT) AS pos FROM r WHERE pos <= CASE WHEN tier = 'journal' THEN 5 ELSE 20 END
+"""
+)
+def cross_tier_union(spark, sf):
+    built = index.build(index.searchable(entities=ad.parts(spark, sf), journal=ad.journal(spark, sf)))
+    return search.rank_words(built, [["1"]], 20).select("tier", "seq", F.round("rank", 6).alias("rank"), "pos")
+
+
+@query(_score("the", "of") + rf""", n AS (SELECT d.doc_id, trim(regexp_replace(lower(text), '{W}', ' ', 'g')) AS t FROM documents d JOIN hit USING (doc_id) WHERE held = 2),
+w AS (SELECT doc_id, t, string_split(t, ' ') AS a FROM n),
+p AS (SELECT doc_id, t, unnest(a) AS word, unnest(range(1, len(a) + 1)) AS i FROM w),
+l AS (SELECT doc_id, i, max(CASE WHEN word = 'the' THEN i END) OVER u AS x, max(CASE WHEN word = 'of' THEN i END) OVER u AS y FROM p WINDOW u AS (PARTITION BY doc_id ORDER BY i)),
+s AS (SELECT doc_id, min(i - least(x, y) + 1) AS span FROM l WHERE x IS NOT NULL AND y IS NOT NULL GROUP BY doc_id)
+SELECT doc_id, CASE WHEN contains(' ' || t || ' ', ' the of ') THEN 0 WHEN span <= 6 THEN 1 ELSE 2 END AS bucket FROM n LEFT JOIN s USING (doc_id)""")
+def proximity_bucket(spark, sf):
+    hits = search.rank_words(_refs(spark, sf), [["the", "of"]], 10_000).select(F.col("seq").alias("doc_id"))
+    docs = ad.table(spark, sf, "documents").join(hits, "doc_id")
+    return docs.select("doc_id", tx.proximity_col(["the", "of"], tx.normalized_col(F.col("text"))).alias("bucket"))
+
+
+@query("SELECT doc_id FROM documents WHERE contains(lower(text), 'inging') AND contains(lower(text), 'est')")
+def substring_and(spark, sf):
+    folded = index.folded(index.searchable(reference=ad.references(spark, sf)))
+    return search.rank_substrings(folded, ["inging est"], 10_000).select(F.col("seq").alias("doc_id"))
+
+
+@query(
+    f"""
+WITH d AS (SELECT doc_id, source || '/' || doc_id || ' ' || text AS x FROM documents),
+f AS (SELECT doc_id, translate(x, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM d),
+g AS (SELECT doc_id, replace(t, 'ß', 'ss') AS t FROM f),
+st AS (SELECT count(*) AS n, avg(greatest(0, length(t) - 2)) AS avgdl, sum(CASE WHEN contains(t, 'tionen') THEN 1 ELSE 0 END) AS df FROM g),
+h AS (SELECT doc_id, length(t) - 2 AS dl, (length(t) - length(replace(t, 'tionen', ''))) / 6 AS tf FROM g WHERE contains(t, 'tionen')),
+r AS (SELECT doc_id, {BM25} AS rank FROM h, st)
+SELECT doc_id, round(rank, 6) AS rank FROM r ORDER BY r.rank, doc_id LIMIT 20
+"""
+)
+def trigram_rank(spark, sf):
+    folded = index.folded(index.searchable(reference=ad.references(spark, sf)))
+    return search.rank_substrings(folded, ["tionen"], 20).select(F.col("seq").alias("doc_id"), F.round("rank", 6).alias("rank"))
+
+
+@query("SELECT doc_id, replace(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZłøđıðŁØĐÐ', 'abcdefghijklmnopqrstuvwxyzlodidlodd'), 'ß', 'ss') AS folded FROM documents")
+def fold_text(spark, sf):
+    return ad.table(spark, sf, "documents").select("doc_id", tx.fold_col(F.col("text")).alias("folded"))
+
+
+@query(rf"SELECT DISTINCT term, CASE WHEN length(term) < 5 OR regexp_matches(term, '[0-9]') THEN term ELSE substr(term, 1, greatest(5, length(term) - 3)) END AS stem FROM (SELECT unnest([t FOR t IN regexp_split_to_array(lower(text), '{W}') IF t <> '']) AS term FROM documents)")
+def stem_truncation(spark, sf):
+    words = ad.table(spark, sf, "documents").select(F.explode(tx.words_col(F.col("text"))).alias("term")).distinct()
+    return words.select("term", tx.stem_col(F.col("term")).alias("stem"))
+
+
+@query(_score("estion", "oution") + " , v AS (SELECT 1 AS variant, doc_id FROM hit WHERE held = 2 AND false UNION ALL SELECT 2, doc_id FROM tf WHERE term = 'estion') SELECT variant, count(*) AS hits FROM v WHERE variant = (SELECT min(variant) FROM v) GROUP BY variant")
+def relax_first_hit(spark, sf):
+    """Of weaker forms tried in turn the first with hits: the whole (a word that no document has with it), then single words."""
+    got = search.rank_words(_refs(spark, sf), [["estion", "zzzz"], ["zzzz"], ["estion"]], 10_000)
+    first = got.agg(F.min("variant").alias("variant"))  # one row
+    return got.join(F.broadcast(first), "variant").groupBy("variant").agg(F.count(F.lit(1)).alias("hits"))
+
+
+@query(
+    _score("estion", "oution", "the")
+    + """, i AS (SELECT term, ln((SELECT count(*) FROM documents) + 1.0) - ln(df + 1.0) + 1 AS idf, df FROM df),
+a AS (SELECT term FROM i WHERE df <= greatest(2, round_even(2.0 * (SELECT min(df) FROM i), 0))),
+c AS (SELECT doc_id, sum(idf) / (SELECT sum(idf) FROM i) AS cover, max(CASE WHEN term IN (SELECT term FROM a) THEN 1 ELSE 0 END) AS anchored FROM tf JOIN i USING (term) GROUP BY doc_id)
+SELECT doc_id, round(cover, 6) AS cover FROM c WHERE cover >= 0.45 AND (anchored = 1 OR cover >= 0.65)"""
+)
+def record_coverage(spark, sf):
+    """The coverage gates of record search as one aggregate over postings."""
+    words = ["estion", "oution", "the"]
+    built = _refs(spark, sf)
+    hits = built.postings.where(F.col("term").isin(words)).select("seq", "term")
+    n = built.stats.select("n_docs")  # one row
+    df = hits.groupBy("term").agg(F.count(F.lit(1)).alias("df")).crossJoin(F.broadcast(n))  # as many rows as words
+    idf = df.select("term", "df", (F.log(F.col("n_docs") + 1.0) - F.log(F.col("df") + 1.0) + 1).alias("idf"))
+    every = Window.partitionBy(F.lit(1))
+    idf = idf.withColumn("total", F.sum("idf").over(every)).withColumn("rare", F.col("df") <= F.greatest(F.lit(2), F.bround(search.BAND * F.min("df").over(every))))
+    cover = hits.join(F.broadcast(idf), "term").groupBy(F.col("seq").alias("doc_id")).agg((F.sum("idf") / F.first("total")).alias("cover"), F.max("rare").alias("rare"))
+    return cover.where((F.col("cover") >= search.FLOOR) & (F.col("rare") | (F.col("cover") >= search.HIGH))).select("doc_id", F.round("cover", 6).alias("cover"))
+
+
+@query()
+def search_ladder(spark, sf):
+    built = _refs(spark, sf)
+    return search.search(built, index.folded(built.docs), "which estion and oution", limit=20).select("pos", "tier", "key", F.round("rank", 6).alias("rank"))
+
+
+@query()
+def search_records(spark, sf):
+    built = _refs(spark, sf)
+    return search.search_records(built, index.folded(built.docs), "estion oution the", corpus=1000).select("pos", "tier", "key", F.round("rank", 6).alias("rank"))
+
+
+@query()
+def porter_search(spark, sf):
+    built = index.build(index.searchable(reference=ad.references(spark, sf)), terms_col)
+    return search.rank_words(built, [["the", "and"]], 20).select(F.col("seq").alias("doc_id"), F.round("rank", 6).alias("rank"))
+
+
+@query()
+def abstain(spark, sf):
+    """A content word without a hit empties the whole result."""
+    built = _refs(spark, sf)
+    return search.search_records(built, index.folded(built.docs), "estion qqqzzz").select("pos", "tier", "key")
+
+
+# tables
+
+
+@query("SELECT CAST(o_orderkey AS VARCHAR) AS name, strftime(o_orderdate, '%Y-%m-%dT%H:%M:%S.%gZ') AS updated_at FROM orders WHERE o_orderstatus = 'P' ORDER BY updated_at DESC, o_orderkey DESC LIMIT 100")
+def list_entities(spark, sf):
+    return ad.orders(spark, sf).where("category = 'order' and status = 'P'").orderBy(F.desc("updated_at"), F.desc("seq")).limit(100).select("name", "updated_at")
+
+
+@query("SELECT CAST(event_id AS VARCHAR) AS id, strftime(ts, '%Y-%m-%dT%H:%M:%S.%gZ') AS ts FROM events WHERE strftime(ts, '%Y-%m-%dT%H:%M:%S.%gZ') BETWEEN '2024-01-02' AND '2024-01-05' ORDER BY 2 DESC, 1 DESC LIMIT 50")
+def read_events_range(spark, sf):
+    return ad.journal(spark, sf).where(F.col("ts").between("2024-01-02", "2024-01-05")).orderBy(F.desc("ts"), F.desc("id")).limit(50).select("id", "ts")
+
+
+def _log(spark, sf):
+    """Events as a log of puts and (error) deletes per user."""
+    e = ad.table(spark, sf, "events")
+    return e.select(F.col("event_id").alias("seq"), F.when(F.col("event_type") == "error", "delete").otherwise("put").alias("op"), F.col("user_id").cast("string").alias("name"), F.col("event_type").alias("body"), F.col("event_id").cast("string").alias("id"), F.date_format(F.col("ts").cast("timestamp"), "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'").alias("ts"))
+
+
+@query(
+    """
+WITH l AS (SELECT event_id AS seq, CASE WHEN event_type = 'error' THEN 'delete' ELSE 'put' END AS op, CAST(user_id AS VARCHAR) AS name, event_type AS body, strftime(ts, '%Y-%m-%dT%H:%M:%S.%gZ') AS ts FROM events),
+g AS (SELECT name, max(seq) AS last, coalesce(max(seq) FILTER (op = 'delete'), -1) AS gone FROM l GROUP BY name)
+SELECT g.name, a.body, b.id, b.ts AS created_at, a.ts AS updated_at FROM g JOIN l a ON a.name = g.name AND a.seq = g.last AND a.op = 'put'
+JOIN LATERAL (SELECT CAST(seq AS VARCHAR) AS id, ts FROM l WHERE l.name = g.name AND op = 'put' AND seq > g.gone ORDER BY seq LIMIT 1) b ON true
+"""
+)
+def upsert_latest(spark, sf):
+    return latest(_log(spark, sf), ["name"]).select("name", "body", "id", "created_at", "updated_at")
+
+
+@query("WITH l AS (SELECT user_id, arg_max(event_type, event_id) AS t, count(*) FILTER (event_type = 'error') AS n FROM events GROUP BY user_id) SELECT CAST(user_id AS VARCHAR) AS name FROM l WHERE t <> 'error' AND n > 0")
+def delete_then_recreate(spark, sf):
+    log = _log(spark, sf)
+    return latest(log, ["name"]).join(log.where("op = 'delete'").select("name").distinct(), "name", "left_semi").select("name")
+
+
+@query("SELECT CAST(o_orderkey AS VARCHAR) AS name, o_orderstatus AS status, CASE WHEN o_orderstatus = 'F' THEN 'archive' ELSE 'active' END AS place FROM orders")
+def archive_move(spark, sf):
+    rows = ad.orders(spark, sf)
+    keys = rows.where("status = 'F'").select("category", "name")
+    moved = rows.join(keys, ["category", "name"], "left_semi").withColumn("place", F.lit("archive"))
+    return rows.join(keys, ["category", "name"], "left_anti").withColumn("place", F.lit("active")).unionByName(moved).select("name", "status", "place")
+
+
+@query("SELECT 'journal' AS tier, CAST(user_id % 3 AS VARCHAR) AS tenant_id, count(*) AS n FROM events GROUP BY 2 UNION ALL SELECT 'reference', lang, count(*) FROM documents GROUP BY 2 UNION ALL SELECT 'entity', 'shop', count(*) FROM part")
+def count_by_tenant(spark, sf):
+    out = None
+    for tier, df in (("journal", ad.journal(spark, sf)), ("reference", ad.references(spark, sf)), ("entity", ad.parts(spark, sf))):
+        part = df.groupBy("tenant_id").agg(F.count(F.lit(1)).alias("n")).select(F.lit(tier).alias("tier"), "tenant_id", "n")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+@query("SELECT 'part/' || p_brand AS category, count(*) AS n, greatest(count(*) - 70, 0) AS added FROM part GROUP BY p_brand ORDER BY n DESC, category")
+def category_counts_delta(spark, sf):
+    return ad.parts(spark, sf).groupBy("category").agg(F.count(F.lit(1)).alias("n")).withColumn("added", F.greatest(F.col("n") - 70, F.lit(0))).orderBy(F.desc("n"), "category")
+
+
+@query("SELECT doc_id, coalesce(CASE WHEN doc_id % 3 > 0 THEN lang END, CASE WHEN doc_id % 2 = 0 THEN source END, '00000000-0000-0000-0000-000000000001') AS tenant FROM documents")
+def tenant_ladder(spark, sf):
+    d = ad.table(spark, sf, "documents")
+    tenant = F.when(F.col("doc_id") % 3 == 0, " ").otherwise(F.col("lang"))
+    return d.select("doc_id", tenant_col(tenant, F.when(F.col("doc_id") % 2 == 0, F.col("source"))).alias("tenant"))
+
+
+@query("SELECT event_id, CASE WHEN event_id % 2 = 0 THEN props ELSE '{\"value\":' || event_id || '}' END AS body FROM events")
+def body_coercion(spark, sf):
+    e = ad.table(spark, sf, "events")
+    raw = F.when(F.col("event_id") % 2 == 0, F.col("props")).otherwise(F.col("event_id").cast("string"))
+    return e.select("event_id", coerced_body(raw).alias("body"))
+
+
+@query("SELECT count(*) AS identifiers, count(*) FILTER (c_custkey % 4 > 0) AS valid FROM customer")
+def identifier_validation(spark, sf):
+    c = ad.table(spark, sf, "customer")
+    name = F.when(F.col("c_custkey") % 4 == 0, F.concat("c_name", F.lit("<"))).otherwise(F.col("c_name"))
+    return c.select(valid_identifier_col(name).alias("ok")).agg(F.count(F.lit(1)).alias("identifiers"), F.sum(F.col("ok").cast("long")).alias("valid"))
+
+
+@query("SELECT sum(octet_length(encode(text))) AS bytes, CAST(5242880 AS BIGINT) AS cap, round(sum(octet_length(encode(text))) / 5242880, 6) AS share, sum(octet_length(encode(text))) >= 0.8 * 5242880 AS warning, sum(octet_length(encode(text))) >= 5242880 AS \"full\" FROM documents")
+def tier_status(spark, sf):
+    size = ad.references(spark, sf).agg(F.sum(F.octet_length("body")).alias("bytes"))
+    return shape.tier_status(size).withColumn("share", F.round("share", 6))
+
+
+# data quality
+
+
+@query("SELECT p_name AS message, CAST(count(DISTINCT p_brand) AS VARCHAR) AS detail FROM part GROUP BY p_name HAVING count(DISTINCT p_brand) > 1")
+def duplicate_names(spark, sf):
+    rows = ad.parts(spark, sf).withColumn("name", F.get_json_object("body", "$.name"))
+    return lint.duplicate_entities(rows).select("message", "detail")
+
+
+@query("SELECT source || '/' || doc_id AS detail FROM documents WHERE doc_id % 10 = 0")
+def empty_reference(spark, sf):
+    refs = ad.references(spark, sf).withColumn("body", F.when(F.col("seq") % 20 == 0, F.lit(None)).when(F.col("seq") % 10 == 0, "   ").otherwise(F.col("body")))
+    return lint.empty_references(refs).select("detail")
+
+
+@query("SELECT strftime(o_orderdate, '%Y-%m-%dT%H:%M:%S.%gZ') AS message, 'order/' || o_orderkey AS detail FROM orders WHERE strftime(o_orderdate, '%Y-%m-%dT%H:%M:%S.%gZ') < '1998-10-03T00:00:00.000Z' ORDER BY 1, CAST(o_orderkey AS VARCHAR) LIMIT 25")
+def stale_as_of(spark, sf):
+    return lint.stale_entities(ad.orders(spark, sf), "1999-01-01T00:00:00Z").select("message", "detail")
+
+
+@query("SELECT strftime(ts, '%Y-%m-%dT%H:%M:%S.%gZ') AS message, CAST(event_id AS VARCHAR) AS detail FROM events WHERE event_id % 7 = 0 ORDER BY 1 DESC, 2 DESC LIMIT 10")
+def empty_journal(spark, sf):
+    blank = lambda c: F.when(F.col("seq") % 7 != 0, F.col(c)).alias(c)
+    return lint.empty_events(ad.journal(spark, sf).select("seq", "id", "ts", *map(blank, ("evaluated", "acted", "forward", "extra")))).select("message", "detail")
+
+
+@query("SELECT CAST(event_id AS VARCHAR) AS detail FROM events WHERE event_id % 11 = 0 ORDER BY event_id LIMIT 10")
+def invalid_json(spark, sf):
+    bad = ad.journal(spark, sf).withColumn("acted", F.when(F.col("seq") % 11 == 0, F.substring("acted", 1, 4)).otherwise(F.col("acted")))
+    return lint.invalid_json(bad, "invalid-json-journal", F.col("id"), ["evaluated", "acted"]).select("detail")
+
+
+@query("SELECT CASE WHEN event_type = 'error' THEN 'critical' WHEN event_type = 'click' THEN 'warning' ELSE 'info' END AS severity, count(*) AS n FROM events GROUP BY 1")
+def severity_counts(spark, sf):
+    e = ad.table(spark, sf, "events")
+    return lint.counts(e.select(F.when(F.col("event_type") == "error", "critical").when(F.col("event_type") == "click", "warning").otherwise("info").alias("severity")))
+
+
+@query("SELECT 'c' || c_custkey AS message FROM customer WHERE c_custkey % 40 = 0 ORDER BY c_custkey DESC LIMIT 5")
+def fresh_flags(spark, sf):
+    c = ad.table(spark, sf, "customer").where("c_custkey % 20 = 0")
+    day = F.when(F.col("c_custkey") % 40 == 0, F.concat(F.lit("2024-01-30T"), F.lpad(F.col("c_custkey").cast("string"), 12, "0"))).otherwise("2023-12-01T")
+    rows = c.select(F.when(F.col("c_custkey") % 80 == 0, F.concat(F.lit("c"), F.col("c_custkey").cast("string"))).alias("actor_handle"), F.concat(F.lit("c"), F.col("c_custkey").cast("string")).alias("actor_address"), day.alias("flagged_at"), F.lit("x").alias("reason"), F.col("c_custkey").cast("string").alias("id"))
+    return lint.fresh_flags(rows, "2024-02-01T00:00:00Z").select("message")
+
+
+# learner
+
+SIG = "event_type || '-' || (CAST(props->>'$.k' AS INT) // 10) || 'x'"
+
+
+@query(f"SELECT 'repeat-' || {SIG} AS slug, count(*) AS hits, round(least(9.5e-1, 4e-1 + 5e-2 * count(*)), 6) AS confidence FROM events GROUP BY 1 HAVING count(*) >= 3")
+def repeated_action(spark, sf):
+    return learn.repeated_actions(ad.journal(spark, sf)).select("slug", "hits", F.round("confidence", 6).alias("confidence"))
+
+
+KEYS = "array_to_string(list_sort([event_type, 'bucket-' || (CAST(props->>'$.k' AS INT) // 25)]), ',')"
+
+
+@query(f"SELECT {KEYS} AS keys, count(*) AS hits FROM events GROUP BY 1 HAVING count(*) >= 3")
+def structural_keyset(spark, sf):
+    return learn.shared_shapes(ad.journal(spark, sf)).select(F.col("detail").alias("keys"), "hits")
+
+
+@query(
+    f"""
+WITH t AS (SELECT event_id, unnest([event_type, 'bucket-' || (CAST(props->>'$.k' AS INT) // 25), {SIG}]) AS tok FROM events)
+SELECT a.tok || ',' || b.tok AS pair, count(*) AS hits FROM t a JOIN t b ON a.event_id = b.event_id AND a.tok < b.tok GROUP BY 1 HAVING count(*) >= 3
+"""
+)
+def cooccurrence_pairs(spark, sf):
+    return learn.co_occurrence(ad.journal(spark, sf).withColumn("acted", F.col("acted"))).select(F.col("detail").alias("pair"), "hits")
+
+
+@query(
+    f"""
+WITH g AS (SELECT {SIG} AS sig, event_id, epoch_us(ts) // 1000 * 1000 AS us FROM events), h AS (SELECT sig, (us - lag(us) OVER (PARTITION BY sig ORDER BY us)) / 6e7 AS gap FROM g)
+SELECT sig, count(*) AS hits, round(avg(gap), 4) AS mean_gap, round(CASE WHEN avg(gap) > 0 THEN stddev_pop(gap) / avg(gap) END, 4) AS cov FROM h GROUP BY sig
+"""
+)
+def temporal_cov(spark, sf):
+    return learn.cadence(ad.journal(spark, sf)).select("sig", "hits", F.round("mean_gap", 4).alias("mean_gap"), F.round("cov", 4).alias("cov"))
+
+
+@query(
+    f"""
+WITH r AS (SELECT 'repeat-' || {SIG} AS slug, count(*) AS hits, least(0.95, 0.4 + 0.05 * count(*)) AS c, 1 AS d, min(event_id) AS f FROM events GROUP BY 1 HAVING count(*) >= 3)
+SELECT slug, hits FROM (SELECT * FROM r ORDER BY c DESC, f LIMIT 20) WHERE slug NOT LIKE 'repeat-view%'
+"""
+)
+def pending_anti(spark, sf):
+    """The top proposals; those whose slug is pending already go after the cut."""
+    events = ad.journal(spark, sf).withColumn("evaluated", F.lit(None).cast("string"))
+    slugs = learn.repeated_actions(events).where("slug like 'repeat-view%'").select(F.lit("pending").alias("status"), F.col("slug").alias("proposed_slug"))
+    return learn.propose(events, slugs).select("slug", "hits")
+
+
+@query("SELECT count(*) AS events_scanned, max(event_id) AS cursor_after_seq, max(strftime(ts, '%Y-%m-%dT%H:%M:%S.%gZ')) AS cursor_after_ts FROM (SELECT * FROM events WHERE event_id > 100 ORDER BY event_id LIMIT 500)")
+def watermark_increment(spark, sf):
+    return learn.watermark(learn.load(ad.journal(spark, sf), 100, limit=500)).select("events_scanned", "cursor_after_seq", "cursor_after_ts")
+
+
+@query("SELECT DISTINCT source AS raw, left(trim(regexp_replace(regexp_replace(lower(source || '  Äx/' || lang || '!!'), '[^a-z0-9-]+', '-', 'g'), '-+', '-', 'g'), '-'), 80) AS slug FROM documents")
+def slugs(spark, sf):
+    d = ad.table(spark, sf, "documents").select("source", "lang").distinct()
+    return d.select(F.col("source").alias("raw"), tx.slug_col(F.concat("source", F.lit("  Äx/"), "lang", F.lit("!!"))).alias("slug")).distinct()
+
+
+# document store
+
+CUST = "c AS (SELECT c_custkey, c_name, r_name || '/' || n_name || '/' || c_mktsegment AS category, lower(c_mktsegment) AS kind, c_nationkey AS nation, c_custkey % 3 = 0 AS vip, c_custkey % 5 = 0 AS t FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey)"
+
+
+def _filtered(spec: dict):
+    return lambda spark, sf: ad.customers(spark, sf).where(documents.compile_filter(F.col("body"), spec)).select("name")
+
+
+for _name, _spec, _where in (
+    ("filter_eq", {"kind": "building", "vip": True}, "kind = 'building' AND vip"),
+    ("filter_ne", {"vip": {"$ne": True}}, "NOT vip"),
+    ("filter_missing", {"vip": None}, "NOT vip"),
+    ("filter_range", {"nation": {"$gt": 5, "$lte": 9}}, "nation > 5 AND nation <= 9"),
+    ("filter_types", {"nation_text": {"$gte": 1}}, "false"),
+    ("filter_in", {"nation": {"$in": [1, 2.0, "3"]}}, "nation IN (1, 2)"),
+    ("filter_nin", {"nation_text": {"$nin": ["x"]}}, "NOT t"),
+    ("filter_substring", {"kind": {"$in": "machinery and household"}}, "kind IN ('machinery', 'household')"),
+):
+    QUERIES[_name] = _filtered(_spec)
+    SQL[_name] = f"WITH {CUST} SELECT c_name AS name FROM c WHERE {_where}"
+
+
+def _paths(rows: DataFrame) -> DataFrame:
+    return rows.select(F.array_join("namespace", "/").alias("path"))
+
+
+@query(f"WITH {CUST} SELECT c_name AS name FROM c WHERE category LIKE 'ASIA/%' ORDER BY c_custkey DESC LIMIT 30 OFFSET 10")
+def namespace_search_page(spark, sf):
+    return documents.search(ad.customers(spark, sf), ("ASIA",), limit=30, offset=10).select(F.col("key").alias("name"))
+
+
+@query(f"WITH {CUST} SELECT DISTINCT category AS path FROM c WHERE category LIKE 'ASIA/%/BUILDING' ORDER BY 1 LIMIT 100")
+def namespace_wildcard(spark, sf):
+    return _paths(documents.list_namespaces(ad.customers(spark, sf), prefix=("ASIA", "*", "BUILDING")))
+
+
+@query(f"WITH {CUST} SELECT DISTINCT category AS path FROM c WHERE category LIKE '%/MACHINERY' ORDER BY 1 LIMIT 100")
+def namespace_suffix(spark, sf):
+    return _paths(documents.list_namespaces(ad.customers(spark, sf), suffix=("MACHINERY",)))
+
+
+@query(f"WITH {CUST} SELECT DISTINCT array_to_string(list_slice(string_split(category, '/'), 1, 2), '/') AS path FROM c ORDER BY 1 LIMIT 10 OFFSET 5")
+def namespace_depth(spark, sf):
+    return _paths(documents.list_namespaces(ad.customers(spark, sf), max_depth=2, limit=10, offset=5))
+
+
+# shaping
+
+
+@query(
+    """
+WITH b AS (SELECT doc_id, CASE WHEN length(text) > 1500 THEN substr(text, 1, 1500) || '…' ELSE text END AS t, length(text) > 1500 AS truncated FROM (SELECT * FROM documents ORDER BY doc_id LIMIT 500)),
+r AS (SELECT *, sum(length(t)) OVER (ORDER BY doc_id) AS s, row_number() OVER (ORDER BY doc_id) AS n FROM b)
+SELECT doc_id, truncated, CAST(length(t) AS BIGINT) AS chars FROM r WHERE n = 1 OR s <= 200000
+"""
+)
+def output_budget(spark, sf):
+    hits = ad.table(spark, sf, "documents").select("doc_id", F.col("text").alias("body")).orderBy("doc_id").limit(500)
+    return shape.bounded(hits, [F.col("doc_id")]).select("doc_id", "truncated", F.length("body").cast("long").alias("chars"))
+
+
+@query(
+    """
+WITH r AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS n FROM conversations),
+o AS (SELECT conv_id, turn, role, text, lag(role) OVER w AS pr, lag(turn) OVER w AS pt FROM r WHERE n <= 20 AND role IN ('user', 'assistant') AND trim(text) <> '' WINDOW w AS (PARTITION BY conv_id ORDER BY turn))
+SELECT conv_id, pt AS user_turn, turn FROM o WHERE role = 'assistant' AND pr = 'user'
+"""
+)
+def turn_pairing(spark, sf):
+    return shape.paired_turns(ad.table(spark, sf, "conversations")).select("conv_id", "user_turn", "turn")
+
+
+@query(_score("estion", "oution") + " SELECT doc_id, held AS match_count FROM hit JOIN (SELECT doc_id AS d, min(r) AS br FROM (SELECT doc_id, term, " + BM25 + " AS r FROM tf JOIN df USING (term) JOIN dl USING (doc_id), st) GROUP BY 1) ON d = doc_id ORDER BY held DESC, br, (SELECT source || '/' || doc_id FROM documents x WHERE x.doc_id = hit.doc_id) LIMIT 5")
+def prefetch_merge(spark, sf):
+    built = _refs(spark, sf)
+    got = search.rank_words(built, [["estion"], ["oution"]], 10_000).join(built.docs.select("tier", "seq", "key"), ["tier", "seq"])
+    return shape.merged(got).select(F.element_at(F.split("key", "/"), -1).cast("long").alias("doc_id"), "match_count")
+
+
+@query("SELECT doc_id, regexp_replace('[untrusted memory context begin ' || lang || '] ' || text, '\\[UNTRUSTED MEMORY CONTEXT (BEGIN|END)[^\\]]*\\]', '[redacted-marker]', 'gi') AS t FROM documents")
+def marker_scrub(spark, sf):
+    return ad.table(spark, sf, "documents").select("doc_id", tx.scrub_col(F.concat(F.lit("[untrusted memory context begin "), "lang", F.lit("] "), "text")).alias("t"))
+
+
+@query("WITH s AS (SELECT 1 AS stage, doc_id FROM documents WHERE doc_id % 5 = 0 UNION ALL SELECT 2, doc_id FROM documents WHERE doc_id % 3 = 0), f AS (SELECT doc_id, min(stage) AS stage FROM s GROUP BY doc_id) SELECT stage, doc_id FROM f ORDER BY stage, doc_id LIMIT 300")
+def append_dedupe(spark, sf):
+    """Union that keeps a row's first stage and never reorders the head."""
+    d = ad.table(spark, sf, "documents").select("doc_id")
+    rows = d.where("doc_id % 5 = 0").withColumn("stage", F.lit(1)).unionByName(d.where("doc_id % 3 = 0").withColumn("stage", F.lit(2)))
+    return rows.groupBy("doc_id").agg(F.min("stage").alias("stage")).orderBy("stage", "doc_id").limit(300)
+
+
+@query("SELECT event_id, props LIKE '{%' AS container FROM events")
+def container_check(spark, sf):
+    return ad.table(spark, sf, "events").select("event_id", is_container(F.col("props")).alias("container"))
