@@ -7,13 +7,14 @@ import json
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..sources.tables import FREE_CAP, SCHEMA_VERSION
 
 SEVERITIES = ("critical", "warning", "info")
 
 
-@F.pandas_udf("boolean")  # type: ignore[call-overload]
+@F.pandas_udf(T.BooleanType())  # type: ignore[call-overload]
 def json_valid(text: pd.Series) -> pd.Series:
     """Strict JSON: no trailing text, no NaN or Infinity; repeated keys are fine; null is null."""
 

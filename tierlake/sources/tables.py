@@ -36,7 +36,9 @@ class CapExceededError(TierlakeError):
 
 
 def _schema(text: str) -> T.StructType:
-    return T.StructType.fromDDL(text)
+    """A schema of plain columns; made without a session, as this module is imported before there is one."""
+    kinds = {"string": T.StringType(), "long": T.LongType(), "double": T.DoubleType()}
+    return T.StructType([T.StructField(name, kinds[kind]) for name, kind in (c.split(" ") for c in text.split(", "))])
 
 
 #: Every table has a sequence number in the place of a row id; logs of keyed tables have an operation as well.
