@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import id_remainder, table, text_of
+from .common import id_remainder, small_batches, table, text_of
 
 CHUNK, NEUTRAL, QUANTILE, LEVEL = 1000, 20, 0.1, 3
 
@@ -114,15 +114,16 @@ def sample(docs: DataFrame, labels: DataFrame, per_label: int, chars: int, keep)
     some = F.lit(False)
     for y, n in counts.items():
         some = some | ((F.col("y") == y) & (share < min(1.0, 1.5 * per_label / n)))
-    chosen = known.where(some)  # a bounded number of rows: hashes are spread evenly
-    start = F.pmod(order, F.greatest(F.lit(1), F.length("text") - chars)).cast("int") + 1
-    texts = docs.select("doc_id", text_of("text").alias("text")).join(chosen, "doc_id").select(order.alias("o"), "y", F.expr("text").substr(start, F.lit(chars)).alias("text"))
-    out, seen = [], {0: 0, 1: 0}
-    for r in sorted(texts.collect()):
+    out: list[tuple[int, int, int]] = []  # at most per_label of either label, whatever the tables' size
+    seen = {0: 0, 1: 0}
+    for r in sorted(known.where(some).select(order.alias("o"), "doc_id", "y").collect()):
         seen[r["y"]] += 1
         if seen[r["y"]] <= per_label:
-            out.append((r["text"], r["y"]))
-    return out
+            out.append((r["o"], r["doc_id"], r["y"]))
+    chosen = F.broadcast(docs.sparkSession.createDataFrame(out, "o long, doc_id long, y int"))
+    start = F.pmod("o", F.greatest(F.lit(1), F.length("text") - chars)).cast("int") + 1
+    texts = docs.select("doc_id", text_of("text").alias("text")).join(chosen, "doc_id").select("o", "y", F.col("text").substr(start, F.lit(chars)).alias("text"))
+    return [(r["text"], r["y"]) for r in sorted(texts.collect())]
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.7) -> DataFrame:
@@ -138,7 +139,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
             yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(p, pa.float64())], names=["row", "score"])
 
     rows = docs.select(text_of(text_col).alias("text"), F.struct("*").alias("row"))
-    found = rows.mapInArrow(run, T.StructType().add("row", rows.schema["row"].dataType).add("score", "double"))
+    found = rows.transform(small_batches).mapInArrow(run, T.StructType().add("row", rows.schema["row"].dataType).add("score", "double"))
     kept = [F.col(f"row.`{c}`").alias(c) for c in docs.columns if c not in ("score", "predicted")]
     return found.select(*kept, "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
