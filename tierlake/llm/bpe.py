@@ -23,7 +23,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table, text_of
+from .common import arrow_map, table, text_of
 
 def without_gc(method: Callable) -> Callable:
     """Large caches of strings hold no cycles; scanning them while they grow takes long."""
@@ -54,7 +54,7 @@ class TrieEncoder:
     ``vocab`` maps symbol strings to ids and ``merges`` lists pairs in rank order.
     """
 
-    MAX_PAIRS = 2_000_000
+    MAX_PAIRS = 200_000
 
     def __init__(self, vocab: dict[str, int], merges: Iterable[tuple[str, str]]):
         self.rank = {pair: i for i, pair in enumerate(merges)}
@@ -130,7 +130,7 @@ class ByteLevelCodec:
     NUMBERS = r"0-9\xb2\xb3\xb9\xbc-\xbe"
     BLANKS = r"\t-\r \x85\xa0"
     LATIN = rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{LETTERS}]+| ?[{NUMBERS}]+| ?[^{BLANKS}{LETTERS}{NUMBERS}]+|[{BLANKS}]+(?![^{BLANKS}])|[{BLANKS}]+"
-    MAX_CACHE = 600_000
+    MAX_CACHE = 300_000
 
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as f:
@@ -196,7 +196,7 @@ class ByteLevelCodec:
         at = 0
         while at < len(texts):  # as many texts as a bounded number of characters
             end, size = at, 0
-            while end < len(texts) and (end == at or size + len(texts[end]) < 4_000_000):
+            while end < len(texts) and (end == at or size + len(texts[end]) < 2_000_000):
                 size += len(texts[end])
                 end += 1
             split = [self.split(t) for t in texts[at:end]]
@@ -240,7 +240,7 @@ def encode_decode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col:
     kind = docs.schema[id_col].dataType.simpleString()
     schema = f"`{id_col}` {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>, decoded string" * keep_ids
     names = [id_col, "n_tokens", "ids_sha256", "decoded_sha256", *(["ids", "decoded"] if keep_ids else [])]
-    return docs.select(F.col(id_col), text_of(text_col).alias("text")).mapInArrow(run, schema)
+    return docs.select(F.col(id_col), text_of(text_col).alias("text")).transform(arrow_map, run, schema)
 
 
 def default_path() -> str:

@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -50,3 +56,34 @@ def text_of(col: str | Column = "text") -> Column:
 def id_remainder(col: str, n: int) -> Column:
     """crc32 of the id's decimal text, modulo n; a null id has remainder 0."""
     return F.coalesce(F.crc32(F.col(col).cast("string").cast("binary")) % n, F.lit(0))
+
+
+#: Bytes of a batch that goes to a Python worker, so that long texts do not meet in one batch by the thousand.
+BATCH_BYTES = 16 << 20
+
+
+def _release() -> None:
+    """Give memory that is free, but kept by the allocators, back to the system."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # other C libraries have no such call
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
+def arrow_map(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | StructType) -> DataFrame:
+    """``df.mapInArrow`` with batches bounded in bytes as well as in rows, in workers that keep no memory between tasks.
+
+    Workers are reused by later tasks and stages; what one stage has freed must not add to the next.
+    """
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = df.sparkSession.conf.get(key)
+    if not now.isdigit() or int(now) > BATCH_BYTES:
+        df.sparkSession.conf.set(key, str(BATCH_BYTES))
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            _release()
+
+    return df.mapInArrow(whole, schema)

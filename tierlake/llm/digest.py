@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import partitions, table, text_of
+from .common import arrow_map, partitions, table, text_of
 
 WINDOW, RUN, POINTS, PER_FILTER, BITS, HASHES = 16, 16, 4, 160, 2048, 5
 #: Texts of fewer bytes have each of their short grams as a feature.
@@ -209,7 +209,7 @@ def digest_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     kind = docs.schema[id_col].dataType.simpleString()
     names = [id_col, "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
     types = [{"bigint": pa.int64(), "int": pa.int32()}.get(kind), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]
-    return rows.mapInArrow(run, f"`{id_col}` {kind}, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
+    return rows.transform(arrow_map, run, f"`{id_col}` {kind}, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
 
 
 def op1_digest(spark: SparkSession, sf_dir: str) -> DataFrame:

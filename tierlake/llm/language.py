@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import id_remainder, table, text_of
+from .common import arrow_map, id_remainder, table, text_of
 
 WINDOW = 128
 WIDTHS = (2, 3, 4)
@@ -192,7 +192,7 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(2), pa.array([n for n, _ in named], pa.string()), pa.array([s for _, s in named], pa.float64())], names=["row", "lang_pred", "score"])
 
     rows = docs.select(text_of(text_col).alias("text"), F.rlike(text_of(text_col), F.lit(r"\p{L}")).alias("letters"), F.struct("*").alias("row"))
-    found = rows.mapInArrow(run, T.StructType().add("row", rows.schema["row"].dataType).add("lang_pred", "string").add("score", "double"))
+    found = rows.transform(arrow_map, run, T.StructType().add("row", rows.schema["row"].dataType).add("lang_pred", "string").add("score", "double"))
     return found.select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns if c not in ("lang_pred", "score")], "lang_pred", "score")
 
 

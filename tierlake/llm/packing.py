@@ -27,13 +27,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bpe import TrieEncoder, byte_symbols, without_gc
-from .common import table, text_of
+from .common import arrow_map, table, text_of
 
 
 class WordCodec:
     """Ids of the tokenizers library for BPE with word ends over lower-cased text."""
 
-    MAX_CACHE = 900_000
+    MAX_CACHE = 350_000
     END = 0x1000
     #: The public pre-tokenization pattern, as it reads for lower-case text of Latin-1.
     LETTERS = r"a-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\xff"
@@ -95,7 +95,7 @@ class WordCodec:
         at = 0
         while at < len(texts):
             end, size = at, 0
-            while end < len(texts) and (end == at or size + len(texts[end]) < 4_000_000):
+            while end < len(texts) and (end == at or size + len(texts[end]) < 2_000_000):
                 size += len(texts[end])
                 end += 1
             split = [self.parts(t) for t in texts[at:end]]
@@ -245,11 +245,12 @@ def pack(
         full += packer.rest()
         if full:
             yield emit(full)
+        coder.ids.clear()  # most words of a task are its own; kept, they would add to later stages' memory
 
     kind = docs.schema[id_col].dataType.simpleString()
     names = [id_col, "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "tier", "step_id", *(["ids"] if keep_ids else [])]
     schema = f"`{id_col}` {kind}, " + ", ".join(f"`{n}` long" for n in names[1:9]) + ", ids array<long>" * keep_ids
-    return docs.select(F.col(id_col), text_of(text_col).alias("text")).mapInArrow(run, schema)
+    return docs.select(F.col(id_col), text_of(text_col).alias("text")).transform(arrow_map, run, schema)
 
 
 def default_path() -> str:

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import id_remainder, small_batches, table, text_of
+from .common import arrow_map, id_remainder, table, text_of
 
 CHUNK, NEUTRAL, QUANTILE, LEVEL = 1000, 20, 0.1, 3
 
@@ -139,7 +139,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
             yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(p, pa.float64())], names=["row", "score"])
 
     rows = docs.select(text_of(text_col).alias("text"), F.struct("*").alias("row"))
-    found = rows.transform(small_batches).mapInArrow(run, T.StructType().add("row", rows.schema["row"].dataType).add("score", "double"))
+    found = rows.transform(arrow_map, run, T.StructType().add("row", rows.schema["row"].dataType).add("score", "double"))
     kept = [F.col(f"row.`{c}`").alias(c) for c in docs.columns if c not in ("score", "predicted")]
     return found.select(*kept, "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 

@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import checkpointed, table, text_of
+from .common import arrow_map, checkpointed, table, text_of
 from .graph import components
 
 
@@ -46,7 +46,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp)], names=[id_col, "fp"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col), text_of(text_col).alias("text")).mapInArrow(run, f"`{id_col}` {kind}, fp long")
+    return docs.select(F.col(id_col), text_of(text_col).alias("text")).transform(arrow_map, run, f"`{id_col}` {kind}, fp long")
 
 
 def _labels(linked: np.ndarray) -> np.ndarray:
@@ -117,7 +117,7 @@ def links(fps: DataFrame, radius: int = 3, tile: int = 1024, bits: int = 64) ->
             fp, item = fp[cut:], item[cut:]
         yield found(fp, item)
 
-    return work.repartition("item").sortWithinPartitions("item").mapInArrow(run, "u long, v long")
+    return work.repartition("item").sortWithinPartitions("item").transform(arrow_map, run, "u long, v long")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, radius: int = 3) -> DataFrame:

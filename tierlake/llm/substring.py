@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import partitions, shared_path, table, text_of
+from .common import arrow_map, partitions, shared_path, table, text_of
 
 _RNG = np.random.default_rng(20)
 _BYTE = _RNG.integers(1 << 20, 1 << 63, 256, np.uint64)
@@ -149,7 +149,7 @@ def _fingerprints(docs: DataFrame, length: int, gram: int) -> DataFrame:
                 key = keys[part][np.searchsorted(words.first, start[new], "right") - 1]
                 yield pa.RecordBatch.from_arrays([pa.array(value[new].view(np.int64)), pa.array(key, pa.int64())], names=["g", "key"])
 
-    return docs.select("key", "text").mapInArrow(run, "g long, key long")
+    return docs.select("key", "text").transform(arrow_map, run, "g long, key long")
 
 
 def _write_run(rows: DataFrame, buckets: int) -> DataFrame:
@@ -187,7 +187,7 @@ def _windows(joined: DataFrame, length: int, gram: int) -> DataFrame:
                 cols = words.grams(length, 2, at).view(np.int64), words.grams(length, 3, at).astype(np.uint32).view(np.int32), keys[part][of], at - words.first[of]
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["w", "v", "key", "p"])
 
-    return joined.select("key", "text", "rest", "hot").mapInArrow(run, "w long, v int, key long, p long")
+    return joined.select("key", "text", "rest", "hot").transform(arrow_map, run, "w long, v int, key long, p long")
 
 
 def _lists(rows: DataFrame) -> DataFrame:
@@ -290,7 +290,7 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         firsts = firsts.select(key.alias("key"), "start", "v").select("key", place.alias("p"), "v")
         firsts = slice_of(firsts, low, high).groupBy("key").agg(F.collect_list(code).alias("firsts"))
         joined = slice_of(shuffled, low, high).join(own, "key", "left").join(firsts, "key", "left").select("text", "hot", "firsts", "rest")
-        done = joined.mapInArrow(finish, done_type)
+        done = joined.transform(arrow_map, finish, done_type)
         out = done if out is None else out.unionByName(done)
         runs.append(run)
         if len(runs) > max_runs:

@@ -24,7 +24,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import shared_path, table, text_of
+from .common import arrow_map, shared_path, table, text_of
 
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 INDEX = "page_id long, url string, file string, offset long, length long, digest string"
@@ -107,7 +107,7 @@ def write(pages: DataFrame, folder: str, min_bytes: int = 0, max_file: int = 64
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*index), (pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.string()))], names=["page_id", "url", "file", "offset", "length", "digest"])
 
     path = f"{folder}/index"
-    rows.mapInArrow(run, INDEX).write.parquet(path)
+    rows.transform(arrow_map, run, INDEX).write.parquet(path)
     return pages.sparkSession.read.schema(INDEX).parquet(path)
 
 
@@ -144,7 +144,7 @@ def read(index: DataFrame, folder: str, gap: int = 65536, most: int = 8 << 20, k
 
     names = ["page_id", "url", "payload_bytes", "payload_digest", "record_type", "refers_to", *(["payload"] if keep_payload else [])]
     types = [pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.binary()]
-    return ranged.mapInArrow(run, "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long" + ", payload binary" * keep_payload)
+    return ranged.transform(arrow_map, run, "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long" + ", payload binary" * keep_payload)
 
 
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
