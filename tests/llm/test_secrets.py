@@ -1,6 +1,7 @@
 import hashlib
 import re
 
+import duckdb
 import pytest
 
 from tierlake.llm import secrets
@@ -67,6 +68,11 @@ def test_query_on_documents(spark, sf):
     assert len(got) == len(texts)
     for r in got:
         assert [r.n_assign, r.n_access, r.n_hex, r.base_sha256] == brute(texts[r.doc_id])
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{sf}/documents.parquet'")
+    sql = con.execute(secrets.ORACLE_SQL["op6_secrets"])
+    names = [d[0] for d in sql.description]
+    assert sorted(sql.fetchall()) == sorted(tuple(r[n] for n in names) for r in got)
 
 
 def test_empty(spark, rows):

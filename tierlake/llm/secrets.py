@@ -194,3 +194,27 @@ def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", count(0).alias("n_assign"), count(1).alias("n_access"), count(2).alias("n_hex"),
         F.sha2(listed(base, RULES), 256).alias("base_sha256"), listed(F.col("secret_spans"), RULES).alias("spans"),
     )
+
+
+def _sql(rules: tuple[Rule, ...]) -> str:
+    """The query in SQL, over every rule and text alike."""
+    quoted = lambda s: "'" + s.replace("'", "''") + "'"
+    matches = "\nUNION ALL ".join(
+        f"SELECT doc_id, {i} AS kind, {quoted(r.kind)} AS name, {r.least} AS least, regexp_extract_all(t, {quoted(r.pattern)}) AS m, "
+        f"regexp_extract_all(t, {quoted(r.pattern)}, {r.group}) AS g, string_split_regex(t, {quoted(r.pattern)}) AS b FROM d"
+        for i, r in enumerate(rules)
+    )
+    return f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+a AS ({matches}),
+u AS (SELECT doc_id, kind, name, least, unnest(m) AS m, unnest(g) AS g, unnest(b[1:len(m)]) AS gap, unnest(range(1, len(m) + 1)) AS i FROM a WHERE len(m) > 0),
+s AS (SELECT doc_id, kind, name, length(g) >= least AS keep, length(m) AS n, sum(length(gap) + length(m)) OVER (PARTITION BY doc_id, kind ORDER BY i) AS stop FROM u),
+k AS (SELECT doc_id, kind, stop - n AS start, name || ':' || CAST(stop - n AS BIGINT) || ':' || CAST(stop AS BIGINT) AS x FROM s WHERE keep),
+z AS (SELECT doc_id, count(*) FILTER (kind = 0) AS n_assign, count(*) FILTER (kind = 1) AS n_access, count(*) FILTER (kind = 2) AS n_hex,
+  string_agg(x, ',' ORDER BY start, kind) FILTER (kind < {len(BASE)}) AS base, string_agg(x, ',' ORDER BY start, kind) AS spans FROM k GROUP BY doc_id)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex,
+  sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM d LEFT JOIN z USING (doc_id)
+"""
+
+
+ORACLE_SQL = {"op6_secrets": _sql(RULES)}
