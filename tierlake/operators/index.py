@@ -67,9 +67,9 @@ def build(docs: DataFrame, terms: Callable[[Column], Column] = tx.words_col, by:
     # a document's terms are counted in its own row: no shuffle to make postings
     distinct = F.array_distinct("terms")
     counted = F.transform(distinct, lambda t: F.struct(t.alias("term"), F.size(F.filter("terms", lambda x: x == t)).alias("tf")))
-    short = sized.where(F.col("dl") <= 256).select("tier", "tenant_id", "seq", "dl", F.explode(counted).alias("p")).select("tier", "tenant_id", "seq", "p.term", "p.tf", "dl")
+    short = sized.where(F.col("dl") <= 48).select("tier", "tenant_id", "seq", "dl", F.explode(counted).alias("p")).select("tier", "tenant_id", "seq", "p.term", "p.tf", "dl")
     # long ones, where counting in the row would be quadratic, are counted by aggregation
-    long = sized.where(F.col("dl") > 256).select("tier", "tenant_id", "seq", "dl", F.explode("terms").alias("term")).groupBy("tier", "tenant_id", "seq", "term", "dl").agg(F.count(F.lit(1)).cast("int").alias("tf"))
+    long = sized.where(F.col("dl") > 48).select("tier", "tenant_id", "seq", "dl", F.explode("terms").alias("term")).groupBy("tier", "tenant_id", "seq", "term", "dl").agg(F.count(F.lit(1)).cast("int").alias("tf"))
     return Index(docs, short.unionByName(long.select("tier", "tenant_id", "seq", "term", "tf", "dl")), stats)
 
 
