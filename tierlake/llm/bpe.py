@@ -54,7 +54,7 @@ class TrieEncoder:
     ``vocab`` maps symbol strings to ids and ``merges`` lists pairs in rank order.
     """
 
-    MAX_PAIRS = 200_000
+    MAX_PAIRS = 2_000_000
 
     def __init__(self, vocab: dict[str, int], merges: Iterable[tuple[str, str]]):
         self.rank = {pair: i for i, pair in enumerate(merges)}
@@ -130,7 +130,7 @@ class ByteLevelCodec:
     NUMBERS = r"0-9\xb2\xb3\xb9\xbc-\xbe"
     BLANKS = r"\t-\r \x85\xa0"
     LATIN = rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{LETTERS}]+| ?[{NUMBERS}]+| ?[^{BLANKS}{LETTERS}{NUMBERS}]+|[{BLANKS}]+(?![^{BLANKS}])|[{BLANKS}]+"
-    MAX_CACHE = 300_000
+    MAX_CACHE = 600_000
 
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as f:

@@ -33,7 +33,7 @@ from .common import arrow_map, table, text_of
 class WordCodec:
     """Ids of the tokenizers library for BPE with word ends over lower-cased text."""
 
-    MAX_CACHE = 350_000
+    MAX_CACHE = 900_000
     END = 0x1000
     #: The public pre-tokenization pattern, as it reads for lower-case text of Latin-1.
     LETTERS = r"a-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\xff"
@@ -245,7 +245,6 @@ def pack(
         full += packer.rest()
         if full:
             yield emit(full)
-        coder.ids.clear()  # most words of a task are its own; kept, they would add to later stages' memory
 
     kind = docs.schema[id_col].dataType.simpleString()
     names = [id_col, "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "tier", "step_id", *(["ids"] if keep_ids else [])]
