@@ -5,6 +5,7 @@ import pytest
 
 from tierlake.functions.porter import terms_col
 from tierlake.operators import index, search
+from tierlake.plans import catalog
 
 
 def entities(spark, rows):
@@ -39,6 +40,28 @@ def test_rank_matches_a_full_text_table(spark):
         assert all(abs(r["rank"] - w[1]) < 1e-9 for r, w in zip(got, want))
 
 
+def test_every_match_without_a_limit(spark):
+    rows = [(i, "t", f"k{i}", f"the of estion inging est x{i}", "2024") for i in range(10_003)]
+    made, folded = built_references(spark, rows)
+    assert search.rank_words(made, [["the", "of"], ["estion"]], None).groupBy("variant").count().orderBy("variant").collect() == [(0, 10_003), (1, 10_003)]
+    assert search.rank_substrings(folded, ["inging est"], None).count() == 10_003
+    assert search.rank_substrings(folded, ["?"], None).columns == ["variant", "tier", "seq", "rank"]
+
+
+def built_references(spark, rows):
+    made = index.build(index.searchable(reference=spark.createDataFrame(rows, "seq long, tenant_id string, doc_key string, body string, updated_at string")))
+    return made, index.folded(made.docs)
+
+
+def test_queries_of_every_match_have_no_cap(spark, tmp_path):
+    rows = [(i, "the of estion inging est" + " oution" * (i == 10_002), "en", "s", 24) for i in range(10_003)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
+    for name in ("proximity_bucket", "bm25_or", "substring_and"):
+        assert catalog.queries()[name](spark, str(tmp_path)).count() == 10_003, name
+    assert catalog.relax_first_hit(spark, str(tmp_path)).first().hits == 10_003
+    assert catalog.prefetch_merge(spark, str(tmp_path)).first()[:] == (10_002, 2)
+
+
 def test_near_words_first(spark):
     rows = [("n", "long", {"note": "filler " * 30 + "red fox " + "filler " * 30}), *(("n", f"s{i}", {"note": f"red {'x ' * 9} fox"}) for i in range(3))]
     made, folded = built(spark, rows)

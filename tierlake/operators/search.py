@@ -24,11 +24,12 @@ def _variants(index: Index, variants: list[list[str]], prefix: bool = False) ->
     return index.docs.sparkSession.createDataFrame(rows, "variant int, slot int, word string, starts boolean, slots int")
 
 
-def rank_words(index: Index, variants: list[list[str]], limit: int, prefix: bool = False, tiers: Iterable[str] = TIERS, tenant: str | None = None, where: Column | None = None, any_word: bool = False) -> DataFrame:
+def rank_words(index: Index, variants: list[list[str]], limit: int | None, prefix: bool = False, tiers: Iterable[str] = TIERS, tenant: str | None = None, where: Column | None = None, any_word: bool = False) -> DataFrame:
     """(variant, tier, seq, tenant_id, rank, pos): per variant and tier the best documents holding all its words.
 
-    Each tier gives at most ``limit`` documents, the journal a quarter of it. Corpus figures are those
-    of all tenants; the tenant filters afterwards. ``any_word`` asks for one word instead of all.
+    Each tier gives at most ``limit`` documents, the journal a quarter of it; with None every match
+    comes back, unnumbered (without pos). Corpus figures are those of all tenants; the tenant filters
+    afterwards. ``any_word`` asks for one word instead of all.
     """
     tiers = tuple(tiers) or TIERS
     unknown = set(tiers) - set(TIERS)
@@ -51,16 +52,19 @@ def rank_words(index: Index, variants: list[list[str]], limit: int, prefix: bool
         hits = hits.where(F.col("tenant_id") == tenant)
     if where is not None:
         hits = hits.join(index.docs.where(where).select("tier", "seq"), ["tier", "seq"], "left_semi")
+    if limit is None:
+        return hits.select("variant", "tier", "seq", "tenant_id", "rank")
     most = F.when(F.col("tier") == "journal", max(1, limit // 4)).otherwise(limit)
     order = Window.partitionBy("variant", "tier").orderBy("rank", "seq")
     return hits.withColumn("pos", F.row_number().over(order)).where((F.col("pos") <= limit) & (F.col("pos") <= most)).select("variant", "tier", "seq", "tenant_id", "rank", "pos")
 
 
-def rank_substrings(folded: DataFrame, queries: list[str], limit: int, tiers: Iterable[str] = TIERS, tenant: str | None = None) -> DataFrame:
+def rank_substrings(folded: DataFrame, queries: list[str], limit: int | None, tiers: Iterable[str] = TIERS, tenant: str | None = None) -> DataFrame:
     """(variant, tier, seq, rank, pos): documents whose folded text holds all parts of a folded query.
 
     Parts of three characters and more are ranked by trigram BM25 (occurrences of the part, length in
     trigrams); shorter parts only filter where they are not ASCII, and are dropped where they are.
+    With a limit of None every match comes back, unnumbered (without pos).
     """
     spark = folded.sparkSession
     tiers = tuple(tiers) or TIERS
@@ -87,10 +91,12 @@ def rank_substrings(folded: DataFrame, queries: list[str], limit: int, tiers: It
         if tenant is not None:
             part = part.where(F.col("tenant_id") == tenant)
         part = part.select(F.lit(v).alias("variant"), "tier", "seq", rank.alias("rank"))
-        fetched = part.orderBy("rank", "tier", "seq").limit(4 * limit)
+        fetched = part if limit is None else part.orderBy("rank", "tier", "seq").limit(4 * limit)
         out = fetched if out is None else out.unionByName(fetched)
     if out is None:
-        return spark.createDataFrame([], "variant int, tier string, seq long, rank double, pos int")
+        return spark.createDataFrame([], "variant int, tier string, seq long, rank double" + (", pos int" if limit is not None else ""))
+    if limit is None:
+        return out
     # the journal is held to a quarter of the limit, then the whole to the limit
     own = Window.partitionBy("variant", "tier").orderBy("rank", "seq")
     kept = out.withColumn("own", F.row_number().over(own)).where((F.col("tier") != "journal") | (F.col("own") <= max(1, limit // 4)))

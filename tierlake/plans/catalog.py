@@ -66,7 +66,7 @@ def bm25_and(spark, sf):
 
 @query(_score("estion", "oution") + " SELECT doc_id, held AS words, round(rank, 6) AS rank FROM hit")
 def bm25_or(spark, sf):
-    got = search.rank_words(_refs(spark, sf), [["estion"], ["oution"]], 10_000)
+    got = search.rank_words(_refs(spark, sf), [["estion"], ["oution"]], None)
     return got.groupBy(F.col("seq").alias("doc_id")).agg(F.count(F.lit(1)).alias("words"), F.round(F.sum("rank"), 6).alias("rank"))
 
 
@@ -115,7 +115,7 @@ l AS (SELECT doc_id, i, max(CASE WHEN word = 'the' THEN i END) OVER u AS x, max(
 s AS (SELECT doc_id, min(i - least(x, y) + 1) AS span FROM l WHERE x IS NOT NULL AND y IS NOT NULL GROUP BY doc_id)
 SELECT doc_id, CASE WHEN contains(' ' || t || ' ', ' the of ') THEN 0 WHEN span <= 6 THEN 1 ELSE 2 END AS bucket FROM n LEFT JOIN s USING (doc_id)""")
 def proximity_bucket(spark, sf):
-    hits = search.rank_words(_refs(spark, sf), [["the", "of"]], 10_000).select(F.col("seq").alias("doc_id"))
+    hits = search.rank_words(_refs(spark, sf), [["the", "of"]], None).select(F.col("seq").alias("doc_id"))
     docs = ad.table(spark, sf, "documents").join(hits, "doc_id")
     return docs.select("doc_id", tx.proximity_col(["the", "of"], tx.normalized_col(F.col("text"))).alias("bucket"))
 
@@ -123,7 +123,7 @@ def proximity_bucket(spark, sf):
 @query("SELECT doc_id FROM documents WHERE contains(lower(text), 'inging') AND contains(lower(text), 'est')")
 def substring_and(spark, sf):
     folded = index.folded(index.searchable(reference=ad.references(spark, sf)))
-    return search.rank_substrings(folded, ["inging est"], 10_000).select(F.col("seq").alias("doc_id"))
+    return search.rank_substrings(folded, ["inging est"], None).select(F.col("seq").alias("doc_id"))
 
 
 @query(
@@ -156,7 +156,7 @@ def stem_truncation(spark, sf):
 @query(_score("estion", "oution") + " , v AS (SELECT 1 AS variant, doc_id FROM hit WHERE held = 2 AND false UNION ALL SELECT 2, doc_id FROM tf WHERE term = 'estion') SELECT variant, count(*) AS hits FROM v WHERE variant = (SELECT min(variant) FROM v) GROUP BY variant")
 def relax_first_hit(spark, sf):
     """Of weaker forms tried in turn the first with hits: the whole (a word that no document has with it), then single words."""
-    got = search.rank_words(_refs(spark, sf), [["estion", "zzzz"], ["zzzz"], ["estion"]], 10_000)
+    got = search.rank_words(_refs(spark, sf), [["estion", "zzzz"], ["zzzz"], ["estion"]], None)
     first = got.agg(F.min("variant").alias("variant"))  # one row
     return got.join(F.broadcast(first), "variant").groupBy("variant").agg(F.count(F.lit(1)).alias("hits"))
 
@@ -477,7 +477,7 @@ def turn_pairing(spark, sf):
 @query(_score("estion", "oution") + " SELECT doc_id, held AS match_count FROM hit JOIN (SELECT doc_id AS d, min(r) AS br FROM (SELECT doc_id, term, " + BM25 + " AS r FROM tf JOIN df USING (term) JOIN dl USING (doc_id), st) GROUP BY 1) ON d = doc_id ORDER BY held DESC, br, (SELECT source || '/' || doc_id FROM documents x WHERE x.doc_id = hit.doc_id) LIMIT 5")
 def prefetch_merge(spark, sf):
     built = _refs(spark, sf)
-    got = search.rank_words(built, [["estion"], ["oution"]], 10_000).join(built.docs.select("tier", "seq", "key"), ["tier", "seq"])
+    got = search.rank_words(built, [["estion"], ["oution"]], None).join(built.docs.select("tier", "seq", "key"), ["tier", "seq"])
     return shape.merged(got).select(F.element_at(F.split("key", "/"), -1).cast("long").alias("doc_id"), "match_count")
 
 
