@@ -11,11 +11,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tierlake.llm import language, packing, secrets, simhash, substring
+from tierlake.llm import jaccard, language, packing, secrets, substring
 from tierlake.llm.common import id_remainder, shared_path
 
 #: Documents whose language is less certain than this are rejected; with four languages chance is 0.25.
 LEAST_LANGUAGE_SCORE = 0.4
+#: Documents whose sets of word shingles of this width are at least this similar are near copies.
+SHINGLE_WORDS, LEAST_SIMILARITY = 5, 0.8
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -26,11 +28,14 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document of smallest id of every near-duplicate component; of rows of one id the least row."""
-    kept = simhash.near_duplicates(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("kept_id")).distinct()
-    rows = docs.join(kept, F.col("doc_id").eqNullSafe(F.col("kept_id")), "left_semi")
-    rest = [c for c in docs.columns if c != "doc_id"]
-    return rows.groupBy("doc_id").agg(F.min(F.struct(*rest)).alias("row")).select("doc_id", "row.*").select(*docs.columns)
+    """Keeps one row of every component of near copies (five-word shingles, similarity 0.8 or more): that of the
+    smallest id, null last; of different rows with that id the one of least hash."""
+    rows = docs.withColumn("r1", F.xxhash64(*docs.columns)).withColumn("r2", F.xxhash64(F.lit("second"), *docs.columns))
+    found = jaccard.copies(rows, width=SHINGLE_WORDS, least=LEAST_SIMILARITY)
+    ids = rows.select("r1", "r2", "doc_id").join(found, ["r1", "r2"])
+    kept = ids.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "r1", "r2")).alias("k")).select("k.r1", "k.r2")
+    one = rows.join(kept, ["r1", "r2"], "left_semi").groupBy("r1", "r2").agg(F.min(F.struct(*docs.columns)).alias("row"))
+    return one.select("row.*")
 
 
 def remove_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

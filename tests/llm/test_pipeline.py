@@ -1,4 +1,6 @@
+import random
 import zlib
+from collections import Counter
 
 import corpus_pipeline as cp
 import numpy as np
@@ -55,6 +57,46 @@ def test_near_copies(stages):
     assert {r.doc_id for r in stages[2].collect()} == set(components(rows).values())
 
 
+def jaccard_components(rows, width=5, least=0.8):
+    sets, have = {}, {}
+    for d, t in rows:
+        w = (t or "").encode().lower().split()
+        sets[d] = {tuple(w[i : i + width]) for i in range(max(1, len(w) - width + 1))}
+        for s in sets[d]:
+            have.setdefault(s, []).append(d)
+    root = {d: d for d in sets}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for d, mine in sets.items():
+        for other, n in Counter(o for s in mine for o in have[s] if o < d).items():
+            if n >= least * (len(mine) + len(sets[other]) - n):
+                x, y = sorted((find(d), find(other)))
+                root[y] = x
+    return {d: find(d) for d in sets}
+
+
+def test_near_copies_by_similarity(spark, stages):
+    rows = [(r.doc_id, r.text) for r in stages[1].collect()]
+    assert {r.doc_id for r in stages[2].collect()} == set(jaccard_components(rows).values())
+
+
+def test_near_copies_of_edited_texts(spark):
+    r = random.Random(3)
+    rows = []
+    for i in range(40):
+        words = [f"w{r.randrange(5000)}" for _ in range(r.choice((3, 60, 400)))]
+        for _ in range(5):
+            rows.append((len(rows), " ".join(w if r.random() > i % 8 / 100 else "new" for w in words)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    want = set(jaccard_components(rows).values())
+    assert {x.doc_id for x in cp.drop_near_copies(spark, df, "").collect()} == want < set(range(len(rows)))
+    assert cp.drop_near_copies(spark, df.limit(0), "").count() == 0
+
+
 def test_passages(stages):
     want = {d: (g, t) for d, _, g, t in passages_of([(r.doc_id, r.text) for r in stages[2].collect()])}
     before = {r.doc_id: r.text for r in stages[2].collect()}

@@ -1,0 +1,122 @@
+"""Near copies by the Jaccard similarity of word shingles.
+
+Texts with the same set of shingles are one node throughout, so copies cost nothing. Minima of a
+node's shingle hashes under many permutations, in bands, propose pairs; every proposed pair is
+decided by the similarity of its two sets. The members of a band's bucket are first compared with
+the bucket's least node; only members that are then still in different components are compared
+with each other. Star contractions join the links to components.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+from itertools import repeat
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .common import arrow_map, checkpointed, text_of
+from .graph import components
+
+#: A pair of similarity 0.8 shares none of the bands with a probability of (1 - 0.8**ROWS)**BANDS, three in a million.
+BANDS, ROWS = 32, 5
+#: Proposed nodes up to this number (16 bytes each) are broadcast to pick their texts; more are joined by a shuffle.
+BROADCAST_NODES = 2_000_000
+_FACTORS = np.random.default_rng(5).integers(0, 1 << 64, BANDS * ROWS, np.uint64) | np.uint64(1)
+
+
+def shingles(text: str, width: int = 5) -> np.ndarray:
+    """The distinct hashes of the text's word shingles, sorted; one of all words in a shorter text, none without words."""
+    words = text.encode().lower().split()  # bytes: only A-Z change, only ASCII blanks split
+    if not words:
+        return np.empty(0, np.uint64)
+    joined, ends = b" ".join(words), np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
+    starts = np.concatenate(([0], ends[:-1] + 1))
+    last = max(1, len(words) - width + 1)
+    found = map(joined.__getitem__, map(slice, starts[:last].tolist(), ends[min(width, len(words)) - 1 :].tolist()))
+    return np.unique(np.fromiter(map(xxhash.xxh64_intdigest, found, repeat(42)), np.uint64, last))
+
+
+def bands(h: np.ndarray) -> list[int]:
+    """The hash of each band of minima; none for a text without words."""
+    if not len(h):
+        return []
+    least = np.full(len(_FACTORS), np.iinfo(np.uint64).max)
+    for at in range(0, len(h), 512):
+        least = np.minimum(least, (h[at : at + 512, None] * _FACTORS[None, :]).min(0))
+    return [xxhash.xxh64_intdigest(least[i * ROWS : (i + 1) * ROWS].tobytes(), i) for i in range(BANDS)]
+
+
+def similarity(a: np.ndarray, b: np.ndarray) -> float:
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return both / (len(a) + len(b) - both) if len(a) or len(b) else 1.0
+
+
+def _signed(values) -> pa.Array:
+    return pa.array(np.array(values, np.uint64).view(np.int64))
+
+
+def nodes(rows: DataFrame, text_col: str = "text", width: int = 5) -> DataFrame:
+    """(r1, r2, node, bands) of rows keyed by r1 and r2."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            names, offsets, keys = [], [0], []
+            for text in batch.column(2).to_pylist():
+                h = shingles(text, width)
+                names.append(xxhash.xxh64_intdigest(h.tobytes()))
+                keys += bands(h)
+                offsets.append(len(keys))
+            lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), _signed(keys))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), _signed(names), lists], names=["r1", "r2", "node", "bands"])
+
+    return rows.select("r1", "r2", text_of(text_col).alias("text")).transform(arrow_map, run, "r1 long, r2 long, node long, bands array<long>")
+
+
+def _verified(pairs: DataFrame, made: DataFrame, rows: DataFrame, text_col: str, width: int, least: float) -> DataFrame:
+    """The pairs (u, v) of nodes whose sets have at least the similarity ``least``."""
+    asked = pairs.select(F.col("u").alias("node")).union(pairs.select(F.col("v").alias("node"))).distinct()
+    reps = checkpointed(made.join(asked, "node", "left_semi").groupBy("node").agg(F.min(F.struct("r1", "r2")).alias("r")).select("node", "r.r1", "r.r2"))
+    few = reps.count() <= BROADCAST_NODES
+    texts = rows.select("r1", "r2", text_of(text_col).alias("text")).join(F.broadcast(reps) if few else reps, ["r1", "r2"])
+    texts = checkpointed(texts.groupBy("node").agg(F.first("text").alias("text")))  # equal rows have equal keys
+    both = pairs.join(texts.select(F.col("node").alias("u"), F.col("text").alias("a")), "u").join(texts.select(F.col("node").alias("v"), F.col("text").alias("b")), "v")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, of = None, np.empty(0, np.uint64)
+        for batch in batches:
+            keep = []
+            for v, a, b in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_pylist()):
+                if v != known:  # rows come sorted by v
+                    known, of = v, shingles(b, width)
+                keep.append(similarity(shingles(a, width), of) >= least)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["u", "v"]).filter(pa.array(keep, pa.bool_()))
+
+    return both.select("u", "v", "a", "b").sortWithinPartitions("v").transform(arrow_map, run, "u long, v long")
+
+
+def copies(rows: DataFrame, text_col: str = "text", width: int = 5, least: float = 0.8) -> DataFrame:
+    """(r1, r2, component) for rows keyed by r1 and r2 (equal keys only for equal rows).
+
+    Component: rows reachable over links of a similarity of ``least`` or more between the sets of
+    ``width``-word shingles. A text of fewer words has one shingle of all its words; null texts and
+    those without words are copies of each other. An empty table gives no rows.
+    """
+    made = checkpointed(nodes(rows, text_col, width))
+    keyed = made.where(F.size("bands") > 0).groupBy("node").agg(F.first("bands").alias("bands")).select("node", F.explode("bands").alias("key"))
+    hubs = keyed.groupBy("key").agg(F.min("node").alias("hub"), F.count(F.lit(1)).alias("n")).where("n > 1").select("key", "hub")
+    shared = checkpointed(keyed.join(hubs, "key"))
+    star = checkpointed(shared.where("node <> hub").select(F.col("node").alias("u"), F.col("hub").alias("v")).distinct())
+    links = checkpointed(_verified(star, made, rows, text_col, width, least))
+    found = components(links).withColumnRenamed("component", "c")
+    named = shared.join(found, "node", "left").select("key", "node", F.coalesce("c", "node").alias("c"))
+    mixed = named.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("key")
+    open_ = checkpointed(named.join(mixed, "key", "left_semi"))
+    pairs = open_.alias("x").join(open_.alias("y"), F.expr("x.key = y.key and x.node > y.node and x.c <> y.c")).select(F.col("x.node").alias("u"), F.col("y.node").alias("v")).distinct()
+    pairs = checkpointed(pairs.join(star, ["u", "v"], "left_anti"))  # a hub is its bucket's least node: u > v there, too
+    links = links.union(_verified(pairs, made, rows, text_col, width, least))
+    found = components(links)
+    return made.join(found, "node", "left").select("r1", "r2", F.coalesce("component", "node").alias("component"))
