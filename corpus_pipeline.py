@@ -12,19 +12,27 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tierlake.llm import jaccard, language, packing, secrets, substring
-from tierlake.llm.common import id_remainder, shared_path
+from tierlake.llm.common import id_remainder, shared_path, text_of
 
-#: Documents whose language is less certain than this are rejected; with four languages chance is 0.25.
-LEAST_LANGUAGE_SCORE = 0.4
+#: Documents whose language is less certain than chance and this share of the rest are rejected; with four languages at 0.4.
+LEAST_OVER_CHANCE = 0.2
 #: Documents whose sets of word shingles of this width are at least this similar are near copies.
 SHINGLE_WORDS, LEAST_SIMILARITY = 5, 0.8
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents without a letter and those whose language stays uncertain; a null lang gets the prediction."""
+    """Drops documents without a letter and those whose language stays uncertain; a null lang gets the prediction.
+
+    What the model cannot judge stays: all documents if it knows no language, and those labelled with one it did not learn.
+    """
     model = language.train(language.sample(docs, 500, 4000, 64, id_remainder("doc_id", 3) != 1))
-    found = language.predict(docs, model).where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_LANGUAGE_SCORE))
-    return found.withColumn("lang", F.coalesce("lang", "lang_pred")).select(*docs.columns)
+    found = language.predict(docs, model).where(F.rlike(text_of("text"), F.lit(r"\p{L}")))
+    if not model.labels:
+        return found.select(*docs.columns)
+    chance = 1 / len(model.labels)
+    sure = F.col("score") >= chance + LEAST_OVER_CHANCE * (1 - chance)
+    unlearned = F.coalesce(~F.col("lang").isin(model.labels), F.lit(False))
+    return found.where(sure | unlearned).withColumn("lang", F.coalesce("lang", "lang_pred")).select(*docs.columns)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -5,8 +5,9 @@ from collections import Counter
 import corpus_pipeline as cp
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from tierlake.llm import packing, simhash
+from tierlake.llm import language, packing, simhash
 
 from .test_secrets import brute as secrets_of
 from .test_substring import brute as passages_of
@@ -34,6 +35,21 @@ def test_language_keeps_prose(stages):
     assert all(not any(c.isalpha() for c in before[d]) or len(before[d]) < 200 for d in set(before) - after)
 
 
+def test_language_keeps_what_it_cannot_judge(spark):
+    rows = [(1, None, "some words"), (2, None, "12 34"), (3, None, None)]
+    df = spark.createDataFrame(rows, "doc_id long, lang string, text string")
+    assert [tuple(r) for r in cp.identify_language(spark, df, "").collect()] == [rows[0]]
+
+
+def test_language_threshold_follows_chance(spark, monkeypatch):
+    model = language.Model([f"l{i:02}" for i in range(20)])
+    monkeypatch.setattr(cp.language, "sample", lambda *a: [])
+    monkeypatch.setattr(cp.language, "train", lambda *a: model)
+    monkeypatch.setattr(cp.language, "predict", lambda docs, model: docs.withColumn("lang_pred", F.lit("l01")).withColumn("score", F.col("doc_id") / 100))
+    df = spark.createDataFrame([(20, None, "a"), (30, None, "b"), (10, "l02", "c"), (10, "other", "d")], "doc_id long, lang string, text string")
+    assert {r.text: r.lang for r in cp.identify_language(spark, df, "").collect()} == {"b": "l01", "d": "other"}
+
+
 def components(rows, width=3, radius=3):
     fp = {d: simhash.fingerprint(t or "", width) for d, t in rows}
     root = {d: d for d in fp}
@@ -97,6 +113,14 @@ def test_near_copies_of_edited_texts(spark):
     assert cp.drop_near_copies(spark, df.limit(0), "").count() == 0
 
 
+def test_different_texts_of_one_id_stay(spark):
+    text = lambda w: " ".join(f"{w}{i}" for i in range(30))
+    rows = [(None, text("a")), (None, text("b")), (None, text("b")), (4, text("c")), (4, text("d")), (4, text("d") + " more"), (5, text("c"))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((str(x.doc_id), x.text.split()[0]) for x in cp.drop_near_copies(spark, df, "").collect())
+    assert got == [("4", "c0"), ("4", "d0"), ("None", "a0"), ("None", "b0")]
+
+
 def test_passages(stages):
     want = {d: (g, t) for d, _, g, t in passages_of([(r.doc_id, r.text) for r in stages[2].collect()])}
     before = {r.doc_id: r.text for r in stages[2].collect()}
