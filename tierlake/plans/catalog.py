@@ -191,7 +191,7 @@ def search_ladder(spark, sf):
 @query()
 def search_records(spark, sf):
     built = _refs(spark, sf)
-    return search.search_records(built, index.folded(built.docs), "estion oution the", corpus=1000).select("pos", "tier", "key", F.round("rank", 6).alias("rank"))
+    return search.search_records(built, index.folded(built.docs), "estion oution the", corpus=built.docs.count()).select("pos", "tier", "key", F.round("rank", 6).alias("rank"))
 
 
 @query()
