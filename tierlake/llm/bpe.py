@@ -25,6 +25,10 @@ from pyspark.sql import functions as F
 
 from .common import arrow_map, table, text_of
 
+#: Bytes of a cached word beside its characters and ids: two objects' heads and a place in a table.
+ENTRY = 200
+
+
 def without_gc(method: Callable) -> Callable:
     """Large caches of strings hold no cycles; scanning them while they grow takes long."""
 
@@ -54,7 +58,7 @@ class TrieEncoder:
     ``vocab`` maps symbol strings to ids and ``merges`` lists pairs in rank order.
     """
 
-    MAX_PAIRS = 2_000_000
+    MAX_PAIRS = 250_000
 
     def __init__(self, vocab: dict[str, int], merges: Iterable[tuple[str, str]]):
         self.rank = {pair: i for i, pair in enumerate(merges)}
@@ -130,7 +134,8 @@ class ByteLevelCodec:
     NUMBERS = r"0-9\xb2\xb3\xb9\xbc-\xbe"
     BLANKS = r"\t-\r \x85\xa0"
     LATIN = rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{LETTERS}]+| ?[{NUMBERS}]+| ?[^{BLANKS}{LETTERS}{NUMBERS}]+|[{BLANKS}]+(?![^{BLANKS}])|[{BLANKS}]+"
-    MAX_CACHE = 600_000
+    #: Bytes that the cached words may take, by an estimate of what Python needs for them.
+    MAX_CACHE = 64 << 20
 
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as f:
@@ -150,6 +155,13 @@ class ByteLevelCodec:
         self.runs = re.compile(rf" ?[^{self.SPACE}]+|[{self.SPACE}]+(?![^{self.SPACE}])|[{self.SPACE}]+")
         self.ids: dict[str, str] = {}
         self.raw: dict[str, bytes] = {}
+        self.held = 0
+
+    def forget(self) -> None:
+        """Drop all cached words; a worker calls it at the end of its task, so that only the tables stay."""
+        self.ids.clear(), self.raw.clear()
+        self.held = 0
+        self.trie.fits.clear()
 
     def pieces(self, text: str) -> list[str]:
         """Words of Latin-1 text, else runs of words."""
@@ -169,9 +181,10 @@ class ByteLevelCodec:
     def learn(self, runs: set[str]) -> None:
         """Put the runs that are not known yet in the cache, by one trie walk over their words."""
         new = runs.difference(self.ids)
-        if len(self.ids) + len(new) > self.MAX_CACHE:
-            self.ids.clear(), self.raw.clear()
+        if self.held > self.MAX_CACHE:
+            self.forget()
             new = runs
+        self.held += sum(map(len, new)) * 4 + len(new) * 2 * ENTRY
         plain = [r for r in new if r[1:].isalpha() and r[0].isalpha() | (r[0] == " ") and r not in self.special]
         mixed = {r: [self.special[r]] if r in self.special else self.words.findall(r) for r in new.difference(plain)}
         words = {w for ws in mixed.values() for w in ws if isinstance(w, str)}
@@ -223,19 +236,22 @@ def encode_decode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = codec(path)
-        for batch in batches:
-            n, ids, out, full, plain = [], [], [], [], []
-            for joined, text in coder.encode_batch(batch.column(1).to_pylist()):
-                n.append(joined.count(",") + 1 if joined else 0)
-                ids.append(hashlib.sha256(joined.encode()).hexdigest())
-                out.append(hashlib.sha256(text.encode()).hexdigest())
+        try:
+            for batch in batches:
+                n, ids, out, full, plain = [], [], [], [], []
+                for joined, text in coder.encode_batch(batch.column(1).to_pylist()):
+                    n.append(joined.count(",") + 1 if joined else 0)
+                    ids.append(hashlib.sha256(joined.encode()).hexdigest())
+                    out.append(hashlib.sha256(text.encode()).hexdigest())
+                    if keep_ids:
+                        full.append([int(i) for i in joined.split(",")] if joined else [])
+                        plain.append(text)
+                arrays = [batch.column(0), pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(out, pa.string())]
                 if keep_ids:
-                    full.append([int(i) for i in joined.split(",")] if joined else [])
-                    plain.append(text)
-            arrays = [batch.column(0), pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(out, pa.string())]
-            if keep_ids:
-                arrays += [pa.array(full, pa.list_(pa.int32())), pa.array(plain, pa.string())]
-            yield pa.RecordBatch.from_arrays(arrays, names=names)
+                    arrays += [pa.array(full, pa.list_(pa.int32())), pa.array(plain, pa.string())]
+                yield pa.RecordBatch.from_arrays(arrays, names=names)
+        finally:
+            coder.forget()
 
     kind = docs.schema[id_col].dataType.simpleString()
     schema = f"`{id_col}` {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>, decoded string" * keep_ids

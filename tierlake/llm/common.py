@@ -59,7 +59,7 @@ def id_remainder(col: str, n: int) -> Column:
 
 
 #: Bytes of a batch that goes to a Python worker, so that long texts do not meet in one batch by the thousand.
-BATCH_BYTES = 16 << 20
+BATCH_BYTES = 4 << 20
 
 
 def _release() -> None:

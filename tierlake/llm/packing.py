@@ -26,14 +26,15 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .bpe import TrieEncoder, byte_symbols, without_gc
+from .bpe import ENTRY, TrieEncoder, byte_symbols, without_gc
 from .common import arrow_map, table, text_of
 
 
 class WordCodec:
     """Ids of the tokenizers library for BPE with word ends over lower-cased text."""
 
-    MAX_CACHE = 900_000
+    #: Bytes that the cached words may take, by an estimate of what Python needs for them.
+    MAX_CACHE = 48 << 20
     END = 0x1000
     #: The public pre-tokenization pattern, as it reads for lower-case text of Latin-1.
     LETTERS = r"a-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\xff"
@@ -53,6 +54,13 @@ class WordCodec:
         self.words = re.compile(self.LATIN)
         self.table = dict(enumerate(byte_symbols()))
         self.ids: dict[str, bytes] = {}
+        self.held = 0
+
+    def forget(self) -> None:
+        """Drop all cached words; a worker calls it at the end of its task, so that only the tables stay."""
+        self.ids.clear()
+        self.held = 0
+        self.trie.fits.clear()
 
     def parts(self, text: str) -> list[str]:
         """Units whose encodings, joined, are the text's: words of Latin-1 text, else runs between blanks.
@@ -71,9 +79,10 @@ class WordCodec:
     @without_gc
     def learn(self, units: set[str]) -> None:
         new = units.difference(self.ids)
-        if len(self.ids) + len(new) > self.MAX_CACHE:
-            self.ids.clear()
+        if self.held > self.MAX_CACHE:
+            self.forget()
             new = units
+        self.held += sum(map(len, new)) * 2 + len(new) * ENTRY
         spelled, odd = {}, {}
         for u in new:
             if u[0] != " ":
@@ -229,22 +238,25 @@ def pack(
 
         types: list[pa.DataType] = []
         full: list[list[tuple[int, int, int]]] = []
-        for batch in batches:
-            types = types or [batch.schema.field(0).type, *[pa.int64()] * (len(names) - 1 - keep_ids), *([pa.list_(pa.int64())] if keep_ids else [])]
-            for doc, ids in zip(batch.column(0).to_pylist(), coder.encode_batch(batch.column(1).to_pylist())):
-                row = state["row"]
-                state["row"] += 1
-                held[row] = doc, np.append(ids, np.uint32(end_id)).astype("<u4")
-                full += packer.add(row, len(held[row][1]))
-                if packer.tokens + sum(map(len, full)) * tiers[-1] > block_tokens:
-                    full += packer.windows()
-                    yield emit(full)
-                    full = []
-                    live = {p[1] for pieces in packer.open for p in pieces}
-                    held = {r: held[r] for r in live}
-        full += packer.rest()
-        if full:
-            yield emit(full)
+        try:
+            for batch in batches:
+                types = types or [batch.schema.field(0).type, *[pa.int64()] * (len(names) - 1 - keep_ids), *([pa.list_(pa.int64())] if keep_ids else [])]
+                for doc, ids in zip(batch.column(0).to_pylist(), coder.encode_batch(batch.column(1).to_pylist())):
+                    row = state["row"]
+                    state["row"] += 1
+                    held[row] = doc, np.append(ids, np.uint32(end_id)).astype("<u4")
+                    full += packer.add(row, len(held[row][1]))
+                    if packer.tokens + sum(map(len, full)) * tiers[-1] > block_tokens:
+                        full += packer.windows()
+                        yield emit(full)
+                        full = []
+                        live = {p[1] for pieces in packer.open for p in pieces}
+                        held = {r: held[r] for r in live}
+            full += packer.rest()
+            if full:
+                yield emit(full)
+        finally:
+            coder.forget()
 
     kind = docs.schema[id_col].dataType.simpleString()
     names = [id_col, "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "tier", "step_id", *(["ids"] if keep_ids else [])]

@@ -1,9 +1,9 @@
 """SimHash near-duplicates by tiled exact comparison.
 
 Fingerprints within the radius r agree in at least one of r + 1 blocks of their 64 bits, so
-distinct fingerprints are gathered by block value and compared exactly inside these tiles, with
-numpy exclusive-or and bit counts. A block value that many fingerprints share is cut into tiles by
-population count; tile pairs whose counts differ by more than the radius cannot hold a link and
+distinct fingerprints are gathered by block value. Each block value's fingerprints are tiles by
+population count, and are compared exactly, with numpy exclusive-or and bit counts, inside a tile
+and between two; tile pairs whose counts differ by more than the radius cannot hold a link and
 are never formed. Tiles give spanning links, not all pairs, and star contractions join these to
 components. Equal fingerprints are one row throughout, so copies cost nothing.
 """
@@ -23,18 +23,23 @@ from .common import arrow_map, checkpointed, table, text_of
 from .graph import components
 
 
-def fingerprint(text: str, width: int = 3) -> int:
-    """Bits set in over half the hashes of the text's word shingles; 0 without words."""
+def shingle_hashes(text: str, width: int) -> np.ndarray:
+    """XXH64 (seed 42) of every word shingle, repeats included; of all words in a shorter text; none without words."""
     words = text.encode().lower().split()  # bytes: only A-Z change, only ASCII blanks split
     if not words:
-        return 0
+        return np.empty(0, np.uint64)
     joined, ends = b" ".join(words), np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
     starts = np.concatenate(([0], ends[:-1] + 1))
     last = max(1, len(words) - width + 1)
     shingles = map(joined.__getitem__, map(slice, starts[:last].tolist(), ends[min(width, len(words)) - 1 :].tolist()))
-    h = np.fromiter(map(xxhash.xxh64_intdigest, shingles, repeat(42)), np.uint64, last)
-    bits = sum((np.unpackbits(h[i : i + 65536].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64) for i in range(0, last, 65536)), np.zeros(64, np.int64))
-    return int(np.packbits(bits * 2 > last, bitorder="little").view(np.uint64)[0])
+    return np.fromiter(map(xxhash.xxh64_intdigest, shingles, repeat(42)), np.uint64, last)
+
+
+def fingerprint(text: str, width: int = 3) -> int:
+    """Bits set in over half the hashes of the text's word shingles; 0 without words."""
+    h = shingle_hashes(text, width)
+    bits = sum((np.unpackbits(h[i : i + 65536].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64) for i in range(0, len(h), 65536)), np.zeros(64, np.int64))
+    return int(np.packbits(bits * 2 > len(h), bitorder="little").view(np.uint64)[0])
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3) -> DataFrame:
@@ -71,26 +76,55 @@ def tile_links(fp: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
     return rest, label[rest]
 
 
+def tiled(keyed: DataFrame, key: str, kind: str, part: str, reach: int, tile: int, whole: int) -> DataFrame:
+    """``keyed`` with a column item: rows of one key meet in an item if their kinds differ by at most ``reach``.
+
+    A key's rows of one kind (a small number) are cut, by a hash of column ``part``, into tiles of
+    about ``tile`` rows; an item is one tile or a pair of tiles, and rows are repeated for every
+    item. Keys of at most ``whole`` rows are one item. Keys of one row have no partner and go.
+    """
+    sizes = keyed.groupBy(key, kind).agg(F.count(F.lit(1)).alias("n")).groupBy(key).agg(
+        F.sum("n").alias("total"), F.collect_list(F.struct(F.col(kind).alias("kind"), F.ceil(F.col("n") / tile).cast("int").alias("m"))).alias("tiles")
+    )  # at most one entry for each kind
+    work = keyed.join(sizes.where(F.col("total") > whole).select(key, "tiles"), key, "left" if whole > 1 else "inner")
+    own = F.struct(F.col(kind).alias("kind"), F.pmod(F.xxhash64(part), F.filter("tiles", lambda t: t.kind == F.col(kind))[0]["m"]).cast("int").alias("part"))
+    near = F.flatten(F.transform(F.filter("tiles", lambda t: F.abs(t.kind - F.col(kind)) <= reach), lambda t: F.transform(F.sequence(F.lit(0), t.m - 1), lambda i: F.struct(t.kind.alias("kind"), i.alias("part")))))
+    none = F.struct(F.lit(0).alias("kind"), F.lit(0).alias("part"))
+    work = work.withColumn("own", F.when(F.col("tiles").isNull(), none).otherwise(own))
+    work = work.withColumn("other", F.explode(F.when(F.col("tiles").isNull(), F.array(none)).otherwise(near)))
+    return work.withColumn("item", F.xxhash64(key, F.least("own", "other"), F.greatest("own", "other"))).drop("tiles", "own", "other")
+
+
+def whole_items(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
+    """The columns of batches sorted by the first one, the item, so that no item is cut."""
+    held: list[list[np.ndarray]] = []
+    for batch in batches:
+        cols = [c.to_numpy() for c in batch.columns]
+        if not len(cols[0]):
+            continue
+        cut = int(np.searchsorted(cols[0], cols[0][-1]))
+        if cut:
+            yield [np.concatenate(parts) for parts in zip(*held, [c[:cut] for c in cols])]
+            held = [[c[cut:] for c in cols]]
+        elif held and held[-1][0][-1] != cols[0][0]:
+            yield [np.concatenate(parts) for parts in zip(*held)]
+            held = [cols]
+        else:
+            held.append(cols)
+    if held:
+        yield [np.concatenate(parts) for parts in zip(*held)]
+
+
 def links(fps: DataFrame, radius: int = 3, tile: int = 1024, bits: int = 64) -> DataFrame:
     """Spanning links (u, v) between the distinct values of column fp within the radius."""
     blocks = radius + 1
     edges_at = [bits * i // blocks for i in range(blocks + 1)]
     keys = F.array(*[F.lit(i << 56) + F.shiftrightunsigned(F.shiftleft("fp", 64 - hi), 64 - hi + lo) for i, (lo, hi) in enumerate(zip(edges_at, edges_at[1:]))])
-    keyed = fps.select("fp", F.bit_count("fp").alias("pop"), F.explode(keys).alias("key"))
-    sizes = keyed.groupBy("key", "pop").agg(F.count(F.lit(1)).alias("n")).groupBy("key").agg(
-        F.sum("n").alias("total"), F.collect_list(F.struct(F.col("pop"), F.ceil(F.col("n") / tile).cast("int").alias("m"))).alias("tiles")
-    )  # at most one entry for each population count
-    work = keyed.join(sizes.where(F.col("total") > tile).select("key", "tiles"), "key", "left")
-    own = F.struct("pop", F.pmod(F.xxhash64("fp"), F.filter("tiles", lambda t: t.pop == F.col("pop"))[0]["m"]).cast("int").alias("part"))
-    near = F.flatten(F.transform(F.filter("tiles", lambda t: F.abs(t.pop - F.col("pop")) <= radius), lambda t: F.transform(F.sequence(F.lit(0), t.m - 1), lambda i: F.struct(t.pop.alias("pop"), i.alias("part")))))
-    none = F.struct(F.lit(0).alias("pop"), F.lit(0).alias("part"))
-    work = work.withColumn("own", F.when(F.col("tiles").isNull(), none).otherwise(own)).select(
-        "fp", "key", "own", F.explode(F.when(F.col("tiles").isNull(), F.array(none)).otherwise(near)).alias("other")
-    )
-    work = work.select("fp", F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")).alias("item"))
+    work = tiled(fps.select("fp", F.bit_count("fp").alias("pop"), F.explode(keys).alias("key")), "key", "pop", "fp", radius, tile, 1).select("item", "fp")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def found(fp: np.ndarray, item: np.ndarray) -> pa.RecordBatch:
+        for item, fp in whole_items(batches):
+            fp = fp.view(np.uint64)
             u, v = [], []
             start = np.flatnonzero(np.concatenate(([True], item[1:] != item[:-1])))
             size = np.diff(np.append(start, len(item)))
@@ -104,18 +138,7 @@ def links(fps: DataFrame, radius: int = 3, tile: int = 1024, bits: int = 64) ->
             for s, n in zip(start[size > 32].tolist(), size[size > 32].tolist()):
                 a, b = tile_links(fp[s : s + n], radius)
                 u.append(fp[s + a]), v.append(fp[s + b])
-            return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).view(np.int64) if x else np.empty(0, np.int64)) for x in (u, v)], names=["u", "v"])
-
-        fp, item = np.empty(0, np.uint64), np.empty(0, np.int64)
-        for batch in batches:  # rows come sorted by item; the last tile may go on in the next batch
-            fp = np.concatenate((fp, batch.column(0).to_numpy().view(np.uint64)))
-            item = np.concatenate((item, batch.column(1).to_numpy()))
-            if not len(item):
-                continue
-            cut = int(np.searchsorted(item, item[-1]))
-            yield found(fp[:cut], item[:cut])
-            fp, item = fp[cut:], item[cut:]
-        yield found(fp, item)
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).view(np.int64) if x else np.empty(0, np.int64)) for x in (u, v)], names=["u", "v"])
 
     return work.repartition("item").sortWithinPartitions("item").transform(arrow_map, run, "u long, v long")
 
