@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tierlake.llm import jaccard, language, packing, secrets, substring
+from tierlake.llm import copies, language, packing, secrets, substring
 from tierlake.llm.common import id_remainder, shared_path, text_of
 
 #: Documents whose language is less certain than chance and this share of the rest are rejected; with four languages at 0.4.
@@ -37,12 +37,15 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one row of every component of near copies (five-word shingles, similarity 0.8 or more): that of the
-    smallest id, null last; of different rows with that id the one of least hash."""
-    rows = docs.withColumn("r1", F.xxhash64(*docs.columns)).withColumn("r2", F.xxhash64(F.lit("second"), *docs.columns))
-    found = jaccard.copies(rows, width=SHINGLE_WORDS, least=LEAST_SIMILARITY)
+    smallest id, null last; of different texts with that id the one of least hash, of rows that differ in other columns the
+    first of these as JSON."""
+    keyed = lambda salt: F.xxhash64(F.lit(salt), F.col("doc_id"), F.col("text"))
+    rows = docs.select(F.struct("*").alias("row"), keyed("one").alias("r1"), keyed("two").alias("r2"), "doc_id", "text")
+    found = copies.copies(rows, width=SHINGLE_WORDS, least=LEAST_SIMILARITY)
     ids = rows.select("r1", "r2", "doc_id").join(found, ["r1", "r2"])
     kept = ids.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "r1", "r2")).alias("k")).select("k.r1", "k.r2")
-    one = rows.join(kept, ["r1", "r2"], "left_semi").groupBy("r1", "r2").agg(F.min(F.struct(*docs.columns)).alias("row"))
+    rest = F.to_json(F.struct(*[F.col(f"row.`{c}`").alias(str(i)) for i, c in enumerate(docs.columns) if c != "text"]))
+    one = rows.join(kept, ["r1", "r2"], "left_semi").groupBy("r1", "r2").agg(F.min_by("row", rest).alias("row"))
     return one.select("row.*")
 
 
