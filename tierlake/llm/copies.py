@@ -8,8 +8,11 @@ compared by exclusive-or and bit counts, and pairs of parts whose sizes exclude
 skipped. Large tiles are cut by size class first. Every proposed pair is then decided by the
 similarity of its two sets of shingles, so nothing links that is less similar.
 
-A tile proposes one link a member: to the neighbour with most neighbours, as a rule the original
-of its copies. Only members that are then still in different components propose all their pairs.
+A tile proposes at most two links a member: to its nearest neighbour, and to the neighbour with
+most neighbours, as a rule the original of its copies. Links whose whole fingerprints are too far
+apart go; what the others connect is a cluster, in which all similar sets lie, but not only those.
+So each set is sent once to its cluster (a large one is cut in parts, and sets meet in pairs of
+parts), where every pair whose fingerprints allow it is decided, unless it is connected already.
 Texts with the same set of shingles are one node throughout, so copies cost nothing.
 """
 
@@ -20,7 +23,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import arrow_map, checkpointed, text_of
@@ -36,6 +39,8 @@ CARRIED, RADIUS = 2, 40
 WIDE_RADIUS = 260
 #: Rows of one tile; a block value with more is cut.
 TILE = 2048
+#: Shingles (and 256 more for every set) of a part of a cluster.
+PART = 250_000
 #: Proposed nodes up to this number (24 bytes each) are broadcast to pick their texts; more are joined by a shuffle.
 BROADCAST_NODES = 500_000
 _RNG = np.random.default_rng(5)
@@ -78,11 +83,6 @@ def wide_fingerprint(hashes: np.ndarray) -> np.ndarray:
     return np.packbits(count * 2 > len(hashes), bitorder="little").view(np.uint64)
 
 
-def similarity(a: np.ndarray, b: np.ndarray) -> float:
-    both = len(np.intersect1d(a, b, assume_unique=True))
-    return both / (len(a) + len(b) - both) if len(a) or len(b) else 1.0
-
-
 def _signed(values) -> pa.Array:
     return pa.array(np.array(values, np.uint64).view(np.int64))
 
@@ -118,113 +118,144 @@ def _blocks(made: DataFrame) -> DataFrame:
     return made.select("node", "size", "fp").transform(arrow_map, run, "key long, node long, size int, " + ", ".join(f"f{i} long" for i in range(CARRIED)))
 
 
-def close(size: np.ndarray, fp: np.ndarray, least: float, radius: int) -> np.ndarray:
-    """Which rows of a tile, sorted by size, may be similar; parts whose sizes exclude it are not compared."""
+def close(size: np.ndarray, fp: np.ndarray, least: float, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """Which rows of a tile, sorted by size, may be similar, and their differing bits; parts whose sizes exclude it are not compared."""
     n = len(size)
-    out = np.zeros((n, n), bool)
-    for at in range(0, n, 256):
-        end = min(n, at + 256)
-        to = int(np.searchsorted(size, size[end - 1] / least, "right"))
-        differ = sum(np.bitwise_count(fp[at:end, None, i] ^ fp[None, at:to, i]).astype(np.int16) for i in range(fp.shape[1]))
-        out[at:end, at:to] = (differ <= radius) & (np.minimum(size[at:end, None], size[None, at:to]) + 1e-9 >= least * np.maximum(size[at:end, None], size[None, at:to]))
+    out, bits = np.zeros((n, n), bool), np.zeros((n, n), np.int16)
+    for at in range(0, n, 128):
+        end = min(n, at + 128)
+        to = int(np.searchsorted(size, size[end - 1] / least + 1e-9, "right"))
+        differ = bits[at:end, at:to]
+        for i in range(fp.shape[1]):
+            differ += np.bitwise_count(fp[at:end, None, i] ^ fp[None, at:to, i])
+        small, large = np.minimum(size[at:end, None], size[None, at:to]), np.maximum(size[at:end, None], size[None, at:to])
+        out[at:end, at:to] = (differ <= radius) & (small + 1e-9 >= least * large)
     out |= out.T
     np.fill_diagonal(out, False)
-    return out
+    return out, np.maximum(bits, bits.T)
 
 
-def hubs(linked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(row, hub): of every row the neighbour with most neighbours, unless it has most itself; the first of equals."""
+def proposals(linked: np.ndarray, differ: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(row, other): every row's nearest neighbour and its neighbour with most neighbours; the first of equals."""
     n = len(linked)
-    code = linked.sum(1, dtype=np.int64) * n + np.arange(n - 1, -1, -1)
-    hub = np.empty(n, np.int64)
-    for at in range(0, n, 256):
-        hub[at : at + 256] = np.where(linked[at : at + 256], code, -1).argmax(1)
-    rows = np.flatnonzero(code[hub] > code)
-    return rows, hub[rows]
-
-
-def _small_pairs(item: np.ndarray, small: np.ndarray, size: np.ndarray, fp: np.ndarray, least: float, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """The close pairs of all small tiles at once: rows d apart in the same tile."""
-    first, second = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+    degree = linked.sum(1, dtype=np.int64)
+    rows = np.flatnonzero(degree)
+    others = [np.empty(0, np.int64)]
+    for at in range(0, len(rows), 256):
+        some = rows[at : at + 256]
+        others.append(np.where(linked[some], differ[some], 1 << 14).argmin(1))
+    for at in range(0, len(rows), 256):
+        others.append(np.where(linked[rows[at : at + 256]], degree, -1).argmax(1))
+    return np.concatenate((rows, rows)), np.concatenate(others)
+
+
+def _small_proposals(item: np.ndarray, small: np.ndarray, size: np.ndarray, fp: np.ndarray, least: float, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """``proposals`` for all small tiles at once, by pairs of rows d apart in the same tile."""
+    first, second, differ = [np.empty(0, np.int64)], [np.empty(0, np.int64)], [np.empty(0, np.int64)]
     for d in range(1, 32):
         i = np.flatnonzero(small[:-d] & (item[:-d] == item[d:])) if d < len(item) else []
         if not len(i):
             break
-        i = i[size[i + d] * least <= size[i] + 1e-9]
-        i = i[np.bitwise_count(fp[i] ^ fp[i + d]).sum(1, dtype=np.int64) <= radius]
-        first.append(i), second.append(i + d)
-    return np.concatenate(first), np.concatenate(second)
-
-
-def _small_hubs(n: int, first: np.ndarray, second: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """``hubs`` for the pairs of many tiles."""
-    degree = np.bincount(first, minlength=n) + np.bincount(second, minlength=n)
-    row, other = np.concatenate((first, second)), np.concatenate((second, first))
-    order = np.lexsort((other, -degree[other], row))
-    row, other = row[order], other[order]
-    top = np.flatnonzero(np.concatenate(([True], row[1:] != row[:-1])))[: len(row)]
-    row, other = row[top], other[top]
-    up = (degree[other] > degree[row]) | (degree[other] == degree[row]) & (other < row)
-    return row[up], other[up]
-
-
-def _proposed(tiles: DataFrame, words: int, least: float, radius: int) -> DataFrame:
-    """Distinct pairs (u, v) of nodes that rows of tiles propose.
-
-    Without a column c: each member's pair with its hub. With it: all close pairs of different c.
-    """
-    names = ["item", "node", "size", *(f"f{i}" for i in range(words)), *(["c"] if "c" in tiles.columns else [])]
+        i = i[size[i] + 1e-9 >= least * size[i + d]]
+        apart = np.bitwise_count(fp[i] ^ fp[i + d]).sum(1, dtype=np.int64)
+        i, apart = i[apart <= radius], apart[apart <= radius]
+        first.append(i), second.append(i + d), differ.append(apart)
+    a, b, apart = np.concatenate(first), np.concatenate(second), np.concatenate(differ)
+    degree = np.bincount(a, minlength=len(item)) + np.bincount(b, minlength=len(item))
+    row, other, apart = np.concatenate((a, b)), np.concatenate((b, a)), np.concatenate((apart, apart))
+    found = []
+    for order in (np.lexsort((other, apart, row)), np.lexsort((other, -degree[other], row))):
+        top = order[np.flatnonzero(np.diff(row[order], prepend=-1))]
+        found.append((row[top], other[top]))
+    return np.concatenate([r for r, _ in found]), np.concatenate([o for _, o in found])
+
+
+def _proposed(tiles: DataFrame, least: float) -> DataFrame:
+    """Distinct pairs (u, v), u > v, of nodes that rows of tiles propose."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for cols in whole_items(batches):
-            item, node, size = cols[:3]
-            fp = np.stack([w.view(np.uint64) for w in cols[3 : 3 + words]], 1)
-            of = cols[3 + words] if len(cols) > 3 + words else None
+        for item, node, size, *words in whole_items(batches):
+            fp = np.stack([w.view(np.uint64) for w in words], 1)
             start = np.flatnonzero(np.concatenate(([True], item[1:] != item[:-1])))
             count = np.diff(np.append(start, len(item)))
-            small = np.repeat(count <= 32, count)
-            a, b = _small_pairs(item, small, size, fp, least, radius)
-            if of is None:
-                a, b = _small_hubs(len(item), a, b)
+            a, b = _small_proposals(item, np.repeat(count <= 32, count), size, fp, least, RADIUS)
             rows, others = [a], [b]
             for s, n in zip(start[count > 32].tolist(), count[count > 32].tolist()):
-                linked = close(size[s : s + n], fp[s : s + n], least, radius)
-                a, b = hubs(linked) if of is None else np.nonzero(np.triu(linked & (of[s : s + n, None] != of[None, s : s + n])))
+                a, b = proposals(*close(size[s : s + n], fp[s : s + n], least, RADIUS))
                 rows.append(s + a), others.append(s + b)
-            a, b = np.concatenate(rows), np.concatenate(others)
-            if of is not None:
-                a, b = a[of[a] != of[b]], b[of[a] != of[b]]
-            u, v = node[a], node[b]
+            u, v = node[np.concatenate(rows)], node[np.concatenate(others)]
             pair = np.unique(np.stack((np.maximum(u, v), np.minimum(u, v)), 1), axis=0)
             pair = pair[pair[:, 0] != pair[:, 1]]
             yield pa.RecordBatch.from_arrays([pa.array(pair[:, 0]), pa.array(pair[:, 1])], names=["u", "v"])
 
-    rows = tiles.select(*names).repartition("item").sortWithinPartitions("item", "size", "node")
+    rows = tiles.select("item", "node", "size", *(f"f{i}" for i in range(CARRIED))).repartition("item").sortWithinPartitions("item", "size", "node")
     return rows.transform(arrow_map, run, "u long, v long").distinct()
 
 
-def _verified(pairs: DataFrame, made: DataFrame, rows: DataFrame, text_col: str, width: int, least: float) -> DataFrame:
-    """The pairs (u, v) of nodes whose sets have at least the similarity ``least``."""
-    asked = pairs.select(F.col("u").alias("node")).union(pairs.select(F.col("v").alias("node"))).distinct()
-    reps = checkpointed(made.join(asked, "node", "left_semi").groupBy("node").agg(F.min(F.struct("r1", "r2")).alias("r")).select("node", "r.r1", "r.r2"))
+def _near(pairs: DataFrame, distinct: DataFrame) -> DataFrame:
+    """The pairs whose whole fingerprints are near each other."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            a, b = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint64).reshape(-1, WORDS) for i in (2, 3))
+            keep = np.bitwise_count(a ^ b).sum(1, dtype=np.int64) <= WIDE_RADIUS
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["u", "v"]).filter(pa.array(keep))
+
+    side = lambda end, name: distinct.select(F.col("node").alias(end), F.col("fp").alias(name))
+    return pairs.join(side("u", "a"), "u").join(side("v", "b"), "v").select("u", "v", "a", "b").transform(arrow_map, run, "u long, v long")
+
+
+def spanning(size: np.ndarray, fp: np.ndarray, sets: list[bytes], least: float) -> tuple[np.ndarray, np.ndarray]:
+    """Links (row, other) of similarity ``least`` or more that connect what all such links connect; rows sorted by size."""
+    linked, _ = close(size, fp, least, WIDE_RADIUS)
+    values = np.frombuffer(b"".join(sets), np.uint64)
+    at = np.concatenate(([0], np.cumsum(size, dtype=np.int64)))
+    label = np.arange(len(size))
+    rows, others = [], []
+    for i in range(len(size) - 1):
+        near = i + 1 + np.flatnonzero(linked[i, i + 1 :])
+        near = near[label[near] != label[i]]
+        if not len(near):
+            continue
+        own = values[at[i] : at[i + 1]]
+        count = size[near].astype(np.int64)
+        begin = np.cumsum(count) - count
+        theirs = values[np.repeat(at[near] - begin, count) + np.arange(int(count.sum()))]
+        place = np.minimum(np.searchsorted(own, theirs), len(own) - 1)
+        both = np.add.reduceat((own[place] == theirs).astype(np.int64), begin)
+        for j in near[both >= least * (len(own) + count - both) - 1e-9].tolist():
+            if label[j] != label[i]:
+                rows.append(i), others.append(j)
+                label[label == label[j]] = label[i]
+    return np.array(rows, np.int64), np.array(others, np.int64)
+
+
+def _decided(clusters: DataFrame, made: DataFrame, rows: DataFrame, text_col: str, width: int, least: float, kind: Column) -> DataFrame:
+    """Spanning links (u, v) of similarity ``least`` or more among the nodes (node, cluster, size, fp) of clusters."""
+    reps = checkpointed(made.join(clusters.select("node"), "node", "left_semi").groupBy("node").agg(F.min(F.struct("r1", "r2")).alias("r")).select("node", "r.r1", "r.r2"))
     few = reps.count() <= BROADCAST_NODES
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = [shingle_set(t, width).tobytes() for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], names=["node", "s"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], names=["node", "set"])
 
     texts = rows.select("r1", "r2", text_of(text_col).alias("text")).join(F.broadcast(reps) if few else reps, ["r1", "r2"]).select("node", "text")
-    sets = checkpointed(texts.transform(arrow_map, gather, "node long, s binary").groupBy("node").agg(F.first("s").alias("s")))  # equal nodes have equal sets
-    both = pairs.join(sets.select(F.col("node").alias("u"), F.col("s").alias("a")), "u").join(sets.select(F.col("node").alias("v"), F.col("s").alias("b")), "v")
+    sets = texts.transform(arrow_map, gather, "node long, set binary").groupBy("node").agg(F.first("set").alias("set"))  # equal nodes have equal sets
+    parts = tiled(clusters.withColumn("class", kind), "cluster", "class", "node", 1, PART, PART, F.col("size") + 256).select("item", "node", "size", "fp")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            a, b = batch.column(2).to_pylist(), batch.column(3).to_pylist()
-            keep = [similarity(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)) >= least for x, y in zip(a, b)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["u", "v"]).filter(pa.array(keep, pa.bool_()))
+        for item, node, size, fp, sets in whole_items(batches):
+            words = np.frombuffer(b"".join(fp), np.uint64).reshape(-1, WORDS)
+            start = np.flatnonzero(np.concatenate(([True], item[1:] != item[:-1])))
+            u, v = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+            for s, e in zip(start.tolist(), [*start[1:].tolist(), len(item)]):
+                a, b = spanning(size[s:e], words[s:e], sets[s:e].tolist(), least)
+                u.append(node[s + a]), v.append(node[s + b])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(u)), pa.array(np.concatenate(v))], names=["u", "v"])
 
-    return both.select("u", "v", "a", "b").transform(arrow_map, run, "u long, v long")
+    held = parts.join(sets, "node").select("item", "node", "size", "fp", "set")
+    return held.repartition("item").sortWithinPartitions("item", "size", "node").transform(arrow_map, run, "u long, v long")
 
 
 def copies(rows: DataFrame, text_col: str = "text", width: int = 5, least: float = 0.8) -> DataFrame:
@@ -236,30 +267,10 @@ def copies(rows: DataFrame, text_col: str = "text", width: int = 5, least: float
     this module are set for 0.8; at a larger ``least`` they miss fewer pairs, at a smaller one more.
     """
     made = checkpointed(nodes(rows, text_col, width))
-    distinct = made.where(F.col("fp").isNotNull()).groupBy("node").agg(F.first("size").alias("size"), F.first("fp").alias("fp"))
-    distinct = checkpointed(distinct)
-    step = -np.log(least)
-    shaped = lambda df: tiled(df.withColumn("class", F.floor(F.log("size") / step).cast("int")), "key", "class", "node", 1, TILE, TILE)
-    star = checkpointed(_proposed(shaped(_blocks(distinct)), CARRIED, least, RADIUS))
-    links = checkpointed(_verified(star, made, rows, text_col, width, least))
-    found = components(links).withColumnRenamed("component", "c")
-    # nodes that some tile holds close to another one, wherever such a pair is still apart
-    touched = star.select(F.col("u").alias("node")).union(star.select(F.col("v").alias("node"))).distinct()
-    named = checkpointed(distinct.join(touched, "node", "left_semi").join(found, "node", "left").select("node", "size", "fp", F.coalesce("c", "node").alias("c")))
-    keyed = _blocks(named).join(named.select("node", "c"), "node")
-    mixed = keyed.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("key")
-    apart = keyed.join(mixed, "key", "left_semi")
-    pairs = _proposed(shaped(apart), CARRIED, least, RADIUS).join(star, ["u", "v"], "left_anti")
-    wide = named.select("node", "fp")
-    pairs = pairs.join(wide.select(F.col("node").alias("u"), F.col("fp").alias("a")), "u").join(wide.select(F.col("node").alias("v"), F.col("fp").alias("b")), "v")
-
-    def nearer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            a, b = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint64).reshape(-1, WORDS) for i in (2, 3))
-            keep = np.bitwise_count(a ^ b).sum(1, dtype=np.int64) <= WIDE_RADIUS
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["u", "v"]).filter(pa.array(keep))
-
-    pairs = checkpointed(pairs.select("u", "v", "a", "b").transform(arrow_map, nearer, "u long, v long"))
-    links = links.union(_verified(pairs, made, rows, text_col, width, least))
-    found = components(links)
+    distinct = checkpointed(made.where(F.col("fp").isNotNull()).groupBy("node").agg(F.first("size").alias("size"), F.first("fp").alias("fp")))
+    kind = F.floor(F.log("size") / -np.log(least)).cast("int")  # similar sets have classes at most one apart
+    tiles = tiled(_blocks(distinct).withColumn("class", kind), "key", "class", "node", 1, TILE, TILE)
+    near = _near(checkpointed(_proposed(tiles, least)), distinct)
+    clusters = checkpointed(components(near).withColumnRenamed("component", "cluster").join(distinct, "node"))
+    found = components(_decided(clusters, made, rows, text_col, width, least, kind))
     return made.join(found, "node", "left").select("r1", "r2", F.coalesce("component", "node").alias("component"))

@@ -16,7 +16,7 @@ from itertools import repeat
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import arrow_map, checkpointed, table, text_of
@@ -76,14 +76,15 @@ def tile_links(fp: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
     return rest, label[rest]
 
 
-def tiled(keyed: DataFrame, key: str, kind: str, part: str, reach: int, tile: int, whole: int) -> DataFrame:
+def tiled(keyed: DataFrame, key: str, kind: str, part: str, reach: int, tile: int, whole: int, weight: Column | None = None) -> DataFrame:
     """``keyed`` with a column item: rows of one key meet in an item if their kinds differ by at most ``reach``.
 
     A key's rows of one kind (a small number) are cut, by a hash of column ``part``, into tiles of
-    about ``tile`` rows; an item is one tile or a pair of tiles, and rows are repeated for every
-    item. Keys of at most ``whole`` rows are one item. Keys of one row have no partner and go.
+    about ``tile`` rows (or rows of that ``weight``); an item is one tile or a pair of tiles, and
+    rows are repeated for every item. Keys of at most ``whole`` rows are one item; if that is 1, keys
+    of one row, which has no partner, go.
     """
-    sizes = keyed.groupBy(key, kind).agg(F.count(F.lit(1)).alias("n")).groupBy(key).agg(
+    sizes = keyed.groupBy(key, kind).agg((F.count(F.lit(1)) if weight is None else F.sum(weight)).alias("n")).groupBy(key).agg(
         F.sum("n").alias("total"), F.collect_list(F.struct(F.col(kind).alias("kind"), F.ceil(F.col("n") / tile).cast("int").alias("m"))).alias("tiles")
     )  # at most one entry for each kind
     work = keyed.join(sizes.where(F.col("total") > whole).select(key, "tiles"), key, "left" if whole > 1 else "inner")
@@ -99,7 +100,7 @@ def whole_items(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]
     """The columns of batches sorted by the first one, the item, so that no item is cut."""
     held: list[list[np.ndarray]] = []
     for batch in batches:
-        cols = [c.to_numpy() for c in batch.columns]
+        cols = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
         if not len(cols[0]):
             continue
         cut = int(np.searchsorted(cols[0], cols[0][-1]))
