@@ -62,3 +62,56 @@ def test_query(spark, sf):
     con = duckdb.connect()
     con.execute(f"CREATE VIEW documents AS SELECT * FROM '{sf}/documents.parquet'")
     assert sorted(con.execute(substring.ORACLE_SQL["op9_substring"]).fetchall()) == found
+
+
+def test_words_of_equal_hash(spark):
+    """The parity sequence and its complement have equal polynomial hashes modulo 2**64, whatever the base."""
+    bits = [bin(i).count("1") % 2 for i in range(1024)]
+    a, b = "".join("ab"[x] for x in bits), "".join("ba"[x] for x in bits)
+    words = substring.Words([f"{a} {b}"])
+    assert words.hashes()[0] == words.hashes()[1]
+    shared = " ".join(f"w{i}" for i in range(19))
+    rows = [(1, f"{shared} {a}"), (2, f"{shared} {b}"), (3, f"{shared} {a}")]
+    assert got(substring.deduplicate(spark.createDataFrame(rows, "doc_id long, text string"))) == brute(rows)
+    assert [r[2] for r in brute(rows)] == [0, 0, 20]
+
+
+def test_segments(monkeypatch):
+    r = random.Random(4)
+    texts = [" ".join(r.choice(["a", "bb", "c" * 50]) for _ in range(n)) for n in (500, 3, 0, 70)]
+    whole = substring.Words(texts)
+    want, hashes = whole.places(20, 6), whole.hashes()
+    monkeypatch.setattr(substring, "SEGMENT", 37)
+    assert (hashes == substring.Words(texts).hashes()).all()
+    assert all((x == y).all() for x, y in zip(want, substring.Words(texts).places(20, 6)))
+
+
+def test_long_text(spark):
+    r = random.Random(9)
+    long = " ".join(r.choice(["x", "yy", "z" * 9]) for _ in range(200_000))
+    rows = [(1, long), (2, "new " + long[-2000:]), (3, "w" * 2_000_000)]
+    assert got(substring.deduplicate(spark.createDataFrame(rows, "doc_id long, text string"))) == brute(rows)
+
+
+def test_hot_passage(spark):
+    passage = " ".join(f"p{i}" for i in range(30))
+    rows = [(i, f"{passage} own {i}" if i % 3 else f"other {i} " + "short " * 5) for i in range(3000)]
+    found = got(substring.deduplicate(spark.createDataFrame(rows, "doc_id long, text string")))
+    assert found == brute(rows)
+
+
+def test_index_is_kept(spark, rows, tmp_path):
+    rows = sorted((x for x in rows if x[0] is not None), key=lambda x: (x[0], str(x[1])))
+    parts = [rows[:10], rows[10:25], rows[25:26], rows[26:]]
+    frame = lambda part: spark.createDataFrame([(*x, 5) for x in part], "doc_id long, text string, key int")
+    out, before = [], []
+    for part in parts:
+        index = substring.Index(spark, f"file://{tmp_path}/index", max_runs=2)  # opened again for every batch
+        assert len(index.runs) == min(2, index.batches)
+        found = index.add(frame(part), frame(before) if before else None)
+        out += got(found)
+        assert found.select("rest.*").columns == ["doc_id", "text", "key"]
+        index.close()
+        before = before + part
+    assert sorted(out, key=str) == brute(rows)
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith("tierlake_run")]

@@ -2,33 +2,37 @@ r"""Removal of repeated passages with a log-structured fingerprint index.
 
 A window is ``length`` consecutive words. Its fingerprint is the least hash among the ``gram``-word
 grams inside it (leftmost of equals), so equal windows have equal fingerprints, while neighbouring
-windows mostly share theirs: a document has about one fingerprint for every eight words.
-
-The index is a list of immutable runs, tables of (fingerprint, document) bucketed and sorted by
-fingerprint. Documents come in batches of ascending id. A batch's fingerprints are written as its
-run, and that run is merge-joined with the batch's own counts and with every older run; as all
-runs share their bucketing, nothing is shuffled for it. Fingerprints that occur once in all of
-history are settled: their windows are new. For the others the windows themselves are verified:
-their documents, old and new, are hashed again over all ``length`` words (96 bits, independent of
-the fingerprint), and of each window only the earliest start is kept. When more than ``max_runs``
-runs have gathered, they are compacted to one.
-
-Nothing is gathered per window or passage, in any task: a passage in many documents is a count and
-a minimum, pre-aggregated before its shuffle.
+windows mostly share theirs: a document has about one place, that is a gram with the windows of
+which it is the least, for every eight words.
+
+The index (``Index``) is a list of immutable runs, tables of (fingerprint, number of places)
+bucketed and sorted by fingerprint, beside the postings (fingerprint, document) as they came.
+A new batch's fingerprints are counted, written as its run, and merge-joined with every older run;
+as all runs share their bucketing, nothing is shuffled for it. Fingerprints that have one place in
+all of history are settled: their windows are new. When more than ``max_runs`` runs have gathered,
+the two smallest are merged to one. Runs and postings stay in their folder between calls.
+
+For the other fingerprints the words themselves are verified, by cryptographic digests (BLAKE2b, 128
+bits) of their bytes. A place's windows together cover a stretch of text. Places of one fingerprint
+whose stretches are all equal need no more: the earliest one stays. Otherwise the earliest place of
+each different stretch has its windows digested one by one, and the earliest start of each window
+stays. Nothing is gathered per window or passage, in any task: a passage in many documents is a
+minimum, pre-aggregated before its shuffle.
 """
 
 from __future__ import annotations
 
 import uuid
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import arrow_map, partitions, shared_path, table, text_of
+from .common import arrow_map, exists, partitions, removed, saved, shared_path, table, text_of
 
 _RNG = np.random.default_rng(20)
 _BYTE = _RNG.integers(1 << 20, 1 << 63, 256, np.uint64)
@@ -36,6 +40,12 @@ _BYTE[32] = 0
 _STEP = 0x9E3779B97F4A7C15
 _INVERSE = pow(_STEP, -1, 1 << 64)
 _POWERS: dict[int, np.ndarray] = {}
+#: Bytes of words that are hashed at a time, and windows whose fingerprints are.
+SEGMENT = 1 << 20
+#: The key of a null id, before all others.
+_LEAST = -(1 << 63)
+#: Marks, among the other columns, a text that was null.
+_NULL = "text is null"
 
 
 def _mixed(h: np.ndarray) -> np.ndarray:
@@ -51,17 +61,14 @@ def _mixed(h: np.ndarray) -> np.ndarray:
 def _powers(base: int, n: int) -> np.ndarray:
     known = _POWERS.get(base)
     if known is None or len(known) < n:
-        size = max(n, 1 << 10)
-        known = _POWERS[base] = np.cumprod(np.concatenate((np.ones(1, np.uint64), np.full(size - 1, base, np.uint64))))
+        known = np.cumprod(np.concatenate((np.ones(1, np.uint64), np.full(max(n, 1 << 10) - 1, base, np.uint64))))
+        if n <= 2 * SEGMENT:
+            _POWERS[base] = known
     return known[:n]
 
 
-#: Marks, among the other columns, a text that was null.
-_NULL = "text is null"
-
-
 class Words:
-    """The words of several texts in one row, with hashes of them and of their grams."""
+    """The words of several texts in one row, with hashes of their grams and digests of their bytes."""
 
     def __init__(self, texts: list[str]):
         split = [t.encode().split() for t in texts]  # bytes split at ASCII blanks only
@@ -69,63 +76,72 @@ class Words:
         self.count = np.fromiter(map(len, split), np.int64, len(split))
         self.first = np.concatenate(([0], np.cumsum(self.count)))  # each text's first word
         self.n = int(self.first[-1])
-        self.hash = np.empty(0, np.uint64)
-        if self.n:
-            data = np.frombuffer(b" ".join([b" ".join(w) for w in split if w]) + b" ", np.uint8)
-            ends = np.flatnonzero(data == 32)
-            sums = _BYTE[data]
-            sums *= _powers(_STEP, len(data))
+        self.data = b" ".join([b" ".join(w) for w in split if w])
+        size = np.fromiter((len(w) for ws in split for w in ws), np.int64, self.n)
+        self.end = np.cumsum(size + 1) - 1  # of each word in data
+        self.begin = self.end - size
+
+    def hashes(self) -> np.ndarray:
+        """A hash of each word; different words may share one, which costs a verification."""
+        out = np.empty(self.n, np.uint64)
+        raw = np.frombuffer(self.data + b" ", np.uint8)
+        at = 0
+        while at < self.n:
+            low = int(self.begin[at])
+            to = max(at + 1, int(np.searchsorted(self.end, low + SEGMENT, "right")))
+            part = raw[low : int(self.end[to - 1]) + 1]
+            sums = _BYTE[part]
+            sums *= _powers(_STEP, len(part))
             np.cumsum(sums, out=sums)
-            until = sums[ends]
+            until = sums[self.end[at:to] - low]
             h = until.copy()
             h[1:] -= until[:-1]
-            starts = np.concatenate(([0], ends[:-1] + 1))
-            self.hash = _mixed(h * _powers(_INVERSE, len(data))[starts])
-
-    def grams(self, width: int, salt: int, at: np.ndarray | None = None) -> np.ndarray:
-        """Hashes of the word sequences of the given width, at every start or at those given."""
-        count = max(0, self.n - width + 1)
-        out = np.zeros(count if at is None else len(at), np.uint64)
-        for j, p in enumerate(_powers(2 * salt + 0x632BE59BD9B4E019, width)):
-            out += (self.hash[j : j + count] if at is None else self.hash[at + j]) * p
-        return _mixed(out)
+            out[at:to] = _mixed(h * _powers(_INVERSE, len(part))[self.begin[at:to] - low])
+            at = to
+        return out
 
-    def windows(self, length: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(start, fingerprint, place of its gram) of every window inside one text, in order.
+    def places(self, length: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(first window's start, windows, fingerprint) of every place, in order.
 
         Of equal least hashes in a window the leftmost counts, so equal windows have theirs at equal
         offsets. Hashes are compared by 40 bits, then by place, as running minima of blocks.
         """
-        if self.n < length:
-            none = np.empty(0, np.int64)
-            return none, none.view(np.uint64), none
-        g = self.grams(gram, 1)
+        none = np.empty(0, np.int64)
+        found = [(none, none, none.view(np.uint64))]
         width = length - gram + 1
-        blocks = -(-len(g) // width)
-        key = np.full(blocks * width, np.iinfo(np.uint64).max)
-        key[: len(g)] = g >> np.uint64(24) << np.uint64(24) | (np.arange(len(g), dtype=np.uint64) & np.uint64((1 << 24) - 1))
-        key = key.reshape(blocks, width)
-        fore = np.minimum.accumulate(key, axis=1).ravel()
-        back = np.minimum.accumulate(key[:, ::-1], axis=1)[:, ::-1].ravel()
-        low = np.minimum(back[: len(g) - width + 1], fore[width - 1 : len(g)]) & np.uint64((1 << 24) - 1)
-        start = np.concatenate([np.arange(f, f + n - length + 1) for f, n in zip(self.first.tolist(), self.count.tolist()) if n >= length] or [np.empty(0, np.int64)])
-        place = low.astype(np.int64)[start]
-        return start, g[place], place
-
-    def open_windows(self, length: int, gram: int, repeated: list[list[int] | None]) -> np.ndarray:
-        """Starts of the windows whose fingerprint is among their text's repeated ones."""
-        start, value, _ = self.windows(length, gram)
-        cut = np.searchsorted(start, self.first)
-        found = [np.empty(0, np.int64)]
-        for i, hot in enumerate(repeated):
-            if hot and cut[i] < cut[i + 1]:
-                own = slice(cut[i], cut[i + 1])
-                found.append(start[own][np.isin(value[own], np.array(hot, np.int64).view(np.uint64))])
-        return np.concatenate(found)
+        hashes = self.hashes() if (self.count >= length).any() else none
+        low = np.uint64((1 << 24) - 1)
+        for f, n in zip(self.first.tolist(), self.count.tolist()):
+            if n < length:
+                continue
+            words = hashes[f : f + n]
+            g = np.zeros(n - gram + 1, np.uint64)
+            for j, p in enumerate(_powers(2 + 0x632BE59BD9B4E019, gram)):
+                g += words[j : j + len(g)] * p
+            g = _mixed(g)
+            place = np.empty(n - length + 1, np.int64)
+            for at in range(0, len(place), SEGMENT):
+                part = g[at : at + SEGMENT + width - 1]
+                blocks = -(-len(part) // width)
+                key = np.full(blocks * width, np.iinfo(np.uint64).max)
+                key[: len(part)] = part & ~low | np.arange(len(part), dtype=np.uint64)
+                key = key.reshape(blocks, width)
+                fore = np.minimum.accumulate(key, axis=1).ravel()
+                back = np.minimum.accumulate(key[:, ::-1], axis=1)[:, ::-1].ravel()
+                place[at : at + SEGMENT] = (np.minimum(back[: len(part) - width + 1], fore[width - 1 : len(part)]) & low).astype(np.int64) + at
+            new = np.flatnonzero(np.diff(place, prepend=-1))
+            found.append((f + new, np.diff(np.append(new, len(place))), g[place[new]]))
+        return tuple(np.concatenate(x) for x in zip(*found))
+
+    def digests(self, start: np.ndarray, words: np.ndarray | int) -> np.ndarray:
+        """(n, 2): BLAKE2b of the bytes of so many words from each start on."""
+        data = self.data
+        made = [blake2b(data[a:b], digest_size=16).digest() for a, b in zip(self.begin[start].tolist(), self.end[start + words - 1].tolist())]
+        return np.frombuffer(b"".join(made), np.int64).reshape(-1, 2)
 
 
 def _chunks(texts: list[str], size: int = 1_000_000) -> Iterator[slice]:
-    """Runs of texts of about so many characters; places within one stay below 24 bits unless a text alone is longer."""
+    """Runs of texts of about so many characters; a longer text is alone."""
     at = 0
     while at < len(texts):
         end, n = at, 0
@@ -136,117 +152,215 @@ def _chunks(texts: list[str], size: int = 1_000_000) -> Iterator[slice]:
         at = end
 
 
-def _fingerprints(docs: DataFrame, length: int, gram: int) -> DataFrame:
-    """(g, key), once for every place that gives a fingerprint: one that a text repeats counts as repeated."""
+def _code(place: np.ndarray, digest: np.ndarray) -> np.ndarray:
+    """A start and a digest in one word."""
+    return place.astype(np.uint64) * np.uint64(_STEP) ^ digest.view(np.uint64)
+
+
+def _open(words: Words, length: int, gram: int, hot: list[list[int]]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(text, first start, windows, fingerprint) of the places whose fingerprint is among their text's repeated ones."""
+    start, count, value = words.places(length, gram)
+    cut = np.searchsorted(start, words.first)
+    keep = [a + np.flatnonzero(np.isin(value[a:b], np.array(h, np.int64).view(np.uint64))) for a, b, h in zip(cut, cut[1:], hot)]
+    keep = np.concatenate(keep) if keep else np.empty(0, np.int64)
+    return np.searchsorted(words.first, start[keep], "right") - 1, start[keep], count[keep], value[keep]
+
+
+def _fingerprints(keyed: DataFrame, length: int, gram: int) -> DataFrame:
+    """(g, key), once for every place: a fingerprint that a text repeats counts as repeated."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keys, texts = batch.column(0).to_numpy(), batch.column(1).to_pylist()
             for part in _chunks(texts):
                 words = Words(texts[part])
-                start, value, place = words.windows(length, gram)
-                new = np.concatenate(([True], place[1:] != place[:-1]))[: len(place)]
-                key = keys[part][np.searchsorted(words.first, start[new], "right") - 1]
-                yield pa.RecordBatch.from_arrays([pa.array(value[new].view(np.int64)), pa.array(key, pa.int64())], names=["g", "key"])
+                start, _, value = words.places(length, gram)
+                key = keys[part][np.searchsorted(words.first, start, "right") - 1]
+                yield pa.RecordBatch.from_arrays([pa.array(value.view(np.int64)), pa.array(key, pa.int64())], names=["g", "key"])
+
+    return keyed.select("key", "text").transform(arrow_map, run, "g long, key long")
 
-    return docs.select("key", "text").transform(arrow_map, run, "g long, key long")
 
+class Index:
+    """Fingerprints of all documents inserted so far, in a folder that driver and executors share.
 
-def _write_run(rows: DataFrame, buckets: int) -> DataFrame:
-    """An immutable run: (g, key), bucketed and sorted by g, in the shared folder."""
-    spark = rows.sparkSession
-    name = f"tierlake_run_{uuid.uuid4().hex}"
-    rows.repartition(buckets, "g").write.bucketBy(buckets, "g").sortBy("g").option("path", shared_path(spark, "run")).saveAsTable(name)
-    return spark.table(name)
+    ``folder`` may hold an index already; it is then opened with its own length, gram and buckets.
+    """
 
+    def __init__(self, spark: SparkSession, folder: str, length: int = 20, gram: int = 6, max_runs: int = 2, buckets: int | None = None):
+        self.spark, self.folder, self.max_runs = spark, folder, max_runs
+        self.length, self.gram, self.buckets = length, gram, buckets or partitions(spark)
+        self.batches, self.runs = 0, []  # runs: (number, rows)
+        self.names: dict[int, str] = {}
+        self.state = 0
+        while exists(spark, f"{folder}/state/{self.state + 1}/_SUCCESS"):
+            self.state += 1
+        if self.state:
+            row = spark.read.parquet(f"{folder}/state/{self.state}").first()
+            self.length, self.gram, self.buckets, self.batches, self.runs = row.length, row.gram, row.buckets, row.batches, [tuple(r) for r in row.runs]
+
+    def _note(self) -> None:
+        row = [(self.length, self.gram, self.buckets, self.batches, self.runs)]
+        df = self.spark.createDataFrame(row, "length int, gram int, buckets int, batches int, runs array<struct<number: int, rows: long>>")
+        df.coalesce(1).write.mode("overwrite").parquet(f"{self.folder}/state/{self.state + 1}")
+        self.state += 1
+
+    def _table(self, number: int) -> DataFrame:
+        if number not in self.names:
+            self.names[number] = f"tierlake_run_{uuid.uuid4().hex}"
+            self.spark.sql(
+                f"CREATE TABLE {self.names[number]} (g LONG, n LONG) USING parquet CLUSTERED BY (g) SORTED BY (g) INTO {self.buckets} BUCKETS LOCATION '{self.folder}/run/{number}'"
+            )
+        return self.spark.table(self.names[number])
+
+    def _write(self, rows: DataFrame) -> tuple[int, int]:
+        number = max([self.batches, *(n for n, _ in self.runs)]) + 1 if self.runs else self.batches + 1
+        name = f"tierlake_run_{uuid.uuid4().hex}"
+        rows.write.mode("overwrite").bucketBy(self.buckets, "g").sortBy("g").option("path", f"{self.folder}/run/{number}").saveAsTable(name)
+        self.names[number] = name
+        return number, self._table(number).count()
+
+    def insert(self, keyed: DataFrame) -> DataFrame:
+        """Add a batch (key, text) and return (g): its fingerprints that have more places than one in all of history."""
+        path = f"{self.folder}/postings/{self.batches}"
+        _fingerprints(keyed, self.length, self.gram).write.mode("overwrite").parquet(path)
+        new = self._write(self.spark.read.schema("g long, key long").parquet(path).groupBy("g").agg(F.count(F.lit(1)).alias("n")))
+        counts, often = self._table(new[0]), F.col("n") > 1
+        for number, _ in self.runs:
+            counts = counts.join(self._table(number).select("g", F.col("n").alias(f"n{number}")).hint("merge"), "g", "left")
+            often = often | F.col(f"n{number}").isNotNull()
+        repeated = saved(counts.where(often).select("g"), "repeated")
+        self.batches += 1
+        self.runs.append(new)
+        old = self.compact() if len(self.runs) > self.max_runs else []
+        self._note()
+        for number in old:
+            self._drop(number, True)
+        return repeated
+
+    def compact(self) -> list[int]:
+        """Merge the two smallest runs to one; returns their numbers. What reads them goes on until they are dropped."""
+        (a, _), (b, _) = sorted(self.runs, key=lambda r: (r[1], r[0]))[:2]
+        both = self._table(a).join(self._table(b).select("g", F.col("n").alias("m")).hint("merge"), "g", "full")
+        self.runs.append(self._write(both.select("g", (F.coalesce("n", F.lit(0)) + F.coalesce("m", F.lit(0))).cast("long").alias("n"))))
+        self.runs = [r for r in self.runs if r[0] not in (a, b)]
+        return [a, b]
+
+    def postings(self) -> DataFrame:
+        return self.spark.read.schema("g long, key long").parquet(*[f"{self.folder}/postings/{i}" for i in range(self.batches)])
+
+    def _drop(self, number: int, files: bool) -> None:
+        if number in self.names:
+            self.spark.sql(f"DROP TABLE IF EXISTS {self.names.pop(number)}")
+        if files:
+            removed(self.spark, f"{self.folder}/run/{number}")
+
+    def close(self, remove: bool = False) -> None:
+        """Take the runs out of the session's catalog, with ``remove`` delete the whole index."""
+        for number in list(self.names):
+            self._drop(number, False)
+        if remove:
+            removed(self.spark, self.folder)
+
+    def add(self, docs: DataFrame, history: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+        """Insert a batch and remove from it what ``history``, all documents inserted before, or the batch itself has earlier.
+
+        The batch's ids come after those of history. Returns what ``deduplicate`` does, for the batch.
+        """
+        keyed = _keyed(docs, id_col, text_col)
+        repeated = self.insert(keyed)
+        lists = _lists(self.postings(), repeated)
+        older = None if history is None else _keyed(history, id_col, text_col).select("key", "text")
+        return _finished(_resolved(keyed, older, lists, self.length, self.gram), docs, id_col, text_col)
 
-def compact(runs: list[DataFrame], buckets: int) -> DataFrame:
-    """One run with the rows of several; the old ones stay as they are."""
-    rows = runs[0]
-    for run in runs[1:]:
-        rows = rows.unionByName(run)
-    return _write_run(rows.distinct(), buckets)
 
+def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    others = [c for c in docs.columns if c != text_col]
+    rest = F.struct(*[F.col(f"`{c}`") for c in others], F.col(f"`{text_col}`").isNull().alias(_NULL))
+    return docs.select(F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(_LEAST)).alias("key"), text_of(F.col(f"`{text_col}`")).alias("text"), rest.alias("rest"))
+
+
+def _lists(postings: DataFrame, repeated: DataFrame) -> DataFrame:
+    """(key, hot): repeated fingerprints by document; a list has no more entries than its document has grams."""
+    return saved(postings.join(repeated, "g", "left_semi").groupBy("key").agg(F.collect_set("g").alias("hot")), "lists")
+
+
+def _resolved(keyed: DataFrame, older: DataFrame | None, lists: DataFrame, length: int, gram: int) -> DataFrame:
+    """``keyed`` with n_words, n_removed and kept. The texts are shuffled once, and that exchange is read three times."""
+    if older is None:
+        texts = keyed
+    else:
+        texts = keyed.unionByName(older.withColumn("rest", F.lit(None).cast(keyed.schema["rest"].dataType)))
+    least, most, longest = texts.agg(F.min(F.when(F.col("key") > _LEAST, F.col("key"))), F.max("key"), F.max(F.octet_length("text"))).first()
+    least = _LEAST + 1 if least is None else least
+    # the reach of keys and starts decides how a start in a document is packed
+    narrow = (most or 0) - least < (1 << 36) and (longest or 0) < (1 << 27)
+    shift = 1 << (26 if narrow else 40)
+    wide = lambda c: c if narrow else c.cast("decimal(38,0)")
 
-def _windows(joined: DataFrame, length: int, gram: int) -> DataFrame:
-    """(w, v, key, p): verification hashes and starts of the windows with repeated fingerprints.
+    def packed(place: Column) -> Column:
+        order = F.when(F.col("key") == _LEAST, wide(F.lit(0).cast("long"))).otherwise(wide(F.col("key")) - wide(F.lit(least).cast("long")) + wide(F.lit(1).cast("long")))
+        return order * wide(F.lit(shift).cast("long")) + wide(place)
 
-    ``joined`` has (key, text, rest, hot); rest is only there so that its exchange is the same one
-    that the last step reads.
-    """
+    def unpacked(start: Column) -> tuple[Column, Column]:
+        order = F.shiftright(start, 26) if narrow else F.floor(start / F.lit(shift).cast("decimal(38,0)"))
+        place = (start - order * wide(F.lit(shift).cast("long"))).cast("long")
+        return F.when(order == 0, F.lit(_LEAST)).otherwise((order + wide(F.lit(least).cast("long")) - wide(F.lit(1).cast("long"))).cast("long")), place
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keys, texts, hot = batch.column(0).to_numpy(), batch.column(1).to_pylist(), batch.column(3).to_pylist()
-            some = [i for i, h in enumerate(hot) if h]
-            keys, texts, hot = keys[some], [texts[i] for i in some], [hot[i] for i in some]
             for part in _chunks(texts):
                 words = Words(texts[part])
-                at = words.open_windows(length, gram, hot[part])
-                of = np.searchsorted(words.first, at, "right") - 1
-                cols = words.grams(length, 2, at).view(np.int64), words.grams(length, 3, at).astype(np.uint32).view(np.int32), keys[part][of], at - words.first[of]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["w", "v", "key", "p"])
-
-    return joined.select("key", "text", "rest", "hot").transform(arrow_map, run, "w long, v int, key long, p long")
+                of, start, count, value = _open(words, length, gram, hot[part])
+                d = words.digests(start, count + length - 1)
+                cols = value.view(np.int64), d[:, 0], d[:, 1], keys[part][of], start - words.first[of], count
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["g", "d1", "d2", "key", "s", "n"])
 
+    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys, texts, starts, counts, mixed = (batch.column(0).to_numpy(), *(batch.column(i).to_pylist() for i in (1, 3, 4, 5)))
+            for part in _chunks(texts):
+                words = Words(texts[part])
+                at = [np.empty(0, np.int64)]
+                for f, n, ss, cs, ms in zip(words.first.tolist(), words.count.tolist(), starts[part], counts[part], mixed[part]):
+                    # of several versions of one document a shorter one may not have the place
+                    at += [f + np.arange(s, min(s + c, n - length + 1)) for s, c, m in zip(ss, cs, ms) if m]
+                at = np.concatenate(at)
+                of = np.searchsorted(words.first, at, "right") - 1
+                d = words.digests(at, length)
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in (d[:, 0], d[:, 1], keys[part][of], at - words.first[of])], names=["w1", "w2", "key", "p"])
 
-def _lists(rows: DataFrame) -> DataFrame:
-    """Fingerprints by document; a list has no more entries than its document has grams."""
-    return rows.groupBy("key").agg(F.collect_set("g").alias("hot"))
-
-
-def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 20, gram: int = 6, batches: int = 2, max_runs: int = 4) -> DataFrame:
-    """Remove the words covered by a window whose word sequence also starts earlier.
-
-    Words are the runs between ASCII blanks. Earlier is a smaller id, or an earlier start in the
-    same document; all windows are judged on the input. Returns the id column, n_words, n_removed
-    and kept, the kept words joined by one space, with the other columns of ``docs`` as ``rest``
-    (a struct, so that no name can clash). A null or short text has no window and loses nothing
-    (a null one: no words, kept empty). Null ids come before all others. Rows of one id are one
-    document in several versions: among them equal windows at the same start do not remove each
-    other. An empty table gives no rows.
-    """
-    spark = docs.sparkSession
-    n = partitions(spark)
-    # null ids become the least key; the reach of keys and starts decides how a start is packed
-    least, most, longest = docs.agg(F.min(id_col).cast("long"), F.max(id_col).cast("long"), F.max(F.octet_length(text_col))).first()
-    least, most = least or 0, most or 0
-    narrow = least >= 0 and most < (1 << 36) and (longest or 0) < (1 << 27)
-    shift = 1 << (26 if narrow else 32)
-    as_key = F.coalesce(F.col(id_col).cast("long") + 1, F.lit(0)) if narrow else F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63)))
-    wide = lambda c: c if narrow else c.cast("decimal(38,0)")
-    start = wide(F.col("key")) * wide(F.lit(shift).cast("long")) + wide(F.col("p"))
-
-    others = [c for c in docs.columns if c != text_col]
-    keyed = docs.select(as_key.alias("key"), text_of(text_col).alias("text"), F.struct(*[F.col(f"`{c}`") for c in others], F.col(text_col).isNull().alias(_NULL)).alias("rest"))
-    cuts = docs.agg(F.percentile_approx(id_col, [i / batches for i in range(1, batches)] or [0.5], 10000)).first()[0] or []
-    cuts = sorted({int(c) + (1 if narrow else 0) for c in cuts})[: batches - 1]
-    bounds = list(zip([None, *cuts], [*cuts, None]))
-    shuffled = keyed.repartition(n, "key")
-
-    def slice_of(df: DataFrame, low: int | None, high: int | None) -> DataFrame:
-        cond = F.lit(True)
-        if low is not None:
-            cond = cond & (F.col("key") > low)
-        if high is not None:
-            cond = cond & (F.col("key") <= high)
-        return df.where(cond)
-
-    def finish(batches_: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches_:
-            texts, hot, firsts = (batch.column(i).to_pylist() for i in range(3))
+    def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts, hot, starts, stretch, mixed, firsts, digest = (batch.column(i).to_pylist() for i in range(7))
             total, gone, kept = [], [], []
             for part in _chunks(texts):
                 some = [i for i in range(part.start, part.stop) if hot[i]]
                 words = Words([texts[i] for i in some])
-                at = words.open_windows(length, gram, [hot[i] for i in some])
-                of = np.searchsorted(words.first, at, "right") - 1
-                code = at - words.first[of] << 32 | words.grams(length, 3, at).astype(np.uint32).astype(np.int64)
+                of, start, count, _ = _open(words, length, gram, [hot[i] for i in some])
+                local = start - words.first[of]
+                code = _code(local, words.digests(start, count + length - 1)[:, 0])
                 cut = np.searchsorted(of, np.arange(len(some) + 1))
                 covered = np.zeros(words.n + 1, np.int64)
+                apart = [np.empty(0, np.int64)]
                 for j, i in enumerate(some):
                     own = slice(cut[j], cut[j + 1])
-                    again = at[own][~np.isin(code[own], np.array(firsts[i] or [], np.int64))]
+                    mine = _code(np.array(starts[i] or [], np.int64), np.array(stretch[i] or [], np.int64))
+                    first = np.isin(code[own], mine)
+                    again = np.flatnonzero(~first) + own.start
+                    np.add.at(covered, start[again], 1)
+                    np.add.at(covered, start[again] + count[again] + length - 1, -1)
+                    split = np.flatnonzero(first & np.isin(code[own], mine[np.array(mixed[i] or [], bool)])) + own.start
+                    apart += [np.arange(start[k], start[k] + count[k]) for k in split]
+                at = np.concatenate(apart)
+                whose = np.searchsorted(words.first, at, "right") - 1
+                code = _code(at - words.first[whose], words.digests(at, length)[:, 0])
+                cut = np.searchsorted(whose, np.arange(len(some) + 1))
+                for j, i in enumerate(some):
+                    own = slice(cut[j], cut[j + 1])
+                    mine = _code(np.array(firsts[i] or [], np.int64), np.array(digest[i] or [], np.int64))
+                    again = at[own][~np.isin(code[own], mine)]
                     covered[again] += 1
                     covered[again + length] -= 1
                 drop = np.cumsum(covered)[:-1] > 0
@@ -259,44 +373,58 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                     total.append(len(mine))
                     gone.append(n)
                     kept.append(b" ".join([w for w, d in zip(mine, left.tolist()) if not d] if n else mine).decode())
-            yield pa.RecordBatch.from_arrays([pa.array(total, pa.int64()), pa.array(gone, pa.int64()), pa.array(kept, pa.string()), batch.column(0), batch.column(3)], names=["n_words", "n_removed", "kept", "text", "rest"])
-
-    done_type = T.StructType.fromDDL("n_words long, n_removed long, kept string, text string").add("rest", keyed.schema["rest"].dataType)
-    runs: list[DataFrame] = []
-    out = None
-    for low, high in bounds:
-        batch = slice_of(keyed, low, high)
-        run = _write_run(_fingerprints(batch, length, gram), n)
-        counts = run.groupBy("g").agg(F.count(F.lit(1)).alias("n"))
-        for i, old in enumerate(runs):
-            counts = counts.join(old.groupBy("g").agg(F.count(F.lit(1)).alias(f"n{i}")).hint("merge"), "g", "left")
-        often = F.col("n") > 1
-        for i in range(len(runs)):
-            often = often | F.col(f"n{i}").isNotNull()
-        repeated = counts.where(often).select("g")
-        windows = None
-        for source in [run, *runs]:  # the new batch, and what history holds of its fingerprints
-            lists = _lists(source.join(repeated.hint("merge"), "g", "left_semi"))
-            if source is run:
-                own = lists
-                part = _windows(slice_of(shuffled, low, high).join(lists, "key"), length, gram)
-            else:
-                part = _windows(slice_of(shuffled, None, low).join(lists, "key"), length, gram)
-            windows = part if windows is None else windows.unionByName(part)
-        firsts = windows.select("w", "v", start.alias("start")).groupBy("w", "v").agg(F.min("start").alias("start"))
-        key = F.floor(F.col("start") / wide(F.lit(shift).cast("long"))).cast("long") if not narrow else F.shiftright("start", 26)
-        place = (F.col("start") - wide(F.col("key")) * wide(F.lit(shift).cast("long"))).cast("long")
-        code = F.shiftleft("p", 32) + F.col("v").cast("long").bitwiseAND(F.lit(0xFFFFFFFF))
-        firsts = firsts.select(key.alias("key"), "start", "v").select("key", place.alias("p"), "v")
-        firsts = slice_of(firsts, low, high).groupBy("key").agg(F.collect_list(code).alias("firsts"))
-        joined = slice_of(shuffled, low, high).join(own, "key", "left").join(firsts, "key", "left").select("text", "hot", "firsts", "rest")
-        done = joined.transform(arrow_map, finish, done_type)
-        out = done if out is None else out.unionByName(done)
-        runs.append(run)
-        if len(runs) > max_runs:
-            runs = [compact(runs, n)]
+            yield pa.RecordBatch.from_arrays([pa.array(total, pa.int64()), pa.array(gone, pa.int64()), pa.array(kept, pa.string()), batch.column(0), batch.column(7)], names=["n_words", "n_removed", "kept", "text", "rest"])
+
+    # rest is only in every branch so that all read the same exchange
+    hot = lists.hint("merge")
+    found = texts.join(hot, "key").select("key", "text", "rest", "hot").transform(arrow_map, stretches, "g long, d1 long, d2 long, key long, s long, n long")
+    found = found.select("g", "d1", "d2", "n", packed(F.col("s")).alias("start")).groupBy("g", "d1", "d2", "n").agg(F.min("start").alias("start"))
+    kinds = found.groupBy("g").agg((F.min("d1") != F.max("d1")).alias("m1"), (F.min("d2") != F.max("d2")).alias("m2")).select("g", (F.col("m1") | F.col("m2")).alias("mixed"))
+    key, place = unpacked(F.col("start"))
+    by_doc = found.join(kinds, "g").select(key.alias("key"), F.struct(place.alias("s"), "n", "d1", "mixed").alias("x")).groupBy("key").agg(F.collect_list("x").alias("x"))
+    by_doc = by_doc.select("key", F.col("x.s").alias("ss"), F.col("x.n").alias("ns"), F.col("x.d1").alias("ds"), F.col("x.mixed").alias("ms")).hint("merge")
+    some = by_doc.where(F.exists("ms", lambda m: m)).select("key", "ss", "ns", "ms").hint("merge")
+    each = texts.join(some, "key").select("key", "text", "rest", "ss", "ns", "ms").transform(arrow_map, windows, "w1 long, w2 long, key long, p long")
+    each = each.select("w1", "w2", packed(F.col("p")).alias("start")).groupBy("w1", "w2").agg(F.min("start").alias("start"))
+    firsts = each.select(key.alias("key"), F.struct(place.alias("p"), "w1").alias("y")).groupBy("key").agg(F.collect_list("y").alias("y"))
+    firsts = firsts.select("key", F.col("y.p").alias("ps"), F.col("y.w1").alias("ws")).hint("merge")
+    out = (texts if older is None else keyed).join(hot, "key", "left").join(by_doc, "key", "left").join(firsts, "key", "left")
+    done = T.StructType.fromDDL("n_words long, n_removed long, kept string, text string").add("rest", keyed.schema["rest"].dataType)
+    return out.select("text", "hot", "ss", "ds", "ms", "ps", "ws", "rest").transform(arrow_map, finish, done)
+
+
+def _finished(found: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     back = F.struct(*[(F.when(~F.col(f"rest.`{_NULL}`"), F.col("text")) if c == text_col else F.col(f"rest.`{c}`")).alias(c) for c in docs.columns])
-    return out.select(F.col(f"rest.`{id_col}`").alias(id_col), "n_words", "n_removed", "kept", back.alias("rest"))
+    return found.select(F.col(f"rest.`{id_col}`").alias(id_col), "n_words", "n_removed", "kept", back.alias("rest"))
+
+
+def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 20, gram: int = 6, batches: int = 3, max_runs: int = 2) -> DataFrame:
+    """Remove the words covered by a window whose word sequence also starts earlier.
+
+    Words are the runs between ASCII blanks. Earlier is a smaller id, or an earlier start in the
+    same document; all windows are judged on the input. Returns the id column, n_words, n_removed
+    and kept, the kept words joined by one space, with the other columns of ``docs`` as ``rest``
+    (a struct, so that no name can clash). A null or short text has no window and loses nothing
+    (a null one: no words, kept empty). Ids are integers; null ids come before all others. Rows of
+    one id are one document in several versions: among them equal windows at the same start do not
+    remove each other. An empty table gives no rows.
+
+    The table goes into a new index in ``batches`` of ascending ids, which compacts where it has more
+    than ``max_runs`` runs, and the index is deleted. ``Index`` is for keeping one.
+    """
+    spark = docs.sparkSession
+    keyed = _keyed(docs, id_col, text_col)
+    cuts = keyed.agg(F.percentile_approx("key", [i / batches for i in range(1, batches)] or [0.5], 10000)).first()[0] or []
+    cuts = sorted(set(map(int, cuts)))[: batches - 1]
+    index = Index(spark, shared_path(spark, "index"), length, gram, max_runs)
+    repeated = None
+    for low, high in zip([None, *cuts], [*cuts, None]):
+        batch = keyed if low is None else keyed.where(F.col("key") > low)
+        some = index.insert(batch if high is None else batch.where(F.col("key") <= high))
+        repeated = some if repeated is None else repeated.union(some)
+    lists = _lists(index.postings(), repeated)
+    index.close(remove=True)
+    return _finished(_resolved(keyed, None, lists, length, gram), docs, id_col, text_col)
 
 
 def op9_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
