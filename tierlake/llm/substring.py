@@ -71,15 +71,14 @@ class Words:
     """The words of several texts in one row, with hashes of their grams and digests of their bytes."""
 
     def __init__(self, texts: list[str]):
-        split = [t.encode().split() for t in texts]  # bytes split at ASCII blanks only
-        self.split = split
-        self.count = np.fromiter(map(len, split), np.int64, len(split))
+        self.norm = [b" ".join(t.encode().split()) for t in texts]  # bytes split at ASCII blanks only
+        self.count = np.fromiter((t.count(b" ") + 1 if t else 0 for t in self.norm), np.int64, len(texts))
         self.first = np.concatenate(([0], np.cumsum(self.count)))  # each text's first word
         self.n = int(self.first[-1])
-        self.data = b" ".join([b" ".join(w) for w in split if w])
-        size = np.fromiter((len(w) for ws in split for w in ws), np.int64, self.n)
-        self.end = np.cumsum(size + 1) - 1  # of each word in data
-        self.begin = self.end - size
+        self.data = b" ".join(filter(None, self.norm))
+        raw = np.frombuffer(self.data, np.uint8)
+        self.end = np.append(np.flatnonzero(raw == 32), len(raw))[: self.n]  # of each word in data
+        self.begin = np.concatenate(([0], self.end[:-1] + 1))[: self.n]
 
     def hashes(self) -> np.ndarray:
         """A hash of each word; different words may share one, which costs a verification."""
@@ -106,32 +105,32 @@ class Words:
         Of equal least hashes in a window the leftmost counts, so equal windows have theirs at equal
         offsets. Hashes are compared by 40 bits, then by place, as running minima of blocks.
         """
-        none = np.empty(0, np.int64)
-        found = [(none, none, none.view(np.uint64))]
-        width = length - gram + 1
-        hashes = self.hashes() if (self.count >= length).any() else none
-        low = np.uint64((1 << 24) - 1)
-        for f, n in zip(self.first.tolist(), self.count.tolist()):
-            if n < length:
-                continue
-            words = hashes[f : f + n]
-            g = np.zeros(n - gram + 1, np.uint64)
-            for j, p in enumerate(_powers(2 + 0x632BE59BD9B4E019, gram)):
-                g += words[j : j + len(g)] * p
-            g = _mixed(g)
-            place = np.empty(n - length + 1, np.int64)
-            for at in range(0, len(place), SEGMENT):
-                part = g[at : at + SEGMENT + width - 1]
-                blocks = -(-len(part) // width)
-                key = np.full(blocks * width, np.iinfo(np.uint64).max)
-                key[: len(part)] = part & ~low | np.arange(len(part), dtype=np.uint64)
-                key = key.reshape(blocks, width)
-                fore = np.minimum.accumulate(key, axis=1).ravel()
-                back = np.minimum.accumulate(key[:, ::-1], axis=1)[:, ::-1].ravel()
-                place[at : at + SEGMENT] = (np.minimum(back[: len(part) - width + 1], fore[width - 1 : len(part)]) & low).astype(np.int64) + at
-            new = np.flatnonzero(np.diff(place, prepend=-1))
-            found.append((f + new, np.diff(np.append(new, len(place))), g[place[new]]))
-        return tuple(np.concatenate(x) for x in zip(*found))
+        if not (self.count >= length).any():
+            none = np.empty(0, np.int64)
+            return none, none, none.view(np.uint64)
+        words, low, width = self.hashes(), np.uint64((1 << 24) - 1), length - gram + 1
+        g = np.zeros(self.n - gram + 1, np.uint64)
+        for j, p in enumerate(_powers(2 + 0x632BE59BD9B4E019, gram)):
+            g += words[j : j + len(g)] * p
+        g = _mixed(g)
+        place = np.empty(self.n - length + 1, np.int64)
+        for at in range(0, len(place), SEGMENT):
+            part = g[at : at + SEGMENT + width - 1]
+            blocks = -(-len(part) // width)
+            key = np.full(blocks * width, np.iinfo(np.uint64).max)
+            key[: len(part)] = part & ~low | np.arange(len(part), dtype=np.uint64)
+            key = key.reshape(blocks, width)
+            fore = np.minimum.accumulate(key, axis=1).ravel()
+            back = np.minimum.accumulate(key[:, ::-1], axis=1)[:, ::-1].ravel()
+            place[at : at + SEGMENT] = (np.minimum(back[: len(part) - width + 1], fore[width - 1 : len(part)]) & low).astype(np.int64) + at
+        inside = np.zeros(self.n + 1, np.int64)  # windows that go beyond their text go
+        long = self.count >= length
+        inside[self.first[:-1][long]] = 1
+        inside[self.first[1:][long] - length + 1] -= 1
+        start = np.flatnonzero(np.cumsum(inside)[: len(place)])
+        place = place[start]
+        new = np.flatnonzero(np.diff(place, prepend=-1))
+        return start[new], np.diff(np.append(new, len(place))), g[place[new]]
 
     def digests(self, start: np.ndarray, words: np.ndarray | int) -> np.ndarray:
         """(n, 2): BLAKE2b of the bytes of so many words from each start on."""
@@ -139,6 +138,12 @@ class Words:
         made = [blake2b(data[a:b], digest_size=16).digest() for a, b in zip(self.begin[start].tolist(), self.end[start + words - 1].tolist())]
         return np.frombuffer(b"".join(made), np.int64).reshape(-1, 2)
 
+    def text(self, at: int, dropped: np.ndarray) -> bytes:
+        """The words of one text that are not dropped, joined by one space."""
+        first, last = int(self.first[at]), int(self.first[at + 1])
+        edge = np.flatnonzero(np.diff(dropped[first:last].astype(np.int8), prepend=1, append=1)) + first
+        return b" ".join([self.data[a:b] for a, b in zip(self.begin[edge[::2]].tolist(), self.end[edge[1::2] - 1].tolist())])
+
 
 def _chunks(texts: list[str], size: int = 1_000_000) -> Iterator[slice]:
     """Runs of texts of about so many characters; a longer text is alone."""
@@ -152,18 +157,30 @@ def _chunks(texts: list[str], size: int = 1_000_000) -> Iterator[slice]:
         at = end
 
 
-def _code(place: np.ndarray, digest: np.ndarray) -> np.ndarray:
-    """A start and a digest in one word."""
-    return place.astype(np.uint64) * np.uint64(_STEP) ^ digest.view(np.uint64)
+def _code(owner: np.ndarray, place: np.ndarray | int, value: np.ndarray) -> np.ndarray:
+    """A text's number, a start and a hash in one word."""
+    return (owner.astype(np.uint64) << np.uint64(40) ^ np.asarray(place).astype(np.uint64)) * np.uint64(_STEP) ^ value.view(np.uint64)
+
 
+def _flat(column: pa.ListArray, rows: list[int]) -> tuple[np.ndarray, np.ndarray]:
+    """(owner, value) of the entries of the lists in some rows; owner counts these rows, a null list has no entry."""
+    offsets = column.offsets.to_numpy().astype(np.int64)
+    count = np.where(column.is_valid().to_numpy(zero_copy_only=False), np.diff(offsets), 0)[rows]
+    at = np.repeat(offsets[:-1][rows] - np.cumsum(count) + count, count) + np.arange(int(count.sum()))
+    return np.repeat(np.arange(len(rows)), count), column.values.to_numpy(zero_copy_only=False)[at]
 
-def _open(words: Words, length: int, gram: int, hot: list[list[int]]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+
+def _open(words: Words, length: int, gram: int, hot: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(text, first start, windows, fingerprint) of the places whose fingerprint is among their text's repeated ones."""
     start, count, value = words.places(length, gram)
-    cut = np.searchsorted(start, words.first)
-    keep = [a + np.flatnonzero(np.isin(value[a:b], np.array(h, np.int64).view(np.uint64))) for a, b, h in zip(cut, cut[1:], hot)]
-    keep = np.concatenate(keep) if keep else np.empty(0, np.int64)
-    return np.searchsorted(words.first, start[keep], "right") - 1, start[keep], count[keep], value[keep]
+    of = np.searchsorted(words.first, start, "right") - 1
+    keep = np.isin(_code(of, 0, value), _code(hot[0], 0, hot[1]))
+    return of[keep], start[keep], count[keep], value[keep]
+
+
+def _spread(start: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """Every number of the ranges that begin at start and have count members."""
+    return np.repeat(start - np.cumsum(count) + count, count) + np.arange(int(count.sum()))
 
 
 def _fingerprints(keyed: DataFrame, length: int, gram: int) -> DataFrame:
@@ -309,77 +326,59 @@ def _resolved(keyed: DataFrame, older: DataFrame | None, lists: DataFrame, lengt
 
     def stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys, texts, hot = batch.column(0).to_numpy(), batch.column(1).to_pylist(), batch.column(3).to_pylist()
+            keys, texts = batch.column(0).to_numpy(), batch.column(1).to_pylist()
             for part in _chunks(texts):
                 words = Words(texts[part])
-                of, start, count, value = _open(words, length, gram, hot[part])
+                of, start, count, value = _open(words, length, gram, _flat(batch.column(3), range(len(texts))[part]))
                 d = words.digests(start, count + length - 1)
                 cols = value.view(np.int64), d[:, 0], d[:, 1], keys[part][of], start - words.first[of], count
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["g", "d1", "d2", "key", "s", "n"])
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys, texts, starts, counts, mixed = (batch.column(0).to_numpy(), *(batch.column(i).to_pylist() for i in (1, 3, 4, 5)))
+            keys, texts = batch.column(0).to_numpy(), batch.column(1).to_pylist()
             for part in _chunks(texts):
                 words = Words(texts[part])
-                at = [np.empty(0, np.int64)]
-                for f, n, ss, cs, ms in zip(words.first.tolist(), words.count.tolist(), starts[part], counts[part], mixed[part]):
-                    # of several versions of one document a shorter one may not have the place
-                    at += [f + np.arange(s, min(s + c, n - length + 1)) for s, c, m in zip(ss, cs, ms) if m]
-                at = np.concatenate(at)
-                of = np.searchsorted(words.first, at, "right") - 1
+                (of, start), (_, count), (_, mixed) = (_flat(batch.column(i), range(len(texts))[part]) for i in (3, 4, 5))
+                # of several versions of one document a shorter one may not have the place
+                count = np.where(mixed, np.clip(words.count[of] - length + 1 - start, 0, count), 0)
+                at = _spread(words.first[of] + start, count)
+                of = np.repeat(of, count)
                 d = words.digests(at, length)
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in (d[:, 0], d[:, 1], keys[part][of], at - words.first[of])], names=["w1", "w2", "key", "p"])
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts, hot, starts, stretch, mixed, firsts, digest = (batch.column(i).to_pylist() for i in range(7))
-            total, gone, kept = [], [], []
+            texts, total, gone, kept = batch.column(0).to_pylist(), [], [], []
             for part in _chunks(texts):
-                some = [i for i in range(part.start, part.stop) if hot[i]]
-                words = Words([texts[i] for i in some])
-                of, start, count, _ = _open(words, length, gram, [hot[i] for i in some])
-                local = start - words.first[of]
-                code = _code(local, words.digests(start, count + length - 1)[:, 0])
-                cut = np.searchsorted(of, np.arange(len(some) + 1))
-                covered = np.zeros(words.n + 1, np.int64)
-                apart = [np.empty(0, np.int64)]
-                for j, i in enumerate(some):
-                    own = slice(cut[j], cut[j + 1])
-                    mine = _code(np.array(starts[i] or [], np.int64), np.array(stretch[i] or [], np.int64))
-                    first = np.isin(code[own], mine)
-                    again = np.flatnonzero(~first) + own.start
-                    np.add.at(covered, start[again], 1)
-                    np.add.at(covered, start[again] + count[again] + length - 1, -1)
-                    split = np.flatnonzero(first & np.isin(code[own], mine[np.array(mixed[i] or [], bool)])) + own.start
-                    apart += [np.arange(start[k], start[k] + count[k]) for k in split]
-                at = np.concatenate(apart)
-                whose = np.searchsorted(words.first, at, "right") - 1
-                code = _code(at - words.first[whose], words.digests(at, length)[:, 0])
-                cut = np.searchsorted(whose, np.arange(len(some) + 1))
-                for j, i in enumerate(some):
-                    own = slice(cut[j], cut[j + 1])
-                    mine = _code(np.array(firsts[i] or [], np.int64), np.array(digest[i] or [], np.int64))
-                    again = at[own][~np.isin(code[own], mine)]
-                    covered[again] += 1
-                    covered[again + length] -= 1
-                drop = np.cumsum(covered)[:-1] > 0
-                of_doc = dict(zip(some, range(len(some))))
-                for i in range(part.start, part.stop):
-                    j = of_doc.get(i)
-                    mine = words.split[j] if j is not None else texts[i].encode().split()
-                    left = drop[words.first[j] : words.first[j + 1]] if j is not None else None
-                    n = int(left.sum()) if left is not None else 0
-                    total.append(len(mine))
-                    gone.append(n)
-                    kept.append(b" ".join([w for w, d in zip(mine, left.tolist()) if not d] if n else mine).decode())
+                rows = range(len(texts))[part]
+                lists = [_flat(batch.column(i), rows) for i in range(1, 7)]
+                (owner, starts), (_, stretch), (_, mixed), (of_first, firsts), (_, digest) = lists[1:]
+                words = Words(texts[part])
+                of, start, count, _ = _open(words, length, gram, lists[0])
+                code, mine = _code(of, start - words.first[of], words.digests(start, count + length - 1)[:, 0]), _code(owner, starts, stretch)
+                first = np.isin(code, mine)
+                split = first & np.isin(code, mine[mixed])
+                at = _spread(start[split], count[split])
+                whose = np.repeat(of[split], count[split])
+                again = at[~np.isin(_code(whose, at - words.first[whose], words.digests(at, length)[:, 0]), _code(of_first, firsts, digest))]
+                begin = np.concatenate((start[~first], again))
+                end = np.concatenate((start[~first] + count[~first] + length - 1, again + length))
+                edges = np.bincount(begin, minlength=words.n + 1) - np.bincount(end, minlength=words.n + 1)
+                drop = np.cumsum(edges)[:-1] > 0
+                n = np.diff(np.concatenate(([0], np.cumsum(drop)))[words.first])
+                total += words.count.tolist()
+                gone += n.tolist()
+                kept += [(words.text(i, drop) if m else t).decode() for i, (m, t) in enumerate(zip(n.tolist(), words.norm))]
             yield pa.RecordBatch.from_arrays([pa.array(total, pa.int64()), pa.array(gone, pa.int64()), pa.array(kept, pa.string()), batch.column(0), batch.column(7)], names=["n_words", "n_removed", "kept", "text", "rest"])
 
     # rest is only in every branch so that all read the same exchange
     hot = lists.hint("merge")
     found = texts.join(hot, "key").select("key", "text", "rest", "hot").transform(arrow_map, stretches, "g long, d1 long, d2 long, key long, s long, n long")
     found = found.select("g", "d1", "d2", "n", packed(F.col("s")).alias("start")).groupBy("g", "d1", "d2", "n").agg(F.min("start").alias("start"))
-    kinds = found.groupBy("g").agg((F.min("d1") != F.max("d1")).alias("m1"), (F.min("d2") != F.max("d2")).alias("m2")).select("g", (F.col("m1") | F.col("m2")).alias("mixed"))
+    # start is asked for so that this reads the exchange that the join below reads
+    differ = (F.min("d1") != F.max("d1")) | (F.min("d2") != F.max("d2")) | (F.min("n") != F.max("n")) | F.min("start").isNull()
+    kinds = found.groupBy("g").agg(differ.alias("mixed"))
     key, place = unpacked(F.col("start"))
     by_doc = found.join(kinds, "g").select(key.alias("key"), F.struct(place.alias("s"), "n", "d1", "mixed").alias("x")).groupBy("key").agg(F.collect_list("x").alias("x"))
     by_doc = by_doc.select("key", F.col("x.s").alias("ss"), F.col("x.n").alias("ns"), F.col("x.d1").alias("ds"), F.col("x.mixed").alias("ms")).hint("merge")
