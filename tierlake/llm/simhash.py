@@ -23,6 +23,10 @@ from .common import arrow_map, checkpointed, table, text_of
 from .graph import components
 
 
+#: Large keys up to this number (some 100 bytes each) are broadcast to cut their rows; more are joined by a shuffle.
+BROADCAST_KEYS = 100_000
+
+
 def shingle_hashes(text: str, width: int) -> np.ndarray:
     """XXH64 (seed 42) of every word shingle, repeats included; of all words in a shorter text; none without words."""
     words = text.encode().lower().split()  # bytes: only A-Z change, only ASCII blanks split
@@ -86,8 +90,11 @@ def tiled(keyed: DataFrame, key: str, kind: str, part: str, reach: int, tile: in
     """
     sizes = keyed.groupBy(key, kind).agg((F.count(F.lit(1)) if weight is None else F.sum(weight)).alias("n")).groupBy(key).agg(
         F.sum("n").alias("total"), F.collect_list(F.struct(F.col(kind).alias("kind"), F.ceil(F.col("n") / tile).cast("int").alias("m"))).alias("tiles")
-    )  # at most one entry for each kind
-    work = keyed.join(sizes.where(F.col("total") > whole).select(key, "tiles"), key, "left" if whole > 1 else "inner")
+    ).where(F.col("total") > whole).select(key, "tiles")  # at most one entry for each kind
+    if whole > 1:  # few keys as a rule, so that the rows need no shuffle by key
+        sizes = checkpointed(sizes)
+        sizes = F.broadcast(sizes) if sizes.count() <= BROADCAST_KEYS else sizes
+    work = keyed.join(sizes, key, "left" if whole > 1 else "inner")
     own = F.struct(F.col(kind).alias("kind"), F.pmod(F.xxhash64(part), F.filter("tiles", lambda t: t.kind == F.col(kind))[0]["m"]).cast("int").alias("part"))
     near = F.flatten(F.transform(F.filter("tiles", lambda t: F.abs(t.kind - F.col(kind)) <= reach), lambda t: F.transform(F.sequence(F.lit(0), t.m - 1), lambda i: F.struct(t.kind.alias("kind"), i.alias("part")))))
     none = F.struct(F.lit(0).alias("kind"), F.lit(0).alias("part"))
