@@ -52,3 +52,17 @@ def test_query(spark, sf):
     con.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{sf}/embeddings.parquet'")
     want = sorted(con.execute(topk.ORACLE_SQL["op10_topk"]).fetchall())
     assert want and sorted(map(tuple, topk.op10_topk(spark, sf).collect())) == want
+
+
+def test_bound_of_earlier_blocks():
+    """A good bound from elsewhere ends the reading before all vectors are met."""
+    rng = np.random.default_rng(3)
+    vectors = rng.integers(-50, 50, (4000, 8))
+    query = np.array([40, 30, 0, -20, 5, 1, 1, -1])
+    score = vectors @ query
+    order = np.lexsort((np.arange(4000), -score))[:10]
+    want = list(zip(score[order].tolist(), order.tolist()))
+    alone, led = (topk.SortedLists(np.arange(4000), vectors) for _ in range(2))
+    assert alone.top(query, -1, 10) == want
+    assert led.top(query, -1, 10, best=[(10**6, -i) for i in range(10, 0, -1)]) == [(10**6, -i) for i in range(10, 0, -1)]
+    assert led.met == 0 and 0 < alone.met < 4000

@@ -53,3 +53,12 @@ def test_query(spark, sf):
     con = duckdb.connect()
     con.execute(f"CREATE VIEW pages AS SELECT * FROM '{sf}/pages.parquet'")
     assert sorted(con.execute(warc.ORACLE_SQL["op8_warc"]).fetchall(), key=str) == found
+
+
+def test_reads_go_by_bytes(spark):
+    pages = spark.createDataFrame([(i, f"u{i}", "".join(chr(33 + (i * 7 + j * j) % 90) for j in range(3000))) for i in range(200)], "page_id long, url string, html string")
+    folder = shared_path(spark, "t")
+    index = warc.write(pages, folder)
+    total = sum(r.length for r in index.collect())
+    back = warc.read(index, folder, per_task=total // 8)
+    assert 8 <= back.rdd.getNumPartitions() <= 9 and back.count() == 200

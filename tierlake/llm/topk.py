@@ -1,14 +1,18 @@
 """Exact top-k inner products by the threshold algorithm over sorted per-dimension lists.
 
-Vectors lie in blocks of bounded size. Each block keeps, per dimension, its vectors sorted by that
-dimension's value. For a query the lists are read from the end that scores highest (largest values
-where the query's component is positive, smallest where it is negative), some entries of every list
-at a time; vectors met for the first time are scored in full. No vector that has not been met can
-score more than the sum, over dimensions, of the query's component times the value last read, so
-reading stops when that bound is below the k-th best score; at equality it goes on, because of
-ties. The blocks' k best per query are merged by rank.
-
-Queries meet blocks, not vectors: a task holds one block and one bounded group of queries.
+Vectors lie in blocks of bounded size. Each block has, per dimension, its vectors sorted by that
+dimension's value; the blocks with their lists are built once and written. For a query the lists
+are read from the end that scores highest (largest values where the query's component is positive,
+smallest where it is negative), a few entries at a time of those lists whose last entries lowered
+the bound most; vectors met for the first time are scored in full. No vector that has not been met
+can score more than the sum, over dimensions, of the query's component times the value last read,
+so reading stops when that bound is below the k-th best score; at equality it goes on, because of
+ties. A task carries its queries' k best from block to block, so that a later block starts with
+their bound. The tasks' k best per query are merged by rank.
+
+Queries go to the blocks in rounds of bounded size, and only results are shuffled. Where vectors
+have no preferred direction the bound falls late: with 64 such dimensions nearly all vectors are met
+before it does, and the work is that of scoring every vector for every query.
 """
 
 from __future__ import annotations
@@ -17,51 +21,71 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import checkpointed, table
+from .common import arrow_map, checkpointed, saved, shared_path, table
+
+#: Components of queries that are broadcast in one round (8 bytes each).
+ROUND = 4 << 20
+_NONE = np.empty(0, np.int64)
 
 
 class SortedLists:
     """A block of integer vectors with its per-dimension lists."""
 
-    def __init__(self, ids: np.ndarray, vectors: np.ndarray):
-        order = np.argsort(ids, kind="stable")
-        self.ids, self.vectors = ids[order], vectors[order]
-        self.lists = np.argsort(self.vectors, axis=0, kind="stable")  # column d: rows by rising value of d
+    def __init__(self, ids: np.ndarray, vectors: np.ndarray, lists: np.ndarray | None = None):
+        if lists is None:
+            order = np.argsort(ids, kind="stable")
+            ids, vectors = ids[order], vectors[order]
+            lists = np.argsort(vectors, axis=0, kind="stable").astype(np.int32)  # column d: rows by rising value of d
+        self.ids, self.vectors, self.lists = ids, vectors, lists
+        self.met = 0  # vectors scored so far, over all queries
 
-    def top(self, query: np.ndarray, own: int, k: int, step: int = 32) -> list[tuple[int, int]]:
-        """The k best (score, id) without the id ``own``, ties to smaller ids; fewer if there are fewer."""
+    def top(self, query: np.ndarray, own: int, k: int, step: int = 32, wide: int = 16, best: list[tuple[int, int]] = []) -> list[tuple[int, int]]:
+        """The k best (score, id) of the block without the id ``own`` and of ``best``, ties to smaller ids; fewer if there are fewer."""
         n = len(self.ids)
         dims = np.flatnonzero(query)
         weight = query[dims]
         down = weight > 0
         met = np.zeros(n, bool)
         met[np.searchsorted(self.ids, own, "left") : np.searchsorted(self.ids, own, "right")] = True
-        best_score, best_row = np.empty(0, np.int64), np.empty(0, np.int64)
-        depth = 0
-        while depth < n and len(dims):
-            stop = min(n, depth + step)
-            rows = np.concatenate((self.lists[n - stop : n - depth, dims[down]].ravel(), self.lists[depth:stop, dims[~down]].ravel()))
-            fresh = np.unique(rows[~met[rows]])
-            met[fresh] = True
+        left = n - int(met.sum())
+        score, ids = (np.array(x, np.int64) for x in zip(*best)) if best else (_NONE, _NONE)
+        depth = np.zeros(len(dims), np.int64)
+        # the largest that a list's next entry can add, and by how much its last entries lowered that
+        reach = np.where(down, self.vectors[self.lists[-1, dims], dims], self.vectors[self.lists[0, dims], dims]) * weight if n else weight
+        fall = np.full(len(dims), np.iinfo(np.int64).max)
+        while left and len(dims):
+            if len(score) == k and int(reach.sum()) < score[-1]:
+                break
+            some = np.argsort(-fall, kind="stable")[:wide]
+            at = depth[some, None] + np.arange(step)
+            at = np.minimum(at, n - 1)
+            rows = self.lists[np.where(down[some, None], n - 1 - at, at), dims[some, None]]
+            depth[some] = np.minimum(depth[some] + step, n)
+            now = self.vectors[rows[:, -1], dims[some]] * weight[some]
+            fall[some], reach[some] = np.where(depth[some] < n, reach[some] - now, -1), now
+            fresh = rows[~met[rows]]
             if len(fresh):
-                score = self.vectors[fresh] @ query
-                best_score, best_row = np.concatenate((best_score, score)), np.concatenate((best_row, fresh))
-                keep = np.lexsort((best_row, -best_score))[:k]  # rows rise with ids
-                best_score, best_row = best_score[keep], best_row[keep]
-            last = np.where(down, self.vectors[self.lists[n - stop, dims], dims], self.vectors[self.lists[stop - 1, dims], dims])
-            if len(best_score) == k and int(last @ weight) < best_score[-1]:
-                return list(zip(best_score.tolist(), self.ids[best_row].tolist()))
-            depth = stop
-        rest = np.flatnonzero(~met)  # a query of zeros has no list to read: all scores are 0
-        if len(rest):
-            best_row = np.concatenate((best_row, rest[:k]))
-            best_score = self.vectors[best_row] @ query
-            keep = np.lexsort((best_row, -best_score))[:k]
-            best_score, best_row = best_score[keep], best_row[keep]
-        return list(zip(best_score.tolist(), self.ids[best_row].tolist()))
+                fresh = np.unique(fresh)
+                met[fresh] = True
+                left -= len(fresh)
+                self.met += len(fresh)
+                got = self.vectors[fresh] @ query
+                if len(score) == k:
+                    fresh, got = fresh[got >= score[-1]], got[got >= score[-1]]
+                if len(fresh):
+                    score, ids = np.concatenate((score, got)), np.concatenate((ids, self.ids[fresh]))
+                    keep = np.lexsort((ids, -score))[:k]
+                    score, ids = score[keep], ids[keep]
+        if left and not len(dims):  # a query of zeros has no list to read: all scores are 0
+            rest = np.flatnonzero(~met)[:k]
+            score, ids = np.concatenate((score, np.zeros(len(rest), np.int64))), np.concatenate((ids, self.ids[rest]))
+            keep = np.lexsort((ids, -score))[:k]
+            score, ids = score[keep], ids[keep]
+        return list(zip(score.tolist(), ids.tolist()))
 
 
 def top_k(
@@ -74,8 +98,10 @@ def top_k(
     Rows whose id or vector is null, or whose vector holds a null or non-finite component, take no
     part, as query or candidate. Rows of one id are one vector, the least of them. Vectors of fewer
     components than others count as filled with zeros. Other columns are not read; an empty side
-    gives no rows.
+    gives no rows. ``block`` vectors are a block; at most ``group`` queries, and ROUND components
+    of them, are a round, which is the only data that is collected and broadcast.
     """
+    spark = vectors.sparkSession
 
     def clean(df: DataFrame) -> DataFrame:
         whole = F.transform(F.col(vec_col), lambda x: F.floor(x.cast("double") * scale).cast("long"))
@@ -84,22 +110,45 @@ def top_k(
         return rows.select(F.col(id_col).cast("long").alias("id"), whole.alias("v")).groupBy("id").agg(F.min("v").alias("v"))
 
     cand, ask = checkpointed(clean(vectors)), checkpointed(clean(queries))
-    blocks, groups = max(1, -(-cand.count() // block)), max(1, -(-ask.count() // group))
-    cand = cand.withColumn("b", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")).withColumn("g", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
-    ask = ask.withColumn("g", F.pmod(F.xxhash64("id"), F.lit(groups)).cast("int")).withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-
-    def search(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        found: list[tuple[int, int, int]] = []
-        if len(left) and len(right):
-            width = max(left["v"].map(len).max(), right["v"].map(len).max())
-            filled = lambda col: np.array([np.pad(np.asarray(v, np.int64), (0, width - len(v))) for v in col]).reshape(len(col), width)
-            index = SortedLists(left["id"].to_numpy(), filled(left["v"]))
-            for own, query in zip(right["id"].tolist(), filled(right["v"])):
-                found += [(own, i, s) for s, i in index.top(query, own, k)]
-        return pd.DataFrame(found, columns=["query_id", "vec_id", "score"]).astype("int64")
-
-    parts = cand.groupBy("b", "g").cogroup(ask.groupBy("b", "g")).applyInPandas(search, "query_id long, vec_id long, score long")
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")  # blocks * k rows of a query at most
+    many, width = cand.agg(F.count(F.lit(1)), F.max(F.size("v"))).first()
+    asked, wider = ask.agg(F.count(F.lit(1)), F.max(F.size("v"))).first()
+    width = max(width or 0, wider or 0, 1)
+    blocks = max(1, -(-many // block))
+    group = max(1, min(group, ROUND // width))
+
+    def filled(col: pd.Series) -> np.ndarray:
+        return np.array([np.pad(np.asarray(v, np.int64), (0, width - len(v))) for v in col]).reshape(len(col), width)
+
+    def build(part: pd.DataFrame) -> pd.DataFrame:
+        made = SortedLists(part["id"].to_numpy(), filled(part["v"]))
+        return pd.DataFrame({"ids": [made.ids.tobytes()], "vectors": [made.vectors.tobytes()], "lists": [made.lists.tobytes()]})
+
+    tasks = min(blocks, max(2 * spark.sparkContext.defaultParallelism, blocks // 16))
+    cand = cand.withColumn("b", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")).repartition(tasks, "b")
+    built = saved(cand.groupBy("b").applyInPandas(build, "ids binary, vectors binary, lists binary"), "blocks")
+    ask = checkpointed(ask.withColumn("g", F.pmod(F.xxhash64("id"), F.lit(max(1, -(-asked // group)))).cast("int")))
+    out = shared_path(spark, "top")
+    kind = "query_id long, vec_id long, score long"
+    spark.createDataFrame([], kind).write.parquet(out)
+    for g in range(-(-asked // group)):
+        rows = ask.where(F.col("g") == g).select("id", "v").toPandas()  # about ``group`` queries
+        sent = spark.sparkContext.broadcast((rows["id"].tolist(), filled(rows["v"])))
+
+        def search(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+            ids, asks = sent.value
+            best: list[list[tuple[int, int]]] = [[] for _ in ids]
+            for batch in batches:
+                for own, flat, lists in zip(*(c.to_pylist() for c in batch.columns)):
+                    here = SortedLists(np.frombuffer(own, np.int64), np.frombuffer(flat, np.int64).reshape(-1, width), np.frombuffer(lists, np.int32).reshape(-1, width))
+                    for i, query in enumerate(asks):
+                        best[i] = here.top(query, ids[i], k, best=best[i])
+            found = [(i, v, s) for i, b in zip(ids, best) for s, v in b]
+            yield pa.RecordBatch.from_arrays([pa.array([f[j] for f in found], pa.int64()) for j in range(3)], names=["query_id", "vec_id", "score"])
+
+        arrow_map(built, search, kind).write.mode("append").parquet(out)
+        sent.unpersist()
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")  # k rows of a query for each task at most
+    parts = spark.read.schema(kind).parquet(out)
     return parts.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
