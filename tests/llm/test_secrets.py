@@ -77,3 +77,39 @@ def test_query_on_documents(spark, sf):
 
 def test_empty(spark, rows):
     assert secrets.scan(rows.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize(
+    "pattern,query",
+    [
+        ("abc?d", [[["abc", "bcd"], ["abd"]]]),
+        ("abcd?", [[["abc"]]]),
+        ("(abc|abcd)x", [[["abc", "bcd", "cdx"], ["abc", "bcx"]]]),
+        ("(?i:ABC)D+", [[["abc"]]]),
+        ("(?:foo[0-9]+|barn)baz+", [[["foo"], ["bar", "arn"]]]),
+        ("(?:foo)?bar", [[["bar"]]]),
+        ("(?:foo){2,}x*", [[["foo"]]]),
+        ("a.c|abc", []),
+        ("[ab]cd[^e]efg", [[["acd"], ["bcd"]], [["efg"]]]),
+    ],
+)
+def test_queries_are_derived(pattern, query):
+    assert secrets.trigram_query(pattern) == query
+
+
+def test_edited_rule(spark, rows):
+    """A rule's matches are found whatever its expression; with many rules the masks take several words."""
+    rules = tuple(secrets.Rule(f"k{i}", f"[0-9a-f]?{w}[a-z0-9]*", 1) for i, w in enumerate(["hunter", "AKIA", "é😀", "passwd=", *(f"zz{i:04}yy{i}" for i in range(60))]))
+    assert len(secrets.vocabulary(rules)) > 126
+    found = secrets.scan(rows, rules).collect()
+    for r in found:
+        want = sorted((m.start(), i, m.end()) for i, rule in enumerate(rules) for m in re.finditer(rule.pattern, r.text or ""))
+        assert [(s.start, s.kind, s.end) for s in r.secret_spans] == want
+
+
+def test_very_many_matches(spark):
+    text = "token=12345678 é " * 3000
+    df = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    spans = secrets.scan(df).first().secret_spans
+    assert [(s.start, s.end) for s in spans] == [(17 * i, 17 * i + 14) for i in range(3000)]
+    assert secrets.redact(df).first().text == "[SECRET] é " * 3000

@@ -1,8 +1,8 @@
 r"""Secret scans through a trigram inverted index, in DataFrame functions only.
 
-Each rule's regular expression is a sequence of parts, alternatives of literals among them, and
-from the literals follows a Boolean trigram query: a matching text holds all trigrams of one of
-the alternatives. The index has a posting (trigram, document) for the trigrams that rules ask
+Each rule's regular expression is parsed, and from the literals in it follows a Boolean trigram
+query: where the expression demands one of several strings, a matching text holds all trigrams of
+one of them. The index has a posting (trigram, document) for the trigrams that rules ask
 for; intersecting a document's postings answers every query, and only documents that satisfy a
 rule's query are verified with its regular expression. A rule whose expression has no mandatory
 trigram cannot be answered from the index and scans every document.
@@ -14,57 +14,119 @@ expressions take the same leftmost matches as other backtracking engines; `lengt
 
 from __future__ import annotations
 
-import itertools
 from dataclasses import dataclass, field
+from functools import lru_cache
+from re import IGNORECASE, _parser
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import table, text_of
 
+#: Strings that a part of an expression may stand for before it counts as open, and members of a character class.
+MOST_STRINGS, MOST_MEMBERS = 64, 8
+#: Matches of a text whose places are summed up in one step; more are taken in blocks, so that no array is copied for each match.
+MATCHES = 512
+
+
+def _strings(item: tuple, folded: bool) -> set[str] | None:
+    """The strings that one item of a parsed expression stands for, in lower case if case is folded; None if they are open."""
+    kind, value = str(item[0]), item[1]
+    own = lambda c: chr(c).lower() if folded else chr(c)
+    if kind == "LITERAL":
+        return {own(value)} if value < 128 or not folded else None
+    if kind == "IN":
+        members: set[str] = set()
+        for what, x in value:
+            if str(what) == "LITERAL":
+                members.add(own(x))
+            elif str(what) == "RANGE" and x[1] - x[0] < MOST_MEMBERS:
+                members |= {own(c) for c in range(x[0], x[1] + 1)}
+            else:
+                return None
+        return members if len(members) <= MOST_MEMBERS else None
+    if kind == "SUBPATTERN":
+        return _sequence(value[3], (folded or bool(value[1] & IGNORECASE)) and not value[2] & IGNORECASE)[0]
+    if kind == "BRANCH":
+        options = [_sequence(branch, folded)[0] for branch in value[1]]
+        return None if None in options else set().union(*options)
+    if kind == "MAX_REPEAT" and value[1] == 1:
+        inner = _sequence(value[2], folded)[0]
+        return None if inner is None else inner | ({""} if value[0] == 0 else set())
+    return None
+
+
+def _grams(text: str) -> list[str]:
+    return [text[i : i + 3] for i in range(len(text) - 2)]
+
+
+def _demands(item: tuple, folded: bool) -> list[list[list[str]]]:
+    """What an open item still demands of a match."""
+    kind, value = str(item[0]), item[1]
+    if kind == "SUBPATTERN":
+        return _sequence(value[3], (folded or bool(value[1] & IGNORECASE)) and not value[2] & IGNORECASE)[1]
+    if kind in ("MAX_REPEAT", "MIN_REPEAT") and value[0]:
+        return _sequence(value[2], folded)[1]
+    if kind == "BRANCH":
+        # of each branch what it demands without a choice
+        options = [[t for clause in _sequence(branch, folded)[1] if len(clause) == 1 for t in clause[0]] for branch in value[1]]
+        return [options] if all(options) else []
+    return []
+
+
+def _sequence(items, folded: bool) -> tuple[set[str] | None, list[list[list[str]]]]:
+    """Of a sequence of items the strings that it stands for, or None, and its clauses: of each some option's trigrams are all there."""
+    now, clauses, whole = {""}, [], True
+
+    def close() -> None:
+        options = [_grams(x) for x in sorted(now)]
+        if all(options):  # an option that demands more than another one adds nothing
+            clauses.append([o for i, o in enumerate(options) if not any(set(p) < set(o) or set(p) == set(o) and j < i for j, p in enumerate(options))])
+
+    for item in items:
+        found = _strings(item, folded)
+        if found is not None and len(now) * len(found) <= MOST_STRINGS:
+            now = {a + b for a in now for b in found}
+            continue
+        close()
+        whole, now = False, {""} if found is None else found
+        if found is None:
+            clauses += _demands(item, folded)
+    close()
+    return now if whole else None, clauses
+
+
+@lru_cache(maxsize=1024)
+def trigram_query(pattern: str) -> list[list[list[str]]]:
+    """Conjunction of disjunctions of conjunctions of trigrams that every match of the expression satisfies; empty: none is mandatory."""
+    return _sequence(_parser.parse(pattern), False)[1]
+
 
 @dataclass(frozen=True)
 class Rule:
-    """``literals``: conjunction of alternatives, each a tuple of strings of which a match holds one."""
-
     kind: str
     pattern: str
     least: int  # characters that `group` must have, else the match is dropped
     group: int = 0
-    literals: tuple[tuple[str, ...], ...] = ()
-    any_case: bool = False
     base: bool = True
     gate: str = field(default="")  # a plainer expression that every kept match satisfies
 
     def query(self) -> list[list[list[str]]]:
-        """Conjunction of disjunctions of conjunctions of trigrams; empty: no mandatory trigram."""
-        clauses = []
-        for alternatives in self.literals:
-            options = [[a[i : i + 3] for i in range(len(a) - 2)] for a in alternatives]
-            if all(options):
-                clauses.append(options)
-        return clauses
+        return trigram_query(self.pattern)
 
 
 #: The three base kinds in their order.
 BASE = (
-    Rule(
-        "assign",
-        r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""",
-        8,
-        2,
-        (("password", "passwd", "secret", "token", "apikey", "api_key"),),
-        True,
-    ),
-    Rule("access", r"AKIA[A-Z0-9]+", 16, 0, (("AKIA",),)),
-    Rule("hex", r"[0-9a-f]+", 32, 0, (), gate=r"[0-9a-f]{32}"),
+    Rule("assign", r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 8, 2),
+    Rule("access", r"AKIA[A-Z0-9]+", 16),
+    Rule("hex", r"[0-9a-f]+", 32, gate=r"[0-9a-f]{32}"),
 )
 #: Spans that this method adds.
 MORE = (
-    Rule("pem", r"-----BEGIN [A-Z ]*PRIVATE KEY-----", 1, 0, (("-----BEGIN ",), ("PRIVATE KEY-----",)), base=False),
-    Rule("github", r"gh[pousr]_[A-Za-z0-9]+", 40, 0, (("ghp_", "gho_", "ghu_", "ghs_", "ghr_"),), base=False),
-    Rule("slack", r"xox[abprs]-[A-Za-z0-9-]+", 15, 0, (("xoxa-", "xoxb-", "xoxp-", "xoxr-", "xoxs-"),), base=False),
-    Rule("jwt", r"eyJ[A-Za-z0-9_-]+\.eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+", 30, 0, (("eyJ",), (".eyJ",)), base=False),
+    Rule("pem", r"-----BEGIN [A-Z ]*PRIVATE KEY-----", 1, base=False),
+    Rule("github", r"gh[pousr]_[A-Za-z0-9]+", 40, base=False),
+    Rule("slack", r"xox[abprs]-[A-Za-z0-9-]+", 15, base=False),
+    Rule("jwt", r"eyJ[A-Za-z0-9_-]+\.eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+", 30, base=False),
 )
 RULES = BASE + MORE
 
@@ -87,20 +149,21 @@ def postings(docs: DataFrame, rules: tuple[Rule, ...], key: Column, text: Column
 
 
 def candidates(index: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
-    """(key, rules): of each document that satisfies a query the numbers of the rules to verify.
+    """(key, verify): of each document that satisfies a query the numbers of the rules to verify.
 
-    A document's postings meet as one bit mask, summed up before the shuffle.
+    A document's postings meet as bit masks of 63 trigrams each, summed up before the shuffle.
     """
     number = {t: i for i, t in enumerate(vocabulary(rules))}
-    assert len(number) <= 126, "two longs hold the mask"
-    low = F.expr("bit_or(if(trigram < 63, shiftleft(1L, trigram), 0L))")
-    high = F.expr("bit_or(if(trigram >= 63, shiftleft(1L, trigram - 63), 0L))")
-    masks = index.groupBy("key").agg(low.alias("low"), high.alias("high")) if number else index.groupBy("key").agg(F.lit(0).alias("low"), F.lit(0).alias("high"))
+    parts = range(max(1, -(-len(number) // 63)))
+    masks = index.groupBy("key").agg(*[F.expr(f"bit_or(if(trigram div 63 = {p}, shiftleft(1L, trigram % 63), 0L))").alias(f"m{p}") for p in parts])
 
     def holds(option: list[str]) -> Column:
-        a = sum({1 << number[t.lower()] for t in option if number[t.lower()] < 63})
-        b = sum({1 << number[t.lower()] - 63 for t in option if number[t.lower()] >= 63})
-        return (F.col("low").bitwiseAND(F.lit(a)) == a) & (F.col("high").bitwiseAND(F.lit(b)) == b)
+        out, held = F.lit(True), {number[t.lower()] for t in option}
+        for p in parts:
+            asked = sum(1 << i % 63 for i in held if i // 63 == p)
+            if asked:
+                out = out & (F.col(f"m{p}").bitwiseAND(F.lit(asked)) == asked)
+        return out
 
     def satisfies(rule: Rule) -> Column:
         out = F.lit(True)
@@ -124,21 +187,23 @@ def spans_of(text: Column, number: int, rule: Rule) -> Column:
     graded = F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(rule.group)) if rule.group else whole
     between = F.split(text, rule.pattern, -1)
     rows = F.zip_with(F.arrays_zip(whole.alias("match"), graded.alias("graded")), F.slice(between, F.lit(1), F.size(whole)), lambda m, gap: F.struct(F.length(gap).alias("gap"), F.length(m["match"]).alias("n"), F.length(m["graded"]).alias("graded")))
-    none = F.array().cast("array<struct<start:int,kind:int,end:int,keep:boolean>>")
-    # one entry for each match; each begins where the one before ended
-    placed = F.aggregate(
-        rows,
-        F.struct(F.lit(0).alias("at"), none.alias("out")),
-        lambda acc, r: F.struct(
-            (acc["at"] + r["gap"] + r["n"]).alias("at"),
-            F.when(
-                r["graded"] >= rule.least,
-                F.concat(acc["out"], F.array(F.struct((acc["at"] + r["gap"]).alias("start"), F.lit(number).alias("kind"), (acc["at"] + r["gap"] + r["n"]).alias("end"), F.lit(True).alias("keep")))),
-            ).otherwise(acc["out"]).alias("out"),
-        ),
-        lambda acc: acc["out"],
-    )
-    return F.transform(placed, lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end")))
+    kind = "struct<start:int,kind:int,end:int>"
+    none = F.array().cast(f"array<{kind}>")
+
+    def placed(acc: Column, r: Column) -> Column:
+        # each match begins where the one before ended
+        start = acc["at"] + r["gap"]
+        span = F.struct(start.alias("start"), F.lit(number).alias("kind"), (start + r["n"]).alias("end"))
+        return F.struct((start + r["n"]).alias("at"), F.when(r["graded"] >= rule.least, F.concat(acc["out"], F.array(span))).otherwise(acc["out"]).alias("out"))
+
+    def block(acc: Column, part: Column) -> Column:
+        inner = F.aggregate(part, F.struct(acc["at"].alias("at"), none.alias("out")), placed)
+        return F.struct(inner["at"].alias("at"), F.concat(acc["out"], F.array(inner["out"])).alias("out"))
+
+    # the matches are bound to a name, so that they are found once
+    cut = lambda found: F.transform(F.sequence(F.lit(0), F.floor(F.size(found) / MATCHES).cast("int")), lambda i: F.slice(found, i * MATCHES + 1, MATCHES))
+    blocks = F.transform(F.array(rows), cut)[0]
+    return F.flatten(F.aggregate(blocks, F.struct(F.lit(0).alias("at"), F.array().cast(f"array<array<{kind}>>").alias("out")), block, lambda acc: acc["out"]))
 
 
 def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -149,9 +214,11 @@ def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str = "doc_id
     point to, are verified by every rule. Other columns stay, whatever their names; an empty
     table gives an empty table.
     """
-    inner = docs.select(F.struct("*").alias("row"), F.col(id_col).alias("key"), text_of(text_col).alias("text"))
+    # rows of null id have no partner; by their own hash they do not all go to one task
+    spread = F.when(F.col("key").isNull(), F.pmod(F.xxhash64("text"), F.lit(1 << 20))).otherwise(F.lit(0)).cast("int")
+    inner = docs.select(F.struct("*").alias("row"), F.col(id_col).alias("key"), text_of(text_col).alias("text")).withColumn("spread", spread)
     index = postings(docs.where(F.col(id_col).isNotNull()), rules, F.col(id_col), text_of(text_col))
-    joined = inner.join(candidates(index, rules), "key", "left")
+    joined = inner.join(candidates(index, rules).withColumn("spread", F.lit(0)), ["key", "spread"], "left")
     none = F.array().cast("array<struct<start:int,kind:int,end:int>>")
     found = []
     for i, r in enumerate(rules):
@@ -161,7 +228,7 @@ def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str = "doc_id
             ask = F.rlike(F.col("text"), F.lit(r.gate)) if r.gate else F.lit(True)
         found.append(F.when(ask, spans_of(F.col("text"), i, r)).otherwise(none))
     spans = F.array_sort(F.concat(*found))
-    return joined.select("row.*", spans.alias("secret_spans"))
+    return joined.select("row", spans.alias("secret_spans")).select("row.*", "secret_spans")  # apart, as columns of row could be meant by spans
 
 
 def redact(docs: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str = "doc_id", text_col: str = "text", mark: str = "[SECRET]") -> DataFrame:
