@@ -4,6 +4,7 @@ import random
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from tierlake.llm import digest, graph, simhash
 
@@ -122,3 +123,14 @@ def test_digest_edges(spark):
     one = digest.digest_documents(df.where("doc_id = 3")).collect()
     assert len(one) == 1 and one[0].near_edited == one[0].near_next == 1.0
     assert digest.digest_documents(df.limit(0)).count() == 0
+
+
+def test_digest_ids_and_cuts(spark):
+    """Ids of other number types stay as they are; every row is followed by the next id's, whatever the number of ranges."""
+    rows = [(i, f"text number {i} " * (i % 7)) for i in range(0, 900, 3)]
+    for kind in ("int", "short", "decimal(20,0)"):
+        df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("doc_id", F.col("doc_id").cast(kind))
+        got = digest.digest_documents(df, buckets_per_partition=20)
+        assert dict(got.dtypes)["doc_id"] == df.dtypes[0][1].replace("short", "smallint")
+        by = {int(r.doc_id): r.edited_sha256 for r in got.collect()}
+        assert by == {d: hashlib.sha256(digest.edited(t, rows[(i + 1) % len(rows)][1]).encode()).hexdigest() for i, (d, t) in enumerate(rows)}

@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import math
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -21,6 +22,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from .common import arrow_map, partitions, table, text_of
 
@@ -31,6 +33,8 @@ SHORT, GRAM = 128, 5
 COMMON, LEAST = 850, 100
 SLACK = 0.1
 _NEVER = 1 << 14
+#: Ranges of ids, whose cuts and heads the driver holds; each is sorted by one task, on disk where memory ends.
+MOST_BUCKETS = 16384
 
 #: _GAIN[c]: by how much the sum of c log2 c over a window's byte counts grows as a count reaches c; in 2**-20.
 _F = np.array([0.0, *(c * np.log2(c) for c in range(1, WINDOW + 1))])
@@ -152,12 +156,18 @@ def _neighbours(docs: DataFrame, id_col: str, text_col: str, buckets_per_partiti
     """
     spark = docs.sparkSession
     n = partitions(spark)
-    count = min(1024, n * buckets_per_partition)
+    count = min(MOST_BUCKETS, n * buckets_per_partition)
     keyed = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63))).alias("key"), F.col(id_col).alias("id"), text_of(text_col).alias("text"))
     cuts = keyed.agg(F.percentile_approx("key", [i / count for i in range(1, count)] or [0.5], 20000)).first()[0] or []
     cuts = sorted(set(cuts))
-    bucket = F.size(F.filter(F.lit(cuts).cast("array<long>"), lambda c: c <= F.col("key"))) if cuts else F.lit(0)
-    keyed = keyed.withColumn("bucket", bucket)
+    step = max(1, math.isqrt(len(cuts)))  # how many cuts are at most the key: first in steps, then inside one
+    below = lambda some: F.size(F.filter(some, lambda c: c <= F.col("key")))
+    if cuts:
+        every = F.lit(cuts).cast("array<long>")
+        keyed = keyed.withColumn("coarse", below(F.lit(cuts[step - 1 :: step]).cast("array<long>")))
+        keyed = keyed.withColumn("bucket", F.col("coarse") * step + below(F.slice(every, F.col("coarse") * step + 1, F.lit(step)))).drop("coarse")
+    else:
+        keyed = keyed.withColumn("bucket", F.lit(0))
     heads = {r[0]: r[1] for r in keyed.groupBy("bucket").agg(F.min("key")).collect()}
     used = sorted(heads)
     before = {b: used[i - 1] for i, b in enumerate(used)}
@@ -197,6 +207,7 @@ def digest_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names=names)
 
         part, size = [], 0
+        types = [id_type, pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]
         for pair in pairs(batches):
             part.append(pair)
             size += len(pair[1])
@@ -207,8 +218,8 @@ def digest_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
             yield flush(part)
 
     kind = docs.schema[id_col].dataType.simpleString()
+    id_type = to_arrow_type(docs.schema[id_col].dataType)
     names = [id_col, "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
-    types = [{"bigint": pa.int64(), "int": pa.int32()}.get(kind), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]
     return rows.transform(arrow_map, run, f"`{id_col}` {kind}, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
 
 
