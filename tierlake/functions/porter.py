@@ -85,15 +85,39 @@ def porter(w: str) -> str:
     return w[:-1] if w.endswith("ll") and _measure(w) > 1 else w
 
 
-def terms(text: str | None) -> list[str]:
-    """Stemmed index terms in order: runs of letters and digits, without case and diacritics; underscores split."""
+def words(text: str | None) -> list[str]:
+    """Runs of letters and digits in order, without case and diacritics; underscores split."""
     if not text:
         return []
-    plain = unicodedata.normalize("NFD", text.lower()) if not text.isascii() else text.lower()
-    plain = "".join(c for c in plain if not unicodedata.combining(c)) if not text.isascii() else plain
-    return [porter(w) for w in re.findall(r"[^\W_]+", plain)]
+    if text.isascii():
+        return re.findall(r"[a-z0-9]+", text.lower())
+    plain = "".join(c for c in unicodedata.normalize("NFD", text.lower()) if not unicodedata.combining(c))
+    return re.findall(r"[^\W_]+", plain)
+
+
+def terms(text: str | None) -> list[str]:
+    """Stemmed index terms in order."""
+    return [porter(w) for w in words(text)]
+
+
+def counted(parts: list[str | None]) -> list[tuple[str, list[int]]]:
+    """Every term of a document's columns with its places; a gap between columns keeps phrases inside one."""
+    places: dict[str, list[int]] = {}
+    at = 0
+    for part in parts:
+        for t in terms(part):
+            places.setdefault(t, []).append(at)
+            at += 1
+        at += 1
+    return list(places.items())
 
 
 @F.pandas_udf(T.ArrayType(T.StringType()))  # type: ignore[call-overload]
 def terms_col(text: pd.Series) -> pd.Series:
     return text.map(terms)
+
+
+@F.pandas_udf(T.ArrayType(T.StructType([T.StructField("term", T.StringType()), T.StructField("pos", T.ArrayType(T.IntegerType()))])))  # type: ignore[call-overload]
+def counted_col(parts: pd.Series) -> pd.Series:
+    """One pass over a document: its distinct words are stemmed once, repeated ones by a cache."""
+    return parts.map(lambda ps: [{"term": t, "pos": at} for t, at in counted(list(ps))])

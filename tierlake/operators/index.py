@@ -1,7 +1,9 @@
-"""Inverted index over the four searchable tiers: postings, document lengths and corpus figures.
+"""Inverted index over the four searchable tiers: postings with places, document lengths and corpus figures.
 
-A searchable document is a row (tier, tenant_id, category, key, seq, text, body, ts); ``text`` is
-what is indexed. The index is derived data: it is built once, saved, and read by every query.
+A searchable document is a row (tier, tenant_id, category, key, seq, parts, text, body, ts); ``parts``
+are the texts that are indexed, ``text`` is all of them. One analyzer makes the terms of documents
+and of queries. The index is derived data: it is built once, saved, and read by every query;
+``Segments`` keeps one beside a store's logs, where only what is new since the last time is indexed.
 """
 
 from __future__ import annotations
@@ -12,6 +14,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import porter
 from ..functions import text as tx
 
 TIERS = ("entity", "state", "reference", "journal")
@@ -29,48 +32,142 @@ def searchable(entities: DataFrame | None = None, state: DataFrame | None = None
     ):
         if df is None:
             continue
-        text = F.concat_ws(" ", *[F.coalesce(F.col(c), F.lit("")) for c in texts])
+        parts = F.array(*[F.coalesce(F.col(c), F.lit("")) for c in texts])
+        text = F.concat_ws(" ", parts)
         if tier == "journal":
             body = F.to_json(F.struct(*[F.col(c) for c in texts]), {"ignoreNullFields": "false"})
-        part = df.select(F.lit(tier).alias("tier"), "tenant_id", category.alias("category"), key.alias("key"), "seq", text.alias("text"), body.alias("body"), ts.alias("ts"))
+        part = df.select(F.lit(tier).alias("tier"), "tenant_id", category.alias("category"), key.alias("key"), "seq", parts.alias("parts"), text.alias("text"), body.alias("body"), ts.alias("ts"))
         out = part if out is None else out.unionByName(part)
     if out is None:
         raise ValueError("no tier to search")
     return out
 
 
+@dataclass(frozen=True)
+class Analyzer:
+    """``query``: the terms of one query word; ``parts``: of an array of texts an array of (term, pos), or else ``terms``: of a text its terms."""
+
+    name: str
+    query: Callable[[str], list[str]]
+    parts: Callable[[Column], Column] | None = None
+    terms: Callable[[Column], Column] | None = None
+
+
+#: Case, diacritics and inflections do not count, and underscores split; words are stemmed in Python, once a document.
+PORTER = Analyzer("porter", porter.terms, parts=porter.counted_col)
+#: Lower-cased words as they stand, without leaving the JVM.
+WORDS = Analyzer("words", lambda w: [w.lower()], terms=tx.words_col)
+_KNOWN = {a.name: a for a in (PORTER, WORDS)}
+
+
 @dataclass
 class Index:
-    """``postings``: (tier, tenant_id, seq, term, tf, dl); ``stats``: (tier, n_docs, avgdl); ``docs``: the documents."""
+    """``postings``: (tier, tenant_id, seq, term, tf, dl, pos); ``stats``: (tier, n_docs, avgdl); ``docs``: the documents."""
 
     docs: DataFrame
     postings: DataFrame
     stats: DataFrame
+    analyzer: Analyzer = PORTER
 
     def save(self, path: str, buckets: int = 64) -> Index:
         """Write the index and return it as read back; term order lets a term's scan skip row groups."""
         spark = self.docs.sparkSession
         self.docs.write.mode("overwrite").partitionBy("tier").parquet(f"{path}/docs")
         self.postings.repartition(buckets, "term").sortWithinPartitions("term").write.mode("overwrite").partitionBy("tier").parquet(f"{path}/postings")
-        self.stats.write.mode("overwrite").parquet(f"{path}/stats")
-        return Index(*(spark.read.parquet(f"{path}/{n}") for n in ("docs", "postings", "stats")))
+        docs, postings = (spark.read.parquet(f"{path}/{n}") for n in ("docs", "postings"))
+        _stats(docs, postings, ("tier",)).write.mode("overwrite").parquet(f"{path}/stats")  # from what is written, not from the texts again
+        return Index(docs, postings, spark.read.parquet(f"{path}/stats"), self.analyzer)
+
+
+def _analyzer(terms: Analyzer | Callable[[Column], Column]) -> Analyzer:
+    if isinstance(terms, Analyzer):
+        return terms
+    if terms is porter.terms_col:
+        return PORTER
+    return WORDS if terms is tx.words_col else Analyzer("own", lambda w: [w], terms=terms)
+
+
+def postings_of(docs: DataFrame, analyzer: Analyzer, keep: tuple[str, ...] = ("tier", "tenant_id")) -> DataFrame:
+    """(tier, tenant_id, seq, term, tf, dl, pos) of documents with their parts."""
+    parts = F.col("parts") if "parts" in docs.columns else F.array("text")
+    names = [*keep, "seq"]
+    if analyzer.parts is not None:  # a document's terms are counted in its own row: no shuffle
+        rows = docs.select(*names, analyzer.parts(parts).alias("terms"))
+        rows = rows.withColumn("dl", F.aggregate("terms", F.lit(0), lambda n, t: n + F.size(t["pos"])))
+        return rows.select(*names, "dl", F.explode("terms").alias("t")).select(*names, "t.term", F.size("t.pos").alias("tf"), "dl", "t.pos")
+    own = analyzer.terms
+    gap = F.array(F.lit(""))  # between columns
+    terms = F.flatten(F.transform(parts, lambda p: F.concat(own(p), gap)))
+    rows = docs.select(*names, terms.alias("terms")).withColumn("dl", F.size(F.filter("terms", lambda t: t != "")))
+    placed = rows.select(*names, "dl", F.posexplode("terms").alias("pos", "term")).where("term <> ''")
+    made = placed.groupBy(*names, "term", "dl").agg(F.count(F.lit(1)).cast("int").alias("tf"), F.sort_array(F.collect_list("pos")).alias("pos"))
+    return made.select(*names, "term", "tf", "dl", "pos")
+
+
+def _stats(docs: DataFrame, postings: DataFrame, by: tuple[str, ...]) -> DataFrame:
+    tokens = postings.groupBy(*by).agg(F.sum("tf").alias("tokens"))
+    counts = docs.groupBy(*by).agg(F.count(F.lit(1)).alias("n_docs"))
+    return counts.join(tokens, list(by), "left").select(*by, "n_docs", (F.coalesce("tokens", F.lit(0)) / F.col("n_docs")).alias("avgdl"))
 
 
-def build(docs: DataFrame, terms: Callable[[Column], Column] = tx.words_col, by: tuple[str, ...] = ("tier",)) -> Index:
-    """Index documents with a tokenizer; ``by`` is the scope of the corpus figures, the tier over all tenants by default.
+def build(docs: DataFrame, terms: Analyzer | Callable[[Column], Column] = PORTER, by: tuple[str, ...] = ("tier",)) -> Index:
+    """Index documents with an analyzer (or a column of terms); ``by``, of tier and tenant_id, is the scope of the corpus figures.
 
     A document's length goes into its postings, so that scoring needs no join with a table of lengths.
     """
-    rows = docs.select(*dict.fromkeys(["tier", "tenant_id", *by]), "seq", F.filter(terms(F.col("text")), lambda t: t != "").alias("terms"))
-    sized = rows.withColumn("dl", F.size("terms"))
-    stats = sized.groupBy(*by).agg(F.count(F.lit(1)).alias("n_docs"), F.avg("dl").alias("avgdl"))
-    # a document's terms are counted in its own row: no shuffle to make postings
-    distinct = F.array_distinct("terms")
-    counted = F.transform(distinct, lambda t: F.struct(t.alias("term"), F.size(F.filter("terms", lambda x: x == t)).alias("tf")))
-    short = sized.where(F.col("dl") <= 48).select("tier", "tenant_id", "seq", "dl", F.explode(counted).alias("p")).select("tier", "tenant_id", "seq", "p.term", "p.tf", "dl")
-    # long ones, where counting in the row would be quadratic, are counted by aggregation
-    long = sized.where(F.col("dl") > 48).select("tier", "tenant_id", "seq", "dl", F.explode("terms").alias("term")).groupBy("tier", "tenant_id", "seq", "term", "dl").agg(F.count(F.lit(1)).cast("int").alias("tf"))
-    return Index(docs, short.unionByName(long.select("tier", "tenant_id", "seq", "term", "tf", "dl")), stats)
+    analyzer = _analyzer(terms)
+    postings = postings_of(docs, analyzer)
+    return Index(docs.drop("parts"), postings, _stats(docs, postings, by), analyzer)
+
+
+class Segments:
+    """An index kept beside a store's logs: postings of every put row, appended as rows come; what is live is decided when it is read."""
+
+    def __init__(self, store, analyzer: Analyzer = PORTER):
+        self.store, self.spark, self.analyzer, self.root = store, store.spark, analyzer, f"{store.root}/_index/{analyzer.name}"
+
+    def _read(self, name: str, schema: str) -> DataFrame:
+        try:
+            return self.spark.read.schema(schema).parquet(f"{self.root}/{name}")
+        except Exception as e:
+            if "PATH_NOT_FOUND" not in str(e):
+                raise
+            return self.spark.createDataFrame([], schema)
+
+    def refresh(self) -> None:
+        """Index the rows that came since the last time; rows of one table are numbered as they come."""
+        marks = {r["name"]: r["seq"] for r in self._read("marks", "name string, seq long").groupBy("name").agg(F.max("seq").alias("seq")).collect()}  # one row a table
+        tables = {"entities": "entities", "state_documents": "state", "reference_documents": "reference", "journal_events": "journal"}
+        new, seen = {}, []
+        for table, tier in tables.items():
+            rows = self.store.scan(table).where(F.col("seq") > marks.get(table, -1))
+            top = rows.agg(F.max("seq")).first()[0]
+            if top is not None:
+                rows = rows.where(F.col("seq") <= top)
+                new[tier] = rows if table == "journal_events" else rows.where("op = 'put'").withColumn("updated_at", F.col("ts"))
+                seen.append((table, top))
+        if not seen:
+            return
+        docs = searchable(new.get("entities"), new.get("state"), new.get("reference"), new.get("journal"))
+        postings_of(docs, self.analyzer).sortWithinPartitions("term").write.mode("append").partitionBy("tier").parquet(f"{self.root}/postings")
+        self.spark.createDataFrame(seen, "name string, seq long").coalesce(1).write.mode("append").parquet(f"{self.root}/marks")
+
+    def rebuild(self) -> None:
+        """Forget all segments; the next refresh indexes every row."""
+        self.spark.createDataFrame([], "name string, seq long").write.mode("overwrite").parquet(f"{self.root}/marks")
+        self.spark.createDataFrame([], _POSTINGS).write.mode("overwrite").partitionBy("tier").parquet(f"{self.root}/postings")
+
+    def index(self) -> Index:
+        """The live documents and their postings, brought up to date."""
+        self.refresh()
+        live = self.store.live
+        docs = searchable(live("entities"), live("state_documents"), live("reference_documents"), live("journal_events"))
+        postings = self._read("postings", _POSTINGS).dropDuplicates(["tier", "seq", "term"])  # a refresh that was cut off and ran again
+        postings = postings.join(docs.select("tier", "seq"), ["tier", "seq"], "left_semi")
+        return Index(docs.drop("parts"), postings, _stats(docs, postings, ("tier",)), self.analyzer)
+
+
+_POSTINGS = "tier string, tenant_id string, seq long, term string, tf int, dl int, pos array<int>"
 
 
 def bm25(tf: Column, dl: Column, n_docs: Column, avgdl: Column, df: Column) -> Column:

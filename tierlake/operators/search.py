@@ -7,42 +7,60 @@ limits, reach the driver, where the ladder puts them in order.
 
 from __future__ import annotations
 
-import json
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
-from .index import TIERS, Index, bm25
+from .index import TIERS, Analyzer, Index, bm25
 
 Hit = dict
 
 
 def _variants(index: Index, variants: list[list[str]], prefix: bool = False) -> DataFrame:
-    rows = [(v, i, t, prefix and i == len(words) - 1, len(words)) for v, words in enumerate(variants) for i, t in enumerate(words)]
-    return index.docs.sparkSession.createDataFrame(rows, "variant int, slot int, word string, starts boolean, slots int")
+    """(variant, slot, part, term, starts, slots, parts): a word of a query is a slot, and a phrase where the analyzer makes several terms of it."""
+    rows = []
+    for v, words in enumerate(variants):
+        made = [t for w in words if (t := index.analyzer.query(w))]
+        for i, terms in enumerate(made):
+            rows += [(v, i, j, t, prefix and i == len(made) - 1 and j == len(terms) - 1, len(made), len(terms)) for j, t in enumerate(terms)]
+    return index.docs.sparkSession.createDataFrame(rows, "variant int, slot int, part int, word string, starts boolean, slots int, parts int")
+
+
+def _matched(index: Index, asked: DataFrame, words: list[str], prefix: bool, phrases: bool, tiers: tuple[str, ...]) -> DataFrame:
+    """(variant, slot, slots, tier, tenant_id, seq, dl, tf): how often a document has a query's word or phrase."""
+    postings = index.postings.where(F.col("tier").isin(*tiers))
+    own = ["variant", "slot", "slots", "tier", "tenant_id", "seq", "dl"]
+    if prefix:
+        found = postings.join(asked, F.when(F.col("starts"), F.startswith("term", F.col("word"))).otherwise(F.col("term") == F.col("word")))
+    else:
+        found = postings.where(F.col("term").isin(words)).join(asked, F.col("term") == F.col("word"))
+    single = found.where("parts = 1") if phrases else found
+    single = single.groupBy(*own).agg(F.sum("tf").alias("tf")) if prefix else single.select(*own, "tf")
+    if not phrases:
+        return single
+    # every place names the phrase's start; a start that all parts name is one
+    starts = F.explode(F.transform("pos", lambda p: p - F.col("part"))).alias("start")
+    named = found.where("parts > 1").select(*own, "part", "parts", starts).groupBy(*own, "parts", "start").agg(F.count_distinct("part").alias("n"))
+    return single.unionByName(named.where("n = parts").groupBy(*own).agg(F.count(F.lit(1)).alias("tf")).select(*own, "tf"))
 
 
 def rank_words(index: Index, variants: list[list[str]], limit: int | None, prefix: bool = False, tiers: Iterable[str] = TIERS, tenant: str | None = None, where: Column | None = None, any_word: bool = False) -> DataFrame:
     """(variant, tier, seq, tenant_id, rank, pos): per variant and tier the best documents holding all its words.
 
-    Each tier gives at most ``limit`` documents, the journal a quarter of it; with None every match
-    comes back, unnumbered (without pos). Corpus figures are those of all tenants; the tenant filters
-    afterwards. ``any_word`` asks for one word instead of all.
+    Words are analyzed as documents are; one that becomes several terms is a phrase, one that becomes
+    none is left out. Each tier gives at most ``limit`` documents, the journal a quarter of it; with
+    None every match comes back, unnumbered (without pos). Corpus figures are those of all tenants;
+    the tenant filters afterwards. ``any_word`` asks for one word instead of all.
     """
     tiers = tuple(tiers) or TIERS
     unknown = set(tiers) - set(TIERS)
     if unknown:
         raise ValueError(f"unknown tiers: {sorted(unknown)}")
     asked = F.broadcast(_variants(index, variants, prefix))  # as many rows as the query has words
-    postings = index.postings.where(F.col("tier").isin(*tiers))
-    if prefix:
-        matched = postings.join(asked, F.when(F.col("starts"), F.startswith("term", F.col("word"))).otherwise(F.col("term") == F.col("word")))
-        matched = matched.groupBy("variant", "slot", "slots", "tier", "tenant_id", "seq", "dl").agg(F.sum("tf").alias("tf"))
-    else:
-        words = sorted({w for ws in variants for w in ws})
-        matched = postings.where(F.col("term").isin(words)).join(asked, F.col("term") == F.col("word"))
+    terms = [index.analyzer.query(w) for ws in variants for w in ws]
+    matched = _matched(index, asked, sorted({t for ts in terms for t in ts}), prefix, any(len(ts) > 1 for ts in terms), tiers)
     df = matched.groupBy("variant", "slot", "tier").agg(F.count(F.lit(1)).alias("df"))
     scored = matched.join(F.broadcast(df), ["variant", "slot", "tier"]).join(F.broadcast(index.stats), "tier")
     share = bm25(F.col("tf"), F.col("dl"), F.col("n_docs"), F.col("avgdl"), F.col("df"))
@@ -59,6 +77,13 @@ def rank_words(index: Index, variants: list[list[str]], limit: int | None, prefi
     return hits.withColumn("pos", F.row_number().over(order)).where((F.col("pos") <= limit) & (F.col("pos") <= most)).select("variant", "tier", "seq", "tenant_id", "rank", "pos")
 
 
+def rank_phrase(index: Index, phrase: str, limit: int | None, **options) -> DataFrame:
+    """``rank_words`` for one phrase: its terms side by side, in one column of a document."""
+    terms = [t for w in tx.query_tokens(phrase) for t in index.analyzer.query(w)]
+    whole = Index(index.docs, index.postings, index.stats, Analyzer("phrase", lambda w: terms))
+    return rank_words(whole, [[phrase]] if terms else [], limit, **options)
+
+
 def rank_substrings(folded: DataFrame, queries: list[str], limit: int | None, tiers: Iterable[str] = TIERS, tenant: str | None = None) -> DataFrame:
     """(variant, tier, seq, rank, pos): documents whose folded text holds all parts of a folded query.
 
@@ -69,34 +94,37 @@ def rank_substrings(folded: DataFrame, queries: list[str], limit: int | None, ti
     spark = folded.sparkSession
     tiers = tuple(tiers) or TIERS
     docs = folded.where(F.col("tier").isin(*tiers))
-    stats = docs.agg(F.count(F.lit(1)).alias("n_docs"), F.avg(F.greatest(F.lit(0), F.length("folded") - 2)).alias("avgdl"))
-    out = None
+    asked: list[tuple[int, list[str], list[str]]] = []
     for v, query in enumerate(queries):
         parts = [p for p in "".join(c if c.isalnum() or c == "_" else " " for c in tx.fold(query)).split()]
         ranked = list(dict.fromkeys(p for p in parts if len(p) >= 3))
         also = list(dict.fromkeys(p for p in parts if len(p) < 3 and not p.isascii()))
-        if not ranked and not also:
-            continue
+        if ranked or also:
+            asked.append((v, ranked, also))
+    if not asked:
+        return spark.createDataFrame([], "variant int, tier string, seq long, rank double" + (", pos int" if limit is not None else ""))
+    # all queries in one pass for the figures and one for the hits
+    every = list(dict.fromkeys(p for _, ranked, _ in asked for p in ranked))
+    figures = docs.agg(
+        F.count(F.lit(1)).alias("n_docs"), F.avg(F.greatest(F.lit(0), F.length("folded") - 2)).alias("avgdl"),
+        *[F.sum(F.contains("folded", F.lit(p)).cast("long")).alias(f"df{i}") for i, p in enumerate(every)],
+    )
+    part = docs if tenant is None else docs.where(F.col("tenant_id") == tenant)
+    found = []
+    for v, ranked, also in asked:
         cond = F.lit(True)
         for p in ranked + also:
             cond = cond & F.contains("folded", F.lit(p))
-        tf = lambda p: (F.length("folded") - F.length(F.replace("folded", F.lit(p)))) / len(p)
-        part = docs
-        if ranked:
-            dfs = docs.agg(*[F.sum(F.contains("folded", F.lit(p)).cast("long")).alias(f"df{i}") for i, p in enumerate(ranked)])
-            part = docs.where(cond).crossJoin(F.broadcast(stats)).crossJoin(F.broadcast(dfs))  # one row of figures each
-            rank = sum((bm25(tf(p), F.length("folded") - 2, F.col("n_docs"), F.col("avgdl"), F.col(f"df{i}")) for i, p in enumerate(ranked)), F.lit(0.0))
-        else:
-            part, rank = docs.where(cond), F.lit(0.0)
-        if tenant is not None:
-            part = part.where(F.col("tenant_id") == tenant)
-        part = part.select(F.lit(v).alias("variant"), "tier", "seq", rank.alias("rank"))
-        fetched = part if limit is None else part.orderBy("rank", "tier", "seq").limit(4 * limit)
-        out = fetched if out is None else out.unionByName(fetched)
-    if out is None:
-        return spark.createDataFrame([], "variant int, tier string, seq long, rank double" + (", pos int" if limit is not None else ""))
+        # occurrences may overlap: places at which the part (letters, digits and underscores) begins
+        tf = lambda p: F.regexp_count("folded", F.lit(f"(?={p})"))
+        rank = sum((bm25(tf(p), F.length("folded") - 2, F.col("n_docs"), F.col("avgdl"), F.col(f"df{every.index(p)}")) for p in ranked), F.lit(0.0))
+        found.append(F.when(cond, F.struct(F.lit(v).alias("variant"), rank.alias("rank"))))
+    hits = part.crossJoin(F.broadcast(figures))  # one row of figures
+    out = hits.select("tier", "seq", F.explode(F.array_compact(F.array(*found))).alias("h")).select("h.variant", "tier", "seq", "h.rank")
     if limit is None:
         return out
+    fetched = Window.partitionBy("variant").orderBy("rank", "tier", "seq")
+    out = out.withColumn("at", F.row_number().over(fetched)).where(F.col("at") <= 4 * limit).drop("at")
     # the journal is held to a quarter of the limit, then the whole to the limit
     own = Window.partitionBy("variant", "tier").orderBy("rank", "seq")
     kept = out.withColumn("own", F.row_number().over(own)).where((F.col("tier") != "journal") | (F.col("own") <= max(1, limit // 4)))
@@ -104,10 +132,20 @@ def rank_substrings(folded: DataFrame, queries: list[str], limit: int | None, ti
     return kept.withColumn("pos", F.row_number().over(order)).where(F.col("pos") <= limit).select("variant", "tier", "seq", "rank", "pos")
 
 
-def _fetch(index: Index, ranked: DataFrame) -> dict[int, list[Hit]]:
-    """The ranked documents with their contents, by variant, in order."""
-    # as many rows as the limits allow
-    rows = ranked.join(index.docs.select("tier", "seq", "category", "key", "body", "text", "ts"), ["tier", "seq"]).collect()
+def _shown(body: Column, *more: Column) -> Column:
+    """Body, key and category as normalised words."""
+    return tx.normalized_col(F.concat_ws(" ", *[F.coalesce(c, F.lit("")) for c in (body, *more)]))
+
+
+def _fetch(index: Index, ranked: DataFrame, words: list[list[str]] | None = None) -> dict[int, list[Hit]]:
+    """The ranked documents without their contents, by variant, in order; of variants of several words with how near these are."""
+    near = F.lit(0)
+    text = _shown(F.col("body"), F.col("key"), F.col("category"))
+    for v, ws in enumerate(words or []):
+        if len(ws) >= 2:
+            near = F.when(F.col("variant") == v, tx.proximity_col(ws, text)).otherwise(near)
+    rows = ranked.join(index.docs.select("tier", "seq", "category", "key", "body", "ts"), ["tier", "seq"])
+    rows = rows.select("variant", "tier", "seq", "category", "key", "ts", "rank", near.alias("near")).collect()  # as many rows as the limits allow, of bounded size
     out: dict[int, list[Hit]] = {}
     for r in sorted(rows, key=lambda r: (r["variant"], r["rank"], TIERS.index(r["tier"]), r["seq"])):
         out.setdefault(r["variant"], []).append(r.asDict())
@@ -116,14 +154,74 @@ def _fetch(index: Index, ranked: DataFrame) -> dict[int, list[Hit]]:
 
 def _ordered(hits: list[Hit], words: list[str], limit: int) -> list[Hit]:
     """Words near each other first, then by rank; ties keep the tiers' order."""
-    near = lambda h: tx.proximity(words, tx.normalized(f"{h['body'] or ''} {h['key'] or ''} {h['category'] or ''}"))
-    return sorted(hits, key=lambda h: (near(h), h["rank"]) if len(words) >= 2 else (0, h["rank"]))[:limit]
+    return sorted(hits, key=lambda h: (h["near"], h["rank"]))[:limit]
+
+
+def _picked(index: Index, hits: list[Hit]) -> DataFrame:
+    """The documents of some hits, by their place in the list."""
+    rows = index.docs.sparkSession.createDataFrame([(i, h["tier"], h["seq"]) for i, h in enumerate(hits)], "at int, tier string, seq long")
+    return index.docs.join(F.broadcast(rows), ["tier", "seq"])
+
+
+def with_bodies(index: Index, hits: list[Hit], words: list[str] = ()) -> list[Hit]:
+    """The hits of a page with body and snippet."""
+    if not hits:
+        return hits
+    wanted = {t for w in words for t in index.analyzer.query(w)}
+    for r in _picked(index, hits).select("at", "body", "text").collect():
+        text = r["text"] if r["body"] is None else r["body"]
+        hits[r["at"]] |= {"body": r["body"], "snippet": tx.fold(text)[:SHORT_SNIPPET] if hits[r["at"]].get("part") else snippet(text, list(wanted), terms=index.analyzer.query)}
+    return hits
+
+
+#: Characters of a substring hit's snippet.
+SHORT_SNIPPET = 120
 
 
 def _identity(h: Hit) -> tuple:
     return h["tier"], h["category"], h["key"]
 
 
+def _head(q: int, heads: list[list[Hit]], single: list[bool], by_probe: dict, cap: int) -> list[Hit]:
+    """A query's head as it stands after the substring hits, before stems are tried."""
+    head = heads[q]
+    if single[q] and cap >= 2 and len(head) >= cap:
+        head = head[: cap - max(1, cap // 4)]
+    seen = {_identity(h) for h in head}
+    out = list(head)
+    for h in by_probe.get((q, "raw"), []):
+        if len(out) < cap and _identity(h) not in seen:
+            seen.add(_identity(h))
+            out.append(h)
+    return out
+
+
+def _open_stems(index: Index, queries: list[str], heads: list[list[Hit]], single: list[bool], by_probe: dict, cap: int) -> dict[int, list[str]]:
+    """By query the stems that no head text holds, for all queries in one job that brings back no text."""
+    asked, hits = [], []
+    for q, query in enumerate(queries):
+        head = _head(q, heads, single, by_probe, cap)
+        stems = list(dict.fromkeys(s for w in tx.query_tokens(query) if (s := tx.stem(w)) != w))
+        if stems and len(head) < cap:
+            asked += [(q, s) for s in stems]
+            hits += [h | {"q": q} for h in head]
+    if not hits:
+        return _grouped(asked)
+    spark = index.docs.sparkSession
+    text = tx.fold_col(F.substring(_shown(F.col("key"), F.col("category"), F.col("body")), 1, tx.GATE_CHARS))
+    rows = _picked(index, hits).join(F.broadcast(spark.createDataFrame([(i, h["q"]) for i, h in enumerate(hits)], "at int, q int")), "at").select("q", text.alias("text"))
+    stems = F.broadcast(spark.createDataFrame([(q, s, tx.fold(s)) for q, s in asked], "q int, stem string, folded string"))
+    held = {(r["q"], r["stem"]) for r in rows.join(stems, "q").where(F.contains("text", F.col("folded"))).select("q", "stem").distinct().collect()}
+    return _grouped([x for x in asked if x not in held])
+
+
+def _grouped(pairs: list[tuple[int, str]]) -> dict[int, list[str]]:
+    out: dict[int, list[str]] = {}
+    for q, s in pairs:
+        out.setdefault(q, []).append(s)
+    return out
+
+
 def search_many(index: Index, folded: DataFrame, queries: list[str], limit: int = 20, prefix: bool = False, tiers: Iterable[str] = TIERS, tenant: str | None = None) -> list[list[Hit]]:
     """The full ladder for several queries in the same few jobs.
 
@@ -141,7 +239,7 @@ def search_many(index: Index, folded: DataFrame, queries: list[str], limit: int
     heads: list[list[Hit]] = [[] for _ in queries]
     single = [False] * len(queries)
     if forms and cap:
-        found = _fetch(index, rank_words(index, [ws for _, ws in forms], cap, prefix, tiers, tenant))
+        found = _fetch(index, rank_words(index, [ws for _, ws in forms], cap, prefix, tiers, tenant), [ws for _, ws in forms])
         first = {q: v for v, (q, _) in reversed(list(enumerate(forms)))}
         for v, (q, words) in enumerate(forms):
             if not heads[q] and found.get(v):
@@ -155,8 +253,8 @@ def search_many(index: Index, folded: DataFrame, queries: list[str], limit: int
         stems = [tx.stem(w) for w in words]
         probes += [(q, "raw", query), *([(q, "stemmed", " ".join(stems))] if stems != words else []), *((q, s, s) for w, s in dict(zip(words, stems)).items() if s != w)]
     subs = _fetch(index, rank_substrings(folded, [p[2] for p in probes], cap, tiers, tenant))
-    by_probe = {(q, kind): subs.get(v, []) for v, (q, kind, _) in enumerate(probes)}
-    out = []
+    by_probe = {(q, kind): [h | {"part": True} for h in subs.get(v, [])] for v, (q, kind, _) in enumerate(probes)}
+    out, open_stems = [], _open_stems(index, queries, heads, single, by_probe, cap)
     for q, query in enumerate(queries):
         head, held = heads[q], []
         if single[q] and cap >= 2 and len(head) >= cap:
@@ -175,10 +273,9 @@ def search_many(index: Index, folded: DataFrame, queries: list[str], limit: int
 
         append(by_probe.get((q, "raw"), []))
         if len(result) < cap:
-            text = tx.fold(" ".join(tx.normalized(f"{h['key'] or ''} {h['category'] or ''} {h['body'] or ''}")[: tx.GATE_CHARS] for h in result))
-            open_stems = list(dict.fromkeys(s for w in tx.query_tokens(query) if (s := tx.stem(w)) != w and tx.fold(s) not in text))
-            if open_stems and not append(by_probe.get((q, "stemmed"), [])):
-                tried = [(s, rows) for s in sorted(open_stems, key=len, reverse=True) if (rows := by_probe.get((q, s)))]
+            stems = open_stems.get(q, [])
+            if stems and not append(by_probe.get((q, "stemmed"), [])):
+                tried = [(s, rows) for s in sorted(stems, key=len, reverse=True) if (rows := by_probe.get((q, s)))]
                 for _, rows in sorted(tried, key=lambda sr: (len(sr[1]), -len(sr[0]))):
                     if append(rows):
                         break
@@ -190,27 +287,27 @@ def search_many(index: Index, folded: DataFrame, queries: list[str], limit: int
 def search(index: Index, folded: DataFrame, query: str, **options) -> DataFrame:
     """The ladder for one query, as a table (pos, tier, key, category, body, rank, ts)."""
     hits = search_many(index, folded, [query], **options)[0]
-    return as_table(index.docs.sparkSession, hits)
+    return as_table(index.docs.sparkSession, with_bodies(index, hits, tx.query_tokens(query)))
 
 
 def as_table(spark, hits: list[Hit]) -> DataFrame:
-    rows = [(i + 1, h["tier"], h["key"], h["category"], h["body"], float(h["rank"]), h["ts"]) for i, h in enumerate(hits)]
-    return spark.createDataFrame(rows, "pos int, tier string, key string, category string, body string, rank double, ts string")
+    rows = [(i + 1, h["tier"], h["key"], h["category"], h.get("body"), float(h["rank"]), h["ts"], h.get("snippet")) for i, h in enumerate(hits)]
+    return spark.createDataFrame(rows, "pos int, tier string, key string, category string, body string, rank double, ts string, snippet string")
 
 
 def search_entities(index: Index, query: str, limit: int = 20, prefix: bool = False, category: str | None = None, tenant: str | None = None) -> DataFrame:
     """The strict search over entities alone, of one category if given; near words first."""
     words = [w.lower() for w in tx.query_tokens(query, prefix)]
     cap = tx.clamp_limit(limit)
-    found = {} if not words or not cap else _fetch(index, rank_words(index, [words], cap, prefix, ("entity",), tenant, F.col("category") == category if category else None))
-    return as_table(index.docs.sparkSession, _ordered(found.get(0, []), words, cap))
+    found = {} if not words or not cap else _fetch(index, rank_words(index, [words], cap, prefix, ("entity",), tenant, F.col("category") == category if category else None), [words])
+    return as_table(index.docs.sparkSession, with_bodies(index, _ordered(found.get(0, []), words, cap), words))
 
 
-def snippet(text: str | None, words: list[str], width: int = 12) -> str:
-    """A window of words around the first match, matches in brackets."""
+def snippet(text: str | None, words: list[str], width: int = 12, terms: Callable[[str], list[str]] = lambda p: tx.normalized(p).split()) -> str:
+    """A window of words around the first match, matches in brackets; ``terms`` makes of a word what is compared."""
     parts = (text or "").split()
     wanted = {w.lower() for w in words}
-    match = [i for i, p in enumerate(parts) if set(tx.normalized(p).split()) & wanted]
+    match = [i for i, p in enumerate(parts) if set(terms(p)) & wanted]
     start = 0 if not match or match[0] < width else min(match[0], max(0, len(parts) - width))
     shown = [f"[{p}]" if i in set(match) else p for i, p in enumerate(parts)][start : start + width]
     return ("..." if start else "") + " ".join(shown) + ("..." if start + width < len(parts) else "")
@@ -258,7 +355,6 @@ def search_records(index: Index, folded: DataFrame, query: str, limit: int = 10,
     words or covers a good deal more. Asked for a final state, records that only prepare are left out.
     """
     import math
-    import re
 
     spark = index.docs.sparkSession
     words = record_tokens(query)
@@ -281,10 +377,15 @@ def search_records(index: Index, folded: DataFrame, query: str, limit: int = 10,
             e["best"] = min(e["best"], h["rank"])
     kept = []
     for e in records.values():
-        low = json.dumps(e["hit"]["body"]).lower() if final else ""
         cover = sum(idf[w] for w in e["words"]) / total
-        if final and re.search(DRAFT_TEXT, low) and not re.search(FINAL_TEXT, low) or cover < FLOOR or rare and not e["words"] & rare and cover < HIGH:
+        if cover < FLOOR or rare and not e["words"] & rare and cover < HIGH:
             continue
         kept.append((-cover, e["hit"]["tier"] == "journal", e["best"], e["hit"]))
     kept.sort(key=lambda x: x[:3])
-    return as_table(spark, [h for *_, h in kept[: tx.clamp_limit(limit)]])
+    hits = [h for *_, h in kept]
+    if final and hits:  # drafts are told by their text, where it lies
+        low = F.lower(F.to_json(F.struct("body")))
+        drafts = _picked(index, hits).where(F.rlike(low, F.lit(DRAFT_TEXT)) & ~F.rlike(low, F.lit(FINAL_TEXT)))
+        gone = {r["at"] for r in drafts.select("at").collect()}
+        hits = [h for i, h in enumerate(hits) if i not in gone]
+    return as_table(spark, with_bodies(index, hits[: tx.clamp_limit(limit)], words))

@@ -48,7 +48,7 @@ def _score(*words: str) -> str:
 
 
 def _refs(spark: SparkSession, sf: str) -> index.Index:
-    return index.build(index.searchable(reference=ad.references(spark, sf)))
+    return index.build(index.searchable(reference=ad.references(spark, sf)), index.WORDS)
 
 
 def flagship(spark: SparkSession, sf: str) -> DataFrame:
@@ -104,7 +104,7 @@ SELECT tier, seq, round(rank, 6) AS rank, CAST(pos AS INT) AS pos FROM r WHERE p
 """
 )
 def cross_tier_union(spark, sf):
-    built = index.build(index.searchable(entities=ad.parts(spark, sf), journal=ad.journal(spark, sf)))
+    built = index.build(index.searchable(entities=ad.parts(spark, sf), journal=ad.journal(spark, sf)), index.WORDS)
     return search.rank_words(built, [["1"]], 20).select("tier", "seq", F.round("rank", 6).alias("rank"), "pos")
 
 
