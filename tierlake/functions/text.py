@@ -147,6 +147,15 @@ def slug_col(c: Column) -> Column:
     return F.when(s == "", F.lit("untitled")).otherwise(s)
 
 
+def scrubbed(value: object) -> object:
+    """Fence markers replaced in every string of a value; keys stay."""
+    if isinstance(value, str):
+        return re.sub(r"\[UNTRUSTED MEMORY CONTEXT (BEGIN|END)[^\]]*\]", "[redacted-marker]", value, flags=re.I)
+    if isinstance(value, dict):
+        return {k: scrubbed(v) for k, v in value.items()}
+    return [scrubbed(v) for v in value] if isinstance(value, (list, tuple)) else value
+
+
 def scrub_col(c: Column) -> Column:
     """Fence markers of untrusted content, replaced."""
     return F.regexp_replace(c, r"(?i)\[UNTRUSTED MEMORY CONTEXT (BEGIN|END)[^\]]*\]", "[redacted-marker]")

@@ -118,10 +118,11 @@ def path_matches(path: Column, pattern: tuple[str, ...], at: str = "prefix") ->
     return out
 
 
-def search(entities: DataFrame, prefix: tuple[str, ...] = (), filter: dict | None = None, limit: int | None = 10, offset: int | None = 0) -> DataFrame:
+def search(entities: DataFrame, prefix: tuple[str, ...] = (), filter: dict | None = None, limit: int | None = 10, offset: int | None = 0, ranked: DataFrame | None = None) -> DataFrame:
     """(namespace, key, value, created_at, updated_at) under a namespace prefix, latest first.
 
-    Prefix and filter hold before the page is cut, over all entities.
+    Prefix and filter hold before the page is cut, over all entities. ``ranked``, (seq, near, rank) of
+    the entities that a query finds, keeps these only, best first.
     """
     n, skip = clamp_page(limit, offset)
     path = F.split("category", "/")
@@ -131,7 +132,10 @@ def search(entities: DataFrame, prefix: tuple[str, ...] = (), filter: dict | Non
         rows = rows.where(F.get(path, F.lit(i)) == p)
     if filter:
         rows = rows.where(compile_filter(F.col("body"), filter))
-    rows = rows.orderBy(F.desc("updated_at"), F.desc("seq")).offset(skip).limit(n)
+    order = [F.desc("updated_at"), F.desc("seq")]
+    if ranked is not None:
+        rows, order = rows.join(ranked.select("seq", "near", "rank"), "seq"), [F.col("near"), F.col("rank"), F.col("seq")]
+    rows = rows.orderBy(*order).offset(skip).limit(n)
     return rows.select(path.alias("namespace"), F.col("name").alias("key"), F.col("body").alias("value"), "created_at", "updated_at")
 
 
@@ -147,3 +151,8 @@ def list_namespaces(entities: DataFrame, prefix: tuple[str, ...] | None = None,
         paths = paths.select(F.slice("namespace", 1, max_depth).alias("namespace") if max_depth else F.array().cast("array<string>").alias("namespace")).distinct()
     n, skip = clamp_page(limit, offset, 100)
     return paths.orderBy("namespace").offset(skip).limit(n)
+
+
+def timed(rows: DataFrame) -> DataFrame:
+    """created_at and updated_at as timestamps; what is none is now."""
+    return rows.withColumns({c: F.coalesce(F.try_to_timestamp(F.col(c)), F.current_timestamp()) for c in ("created_at", "updated_at")})

@@ -152,6 +152,14 @@ class Segments:
         postings_of(docs, self.analyzer).sortWithinPartitions("term").write.mode("append").partitionBy("tier").parquet(f"{self.root}/postings")
         self.spark.createDataFrame(seen, "name string, seq long").coalesce(1).write.mode("append").parquet(f"{self.root}/marks")
 
+    def indexed(self, tenant: str | None = None) -> DataFrame | None:
+        """(tier, seq) of the rows whose terms are there; None if nothing has been indexed or rows have come since."""
+        marks = {r["name"]: r["seq"] for r in self._read("marks", "name string, seq long").groupBy("name").agg(F.max("seq").alias("seq")).collect()}
+        if not marks or (self.store.scan("entities").agg(F.max("seq")).first()[0] or 0) > marks.get("entities", -1):
+            return None
+        rows = self._read("postings", _POSTINGS)
+        return (rows if tenant is None else rows.where(F.col("tenant_id") == tenant)).select("tier", "seq").distinct()
+
     def rebuild(self) -> None:
         """Forget all segments; the next refresh indexes every row."""
         self.spark.createDataFrame([], "name string, seq long").write.mode("overwrite").parquet(f"{self.root}/marks")

@@ -134,13 +134,47 @@ def evidence(events: DataFrame, proposals: DataFrame) -> DataFrame:
     return firsts.groupBy("slug").agg(F.to_json(F.transform(F.array_sort(F.collect_list(item)), lambda e: F.struct(e["event_id"].alias("event_id"), e["ts"].alias("ts"), e["snippet"].alias("snippet")))).alias("evidence"))
 
 
+def all_evidence(events: DataFrame, proposals: DataFrame) -> DataFrame:
+    """(slug, evidence): JSON of the first twenty events of every proposal, whatever its kind; ``proposals`` are at most MAX_PROPOSALS rows."""
+    parts = F.split("detail", ",")
+    sig = F.when(F.col("pattern_kind") == KINDS[3], F.element_at(F.split("detail", " every "), 1)).otherwise(F.col("detail"))
+    pair = F.col("pattern_kind") == KINDS[2]
+    wanted = F.broadcast(proposals.select("slug", "pattern_kind", sig.alias("what"), F.when(pair, parts[0]).alias("a"), F.when(pair, parts[1]).alias("b")))
+    rows = events.select("seq", "id", "ts", F.substring(F.coalesce("acted", "evaluated"), 1, 120).alias("snippet"), signature(F.col("acted")).alias("sig"), shape(F.col("evaluated")).alias("keys"), tokens().alias("t"))
+    held = (
+        (F.col("pattern_kind").isin(KINDS[0], KINDS[3]) & (F.col("sig") == F.col("what")))
+        | ((F.col("pattern_kind") == KINDS[1]) & (F.col("keys") == F.col("what")))
+        | ((F.col("pattern_kind") == KINDS[2]) & F.array_contains("t", F.col("a")) & F.array_contains("t", F.col("b")))
+    )
+    found = rows.join(wanted, held)
+    firsts = found.withColumn("n", F.row_number().over(Window.partitionBy("slug").orderBy("seq"))).where(F.col("n") <= MAX_EVIDENCE)
+    item = F.struct("seq", F.col("id").alias("event_id"), "ts", "snippet")
+    return firsts.groupBy("slug").agg(F.to_json(F.transform(F.array_sort(F.collect_list(item)), lambda e: F.struct(e["event_id"].alias("event_id"), e["ts"].alias("ts"), e["snippet"].alias("snippet")))).alias("evidence"))
+
+
+def redacted(events: DataFrame, columns: tuple[str, ...] = ("evaluated", "acted", "forward", "extra")) -> DataFrame:
+    """(id, ts, shapes): events without their contents. An object is the number and the sorted lengths of its keys, a list its count, the rest a type."""
+    def shown(c: Column) -> Column:
+        keys = F.json_object_keys(c)
+        return (
+            F.when(F.startswith(c, F.lit("{")), F.to_json(F.struct(F.size(keys).alias("key_count"), F.sort_array(F.transform(keys, F.length)).alias("key_lens"))))
+            .when(F.startswith(c, F.lit("[")), F.to_json(F.struct(F.json_array_length(c).alias("count"))))
+            .when(F.startswith(c, F.lit('"')), F.lit('{"type":"str"}'))
+            .when(c.isin("true", "false"), F.lit('{"type":"bool"}'))
+            .when(F.rlike(c, F.lit("^-?[0-9]+$")), F.lit('{"type":"int"}'))
+            .when(c.isNotNull() & (c != "null"), F.lit('{"type":"float"}'))
+        )
+
+    return events.select("id", "ts", *[shown(F.col(c)).alias(c) for c in columns if c in events.columns])
+
+
 def review(proposals: DataFrame, id_: str, accept: bool, at: str, note: str | None = None) -> tuple[DataFrame, DataFrame]:
     """The reviewed proposal row and the reference rows to append; empty unless the proposal is pending."""
     row = proposals.where((F.col("id") == id_) & (F.col("status") == "pending"))
     key = F.concat(F.lit("skill/"), "proposed_slug")
     done = row.withColumn("status", F.lit("accepted" if accept else "rejected")).withColumn("reviewed_at", F.lit(at)).withColumn("review_note", F.lit(note))
     done = done.withColumn("accepted_doc_key", key if accept else F.lit(None).cast("string"))
-    meta = F.to_json(F.struct(F.lit("learner").alias("source"), "pattern_kind", "summarizer", "confidence", F.col("proposed_title").alias("title")))
+    meta = F.to_json(F.struct(F.lit("learner").alias("source"), "pattern_kind", "summarizer", "confidence", F.json_array_length(F.coalesce("evidence", F.lit("[]"))).alias("evidence_count"), F.col("proposed_title").alias("title")))
     refs = row.select(F.lit("put").alias("op"), "tenant_id", key.alias("doc_key"), F.col("proposed_body").alias("body"), meta.alias("metadata"), F.lit(at).alias("ts"))
     return done, refs if accept else refs.limit(0)
 

@@ -30,6 +30,22 @@ def json_valid(text: pd.Series) -> pd.Series:
     return text.map(ok)
 
 
+#: What helps against a finding.
+RECOVERY = {
+    "schema-version": "Open the store with a current client, which notes its version.",
+    "invalid-json-entity": "Write the entity again or delete it.",
+    "invalid-json-state": "Write the document again or delete it.",
+    "invalid-json-journal": "Correct the event's payload or take the event out.",
+    "duplicate-entity": "Keep one category for the name; archive or rename the other entities.",
+    "empty-reference": "Write the reference's text or delete it.",
+    "stale-entity": "Confirm or archive what nobody has touched for long.",
+    "journal-without-acts": "Give the event a payload or take it out.",
+    "db-soft-cap": "Archive or delete old rows, or raise the cap.",
+    "fts-rowcount-mismatch": "Rebuild the index.",
+    "flagged-actors-fresh": "Look at the actor's record before acting on its messages.",
+}
+
+
 def finding(check: str, severity: str, message: Column, detail: Column) -> list[Column]:
     return [F.lit(check).alias("check"), F.lit(severity).alias("severity"), message.cast("string").alias("message"), detail.cast("string").alias("detail")]
 
@@ -87,27 +103,33 @@ def counts(findings: DataFrame) -> DataFrame:
     return findings.groupBy("severity").agg(F.count(F.lit(1)).alias("n"))
 
 
-def lint(store, tenant: str, as_of: str) -> DataFrame:
-    """All checks over one tenant of a store."""
+def lint(store, tenant: str, as_of: str, indexed: DataFrame | None = None) -> DataFrame:
+    """All checks over one tenant of a store, with what helps; ``indexed``: (tier, seq) of the documents that an index holds."""
     e, s, r, j = (store.live(t, tenant) for t in ("entities", "state_documents", "reference_documents", "journal_events"))
     spark = store.spark
     parts = [
-        schema_version(spark.createDataFrame([(SCHEMA_VERSION,)], "version int")),
+        schema_version(store.versions(), SCHEMA_VERSION),
         invalid_json(e, "invalid-json-entity", F.concat_ws("/", "category", "name"), ["body"]),
         invalid_json(s, "invalid-json-state", F.col("document_key"), ["body"]),
         invalid_json(j, "invalid-json-journal", F.col("id"), ["evaluated", "acted", "forward", "extra"]),
         duplicate_entities(e), empty_references(r), stale_entities(e, as_of), empty_events(j),
         soft_cap(spark.createDataFrame([(store.payload_bytes(tenant),)], "bytes long")),
         fresh_flags(store.scan("flagged_actors", tenant), as_of),
+        *([index_mismatch(e, indexed.join(e.select("seq"), "seq", "left_semi"))] if indexed is not None else []),
     ]
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
-    return out
+    helps = F.create_map(*[F.lit(x) for pair in RECOVERY.items() for x in pair])
+    return out.withColumn("recovery", F.try_element_at(helps, F.col("check")))
 
 
 def report(findings: list) -> str:
     """A plain-text report of collected findings; it is fine when none is critical."""
     n = {s: sum(f["severity"] == s for f in findings) for s in SEVERITIES}
     lines = [f"{'OK' if not n['critical'] else 'FAILED'}: " + ", ".join(f"{n[s]} {s}" for s in SEVERITIES)]
-    return "\n".join(lines + [f"[{f['severity']}] {f['check']}: {f['message']} ({f['detail']})" for f in findings])
+    for f in findings:
+        lines.append(f"[{f['severity']}] {f['check']}: {f['message']} ({f['detail']})")
+        if f.get("recovery"):
+            lines.append(f"    {f['recovery']}")
+    return "\n".join(lines)

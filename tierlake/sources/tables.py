@@ -35,6 +35,18 @@ class CapExceededError(TierlakeError):
     pass
 
 
+class StorageError(TierlakeError):
+    """A file of the store cannot be read or written."""
+
+
+class SchemaError(StorageError):
+    """The store's version is not one that this library reads."""
+
+
+class TenantError(TierlakeError):
+    """Rows of another tenant than the client's."""
+
+
 def _schema(text: str) -> T.StructType:
     """A schema of plain columns; made without a session, as this module is imported before there is one."""
     kinds = {"string": T.StringType(), "long": T.LongType(), "double": T.DoubleType()}
@@ -118,15 +130,30 @@ class Store:
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
 
-    def scan(self, table: str, tenant: str | None = None) -> DataFrame:
-        """All rows of a table, empty if nothing has been written; a tenant prunes partitions."""
-        schema = TABLES[table]
+    def create(self) -> None:
+        """Note the version in a new store; one that has a version stays as it is, a later one is refused."""
+        version = self.versions().agg(F.max("version")).first()[0]
+        if version is None:
+            row = self.spark.createDataFrame([(SCHEMA_VERSION,)], "version int")
+            row.coalesce(1).write.mode("append").parquet(f"{self.root}/_version")
+        elif version > SCHEMA_VERSION:
+            raise SchemaError(f"the store has version {version}, this library reads {SCHEMA_VERSION}")
+
+    def versions(self) -> DataFrame:
+        """(version): those that the store has had."""
+        return self._read("_version", T.StructType([T.StructField("version", T.IntegerType())]))
+
+    def _read(self, folder: str, schema: T.StructType) -> DataFrame:
         try:
-            df = self.spark.read.schema(schema).parquet(f"{self.root}/{table}")
+            return self.spark.read.schema(schema).parquet(f"{self.root}/{folder}")
         except Exception as e:
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
-            df = self.spark.createDataFrame([], schema)
+            if "PATH_NOT_FOUND" in str(e):
+                return self.spark.createDataFrame([], schema)
+            raise StorageError(f"{folder}: {e}") from e
+
+    def scan(self, table: str, tenant: str | None = None) -> DataFrame:
+        """All rows of a table, empty if nothing has been written; a tenant prunes partitions."""
+        df = self._read(table, TABLES[table])
         return df.where(F.col("tenant_id") == tenant) if tenant is not None else df
 
     def append(self, table: str, rows: DataFrame) -> None:
@@ -139,6 +166,27 @@ class Store:
     def live(self, table: str, tenant: str | None = None) -> DataFrame:
         return latest(self.scan(table, tenant), KEYS[table]) if table in KEYS else self.scan(table, tenant)
 
+    def proposals(self, tenant: str | None = None) -> DataFrame:
+        """Every proposal as it stands: a review appends a row of the same id."""
+        rows = self.scan("skill_proposals", tenant)
+        names = rows.columns
+        return rows.groupBy("tenant_id", "id").agg(F.max_by(F.struct(*names), "seq").alias("r")).select("r.*")
+
+    def relations(self, tenant: str | None = None) -> DataFrame:
+        """Relations both of whose ends are live: one goes with either entity."""
+        ids = self.live("entities", tenant).select("tenant_id", "id")
+        rows = self.scan("entity_relations", tenant)
+        for end in ("from_id", "to_id"):
+            rows = rows.join(ids.withColumnRenamed("id", end), ["tenant_id", end], "left_semi")
+        return rows
+
+    def revenue(self, tenant: str | None = None) -> DataFrame:
+        """Revenue events, without the entity where it is gone."""
+        ids = self.live("entities", tenant).select("tenant_id", F.col("id").alias("entity_id"), F.lit(True).alias("there"))
+        rows = self.scan("revenue_events", tenant)
+        found = rows.join(ids, ["tenant_id", "entity_id"], "left").withColumn("entity_id", F.when(F.col("there"), F.col("entity_id")))
+        return found.select(*rows.columns)
+
     def count_rows(self, table: str, tenant: str) -> int:
         if table not in ("entities", "state_documents", "journal_events", "reference_documents", "archived_entities"):
             raise ValidationError(f"rows of {table} are not counted")
@@ -153,11 +201,25 @@ class Store:
         return total
 
 
-def stored_files(spark: SparkSession, pattern: str) -> DataFrame:
+def stored_files(spark: SparkSession, pattern: str | list[str]) -> DataFrame:
     """(path, length) of files, each once."""
     return spark.read.format("binaryFile").load(pattern).select(F.regexp_replace("path", "^file:/+", "/").alias("path"), "length").dropDuplicates(["path"])
 
 
+def discovered(spark: SparkSession, patterns: list[str]) -> DataFrame:
+    """(path, length) of the files that any pattern names, each once by the place it resolves to; patterns without a file give none."""
+    import glob
+    import os
+
+    # names only; a store's folders are few
+    found = sorted({os.path.realpath(f) for p in patterns for f in glob.glob(os.path.expanduser(p), recursive=True) if os.path.isfile(f)})
+    return stored_files(spark, found) if found else spark.createDataFrame([], "path string, length long")
+
+
+def total_size(files: DataFrame) -> int:
+    return files.agg(F.sum("length")).first()[0] or 0
+
+
 def credentials(spark: SparkSession, path: str) -> DataFrame:
     """tenant_id of credential files, by the ladder tenant, account, default."""
     rows = spark.read.schema("tenant_id string, account_id string").option("multiLine", True).json(path)
