@@ -26,6 +26,13 @@ def merged(hits: DataFrame, limit: int = 5) -> DataFrame:
     return per_key.orderBy(F.desc("match_count"), "best_rank", "tier", "key").limit(limit)
 
 
+def appended(stages: DataFrame, identity: list[str]) -> DataFrame:
+    """Rows of several stages (stage, pos, ...) joined so that a later stage never reorders or repeats what an earlier one has."""
+    others = [c for c in stages.columns if c not in (*identity, "stage", "pos")]
+    firsts = stages.groupBy(*identity).agg(F.min(F.struct("stage", "pos", *others)).alias("first"))
+    return firsts.select(*identity, "first.*").orderBy("stage", "pos")
+
+
 def paired_turns(turns: DataFrame, last: int = 20) -> DataFrame:
     """(conv_id, user_turn, turn, user_text, assistant_text): each assistant turn with the latest user turn not yet answered.
 

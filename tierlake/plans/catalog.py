@@ -2,15 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
-from ..functions.porter import terms_col
-from ..operators import documents, index, learn, lint, search, shape
-from ..sources.tables import coerced_body, is_container, latest, tenant_col, valid_identifier_col
+from ..operators import documents, index, learn, lint, memory, search, shape
+from ..sources.tables import Store, coerced_body, is_container, latest, tenant_col, valid_identifier_col, work_folder
 from . import adapters as ad
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -47,8 +47,47 @@ def _score(*words: str) -> str:
     return "WITH " + SCORE.replace("{words}", ", ".join(f"'{w}'" for w in words))
 
 
-def _refs(spark: SparkSession, sf: str) -> index.Index:
-    return index.build(index.searchable(reference=ad.references(spark, sf)), index.WORDS)
+#: What was made of a folder's tables in this session: saved indexes and stores. Derived data, made at first use.
+_MADE: dict[tuple, object] = {}
+
+
+def _made(spark: SparkSession, sf: str, name: str, tables: tuple[str, ...], make: Callable):
+    """``make(path)`` once for the tables as they are: their files are part of the key."""
+    files = tuple(sorted(f for t in tables for f in ad.table(spark, sf, t).inputFiles()))
+    key = (spark.sparkContext.applicationId, name, files)
+    if key not in _MADE:
+        _MADE[key] = make(f"{work_folder(spark)}/{name}-{uuid.uuid4().hex}")
+    return _MADE[key]
+
+
+def _saved(spark: SparkSession, sf: str, name: str, analyzer: index.Analyzer, tables: tuple[str, ...], **tiers: Callable) -> index.Index:
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    docs = lambda: index.searchable(**{tier: rows(spark, sf) for tier, rows in tiers.items()})
+    return _made(spark, sf, f"{name}-{analyzer.name}", tables, lambda path: index.build(docs(), analyzer).save(path, n))
+
+
+def _refs(spark: SparkSession, sf: str, analyzer: index.Analyzer = index.WORDS) -> index.Index:
+    """The saved index of the documents as references."""
+    return _saved(spark, sf, "references", analyzer, ("documents",), reference=ad.references)
+
+
+def _store(spark: SparkSession, sf: str, name: str, source: tuple[str, ...], **tables: Callable) -> Store:
+    """A store whose logs hold the tables' rows, each put once."""
+
+    def make(path: str) -> Store:
+        store = Store(spark, path)
+        store.create()
+        for table, rows in tables.items():
+            df = rows(spark, sf).withColumn("op", F.lit("put"))
+            df = df if "ts" in df.columns else df.withColumn("ts", F.col("updated_at"))
+            store.append(table, df if "id" in df.columns else df.withColumn("id", F.col("seq").cast("string")))
+        return store
+
+    return _made(spark, sf, f"store-{name}", source, make)
+
+
+def _client(spark: SparkSession, store: Store, tenant: str) -> memory.Memory:
+    return memory.Memory(spark, store.root, tenant=tenant, paid=True)
 
 
 def flagship(spark: SparkSession, sf: str) -> DataFrame:
@@ -104,7 +143,7 @@ SELECT tier, seq, round(rank, 6) AS rank, CAST(pos AS INT) AS pos FROM r WHERE p
 """
 )
 def cross_tier_union(spark, sf):
-    built = index.build(index.searchable(entities=ad.parts(spark, sf), journal=ad.journal(spark, sf)), index.WORDS)
+    built = _saved(spark, sf, "tiers", index.WORDS, ("part", "events"), entities=ad.parts, journal=ad.journal)
     return search.rank_words(built, [["1"]], 20).select("tier", "seq", F.round("rank", 6).alias("rank"), "pos")
 
 
@@ -122,7 +161,7 @@ def proximity_bucket(spark, sf):
 
 @query("SELECT doc_id FROM documents WHERE contains(lower(text), 'inging') AND contains(lower(text), 'est')")
 def substring_and(spark, sf):
-    folded = index.folded(index.searchable(reference=ad.references(spark, sf)))
+    folded = index.folded(_refs(spark, sf).docs)
     return search.rank_substrings(folded, ["inging est"], None).select(F.col("seq").alias("doc_id"))
 
 
@@ -138,7 +177,7 @@ SELECT doc_id, round(rank, 6) AS rank FROM r ORDER BY r.rank, doc_id LIMIT 20
 """
 )
 def trigram_rank(spark, sf):
-    folded = index.folded(index.searchable(reference=ad.references(spark, sf)))
+    folded = index.folded(_refs(spark, sf).docs)
     return search.rank_substrings(folded, ["tionen"], 20).select(F.col("seq").alias("doc_id"), F.round("rank", 6).alias("rank"))
 
 
@@ -182,13 +221,56 @@ def record_coverage(spark, sf):
     return cover.where((F.col("cover") >= search.FLOOR) & (F.col("rare") | (F.col("cover") >= search.HIGH))).select("doc_id", F.round("cover", 6).alias("cover"))
 
 
-@query()
+NEAR = rf"""n AS (SELECT d.doc_id, trim(regexp_replace(lower(source || '/' || d.doc_id || ' ' || text), '{W}', ' ', 'g')) AS t FROM documents d JOIN hit USING (doc_id) WHERE held = 2),
+p AS (SELECT doc_id, unnest(a) AS word, unnest(range(1, len(a) + 1)) AS i FROM (SELECT doc_id, string_split(t, ' ') AS a FROM n)),
+l AS (SELECT doc_id, i, max(CASE WHEN word = 'estion' THEN i END) OVER u AS x, max(CASE WHEN word = 'oution' THEN i END) OVER u AS y FROM p WINDOW u AS (PARTITION BY doc_id ORDER BY i)),
+s AS (SELECT doc_id, min(i - least(x, y) + 1) AS span FROM l WHERE x IS NOT NULL AND y IS NOT NULL GROUP BY doc_id)"""
+
+
+FOLDED = "replace(translate({x}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZłøđıðŁØĐÐ', 'abcdefghijklmnopqrstuvwxyzlodidlodd'), 'ß', 'ss')"
+
+
+@query(
+    # no text has the word "which", so the ladder drops the query's stopwords: both other words, or else the first of them, whose
+    # head of 20 gives back five places to substring hits of the stem "outio" if no text of the head holds that
+    _score("estion", "oution") + f""", {NEAR},
+b AS (SELECT doc_id, rank, CASE WHEN contains(' ' || t || ' ', ' estion oution ') THEN 0 WHEN span <= 6 THEN 1 ELSE 2 END AS bucket FROM n JOIN hit USING (doc_id) LEFT JOIN s USING (doc_id) ORDER BY rank, doc_id LIMIT 20),
+one AS (SELECT doc_id, {BM25} AS rank, row_number() OVER (ORDER BY {BM25}, doc_id) AS pos FROM tf JOIN df USING (term) JOIN dl USING (doc_id), st WHERE term = 'estion' QUALIFY pos <= 20),
+h AS (SELECT * FROM one WHERE pos <= CASE WHEN (SELECT count(*) FROM one) >= 20 THEN 15 ELSE 20 END),
+f AS (SELECT doc_id, source || '/' || doc_id || ' ' || text AS x FROM documents),
+o AS (SELECT count(*) AS holders FROM f JOIN h USING (doc_id) WHERE contains({FOLDED.format(x="substr(trim(regexp_replace(lower(replace(x, ' ', '  ')), '" + W + "', ' ', 'g')), 1, 4096)")}, 'outio')),
+g AS (SELECT doc_id, {FOLDED.format(x="x")} AS t FROM f),
+u AS (SELECT count(*) AS n, avg(greatest(0, length(t) - 2)) AS avgdl, sum(CASE WHEN contains(t, 'outio') THEN 1 ELSE 0 END) AS df FROM g),
+w AS (SELECT doc_id, length(t) - 2 AS dl, (length(t) - length(replace(t, 'outio', ''))) / 5 AS tf FROM g WHERE contains(t, 'outio')),
+r AS (SELECT * FROM (SELECT doc_id, {BM25} AS rank FROM w, u) ORDER BY rank, doc_id LIMIT 20),
+e AS (SELECT doc_id, rank, row_number() OVER (ORDER BY r.rank, doc_id) AS pos FROM r, o WHERE holders = 0 AND doc_id NOT IN (SELECT doc_id FROM h) QUALIFY pos <= 20 - (SELECT count(*) FROM h)),
+z AS (SELECT 1 AS stage, doc_id, rank, pos FROM h UNION ALL SELECT 2, doc_id, rank, pos FROM e UNION ALL SELECT 3, doc_id, rank, pos FROM one WHERE doc_id NOT IN (SELECT doc_id FROM h UNION ALL SELECT doc_id FROM e)),
+y AS (SELECT row_number() OVER (ORDER BY bucket, b.rank, doc_id) AS pos, doc_id, rank FROM b UNION ALL
+  SELECT row_number() OVER (ORDER BY stage, z.pos) AS pos, doc_id, rank FROM z WHERE NOT EXISTS (SELECT 1 FROM b))
+SELECT CAST(pos AS INT) AS pos, 'reference' AS tier, (SELECT source || '/' || d.doc_id FROM documents d WHERE d.doc_id = y.doc_id) AS key, round(y.rank, 6) AS rank FROM y WHERE pos <= 20"""
+)
 def search_ladder(spark, sf):
     built = _refs(spark, sf)
     return search.search(built, index.folded(built.docs), "which estion and oution", limit=20).select("pos", "tier", "key", F.round("rank", 6).alias("rank"))
 
 
-@query()
+@query(
+    # each word's hits are the documents that have it as a word, then those that have it anywhere, 200 in all
+    "WITH " + STATS + f"""tf AS (SELECT doc_id, term, count(*) AS tf FROM tok WHERE term IN ('estion', 'oution') GROUP BY doc_id, term), df AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
+head AS (SELECT * FROM (SELECT term, doc_id, {BM25} AS rank, row_number() OVER (PARTITION BY term ORDER BY {BM25}, doc_id) AS pos FROM tf JOIN df USING (term) JOIN dl USING (doc_id), st) WHERE pos <= 200),
+f AS (SELECT doc_id, replace(translate(source || '/' || doc_id || ' ' || text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZłøđıðŁØĐÐ', 'abcdefghijklmnopqrstuvwxyzlodidlodd'), 'ß', 'ss') AS t FROM documents),
+gs AS (SELECT count(*) AS n, avg(greatest(0, length(t) - 2)) AS avgdl FROM f),
+sh AS (SELECT term, doc_id, length(t) - 2 AS dl, (length(t) - length(replace(t, term, ''))) / length(term) AS tf FROM f, (SELECT unnest(['estion', 'oution']) AS term) WHERE contains(t, term)),
+sd AS (SELECT term, count(*) AS df FROM sh GROUP BY term),
+sp AS (SELECT * FROM (SELECT term, doc_id, {BM25} AS rank, row_number() OVER (PARTITION BY term ORDER BY {BM25}, doc_id) AS pos FROM sh JOIN sd USING (term), gs) WHERE pos <= 200),
+more AS (SELECT sp.*, row_number() OVER (PARTITION BY sp.term ORDER BY sp.pos) AS k FROM sp LEFT JOIN head ON head.term = sp.term AND head.doc_id = sp.doc_id WHERE head.doc_id IS NULL),
+hits AS (SELECT term, doc_id, rank FROM head UNION ALL SELECT term, doc_id, rank FROM more WHERE k <= 200 - (SELECT count(*) FROM head WHERE head.term = more.term)),
+i AS (SELECT term, count(*) AS df, ln(((SELECT count(*) FROM documents) + 1.0) / (count(*) + 1.0)) + 1 AS idf FROM hits GROUP BY term),
+c AS (SELECT doc_id, sum(idf) / (SELECT sum(idf) FROM i) AS cover, least(0, min(rank)) AS best, arg_min(rank, term) AS rank,
+  max(CASE WHEN df <= greatest(2, round_even(2.0 * (SELECT min(df) FROM i), 0)) THEN 1 ELSE 0 END) AS rare FROM hits JOIN i USING (term) GROUP BY doc_id),
+k AS (SELECT *, row_number() OVER (ORDER BY cover DESC, best, doc_id) AS pos FROM c WHERE cover >= 0.45 AND (rare = 1 OR cover >= 0.65))
+SELECT CAST(pos AS INT) AS pos, 'reference' AS tier, (SELECT source || '/' || x.doc_id FROM documents x WHERE x.doc_id = k.doc_id) AS key, round(k.rank, 6) AS rank FROM k WHERE pos <= 10"""
+)
 def search_records(spark, sf):
     built = _refs(spark, sf)
     return search.search_records(built, index.folded(built.docs), "estion oution the", corpus=built.docs.count()).select("pos", "tier", "key", F.round("rank", 6).alias("rank"))
@@ -196,11 +278,11 @@ def search_records(spark, sf):
 
 @query()
 def porter_search(spark, sf):
-    built = index.build(index.searchable(reference=ad.references(spark, sf)), terms_col)
+    built = _refs(spark, sf, index.PORTER)
     return search.rank_words(built, [["the", "and"]], 20).select(F.col("seq").alias("doc_id"), F.round("rank", 6).alias("rank"))
 
 
-@query()
+@query("SELECT CAST(row_number() OVER () AS INT) AS pos, 'reference' AS tier, source || '/' || doc_id AS key FROM documents WHERE contains(lower(text), 'estion') AND contains(lower(text), 'qqqzzz')")
 def abstain(spark, sf):
     """A content word without a hit empties the whole result."""
     built = _refs(spark, sf)
@@ -212,12 +294,14 @@ def abstain(spark, sf):
 
 @query("SELECT CAST(o_orderkey AS VARCHAR) AS name, strftime(o_orderdate, '%Y-%m-%dT%H:%M:%S.%gZ') AS updated_at FROM orders WHERE o_orderstatus = 'P' ORDER BY updated_at DESC, o_orderkey DESC LIMIT 100")
 def list_entities(spark, sf):
-    return ad.orders(spark, sf).where("category = 'order' and status = 'P'").orderBy(F.desc("updated_at"), F.desc("seq")).limit(100).select("name", "updated_at")
+    store = _store(spark, sf, "orders", ("orders",), entities=ad.orders)
+    return _client(spark, store, "shop").list_entities("order", "P", 100).select("name", "updated_at")
 
 
 @query("SELECT CAST(event_id AS VARCHAR) AS id, strftime(ts, '%Y-%m-%dT%H:%M:%S.%gZ') AS ts FROM events WHERE strftime(ts, '%Y-%m-%dT%H:%M:%S.%gZ') BETWEEN '2024-01-02' AND '2024-01-05' ORDER BY 2 DESC, 1 DESC LIMIT 50")
 def read_events_range(spark, sf):
-    return ad.journal(spark, sf).where(F.col("ts").between("2024-01-02", "2024-01-05")).orderBy(F.desc("ts"), F.desc("id")).limit(50).select("id", "ts")
+    store = _store(spark, sf, "events", ("events",), journal_events=lambda *a: ad.journal(*a).withColumn("tenant_id", F.lit("one")))
+    return _client(spark, store, "one").read_events(50, "2024-01-02", "2024-01-05").select("id", "ts")
 
 
 def _log(spark, sf):
@@ -246,24 +330,33 @@ def delete_then_recreate(spark, sf):
 
 @query("SELECT CAST(o_orderkey AS VARCHAR) AS name, o_orderstatus AS status, CASE WHEN o_orderstatus = 'F' THEN 'archive' ELSE 'active' END AS place FROM orders")
 def archive_move(spark, sf):
-    rows = ad.orders(spark, sf)
-    keys = rows.where("status = 'F'").select("category", "name")
-    moved = rows.join(keys, ["category", "name"], "left_semi").withColumn("place", F.lit("archive"))
-    return rows.join(keys, ["category", "name"], "left_anti").withColumn("place", F.lit("active")).unionByName(moved).select("name", "status", "place")
+    """Every entity and where it is after those of status F were archived."""
+
+    def make(path: str) -> Store:
+        store = Store(spark, path)
+        rows = ad.orders(spark, sf).withColumn("op", F.lit("put")).withColumn("ts", F.col("updated_at")).withColumn("id", F.col("name"))
+        store.append("entities", rows)
+        store.archive(store.live("entities").where("status = 'F'"), "2024-02-01T00:00:00.000Z", "done")
+        return store
+
+    store = _made(spark, sf, "store-archive", ("orders",), make)
+    old = store.scan("entities").where("op = 'put'").select(F.col("id").alias("original_entity_id"), "status")
+    moved = store.scan("archived_entities").join(old, "original_entity_id").select("name", "status", F.lit("archive").alias("place"))
+    return store.live("entities").select("name", "status", F.lit("active").alias("place")).unionByName(moved)
 
 
 @query("SELECT 'journal' AS tier, CAST(user_id % 3 AS VARCHAR) AS tenant_id, count(*) AS n FROM events GROUP BY 2 UNION ALL SELECT 'reference', lang, count(*) FROM documents GROUP BY 2 UNION ALL SELECT 'entity', 'shop', count(*) FROM part")
 def count_by_tenant(spark, sf):
-    out = None
-    for tier, df in (("journal", ad.journal(spark, sf)), ("reference", ad.references(spark, sf)), ("entity", ad.parts(spark, sf))):
-        part = df.groupBy("tenant_id").agg(F.count(F.lit(1)).alias("n")).select(F.lit(tier).alias("tier"), "tenant_id", "n")
-        out = part if out is None else out.unionByName(part)
-    return out
+    store = _store(spark, sf, "tiers", ("part", "documents", "events"), entities=ad.parts, reference_documents=ad.references, journal_events=ad.journal)
+    tiers = {"journal_events": "journal", "reference_documents": "reference", "entities": "entity"}
+    return store.counts_by_tenant(tuple(tiers)).replace(tiers, subset="table").withColumnRenamed("table", "tier")
 
 
 @query("SELECT 'part/' || p_brand AS category, count(*) AS n, greatest(count(*) - 70, 0) AS added FROM part GROUP BY p_brand ORDER BY n DESC, category")
 def category_counts_delta(spark, sf):
-    return ad.parts(spark, sf).groupBy("category").agg(F.count(F.lit(1)).alias("n")).withColumn("added", F.greatest(F.col("n") - 70, F.lit(0))).orderBy(F.desc("n"), "category")
+    store = _store(spark, sf, "tiers", ("part", "documents", "events"), entities=ad.parts, reference_documents=ad.references, journal_events=ad.journal)
+    before = store.category_counts("shop").select("category", F.lit(70).alias("n"))
+    return store.category_counts("shop", before)
 
 
 @query("SELECT doc_id, coalesce(CASE WHEN doc_id % 3 > 0 THEN lang END, CASE WHEN doc_id % 2 = 0 THEN source END, '00000000-0000-0000-0000-000000000001') AS tenant FROM documents")
@@ -491,7 +584,7 @@ def append_dedupe(spark, sf):
     """Union that keeps a row's first stage and never reorders the head."""
     d = ad.table(spark, sf, "documents").select("doc_id")
     rows = d.where("doc_id % 5 = 0").withColumn("stage", F.lit(1)).unionByName(d.where("doc_id % 3 = 0").withColumn("stage", F.lit(2)))
-    return rows.groupBy("doc_id").agg(F.min("stage").alias("stage")).orderBy("stage", "doc_id").limit(300)
+    return shape.appended(rows.withColumn("pos", F.col("doc_id")), ["doc_id"]).select("stage", "doc_id").limit(300)
 
 
 @query("SELECT event_id, props LIKE '{%' AS container FROM events")

@@ -187,6 +187,39 @@ class Store:
         found = rows.join(ids, ["tenant_id", "entity_id"], "left").withColumn("entity_id", F.when(F.col("there"), F.col("entity_id")))
         return found.select(*rows.columns)
 
+    def counts_by_tenant(self, tables: tuple[str, ...] = tuple(TABLES)) -> DataFrame:
+        """(table, tenant_id, n): live rows."""
+        parts = [self.live(t).groupBy("tenant_id").agg(F.count(F.lit(1)).alias("n")).select(F.lit(t).alias("table"), "tenant_id", "n") for t in tables]
+        out = parts[0]
+        for part in parts[1:]:
+            out = out.unionByName(part)
+        return out
+
+    def category_counts(self, tenant: str | None = None, before: DataFrame | None = None) -> DataFrame:
+        """(category, n, added): live entities, most first; added since ``before`` (category, n), never less than 0."""
+        now = self.live("entities", tenant).groupBy("category").agg(F.count(F.lit(1)).alias("n"))
+        was = F.lit(0)
+        if before is not None:
+            now, was = now.join(before.select("category", F.col("n").alias("was")), "category", "left"), F.coalesce("was", F.lit(0))
+        return now.select("category", "n", F.greatest(F.col("n") - was, F.lit(0)).alias("added")).orderBy(F.desc("n"), "category")
+
+    def archive(self, keys: DataFrame, at: str, reason: str | None = None) -> int:
+        """Move live entities (tenant_id, category, name) to the archive; returns how many.
+
+        The archive is written first: what is cut off in between is in both places, not in none, and
+        a second run does not archive again what is there already.
+        """
+        rows = self.live("entities").join(keys.select(*KEYS["entities"]).distinct(), KEYS["entities"], "left_semi")
+        there = self.scan("archived_entities").select(F.col("original_entity_id").alias("id"))
+        made = rows.join(there, "id", "left_anti").select(
+            F.col("seq"), F.concat(F.lit("a-"), "id").alias("id"), "tenant_id", F.col("id").alias("original_entity_id"), "category", "name", "body", F.lit(at).alias("archived_at"), F.lit(reason).cast("string").alias("archive_reason"),
+        )
+        gone = rows.withColumn("seq", F.col("seq") * 0 + F.lit(self.next_seq("entities")) + F.monotonically_increasing_id()).withColumn("op", F.lit("delete")).withColumn("ts", F.lit(at))
+        n = rows.count()
+        self.append("archived_entities", made)
+        self.append("entities", gone.select("seq", "op", "id", *KEYS["entities"], "ts"))
+        return n
+
     def count_rows(self, table: str, tenant: str) -> int:
         if table not in ("entities", "state_documents", "journal_events", "reference_documents", "archived_entities"):
             raise ValidationError(f"rows of {table} are not counted")
@@ -201,6 +234,23 @@ class Store:
         return total
 
 
+def work_folder(spark: SparkSession) -> str:
+    """A folder that driver and executors share, for derived data: under ``spark.checkpoint.dir``, or on one machine a temporary one."""
+    import tempfile
+
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if root:
+        return root.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise StorageError("spark.checkpoint.dir is not set, and executors do not see the driver's folders")
+    if "folder" not in _LOCAL:
+        _LOCAL["folder"] = tempfile.mkdtemp(prefix="tierlake-")
+    return f"file://{_LOCAL['folder']}"
+
+
+_LOCAL: dict[str, str] = {}
+
+
 def stored_files(spark: SparkSession, pattern: str | list[str]) -> DataFrame:
     """(path, length) of files, each once."""
     return spark.read.format("binaryFile").load(pattern).select(F.regexp_replace("path", "^file:/+", "/").alias("path"), "length").dropDuplicates(["path"])
