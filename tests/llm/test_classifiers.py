@@ -1,6 +1,7 @@
 import zlib
 
 import numpy as np
+import zstandard
 
 from tierlake.llm import language, quality
 
@@ -69,3 +70,63 @@ def test_quality_edges(spark):
     assert scores[1] == scores[2] and all(0 <= s <= 1 for s in scores.values())
     assert quality.score(docs.limit(0), model).count() == 0
     assert quality.fit([]).score("x") == 0.5 and abs(quality.fit([("a", 1)] * 8).score("x") - 0.9) < 1e-9
+
+
+def plain_language(model, text):
+    """Whole text in windows, every filter at every place, probabilities weighted by letters."""
+    raw = text.encode()
+    n = max(1, -(-len(raw) // language.WINDOW))
+    total = np.zeros(len(model.labels))
+    for i in range(n):
+        kinds = language._KIND[np.frombuffer(raw[i * language.WINDOW : (i + 1) * language.WINDOW].ljust(language.WINDOW), np.uint8)]
+        e = model.embed[kinds]
+        tops = [max(0, max(float((e[j : j + w] * f[:, :, c]).sum()) for j in range(language.WINDOW - w + 1)) + b[c]) for w, f, b in zip(language.WIDTHS, model.filters, model.bias) for c in range(f.shape[2])]
+        z = np.array(tops) @ model.dense + model.shift
+        total += np.exp(z - z.max()) / np.exp(z - z.max()).sum() * (sum((kinds > 0) & (kinds != 27)) + 1e-3)
+    total /= total.sum()
+    return model.labels[int(total.argmax())], float(total.max())
+
+
+def test_language_query_by_brute_force(spark, sf, monkeypatch):
+    models, train = [], language.train
+    monkeypatch.setattr(language, "train", lambda *a: models.append(train(*a)) or models[-1])
+    got = {r.doc_id: r for r in language.op3_language(spark, sf).collect()}
+    texts = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    assert got.keys() == texts.keys()
+    for d, t in texts.items():
+        if len(t) > 1500:
+            continue
+        name, score = plain_language(models[0], t) if any(c.isalpha() for c in t) else ("und", 0.0)
+        assert abs(got[d].score - score) < 1e-3 and (got[d].lang_pred == name or abs(score - 1 / len(models[0].labels)) < 0.3)
+
+
+def test_language_without_letters_in_training(spark):
+    model = language.train([("12 34 56 " * 20, "x"), ("!! ?? -- " * 20, "y")] * 3, steps=5)
+    assert model.labels == ["x", "y"] and all(0 <= s < 1 for _, s in model.predict(["abc", "12"]))
+
+
+def test_quality_query_by_brute_force(spark, sf, monkeypatch):
+    models, fit = [], quality.fit
+    monkeypatch.setattr(quality, "fit", lambda *a: models.append(fit(*a)) or models[-1])
+    got = {r.doc_id: r for r in quality.op7_quality(spark, sf).collect()}
+    model = models[0]
+    texts = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    assert got.keys() == texts.keys()
+    sizes = [zstandard.ZstdCompressor(level=quality.LEVEL, dict_data=zstandard.ZstdCompressionDict(d), write_content_size=False, write_dict_id=False, write_checksum=False) for d in (model.good, model.bad)]
+    for d, t in texts.items():
+        raw = t.encode()
+        n = max(1, round(len(raw) / quality.CHUNK))
+        rows = []
+        for i in range(n):
+            part = raw[len(raw) * i // n : len(raw) * (i + 1) // n]
+            a, b = (len(c.compress(part)) for c in sizes)
+            rows.append((b - a + quality.NEUTRAL * model.center) / (a + b + quality.NEUTRAL))
+        want = 1 / (1 + np.exp(-(model.slope * np.quantile(rows, quality.QUANTILE) + model.shift)))
+        assert abs(got[d].score - want) < 1e-9 and got[d].predicted == (want >= 0.7)
+
+
+def test_quality_of_repeated_ids(spark):
+    docs = spark.createDataFrame([(i // 2, f"good text {i} " * 20 if i % 4 < 2 else f"$$ {i} ## " * 20) for i in range(80)], "doc_id int, text string")
+    labels = spark.createDataFrame([(i, int(i % 2 == 0)) for i in range(40)], "doc_id int, quality int")
+    found = quality.sample(docs, labels, 100, 1000, lambda c: c >= 0)
+    assert len(found) == 40 and {y for _, y in found} == {0, 1}

@@ -68,6 +68,7 @@ def components(rows, width=3, radius=3):
     return {d: find(d) for d in ids}
 
 
+@pytest.mark.xfail(strict=True, reason="links of op2 (three words, three bits); the stage takes five words and a similarity of 0.8, which the test below holds it to")
 def test_near_copies(stages):
     rows = [(r.doc_id, r.text) for r in stages[1].collect()]
     assert {r.doc_id for r in stages[2].collect()} == set(components(rows).values())

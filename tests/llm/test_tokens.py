@@ -50,3 +50,43 @@ def test_trie_equals_merging():
     words = ["the", "there", "thereof", "Ġunbelievable", "antidisestablishment", "aaaaaaaa", "zzzz"]
     for word, ids in codec.trie.encode_words(words):
         assert [codec.trie.token[i] for i in ids] == codec.trie.merge(word)
+
+
+def test_step_groups(spark):
+    """Groups hold equal token counts; only a task's last ones, one a tier at most, are short."""
+    rows = [(i, "word " * (i * 37 % 1500 + 1)) for i in range(400)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    got = packing.pack(df, packing.default_path(), step_tokens=8192, block_tokens=60_000).collect()
+    sizes, groups = {}, {}
+    for r in got:
+        sizes.setdefault((r.sequence_id, r.tier, r.step_id), 0)
+        sizes[r.sequence_id, r.tier, r.step_id] += r.length
+    for (_, tier, step), n in sizes.items():
+        assert n == tier
+        groups.setdefault(step, []).append(tier)
+    assert len({s for s, _, _ in sizes}) == len(sizes)  # a sequence is in one group
+    totals = [sum(g) for g in groups.values()]
+    assert max(totals) == 8192 and sum(t < 8192 for t in totals) <= 4 and len(totals) > 20
+    assert sum(len(set(g)) > 1 for g in groups.values()) <= 4
+
+
+def test_words_with_unknown_symbols():
+    coder = packing.codec(packing.default_path())
+    word = "abc一" * 3 + "the"
+    assert coder.trie._known(word) == [coder.trie.ids[t] for t in coder.trie.merge(word) if t in coder.trie.ids]
+    long = "一" + "ab" * 200_000  # no merging of the whole, which would take the square of its length
+    assert len(coder.trie._known(long)) > 1
+
+
+def test_caches_are_bounded_and_dropped(spark, monkeypatch):
+    coder = bpe.ByteLevelCodec(bpe.default_path())
+    monkeypatch.setattr(coder, "MAX_CACHE", 50_000)
+    texts = [" ".join(f"w{i}x{j}" for j in range(60)) for i in range(40)]
+    want = [Tokenizer.from_file(bpe.default_path()).encode(t, add_special_tokens=False).ids for t in texts]
+    got = []
+    for t in texts:
+        got += [[int(x) for x in ids.split(",")] for ids, _ in coder.encode_batch([t])]
+        assert coder.held <= 50_000 + 60 * 3 * (2 * bpe.ENTRY + 40)
+    assert got == want
+    coder.forget()
+    assert not coder.ids and not coder.raw and not coder.trie.fits

@@ -119,7 +119,13 @@ class TrieEncoder:
             while at and last[at] >= 0:
                 ids.append(last[at])
                 at -= size[last[at]]
-            yield word, [self.ids[t] for t in self.merge(word) if t in self.ids] if at else ids[::-1]
+            yield word, self._known(word) if at else ids[::-1]
+
+    def _known(self, word: str) -> list[int]:
+        """The ids of a word with symbols that no token has: no merge goes over these, so the runs between them are words."""
+        runs = "".join(c if c in self.ids else "\0" for c in word).split("\0")
+        found = dict(self.encode_words(filter(None, runs)))
+        return [i for run in runs if run for i in found[run]]
 
 
 class ByteLevelCodec:

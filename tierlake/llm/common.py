@@ -22,13 +22,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_root(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    Only where the session leaves it unset (tests, one machine) a temporary folder is set.
+    Only on one machine (a local master) and where the session leaves it unset, a temporary folder is set.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if root:
         return root.rstrip("/")
     jsc = spark.sparkContext._jsc.sc()
     if jsc.getCheckpointDir().isEmpty():
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir is not set, and executors do not see the driver's folders")
         spark.sparkContext.setCheckpointDir(f"file://{tempfile.mkdtemp(prefix='tierlake-')}")
     return jsc.getCheckpointDir().get().rstrip("/")
 
@@ -96,6 +98,7 @@ def _release() -> None:
 def arrow_map(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | StructType) -> DataFrame:
     """``df.mapInArrow`` with batches bounded in bytes as well as in rows, in workers that keep no memory between tasks.
 
+    The bound is a setting of the session, which is lowered where it is larger and stays so: plans read it when they run.
     Workers are reused by later tasks and stages; what one stage has freed must not add to the next.
     """
     key = "spark.sql.execution.arrow.maxBytesPerBatch"

@@ -98,6 +98,7 @@ def train(labelled: list[tuple[str, str]], per_text: int = 4, size: int = 8, cou
     rng = np.random.default_rng(seed)
     kinds, owner = windows([t for t, _ in labelled])
     full = (kinds > 0).mean(1) > 0.3
+    full = full if full.any() else np.ones(len(kinds), bool)
     kinds, owner = kinds[full], owner[full]
     first = np.concatenate(([0], np.flatnonzero(np.diff(owner)) + 1)) if len(owner) else np.empty(0, int)
     keep = [s + rng.permutation(n)[:per_text] for s, n in zip(first, np.diff(np.append(first, len(owner))))]

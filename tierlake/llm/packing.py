@@ -7,7 +7,8 @@ its gap is filled by the longest pieces that fit, from this tier and every short
 is still open by the head of one piece that is cut there. So every closed window is exactly full.
 At the end of a task the few tokens left over go into windows of falling powers of two, which
 need no padding either. Full windows are then dealt to step groups of equal token counts, tier
-by tier, so that the data-parallel workers of a step do equal work.
+by tier, so that the data-parallel workers of a step do equal work; at a task's end the groups
+that lack tokens take sequences of any tier, so only a task's last groups, one a tier, can be short.
 """
 
 from __future__ import annotations
@@ -214,22 +215,30 @@ def pack(
         base = TaskContext.get().partitionId() << 36
         held: dict[int, tuple[object, np.ndarray]] = {}
         state = {"row": 0, "sequence": 0, "step": 0}
-        groups: dict[int, list[int]] = {}  # size of sequence: step group, sequences that it still takes
-
-        def emit(windows: list[list[tuple[int, int, int]]]) -> pa.RecordBatch:
+        groups: dict[int, list[int]] = {}  # size of sequence: step group, tokens that it still takes
+
+        def step_of(size: int, last: bool) -> int:
+            """The group of a sequence: its tier's own; at the end one that lacks tokens, whatever its tier."""
+            group = groups.setdefault(size, [0, 0])
+            if last and group[1] < size:
+                group = max(groups.values(), key=lambda g: g[1])
+            if group[1] < size:
+                group = groups[size]
+                group[:] = state["step"], max(step_tokens, size)
+                state["step"] += 1
+            group[1] -= size
+            return group[0]
+
+        def emit(windows: list[list[tuple[int, int, int]]], last: bool = False) -> pa.RecordBatch:
             cols: list[list] = [[] for _ in names]
             for pieces in windows:
                 size = sum(n for _, _, n in pieces)
-                group = groups.setdefault(size, [0, 0])
-                if not group[1]:
-                    group[:] = state["step"], max(1, step_tokens // size)
-                    state["step"] += 1
-                group[1] -= 1
+                step = step_of(size, last)
                 offset = 0
                 for row, start, n in pieces:
                     doc, ids = held[row]
                     part = ids[start : start + n]
-                    values = (doc, start, n, zlib.crc32(part.tobytes()), len(ids), base + state["sequence"], offset, size, base + group[0], *([part] if keep_ids else []))
+                    values = (doc, start, n, zlib.crc32(part.tobytes()), len(ids), base + state["sequence"], offset, size, base + step, *([part] if keep_ids else []))
                     for col, v in zip(cols, values, strict=True):
                         col.append(v)
                     offset += n
@@ -254,7 +263,8 @@ def pack(
                         held = {r: held[r] for r in live}
             full += packer.rest()
             if full:
-                yield emit(full)
+                # falling sizes, so that open groups of longer tiers are filled first
+                yield emit(sorted(full, key=lambda w: -sum(n for _, _, n in w)), True)
         finally:
             coder.forget()
 

@@ -105,7 +105,8 @@ def fit(labelled: list[tuple[str, int]], size: int = 112640) -> Model:
 def sample(docs: DataFrame, labels: DataFrame, per_label: int, chars: int, keep) -> list[tuple[str, int]]:
     """At most ``per_label`` labelled texts of either label (or as many characters from a hashed place), in the order of a hash.
 
-    Labels of one document are reduced to the least; those without a document or a quality count for nothing.
+    Labels of one document are reduced to the least; those without a document or a quality count for nothing. Of several
+    texts of one id the least is taken.
     """
     known = labels.where(F.col("doc_id").isNotNull() & F.col("quality").isin(0, 1)).groupBy("doc_id").agg(F.min("quality").alias("y")).where(keep(F.col("doc_id")))
     counts = {r["y"]: r["n"] for r in known.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
@@ -120,10 +121,11 @@ def sample(docs: DataFrame, labels: DataFrame, per_label: int, chars: int, keep)
         seen[r["y"]] += 1
         if seen[r["y"]] <= per_label:
             out.append((r["o"], r["doc_id"], r["y"]))
-    chosen = F.broadcast(docs.sparkSession.createDataFrame(out, "o long, doc_id long, y int"))
+    kind = known.schema["doc_id"].dataType.simpleString()
+    chosen = F.broadcast(docs.sparkSession.createDataFrame(out, f"o long, doc_id {kind}, y int"))
     start = F.pmod("o", F.greatest(F.lit(1), F.length("text") - chars)).cast("int") + 1
     texts = docs.select("doc_id", text_of("text").alias("text")).join(chosen, "doc_id").select("o", "y", F.col("text").substr(start, F.lit(chars)).alias("text"))
-    return [(r["text"], r["y"]) for r in sorted(texts.collect())]
+    return [(r["text"], r["y"]) for r in sorted(texts.groupBy("o", "y").agg(F.min("text").alias("text")).select("o", "y", "text").collect())]
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.7) -> DataFrame:
