@@ -134,3 +134,16 @@ def test_digest_ids_and_cuts(spark):
         assert dict(got.dtypes)["doc_id"] == df.dtypes[0][1].replace("short", "smallint")
         by = {int(r.doc_id): r.edited_sha256 for r in got.collect()}
         assert by == {d: hashlib.sha256(digest.edited(t, rows[(i + 1) % len(rows)][1]).encode()).hexdigest() for i, (d, t) in enumerate(rows)}
+
+
+def test_tiles_skip_by_population_count(monkeypatch):
+    r = np.random.default_rng(6)
+    fp = r.integers(0, 1 << 64, 700, np.uint64)
+    fp = np.concatenate((fp, fp[:200] ^ np.uint64(5), fp[:50] ^ np.uint64(9 << 40)))
+    pop = np.bitwise_count(fp).astype(np.int64)
+    order = np.argsort(pop, kind="stable")
+    fp, pop = fp[order], pop[order]
+    rest, to = simhash.tile_links(fp, pop, 3)
+    linked = np.bitwise_count(fp[:, None] ^ fp[None]) <= 3
+    label = simhash._labels(linked)
+    assert (rest == np.flatnonzero(label != np.arange(len(fp)))).all() and (to == label[rest]).all() and len(rest) >= 250

@@ -4,7 +4,8 @@ Fingerprints within the radius r agree in at least one of r + 1 blocks of their
 distinct fingerprints are gathered by block value. Each block value's fingerprints are tiles by
 population count, and are compared exactly, with numpy exclusive-or and bit counts, inside a tile
 and between two; tile pairs whose counts differ by more than the radius cannot hold a link and
-are never formed. Tiles give spanning links, not all pairs, and star contractions join these to
+are skipped. A block value that very many fingerprints share is cut into such tiles before, so
+that no task gets them all. Tiles give spanning links, not all pairs, and star contractions join these to
 components. Equal fingerprints are one row throughout, so copies cost nothing.
 """
 
@@ -63,20 +64,30 @@ def _labels(linked: np.ndarray) -> np.ndarray:
     n = len(linked)
     label = np.arange(n)
     while True:
-        new = np.minimum(label, np.where(linked, label[None, :], n).min(1))
+        new = label.copy()
+        for at in range(0, n, 256):
+            new[at : at + 256] = np.minimum(label[at : at + 256], np.where(linked[at : at + 256], label[None, :], n).min(1))
         new = new[new]
         if (new == label).all():
             return label
         label = new
 
 
-def tile_links(fp: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Spanning links (indexes) of the fingerprints of one tile, or of a pair of tiles."""
-    linked = np.zeros((len(fp), len(fp)), bool)
-    for at in range(0, len(fp), 256):
-        linked[at : at + 256] = np.bitwise_count(fp[at : at + 256, None] ^ fp[None, :]) <= radius
+def tile_links(fp: np.ndarray, pop: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """Spanning links (indexes) of fingerprints sorted by population count.
+
+    Rows of one count, 128 at most, are a tile; tiles whose counts differ by more than the radius are not compared.
+    """
+    n = len(fp)
+    linked = np.zeros((n, n), bool)
+    edges = np.flatnonzero(np.diff(pop, prepend=-1))
+    edges = np.unique(np.concatenate([np.arange(a, b, 128) for a, b in zip(edges, [*edges[1:], n])]))
+    reach = np.searchsorted(pop, pop[edges] + radius, "right")
+    for at, end, to in zip(edges.tolist(), [*edges[1:].tolist(), n], reach.tolist()):
+        linked[at:end, at:to] = np.bitwise_count(fp[at:end, None] ^ fp[None, at:to]) <= radius
+    linked |= linked.T
     label = _labels(linked)
-    rest = np.flatnonzero(label != np.arange(len(fp)))
+    rest = np.flatnonzero(label != np.arange(n))
     return rest, label[rest]
 
 
@@ -85,16 +96,14 @@ def tiled(keyed: DataFrame, key: str, kind: str, part: str, reach: int, tile: in
 
     A key's rows of one kind (a small number) are cut, by a hash of column ``part``, into tiles of
     about ``tile`` rows (or rows of that ``weight``); an item is one tile or a pair of tiles, and
-    rows are repeated for every item. Keys of at most ``whole`` rows are one item; if that is 1, keys
-    of one row, which has no partner, go.
+    rows are repeated for every item. Keys of at most ``whole`` rows (or of that weight) are one item.
     """
     sizes = keyed.groupBy(key, kind).agg((F.count(F.lit(1)) if weight is None else F.sum(weight)).alias("n")).groupBy(key).agg(
         F.sum("n").alias("total"), F.collect_list(F.struct(F.col(kind).alias("kind"), F.ceil(F.col("n") / tile).cast("int").alias("m"))).alias("tiles")
     ).where(F.col("total") > whole).select(key, "tiles")  # at most one entry for each kind
-    if whole > 1:  # few keys as a rule, so that the rows need no shuffle by key
-        sizes = checkpointed(sizes)
-        sizes = F.broadcast(sizes) if sizes.count() <= BROADCAST_KEYS else sizes
-    work = keyed.join(sizes, key, "left" if whole > 1 else "inner")
+    sizes = checkpointed(sizes)  # few keys as a rule, so that the rows need no shuffle by key
+    sizes = F.broadcast(sizes) if sizes.count() <= BROADCAST_KEYS else sizes
+    work = keyed.join(sizes, key, "left")
     own = F.struct(F.col(kind).alias("kind"), F.pmod(F.xxhash64(part), F.filter("tiles", lambda t: t.kind == F.col(kind))[0]["m"]).cast("int").alias("part"))
     near = F.flatten(F.transform(F.filter("tiles", lambda t: F.abs(t.kind - F.col(kind)) <= reach), lambda t: F.transform(F.sequence(F.lit(0), t.m - 1), lambda i: F.struct(t.kind.alias("kind"), i.alias("part")))))
     none = F.struct(F.lit(0).alias("kind"), F.lit(0).alias("part"))
@@ -128,10 +137,10 @@ def links(fps: DataFrame, radius: int = 3, tile: int = 1024, bits: int = 64) ->
     blocks = radius + 1
     edges_at = [bits * i // blocks for i in range(blocks + 1)]
     keys = F.array(*[F.lit(i << 56) + F.shiftrightunsigned(F.shiftleft("fp", 64 - hi), 64 - hi + lo) for i, (lo, hi) in enumerate(zip(edges_at, edges_at[1:]))])
-    work = tiled(fps.select("fp", F.bit_count("fp").alias("pop"), F.explode(keys).alias("key")), "key", "pop", "fp", radius, tile, 1).select("item", "fp")
+    work = tiled(fps.select("fp", F.bit_count("fp").alias("pop"), F.explode(keys).alias("key")), "key", "pop", "fp", radius, tile, tile).select("item", "pop", "fp")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for item, fp in whole_items(batches):
+        for item, pop, fp in whole_items(batches):
             fp = fp.view(np.uint64)
             u, v = [], []
             start = np.flatnonzero(np.concatenate(([True], item[1:] != item[:-1])))
@@ -141,14 +150,15 @@ def links(fps: DataFrame, radius: int = 3, tile: int = 1024, bits: int = 64) ->
                 i = np.flatnonzero(small[:-d] & (item[:-d] == item[d:])) if d < len(item) else []
                 if not len(i):
                     break
+                i = i[pop[i + d] - pop[i] <= radius]
                 i = i[np.bitwise_count(fp[i] ^ fp[i + d]) <= radius]
                 u.append(fp[i + d]), v.append(fp[i])
             for s, n in zip(start[size > 32].tolist(), size[size > 32].tolist()):
-                a, b = tile_links(fp[s : s + n], radius)
+                a, b = tile_links(fp[s : s + n], pop[s : s + n], radius)
                 u.append(fp[s + a]), v.append(fp[s + b])
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).view(np.int64) if x else np.empty(0, np.int64)) for x in (u, v)], names=["u", "v"])
 
-    return work.repartition("item").sortWithinPartitions("item").transform(arrow_map, run, "u long, v long")
+    return work.repartition("item").sortWithinPartitions("item", "pop").transform(arrow_map, run, "u long, v long")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, radius: int = 3) -> DataFrame:
