@@ -23,7 +23,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow_map, table, text_of
+from .common import arrow_map, register_cache, table, text_of
 
 #: Bytes of a cached word beside its characters and ids: two objects' heads and a place in a table.
 ENTRY = 200
@@ -141,7 +141,7 @@ class ByteLevelCodec:
     BLANKS = r"\t-\r \x85\xa0"
     LATIN = rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{LETTERS}]+| ?[{NUMBERS}]+| ?[^{BLANKS}{LETTERS}{NUMBERS}]+|[{BLANKS}]+(?![^{BLANKS}])|[{BLANKS}]+"
     #: Bytes that the cached words may take, by an estimate of what Python needs for them.
-    MAX_CACHE = 64 << 20
+    MAX_CACHE = 192 << 20
 
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as f:
@@ -164,7 +164,7 @@ class ByteLevelCodec:
         self.held = 0
 
     def forget(self) -> None:
-        """Drop all cached words; a worker calls it at the end of its task, so that only the tables stay."""
+        """Drop all cached words; a worker calls it when another stage begins, so that only the tables stay."""
         self.ids.clear(), self.raw.clear()
         self.held = 0
         self.trie.fits.clear()
@@ -228,7 +228,9 @@ class ByteLevelCodec:
 
 @lru_cache(maxsize=2)
 def codec(path: str) -> ByteLevelCodec:
-    return ByteLevelCodec(path)
+    made = ByteLevelCodec(path)
+    register_cache(made.forget)
+    return made
 
 
 def encode_decode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", keep_ids: bool = False) -> DataFrame:
@@ -242,22 +244,19 @@ def encode_decode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = codec(path)
-        try:
-            for batch in batches:
-                n, ids, out, full, plain = [], [], [], [], []
-                for joined, text in coder.encode_batch(batch.column(1).to_pylist()):
-                    n.append(joined.count(",") + 1 if joined else 0)
-                    ids.append(hashlib.sha256(joined.encode()).hexdigest())
-                    out.append(hashlib.sha256(text.encode()).hexdigest())
-                    if keep_ids:
-                        full.append([int(i) for i in joined.split(",")] if joined else [])
-                        plain.append(text)
-                arrays = [batch.column(0), pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(out, pa.string())]
+        for batch in batches:
+            n, ids, out, full, plain = [], [], [], [], []
+            for joined, text in coder.encode_batch(batch.column(1).to_pylist()):
+                n.append(joined.count(",") + 1 if joined else 0)
+                ids.append(hashlib.sha256(joined.encode()).hexdigest())
+                out.append(hashlib.sha256(text.encode()).hexdigest())
                 if keep_ids:
-                    arrays += [pa.array(full, pa.list_(pa.int32())), pa.array(plain, pa.string())]
-                yield pa.RecordBatch.from_arrays(arrays, names=names)
-        finally:
-            coder.forget()
+                    full.append([int(i) for i in joined.split(",")] if joined else [])
+                    plain.append(text)
+            arrays = [batch.column(0), pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(out, pa.string())]
+            if keep_ids:
+                arrays += [pa.array(full, pa.list_(pa.int32())), pa.array(plain, pa.string())]
+            yield pa.RecordBatch.from_arrays(arrays, names=names)
 
     kind = docs.schema[id_col].dataType.simpleString()
     schema = f"`{id_col}` {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>, decoded string" * keep_ids

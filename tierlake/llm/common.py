@@ -10,6 +10,7 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -95,11 +96,32 @@ def _release() -> None:
         ctypes.CDLL("libc.so.6").malloc_trim(0)
 
 
+#: What empties a cache of this worker, and the stage that filled the caches.
+_CACHES: list[Callable[[], None]] = []
+_STAGE: list[int] = []
+
+
+def register_cache(forget: Callable[[], None]) -> None:
+    """A cache that may live as long as its stage: the worker's first task of another stage calls ``forget``."""
+    _CACHES.append(forget)
+
+
+def _enter() -> None:
+    context = TaskContext.get()
+    stage = context.stageId() if context else -1
+    if _STAGE != [stage]:
+        _STAGE[:] = [stage]
+        for forget in _CACHES:
+            forget()
+        _release()
+
+
 def arrow_map(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | StructType) -> DataFrame:
-    """``df.mapInArrow`` with batches bounded in bytes as well as in rows, in workers that keep no memory between tasks.
+    """``df.mapInArrow`` with batches bounded in bytes as well as in rows, in workers that keep no memory between stages.
 
     The bound is a setting of the session, which is lowered where it is larger and stays so: plans read it when they run.
-    Workers are reused by later tasks and stages; what one stage has freed must not add to the next.
+    Workers are reused by later tasks and stages; what one stage has freed must not add to the next, and caches that
+    ``register_cache`` knows, which are bounded in bytes, are emptied when another stage begins.
     """
     key = "spark.sql.execution.arrow.maxBytesPerBatch"
     now = df.sparkSession.conf.get(key)
@@ -107,6 +129,7 @@ def arrow_map(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[
         df.sparkSession.conf.set(key, str(BATCH_BYTES))
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _enter()
         try:
             yield from run(batches)
         finally:

@@ -28,14 +28,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bpe import ENTRY, TrieEncoder, byte_symbols, without_gc
-from .common import arrow_map, table, text_of
+from .common import arrow_map, register_cache, table, text_of
 
 
 class WordCodec:
     """Ids of the tokenizers library for BPE with word ends over lower-cased text."""
 
     #: Bytes that the cached words may take, by an estimate of what Python needs for them.
-    MAX_CACHE = 48 << 20
+    MAX_CACHE = 128 << 20
     END = 0x1000
     #: The public pre-tokenization pattern, as it reads for lower-case text of Latin-1.
     LETTERS = r"a-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\xff"
@@ -58,7 +58,7 @@ class WordCodec:
         self.held = 0
 
     def forget(self) -> None:
-        """Drop all cached words; a worker calls it at the end of its task, so that only the tables stay."""
+        """Drop all cached words; a worker calls it when another stage begins, so that only the tables stay."""
         self.ids.clear()
         self.held = 0
         self.trie.fits.clear()
@@ -117,7 +117,9 @@ class WordCodec:
 
 @lru_cache(maxsize=2)
 def codec(path: str) -> WordCodec:
-    return WordCodec(path)
+    made = WordCodec(path)
+    register_cache(made.forget)
+    return made
 
 
 class TierPacker:
@@ -247,26 +249,23 @@ def pack(
 
         types: list[pa.DataType] = []
         full: list[list[tuple[int, int, int]]] = []
-        try:
-            for batch in batches:
-                types = types or [batch.schema.field(0).type, *[pa.int64()] * (len(names) - 1 - keep_ids), *([pa.list_(pa.int64())] if keep_ids else [])]
-                for doc, ids in zip(batch.column(0).to_pylist(), coder.encode_batch(batch.column(1).to_pylist())):
-                    row = state["row"]
-                    state["row"] += 1
-                    held[row] = doc, np.append(ids, np.uint32(end_id)).astype("<u4")
-                    full += packer.add(row, len(held[row][1]))
-                    if packer.tokens + sum(map(len, full)) * tiers[-1] > block_tokens:
-                        full += packer.windows()
-                        yield emit(full)
-                        full = []
-                        live = {p[1] for pieces in packer.open for p in pieces}
-                        held = {r: held[r] for r in live}
-            full += packer.rest()
-            if full:
-                # falling sizes, so that open groups of longer tiers are filled first
-                yield emit(sorted(full, key=lambda w: -sum(n for _, _, n in w)), True)
-        finally:
-            coder.forget()
+        for batch in batches:
+            types = types or [batch.schema.field(0).type, *[pa.int64()] * (len(names) - 1 - keep_ids), *([pa.list_(pa.int64())] if keep_ids else [])]
+            for doc, ids in zip(batch.column(0).to_pylist(), coder.encode_batch(batch.column(1).to_pylist())):
+                row = state["row"]
+                state["row"] += 1
+                held[row] = doc, np.append(ids, np.uint32(end_id)).astype("<u4")
+                full += packer.add(row, len(held[row][1]))
+                if packer.tokens + len(full) * tiers[-1] > block_tokens:  # those of full are whole long windows
+                    full += packer.windows()
+                    yield emit(full)
+                    full = []
+                    live = {p[1] for pieces in packer.open for p in pieces}
+                    held = {r: held[r] for r in live}
+        full += packer.rest()
+        if full:
+            # falling sizes, so that open groups of longer tiers are filled first
+            yield emit(sorted(full, key=lambda w: -sum(n for _, _, n in w)), True)
 
     kind = docs.schema[id_col].dataType.simpleString()
     names = [id_col, "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "tier", "step_id", *(["ids"] if keep_ids else [])]
