@@ -58,7 +58,7 @@ class TrieEncoder:
     ``vocab`` maps symbol strings to ids and ``merges`` lists pairs in rank order.
     """
 
-    MAX_PAIRS = 250_000
+    MAX_PAIRS = 300_000
 
     def __init__(self, vocab: dict[str, int], merges: Iterable[tuple[str, str]]):
         self.rank = {pair: i for i, pair in enumerate(merges)}
@@ -140,7 +140,8 @@ class ByteLevelCodec:
     NUMBERS = r"0-9\xb2\xb3\xb9\xbc-\xbe"
     BLANKS = r"\t-\r \x85\xa0"
     LATIN = rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{LETTERS}]+| ?[{NUMBERS}]+| ?[^{BLANKS}{LETTERS}{NUMBERS}]+|[{BLANKS}]+(?![^{BLANKS}])|[{BLANKS}]+"
-    #: Bytes that the cached words may take, by an estimate of what Python needs for them.
+    #: Bytes that the cached words may take, by an estimate of what Python needs for them, in two generations: when the young
+    #: one is full it becomes the old one, from which words that come again are taken over.
     MAX_CACHE = 192 << 20
 
     def __init__(self, path: str):
@@ -161,12 +162,12 @@ class ByteLevelCodec:
         self.runs = re.compile(rf" ?[^{self.SPACE}]+|[{self.SPACE}]+(?![^{self.SPACE}])|[{self.SPACE}]+")
         self.ids: dict[str, str] = {}
         self.raw: dict[str, bytes] = {}
+        self.old: tuple[dict[str, str], dict[str, bytes]] = {}, {}
         self.held = 0
 
     def forget(self) -> None:
         """Drop all cached words; a worker calls it when another stage begins, so that only the tables stay."""
-        self.ids.clear(), self.raw.clear()
-        self.held = 0
+        self.ids, self.raw, self.old, self.held = {}, {}, ({}, {}), 0
         self.trie.fits.clear()
 
     def pieces(self, text: str) -> list[str]:
@@ -186,11 +187,14 @@ class ByteLevelCodec:
     @without_gc
     def learn(self, runs: set[str]) -> None:
         """Put the runs that are not known yet in the cache, by one trie walk over their words."""
+        if self.held > self.MAX_CACHE // 2:
+            self.ids, self.raw, self.old, self.held = {}, {}, (self.ids, self.raw), 0
         new = runs.difference(self.ids)
-        if self.held > self.MAX_CACHE:
-            self.forget()
-            new = runs
         self.held += sum(map(len, new)) * 4 + len(new) * 2 * ENTRY
+        again = new & self.old[0].keys()
+        for mine, theirs in zip((self.ids, self.raw), self.old):
+            mine.update(zip(again, map(theirs.__getitem__, again)))
+        new -= again
         plain = [r for r in new if r[1:].isalpha() and r[0].isalpha() | (r[0] == " ") and r not in self.special]
         mixed = {r: [self.special[r]] if r in self.special else self.words.findall(r) for r in new.difference(plain)}
         words = {w for ws in mixed.values() for w in ws if isinstance(w, str)}

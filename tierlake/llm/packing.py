@@ -34,8 +34,9 @@ from .common import arrow_map, register_cache, table, text_of
 class WordCodec:
     """Ids of the tokenizers library for BPE with word ends over lower-cased text."""
 
-    #: Bytes that the cached words may take, by an estimate of what Python needs for them.
-    MAX_CACHE = 128 << 20
+    #: Bytes that the cached words may take, by an estimate of what Python needs for them, in two generations: when the young
+    #: one is full it becomes the old one, from which words that come again are taken over.
+    MAX_CACHE = 160 << 20
     END = 0x1000
     #: The public pre-tokenization pattern, as it reads for lower-case text of Latin-1.
     LETTERS = r"a-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\xff"
@@ -55,12 +56,12 @@ class WordCodec:
         self.words = re.compile(self.LATIN)
         self.table = dict(enumerate(byte_symbols()))
         self.ids: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
         self.held = 0
 
     def forget(self) -> None:
         """Drop all cached words; a worker calls it when another stage begins, so that only the tables stay."""
-        self.ids.clear()
-        self.held = 0
+        self.ids, self.old, self.held = {}, {}, 0
         self.trie.fits.clear()
 
     def parts(self, text: str) -> list[str]:
@@ -79,11 +80,13 @@ class WordCodec:
 
     @without_gc
     def learn(self, units: set[str]) -> None:
+        if self.held > self.MAX_CACHE // 2:
+            self.ids, self.old, self.held = {}, self.ids, 0
         new = units.difference(self.ids)
-        if self.held > self.MAX_CACHE:
-            self.forget()
-            new = units
         self.held += sum(map(len, new)) * 2 + len(new) * ENTRY
+        again = new & self.old.keys()
+        self.ids.update(zip(again, map(self.old.__getitem__, again)))
+        new -= again
         spelled, odd = {}, {}
         for u in new:
             if u[0] != " ":
