@@ -483,9 +483,9 @@ def pending_anti(spark, sf):
     return learn.propose(events, slugs).select("slug", "hits")
 
 
-@query("SELECT count(*) AS events_scanned, max(event_id) AS cursor_after_seq, max(strftime(ts, '%Y-%m-%dT%H:%M:%S.%gZ')) AS cursor_after_ts FROM (SELECT * FROM events WHERE event_id > 100 ORDER BY event_id LIMIT 500)")
+@query("SELECT count(*) AS events_scanned, max(event_id) AS cursor_after_seq, max(strftime(ts, '%Y-%m-%dT%H:%M:%S.%gZ')) AS cursor_after_ts FROM (SELECT * FROM events WHERE event_id > 100 ORDER BY event_id LIMIT 10000)")
 def watermark_increment(spark, sf):
-    return learn.watermark(learn.load(ad.journal(spark, sf), 100, limit=500)).select("events_scanned", "cursor_after_seq", "cursor_after_ts")
+    return learn.watermark(learn.load(ad.journal(spark, sf), 100)).select("events_scanned", "cursor_after_seq", "cursor_after_ts")
 
 
 @query("SELECT DISTINCT source AS raw, left(trim(regexp_replace(regexp_replace(lower(source || '  Äx/' || lang || '!!'), '[^a-z0-9-]+', '-', 'g'), '-+', '-', 'g'), '-'), 80) AS slug FROM documents")
@@ -546,13 +546,14 @@ def namespace_depth(spark, sf):
 
 @query(
     """
-WITH b AS (SELECT doc_id, CASE WHEN length(text) > 1500 THEN substr(text, 1, 1500) || '…' ELSE text END AS t, length(text) > 1500 AS truncated FROM (SELECT * FROM documents ORDER BY doc_id LIMIT 500)),
+WITH b AS (SELECT doc_id, CASE WHEN length(text) > 1500 THEN substr(text, 1, 1500) || '…' ELSE text END AS t, length(text) > 1500 AS truncated FROM (SELECT * FROM documents ORDER BY doc_id LIMIT 10000)),
 r AS (SELECT *, sum(length(t)) OVER (ORDER BY doc_id) AS s, row_number() OVER (ORDER BY doc_id) AS n FROM b)
 SELECT doc_id, truncated, CAST(length(t) AS BIGINT) AS chars FROM r WHERE n = 1 OR s <= 200000
 """
 )
 def output_budget(spark, sf):
-    hits = ad.table(spark, sf, "documents").select("doc_id", F.col("text").alias("body")).orderBy("doc_id").limit(500)
+    """A page of the largest size that a query may ask for, cut to the budget of an answer."""
+    hits = ad.table(spark, sf, "documents").select("doc_id", F.col("text").alias("body")).orderBy("doc_id").limit(tx.MAX_LIMIT)
     return shape.bounded(hits, [F.col("doc_id")]).select("doc_id", "truncated", F.length("body").cast("long").alias("chars"))
 
 
@@ -579,12 +580,12 @@ def marker_scrub(spark, sf):
     return ad.table(spark, sf, "documents").select("doc_id", tx.scrub_col(F.concat(F.lit("[untrusted memory context begin "), "lang", F.lit("] "), "text")).alias("t"))
 
 
-@query("WITH s AS (SELECT 1 AS stage, doc_id FROM documents WHERE doc_id % 5 = 0 UNION ALL SELECT 2, doc_id FROM documents WHERE doc_id % 3 = 0), f AS (SELECT doc_id, min(stage) AS stage FROM s GROUP BY doc_id) SELECT stage, doc_id FROM f ORDER BY stage, doc_id LIMIT 300")
+@query("SELECT min(stage) AS stage, doc_id FROM (SELECT 1 AS stage, doc_id FROM documents WHERE lang = 'en' UNION ALL SELECT 2, doc_id FROM documents) GROUP BY doc_id")
 def append_dedupe(spark, sf):
-    """Union that keeps a row's first stage and never reorders the head."""
-    d = ad.table(spark, sf, "documents").select("doc_id")
-    rows = d.where("doc_id % 5 = 0").withColumn("stage", F.lit(1)).unionByName(d.where("doc_id % 3 = 0").withColumn("stage", F.lit(2)))
-    return shape.appended(rows.withColumn("pos", F.col("doc_id")), ["doc_id"]).select("stage", "doc_id").limit(300)
+    """English documents, then all: a later stage adds what is new and never repeats or reorders the head."""
+    d = ad.table(spark, sf, "documents").select("doc_id", "lang")
+    rows = d.where("lang = 'en'").withColumn("stage", F.lit(1)).unionByName(d.withColumn("stage", F.lit(2)))
+    return shape.appended(rows.select("stage", "doc_id", F.col("doc_id").alias("pos")), ["doc_id"]).select("stage", "doc_id")
 
 
 @query("SELECT event_id, props LIKE '{%' AS container FROM events")
