@@ -9,18 +9,17 @@ from tierlake.llm import topk
 
 def brute(cands, queries, k):
     def clean(rows):
-        best = {}
-        for i, v in rows:
-            if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v):
-                w = [math.floor(1024 * x) for x in v]
-                best[i] = min(best.get(i, w), w)
-        return best
+        fit = [(i, v) for i, v in rows if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v)]
+        return [(i, [math.floor(1024 * x) for x in v]) for i, v in fit]
 
     c, q = clean(cands), clean(queries)
     out = []
-    for i, v in q.items():
-        s = sorted((-sum(a * b for a, b in zip(v, w)), j) for j, w in c.items() if j != i)[:k]
-        out += [(i, r + 1, j, -x) for r, (x, j) in enumerate(s)]
+    for own in q:
+        rest = list(c)
+        if own in rest:
+            rest.remove(own)
+        s = sorted((-sum(a * b for a, b in zip(own[1], w)), j) for j, w in rest)[:k]
+        out += [(own[0], r + 1, j, -x) for r, (x, j) in enumerate(s)]
     return sorted(out)
 
 
@@ -31,6 +30,7 @@ def test_brute_force(spark, block, group):
     rows += [(100 + i, rows[3][1]) for i in range(30)]  # one very common vector
     rows += [(200, [0.0] * 6), (201, None), (202, [1.0, None] * 3), (203, [float("nan")] * 6), (204, [float("inf")] * 6), (None, rows[0][1])]
     rows += [(205, []), (206, [2.0]), (5, rows[6][1]), (7, rows[7][1])]
+    rows += [(6, rows[8][1]), (9, rows[9][1])] + [(300, rows[1][1])] * 25  # rows of one id, equal and not
     df = spark.createDataFrame([(*r, "x", 1) for r in rows], "vec_id long, embedding array<float>, g string, b int")
     exact = [(i, v if v is None else [None if x is None else float(np.float32(x)) for x in v]) for i, v in rows]
     asked = [r for r in exact if r[0] is None or r[0] % 3 == 0 or r[0] >= 200]

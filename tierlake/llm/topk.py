@@ -44,13 +44,14 @@ class SortedLists:
         self.met = 0  # vectors scored so far, over all queries
 
     def top(self, query: np.ndarray, own: int, k: int, step: int = 32, wide: int = 16, best: list[tuple[int, int]] = []) -> list[tuple[int, int]]:
-        """The k best (score, id) of the block without the id ``own`` and of ``best``, ties to smaller ids; fewer if there are fewer."""
+        """The k best (score, id) of the block without one row of id ``own`` equal to the query, and of ``best``, ties to smaller ids; fewer if there are fewer."""
         n = len(self.ids)
         dims = np.flatnonzero(query)
         weight = query[dims]
         down = weight > 0
         met = np.zeros(n, bool)
-        met[np.searchsorted(self.ids, own, "left") : np.searchsorted(self.ids, own, "right")] = True
+        low, high = np.searchsorted(self.ids, own, "left"), np.searchsorted(self.ids, own, "right")
+        met[low + np.flatnonzero((self.vectors[low:high] == query).all(1))[:1]] = True
         left = n - int(met.sum())
         score, ids = (np.array(x, np.int64) for x in zip(*best)) if best else (_NONE, _NONE)
         depth = np.zeros(len(dims), np.int64)
@@ -94,11 +95,12 @@ def top_k(
     """(query_id, rank, vec_id, score): each query's k candidates of largest integer inner product.
 
     Components x become floor(scale * x), x as double; scores are exact while they fit a long.
-    Candidates are all rows of ``vectors`` but those with the query's id; ties go to the smaller id.
-    Rows whose id or vector is null, or whose vector holds a null or non-finite component, take no
-    part, as query or candidate. Rows of one id are one vector, the least of them. Vectors of fewer
-    components than others count as filled with zeros. Other columns are not read; an empty side
-    gives no rows. ``block`` vectors are a block; at most ``group`` queries, and ROUND components
+    Candidates are all rows of ``vectors`` but one of the query's id and vector, which is the query's
+    own row; ties go to the smaller id. Every row counts: rows of one id are queries and candidates of
+    their own, and an equal row beside the query's own one is a candidate. Rows whose id or vector is
+    null, or whose vector holds a null or non-finite component, take no part, as query or candidate.
+    Vectors of fewer components than others count as filled with zeros. Other columns are not read; an
+    empty side gives no rows. ``block`` vectors are a block; at most ``group`` queries, and ROUND components
     of them, are a round, which is the only data that is collected and broadcast.
     """
     spark = vectors.sparkSession
@@ -107,9 +109,13 @@ def top_k(
         whole = F.transform(F.col(vec_col), lambda x: F.floor(x.cast("double") * scale).cast("long"))
         fit = F.forall(vec_col, lambda x: F.coalesce(~F.isnan(x) & (F.abs(x) < float("inf")), F.lit(False)))
         rows = df.where(F.col(id_col).isNotNull() & F.col(vec_col).isNotNull()).where(fit)
-        return rows.select(F.col(id_col).cast("long").alias("id"), whole.alias("v")).groupBy("id").agg(F.min("v").alias("v"))
+        return rows.select(F.col(id_col).cast("long").alias("id"), whole.alias("v"))
 
-    cand, ask = checkpointed(clean(vectors)), checkpointed(clean(queries))
+    # equal rows are counted first: k of them and the query's own can matter, and equal queries have equal results
+    alike = lambda df: clean(df).groupBy("id", "v").agg(F.count(F.lit(1)).alias("n"))
+    copies = F.explode(F.sequence(F.lit(1), F.least("n", F.lit(k + 1))))
+    cand = checkpointed(alike(vectors).select("id", "v", copies.alias("copy")).drop("copy"))
+    ask = checkpointed(alike(queries).withColumn("q", F.monotonically_increasing_id()))
     many, width = cand.agg(F.count(F.lit(1)), F.max(F.size("v"))).first()
     asked, wider = ask.agg(F.count(F.lit(1)), F.max(F.size("v"))).first()
     width = max(width or 0, wider or 0, 1)
@@ -124,32 +130,35 @@ def top_k(
         return pd.DataFrame({"ids": [made.ids.tobytes()], "vectors": [made.vectors.tobytes()], "lists": [made.lists.tobytes()]})
 
     tasks = min(blocks, max(2 * spark.sparkContext.defaultParallelism, blocks // 16))
-    cand = cand.withColumn("b", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")).repartition(tasks, "b")
+    cand = cand.withColumn("b", F.pmod(F.xxhash64("id", "v"), F.lit(blocks)).cast("int")).repartition(tasks, "b")
     built = saved(cand.groupBy("b").applyInPandas(build, "ids binary, vectors binary, lists binary"), "blocks")
-    ask = checkpointed(ask.withColumn("g", F.pmod(F.xxhash64("id"), F.lit(max(1, -(-asked // group)))).cast("int")))
+    ask = checkpointed(ask.withColumn("g", F.pmod(F.xxhash64("id", "v"), F.lit(max(1, -(-asked // group)))).cast("int")))
     out = shared_path(spark, "top")
-    kind = "query_id long, vec_id long, score long"
+    kind = "q long, vec_id long, score long"
     spark.createDataFrame([], kind).write.parquet(out)
     for g in range(-(-asked // group)):
-        rows = ask.where(F.col("g") == g).select("id", "v").toPandas()  # about ``group`` queries
-        sent = spark.sparkContext.broadcast((rows["id"].tolist(), filled(rows["v"])))
+        rows = ask.where(F.col("g") == g).select("q", "id", "v").toPandas()  # about ``group`` queries
+        sent = spark.sparkContext.broadcast((rows["q"].tolist(), rows["id"].tolist(), filled(rows["v"])))
 
         def search(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            ids, asks = sent.value
+            numbers, ids, asks = sent.value
             best: list[list[tuple[int, int]]] = [[] for _ in ids]
             for batch in batches:
                 for own, flat, lists in zip(*(c.to_pylist() for c in batch.columns)):
                     here = SortedLists(np.frombuffer(own, np.int64), np.frombuffer(flat, np.int64).reshape(-1, width), np.frombuffer(lists, np.int32).reshape(-1, width))
                     for i, query in enumerate(asks):
                         best[i] = here.top(query, ids[i], k, best=best[i])
-            found = [(i, v, s) for i, b in zip(ids, best) for s, v in b]
-            yield pa.RecordBatch.from_arrays([pa.array([f[j] for f in found], pa.int64()) for j in range(3)], names=["query_id", "vec_id", "score"])
+            found = [(i, v, s) for i, b in zip(numbers, best) for s, v in b]
+            yield pa.RecordBatch.from_arrays([pa.array([f[j] for f in found], pa.int64()) for j in range(3)], names=["q", "vec_id", "score"])
 
         arrow_map(built, search, kind).write.mode("append").parquet(out)
         sent.unpersist()
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")  # k rows of a query for each task at most
+    order = Window.partitionBy("q").orderBy(F.desc("score"), "vec_id")  # k rows of a query for each task at most
     parts = spark.read.schema(kind).parquet(out)
-    return parts.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    best = parts.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    named = best.join(ask.select("q", F.col("id").alias("query_id"), "n"), "q")
+    each = F.explode(F.sequence(F.lit(1), F.col("n"))).alias("copy")  # once for every equal query row
+    return named.select("query_id", "rank", "vec_id", "score", each).drop("copy")
 
 
 def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
