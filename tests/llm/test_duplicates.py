@@ -76,35 +76,68 @@ def test_components_path(spark):
     assert got == {**{i: 0 for i in range(201)}, 300: 300, 301: 300}
 
 
-def brute_ranks(data):
+def brute_entropies(data, window):
     out = []
-    for i in range(len(data) - digest.WINDOW + 1):
-        w = data[i : i + digest.WINDOW]
+    for i in range(len(data) - window + 1):
+        w = data[i : i + window]
         c = np.array([w.count(x) for x in set(w)], float)
-        entropy = 1000 - int((c * np.log2(c)).sum() * 1000 / (np.log2(digest.WINDOW) * digest.WINDOW))
-        out.append(digest._NEVER if entropy < digest.LEAST else 1000 - abs(entropy - digest.COMMON))
-    return np.array(out)
+        out.append(1000 - int((c * np.log2(c)).sum() * 1000 / (np.log2(window) * window)))
+    return np.array(out, int)
+
+
+def near(a, b, slack=1):
+    return len(a) == len(b) and (not len(a) or np.abs(a.astype(int) - b).max() <= slack)
 
 
 def test_digest_features():
-    data = ("The quick brown fox jumps over 13 lazy dogs; ünïcode too. " * 3 + "a" * 80 + "xyz" * 20).encode()
-    rank = digest.ranks(np.frombuffer(data, np.uint8), segment=50)
-    assert np.abs(rank - brute_ranks(data)).max() <= 1
-    points = np.zeros(len(rank), int)
-    for i in range(len(rank) - digest.RUN + 1):
-        points[min(range(i, i + digest.RUN), key=lambda j: (rank[j], j))] += 1
-    assert digest.select(rank, segment=37).tolist() == [i for i in range(len(rank)) if points[i] >= digest.POINTS and rank[i] < digest._NEVER]
+    texts = [("The quick brown fox jumps over 13 lazy dogs; ünïcode too. " * 3 + "a" * 80 + "xyz" * 20), "short text of some more words", "abc", ""]
+    for text in texts:
+        for window in (4, 11, 16):
+            assert near(digest.entropies(np.frombuffer(text.encode(), np.uint8), window, segment=50), brute_entropies(text.encode(), window))
+    counts = digest.tally(texts)
+    want = [0] * 17
+    for t in texts:
+        w = min(16, max(4, len(t) // 8))
+        want[w] += max(0, len(t.encode()) - w + 1)
+    assert counts.sum(1).tolist() == want[4:]
+    rare = digest.rarity(counts)
+    for row, n in zip(rare, counts):
+        used = [e for e in range(digest.STEPS) if e >= digest.LEAST]
+        assert sorted(used, key=lambda e: row[e]) == sorted(used, key=lambda e: (n[e], e)) and (row[: digest.LEAST] == digest._NEVER).all()
+    for text in texts:
+        w = min(16, max(4, len(text) // 8))
+        rank = rare[w - 4][digest.entropies(np.frombuffer(text.encode(), np.uint8), w)]
+        run = min(16, max(1, len(rank) // 8))
+        points = np.zeros(len(rank), int)
+        for i in range(len(rank) - run + 1):
+            points[min(range(i, i + run), key=lambda j: (rank[j], j))] += 1
+        assert digest.select(rank, segment=37).tolist() == [i for i in range(len(rank)) if points[i] >= max(1, run // 4) and rank[i] < digest._NEVER]
+
+
+def test_digest_of_short_texts():
+    """A short text has features too: half of it in common is seen, nothing in common is not."""
+    texts = ["gentle rivers bend around the old mill", "forty quick zebras jump over wax piles"]
+    rare = digest.rarity(digest.tally(texts))
+    a, b, c = digest.digests([texts[0], digest.edited(texts[0], texts[1]), texts[1]], rare)
+    assert 0.2 < digest.likeness(a, b) < 0.8 and digest.likeness(a, c) < 0.05
+
+
+def test_ranks_count_all_documents(spark):
+    texts = ["one two three " * 20, None, "", "abcdefg", "é" * 500, "one two three " * 20]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").repartition(3)
+    assert (digest.measured(df) == digest.tally([t or "" for t in texts])).all()
+    assert digest.measured(df.limit(0)).sum() == 0
 
 
 def test_digest_query(spark, sf):
     rows = sorted((r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").collect())
     got = {r.doc_id: r for r in digest.op1_digest(spark, sf).collect()}
     assert len(got) == len(rows)
-    same = {}
+    same, rare = {}, digest.rarity(digest.tally([t or "" for _, t in rows]))
     for i, (d, t) in enumerate(rows):
         n = rows[(i + 1) % len(rows)][1]
         e = digest.edited(t, n)
-        a, b, c = digest.digests([t]) + digest.digests([e]) + digest.digests([n])
+        a, b, c = digest.digests([t, e, n], rare)
         assert got[d].n_chars == len(t) and got[d].edited_sha256 == hashlib.sha256(e.encode()).hexdigest()
         assert (got[d].fingerprint, got[d].edited_fingerprint) == (a.text(), b.text())
         assert abs(got[d].near_edited - digest.likeness(a, b)) < 1e-9 and abs(got[d].near_next - digest.likeness(a, c)) < 1e-9

@@ -1,12 +1,15 @@
 """Improbable-feature digests: rare byte windows in chained Bloom filters, compared by bit overlap.
 
-Every 16-byte window of a text has an entropy. A window is the rarer, the farther its entropy lies
-from that of common prose; in every run of 16 neighbouring windows the rarest one (leftmost of
-equals) scores a point, and windows with enough points are the text's features. Windows of nearly
-constant bytes never are. Very short texts have too few windows; their short grams are the features.
-Features enter Bloom filters of 2048 bits, five bits each, at most 160
-features to a filter, then the next filter of the chain begins. Two digests are compared filter by
-filter: bits in common beyond those that chance explains, over the most that could be in common.
+Every window of 16 bytes of a text has an entropy. How rare an entropy is, is measured: its count over
+the windows of all documents makes the table of ranks, the rarest entropy first. In every run of 16
+neighbouring windows the rarest one (leftmost of equals) scores a point, and windows with a quarter
+of a run's length in points are the text's features. Windows of nearly constant bytes never are.
+Windows and runs shrink with a short text, so that it has features too: a window has an eighth of the
+text's code points as bytes, 4 to 16 (an edited text has as many), a run an eighth of the text's
+windows, 1 to 16; each length of window has its own table. A text without a feature is one itself.
+Features enter Bloom filters of 2048 bits, five bits each, at most 160 features to a filter, then
+the next filter of the chain begins. Two digests are compared filter by filter: bits in common
+beyond those that chance explains, over the most that could be in common.
 """
 
 from __future__ import annotations
@@ -26,18 +29,16 @@ from pyspark.sql.pandas.types import to_arrow_type
 
 from .common import arrow_map, partitions, table, text_of
 
-WINDOW, RUN, POINTS, PER_FILTER, BITS, HASHES = 16, 16, 4, 160, 2048, 5
-#: Texts of fewer bytes have each of their short grams as a feature.
-SHORT, GRAM = 128, 5
-#: Entropies in thousandths of the largest: that of common prose, and the least that a feature may have.
-COMMON, LEAST = 850, 100
+WINDOWS, RUN, PER_FILTER, BITS, HASHES = range(4, 17), 16, 160, 2048, 5
+#: Entropies are thousandths of the largest, STEPS values in all; LEAST is the least that a feature may have.
+STEPS, LEAST = 1001, 100
 SLACK = 0.1
 _NEVER = 1 << 14
 #: Ranges of ids, whose cuts and heads the driver holds; each is sorted by one task, on disk where memory ends.
 MOST_BUCKETS = 16384
 
 #: _GAIN[c]: by how much the sum of c log2 c over a window's byte counts grows as a count reaches c; in 2**-20.
-_F = np.array([0.0, *(c * np.log2(c) for c in range(1, WINDOW + 1))])
+_F = np.array([0.0, *(c * np.log2(c) for c in range(1, WINDOWS[-1] + 1))])
 _GAIN = np.concatenate(([0], np.rint(np.diff(_F) * (1 << 20)).astype(np.int64)))
 
 
@@ -50,25 +51,51 @@ class Digest(NamedTuple):
         return f"{self.features}:{base64.b64encode(self.filters.tobytes()).decode()}"
 
 
-def ranks(data: np.ndarray, segment: int = 65536) -> np.ndarray:
-    """Of each window's start its rarity as a rank, lower is rarer; _NEVER where it can be no feature."""
-    n = len(data) - WINDOW + 1
+def entropies(data: np.ndarray, window: int, segment: int = 65536) -> np.ndarray:
+    """The entropy of the window at each start, in thousandths of the largest."""
+    n = len(data) - window + 1
     out = np.empty(max(0, n), np.int16)
     for at in range(0, n, segment):
-        b = data[at : at + segment + WINDOW - 1]
+        b = data[at : at + segment + window - 1]
         m = len(b)
         ahead, behind, same = np.ones(m, np.uint8), np.ones(m, np.uint8), np.empty(m, bool)
-        for d in range(1, WINDOW):
+        for d in range(1, window):
             np.equal(b[d:], b[:-d], out=same[: m - d])
             s = same[: m - d].view(np.uint8)
             ahead[: m - d] += s
             behind[d:] += s
-        total = np.empty(m - WINDOW + 1, np.int64)
-        total[0] = _GAIN[behind[:WINDOW]].sum()
-        np.cumsum(_GAIN[behind[WINDOW:]] - _GAIN[ahead[: m - WINDOW]], out=total[1:])
+        total = np.empty(m - window + 1, np.int64)
+        total[0] = _GAIN[behind[:window]].sum()
+        np.cumsum(_GAIN[behind[window:]] - _GAIN[ahead[: m - window]], out=total[1:])
         total[1:] += total[0]
-        entropy = 1000 - (total * 1000 / (np.log2(WINDOW) * WINDOW * (1 << 20))).astype(np.int64)
-        out[at : at + len(total)] = np.where(entropy < LEAST, _NEVER, 1000 - np.abs(entropy - COMMON))
+        out[at : at + len(total)] = 1000 - (total * 1000 / (np.log2(window) * window * (1 << 20))).astype(np.int64)
+    return out
+
+
+def _alike(texts: list[str]) -> Iterator[tuple[int, list[int], list[bytes], np.ndarray]]:
+    """(window, places, bytes, entropies of the joined bytes) of the texts of each length of window."""
+    window = [max(WINDOWS[0], min(WINDOWS[-1], len(t) // 8)) for t in texts]
+    for w in sorted(set(window)):
+        places = [i for i, x in enumerate(window) if x == w]
+        raw = [texts[i].encode() for i in places]
+        yield w, places, raw, entropies(np.frombuffer(b"".join(raw), np.uint8), w)
+
+
+def tally(texts: list[str]) -> np.ndarray:
+    """How many windows of the texts have each entropy, by length of window."""
+    counts = np.zeros((len(WINDOWS), STEPS), np.int64)
+    for w, _, raw, every in _alike(texts):
+        at = 0
+        for data in raw:
+            counts[w - WINDOWS[0]] += np.bincount(every[at : at + max(0, len(data) - w + 1)], minlength=STEPS)
+            at += len(data)
+    return counts
+
+
+def rarity(counts: np.ndarray) -> np.ndarray:
+    """The rank of each entropy, by length of window: lower is rarer, equally rare ones by entropy; _NEVER below LEAST."""
+    out = np.argsort(np.argsort(counts, axis=1, kind="stable"), axis=1, kind="stable").astype(np.int16)
+    out[:, :LEAST] = _NEVER
     return out
 
 
@@ -86,12 +113,14 @@ def _least(rank: np.ndarray, width: int) -> np.ndarray:
 
 def select(rank: np.ndarray, segment: int = 1 << 18) -> np.ndarray:
     """Starts of the features, in order, for the ranks of one text's windows."""
-    width = min(RUN, len(rank))
+    if not len(rank):
+        return np.empty(0, np.int64)
+    width = min(RUN, max(1, len(rank) // 8))
     points = np.zeros(len(rank), np.int32)
     for at in range(0, len(rank) - width + 1, segment):
         part = rank[at : at + segment + width - 1]
         points[at : at + len(part)] += np.bincount(_least(part, width), minlength=len(part)).astype(np.int32)
-    return np.flatnonzero((points >= min(POINTS, len(rank) - width + 1)) & (rank < _NEVER))
+    return np.flatnonzero((points >= max(1, width // 4)) & (rank < _NEVER))
 
 
 def make(hashes: list[int]) -> Digest:
@@ -104,24 +133,43 @@ def make(hashes: list[int]) -> Digest:
     return Digest(len(h), np.packbits(bits, axis=1), np.bincount(nth, minlength=chain))
 
 
-def digests(texts: list[str]) -> list[Digest]:
-    """The digest of each whole text. A long text without a feature has one: all of it; an empty text has none."""
-    raw = [t.encode() for t in texts]
-    joined = np.frombuffer(b"".join(raw), np.uint8)
-    all_ranks = ranks(joined)
-    out, at = [], 0
-    for data in raw:
-        if len(data) < SHORT:
-            out.append(make([xxhash.xxh64_intdigest(data[i : i + GRAM]) for i in range(max(1, len(data) - GRAM + 1)) if data]))
+def digests(texts: list[str], rare: np.ndarray) -> list[Digest]:
+    """The digest of each whole text, with a table of ranks. A text without a feature has one, all of it; an empty text has none."""
+    out: list[Digest] = [make([])] * len(texts)
+    for w, places, raw, every in _alike(texts):
+        rank, at = rare[w - WINDOWS[0]][every], 0
+        for i, data in zip(places, raw):
+            found = select(rank[at : at + max(0, len(data) - w + 1)]).tolist()
+            parts = [data[j : j + w] for j in found] or [data][: len(data)]
+            out[i] = make([xxhash.xxh64_intdigest(p) for p in parts])
             at += len(data)
-            continue
-        found = select(all_ranks[at : at + len(data) - WINDOW + 1]).tolist()
-        parts = [data[i : i + WINDOW] for i in found] or [data]
-        out.append(make([xxhash.xxh64_intdigest(p) for p in parts]))
-        at += len(data)
     return out
 
 
+def measured(docs: DataFrame, text_col: str = "text") -> np.ndarray:
+    """``tally`` of all documents' whole texts; a count for each window length and entropy is what reaches the driver."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros((len(WINDOWS), STEPS), np.int64)
+        for batch in batches:
+            part, size = [], 0
+            for text in batch.column(0).to_pylist():
+                part.append(text)
+                size += len(text)
+                if size > 500_000:
+                    counts += tally(part)
+                    part, size = [], 0
+            counts += tally(part)
+        some = np.flatnonzero(counts)
+        yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array(counts.ravel()[some])], names=["at", "n"])
+
+    found = docs.select(text_of(text_col).alias("text")).transform(arrow_map, run, "at long, n long").groupBy("at").agg(F.sum("n").alias("n"))
+    out = np.zeros(len(WINDOWS) * STEPS, np.int64)
+    for r in found.collect():
+        out[r["at"]] = r["n"]
+    return out.reshape(-1, STEPS)
+
+
 def likeness(a: Digest, b: Digest) -> float:
     """0 to 1. Each filter of the shorter chain counts by its features, with its best match in the other."""
     if not a.features or not b.features:
@@ -186,8 +234,10 @@ def digest_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     near_next. Rows follow each other by id, null ids first, rows of one id by text; after the last
     comes the first, so a single row follows itself. A null text counts as empty; an empty text has
     no features and is like another empty text (1.0) and unlike any other (0.0). Other columns are
-    not read. The texts are shuffled once.
+    not read. The texts are read once for the ranks, that is counts of entropies over all documents,
+    and shuffled once.
     """
+    rare = rarity(measured(docs, text_col))
     rows, _ = _neighbours(docs, id_col, text_col, buckets_per_partition)
 
     def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[object, str, str]]:
@@ -202,7 +252,7 @@ def digest_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
         def flush(part: list[tuple[object, str, str]]) -> pa.RecordBatch:
             changed = [edited(t, n) for _, t, n in part]
             distinct = list(dict.fromkeys([*(t for _, t, _ in part), *changed, *(n for _, _, n in part)]))
-            known = dict(zip(distinct, digests(distinct)))
+            known = dict(zip(distinct, digests(distinct, rare)))
             cols = zip(*((doc, len(t), hashlib.sha256(e.encode()).hexdigest(), known[t].text(), known[e].text(), likeness(known[t], known[e]), likeness(known[t], known[n])) for (doc, t, n), e in zip(part, changed)))
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names=names)
 
