@@ -8,7 +8,18 @@ import pytest
 from tierlake.llm import substring
 
 
-def brute(rows, length=20):
+def cut(text, gone):
+    """The text without some words and the blanks before them; at its ends without those on both sides."""
+    parts = re.findall("([\x20\x09-\x0d]*)([^\x20\x09-\x0d]+)", text)
+    out = ""
+    for i, (blanks, word) in enumerate(parts):
+        if i not in gone:
+            out += word if not out and i else blanks + word
+    last = re.search("[\x20\x09-\x0d]*$", text).group()
+    return text if not gone else out + (last if len(parts) - 1 not in gone else "")
+
+
+def brute(rows, length=20, spaced=False):
     """rows: (doc_id, text); ids in order, None first."""
     split = [(d, re.findall("[^\x20\x09-\x0d]+", t or "")) for d, t in rows]
     rank = lambda d: (d is not None, d or 0)
@@ -18,12 +29,12 @@ def brute(rows, length=20):
             key = tuple(w[p : p + length])
             first[key] = min(first.get(key, ((2, 0), 0)), (rank(d), p))
     out = []
-    for d, w in split:
+    for (d, w), (_, t) in zip(split, rows):
         gone = set()
         for p in range(len(w) - length + 1):
             if first[tuple(w[p : p + length])] < (rank(d), p):
                 gone.update(range(p, p + length))
-        out.append((d, len(w), len(gone), " ".join(x for i, x in enumerate(w) if i not in gone)))
+        out.append((d, len(w), len(gone), cut(t or "", gone) if spaced else " ".join(x for i, x in enumerate(w) if i not in gone)))
     return sorted(out, key=str)
 
 
@@ -50,6 +61,16 @@ def test_brute_force(spark, rows, batches, max_runs, shift):
     assert got(substring.deduplicate(docs, batches=batches, max_runs=max_runs)) == brute(rows)
 
 
+def test_blanks_stay(spark, rows):
+    run = " ".join(f"r{i}" for i in range(25))
+    more = [(70, f"\n {run}\n\nnext\tline "), (71, f"first\r\n  line\n\n{run}  \n"), (72, f" a\n{run}\x0b é\x85b {run}\n"), (73, f" {run} ")]
+    docs = spark.createDataFrame(rows + [(69, run)] + more, "doc_id long, text string")
+    found = got(substring.deduplicate(docs, spaced=True))
+    assert found == brute(rows + [(69, run)] + more, spaced=True)
+    by = {x[0]: x[3] for x in found}
+    assert [by[i] for i in (70, 71, 72, 73)] == ["next\tline ", "first\r\n  line", " a\x0b é\x85b", ""]
+
+
 def test_empty(spark):
     assert substring.deduplicate(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 

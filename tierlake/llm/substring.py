@@ -145,6 +145,20 @@ class Words:
         return b" ".join([self.data[a:b] for a, b in zip(self.begin[edge[::2]].tolist(), self.end[edge[1::2] - 1].tolist())])
 
 
+def _cut(text: str, dropped: np.ndarray) -> str:
+    """The text without its dropped words. A run of them takes the blanks before it along, at the text's ends those on both sides."""
+    data = text.encode()
+    raw = np.frombuffer(data, np.uint8)
+    ink = np.diff(((raw != 32) & ((raw < 9) | (raw > 13))).view(np.int8), prepend=0, append=0)
+    begin, end = np.flatnonzero(ink == 1), np.flatnonzero(ink == -1)
+    edge = np.flatnonzero(np.diff(dropped.astype(np.int8), prepend=1, append=1))
+    out: list[bytes] = []
+    for a, b in zip(edge[::2].tolist(), edge[1::2].tolist()):  # words a to b - 1 stay
+        start = 0 if a == 0 else end[a - 1] if out else begin[a]
+        out.append(data[start : len(data) if b == len(begin) else end[b - 1]])
+    return b"".join(out).decode()
+
+
 def _chunks(texts: list[str], size: int = 1_000_000) -> Iterator[slice]:
     """Runs of texts of about so many characters; a longer text is alone."""
     at = 0
@@ -279,7 +293,7 @@ class Index:
         if remove:
             removed(self.spark, self.folder)
 
-    def add(self, docs: DataFrame, history: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    def add(self, docs: DataFrame, history: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text", spaced: bool = False) -> DataFrame:
         """Insert a batch and remove from it what ``history``, all documents inserted before, or the batch itself has earlier.
 
         The batch's ids come after those of history. Returns what ``deduplicate`` does, for the batch.
@@ -288,7 +302,7 @@ class Index:
         repeated = self.insert(keyed)
         lists = _lists(self.postings(), repeated)
         older = None if history is None else _keyed(history, id_col, text_col).select("key", "text")
-        return _finished(_resolved(keyed, older, lists, self.length, self.gram), docs, id_col, text_col)
+        return _finished(_resolved(keyed, older, lists, self.length, self.gram, spaced), docs, id_col, text_col)
 
 
 def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -302,7 +316,7 @@ def _lists(postings: DataFrame, repeated: DataFrame) -> DataFrame:
     return saved(postings.join(repeated, "g", "left_semi").groupBy("key").agg(F.collect_set("g").alias("hot")), "lists")
 
 
-def _resolved(keyed: DataFrame, older: DataFrame | None, lists: DataFrame, length: int, gram: int) -> DataFrame:
+def _resolved(keyed: DataFrame, older: DataFrame | None, lists: DataFrame, length: int, gram: int, spaced: bool) -> DataFrame:
     """``keyed`` with n_words, n_removed and kept. The texts are shuffled once, and that exchange is read three times."""
     if older is None:
         texts = keyed
@@ -369,7 +383,11 @@ def _resolved(keyed: DataFrame, older: DataFrame | None, lists: DataFrame, lengt
                 n = np.diff(np.concatenate(([0], np.cumsum(drop)))[words.first])
                 total += words.count.tolist()
                 gone += n.tolist()
-                kept += [(words.text(i, drop) if m else t).decode() for i, (m, t) in enumerate(zip(n.tolist(), words.norm))]
+                if spaced:
+                    some = zip(n.tolist(), texts[part], words.first[:-1].tolist(), words.first[1:].tolist())
+                    kept += [_cut(t, drop[a:b]) if m else t for m, t, a, b in some]
+                else:
+                    kept += [(words.text(i, drop) if m else t).decode() for i, (m, t) in enumerate(zip(n.tolist(), words.norm))]
             yield pa.RecordBatch.from_arrays([pa.array(total, pa.int64()), pa.array(gone, pa.int64()), pa.array(kept, pa.string()), batch.column(0), batch.column(7)], names=["n_words", "n_removed", "kept", "text", "rest"])
 
     # rest is only in every branch so that all read the same exchange
@@ -397,12 +415,15 @@ def _finished(found: DataFrame, docs: DataFrame, id_col: str, text_col: str) ->
     return found.select(F.col(f"rest.`{id_col}`").alias(id_col), "n_words", "n_removed", "kept", back.alias("rest"))
 
 
-def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 20, gram: int = 6, batches: int = 3, max_runs: int = 2) -> DataFrame:
+def deduplicate(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 20, gram: int = 6, batches: int = 3, max_runs: int = 2, spaced: bool = False
+) -> DataFrame:
     """Remove the words covered by a window whose word sequence also starts earlier.
 
     Words are the runs between ASCII blanks. Earlier is a smaller id, or an earlier start in the
     same document; all windows are judged on the input. Returns the id column, n_words, n_removed
-    and kept, the kept words joined by one space, with the other columns of ``docs`` as ``rest``
+    and kept, the kept words joined by one space (``spaced``: with the blanks that the text has; a run of
+    removed words takes those before it along, at the text's ends those on both sides), with the other columns of ``docs`` as ``rest``
     (a struct, so that no name can clash). A null or short text has no window and loses nothing
     (a null one: no words, kept empty). Ids are integers; null ids come before all others. Rows of
     one id are one document in several versions: among them equal windows at the same start do not
@@ -423,7 +444,7 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         repeated = some if repeated is None else repeated.union(some)
     lists = _lists(index.postings(), repeated)
     index.close(remove=True)
-    return _finished(_resolved(keyed, None, lists, length, gram), docs, id_col, text_col)
+    return _finished(_resolved(keyed, None, lists, length, gram, spaced), docs, id_col, text_col)
 
 
 def op9_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
