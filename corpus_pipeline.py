@@ -50,8 +50,8 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def remove_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Removes passages of 20 words and more that also occur earlier; untouched texts stay as they are."""
-    found = substring.deduplicate(docs)
+    """Removes passages of 20 words and more that also occur earlier; the blanks and line breaks of what stays are kept."""
+    found = substring.deduplicate(docs, spaced=True)
     text = F.when(F.col("n_removed") > 0, F.col("kept")).otherwise(F.col("rest.text"))
     return found.select("rest.*", text.alias("new_text")).withColumn("text", F.col("new_text")).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
