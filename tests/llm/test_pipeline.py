@@ -123,7 +123,7 @@ def test_different_texts_of_one_id_stay(spark):
 
 
 def test_passages(stages):
-    want = {d: (g, t) for d, _, g, t in passages_of([(r.doc_id, r.text) for r in stages[2].collect()])}
+    want = {d: (g, t) for d, _, g, t in passages_of([(r.doc_id, r.text) for r in stages[2].collect()], spaced=True)}
     before = {r.doc_id: r.text for r in stages[2].collect()}
     for r in stages[3].collect():
         gone, text = want[r.doc_id]
