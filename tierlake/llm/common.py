@@ -64,6 +64,12 @@ def removed(spark: SparkSession, path: str) -> None:
     system.delete(there, True)
 
 
+def dropped(df: DataFrame) -> None:
+    """Delete what ``saved`` wrote, once nothing reads it any more."""
+    for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
+        removed(df.sparkSession, folder)
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """Cut the lineage through the shared folder, which survives lost executors."""
     shared_root(df.sparkSession)

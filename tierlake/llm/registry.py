@@ -16,6 +16,7 @@ MODULES = {
     "op8_warc": "warc",
     "op9_substring": "substring",
     "op10_topk": "topk",
+    "op11_merkle": "merkle",
 }
 
 
