@@ -17,6 +17,7 @@ MODULES = {
     "op9_substring": "substring",
     "op10_topk": "topk",
     "op11_merkle": "merkle",
+    "op12_interpolated": "interpolated",
     "op13_centroids": "centroids",
 }
 
