@@ -60,11 +60,11 @@ def _numbered(rows: DataFrame, order: list[str]) -> DataFrame:
 
 
 def _climb(nodes: DataFrame, fan_out: int) -> tuple[list[DataFrame], list[DataFrame]]:
-    """Of each level the nodes with their runs, and the nodes that have no parent: (g, i, digest)."""
+    """Of each level the nodes with their runs, and the nodes that have no parent; at the lowest with all their columns."""
     runs, tops = [], []
     frame = Window.partitionBy("g", "parent").orderBy("i").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     while True:
-        tops.append(nodes.where("n = 1").select("g", "i", "digest"))
+        tops.append(nodes.where("n = 1"))
         nodes = nodes.where("n > 1")
         if nodes.isEmpty():
             return runs, tops
@@ -74,22 +74,26 @@ def _climb(nodes: DataFrame, fan_out: int) -> tuple[list[DataFrame], list[DataFr
         nodes = saved(up.dropDuplicates(["g", "i"]), "merkle-level")
 
 
-def _descend(runs: list[DataFrame], tops: list[DataFrame], above: DataFrame | None, fan_out: int) -> DataFrame:
-    """The rows of the lowest level with the digest of their top and their whole path; ``above``: (g, path) of the tops."""
+def _descend(runs: list[DataFrame], tops: list[DataFrame], above: DataFrame | None, fan_out: int, carried: list[str]) -> DataFrame:
+    """The rows of the lowest level, ``carried`` columns of theirs, with the digest of their top and their whole path; ``above``: (g, path) of the tops.
+
+    Paths are only shuffled to the nodes below, one for each run of them.
+    """
     none = F.array().cast(STEP)
 
-    def ends(top: DataFrame) -> DataFrame:
-        named = top.select("g", "i", F.col("digest").alias("top"))
+    def ends(level: int) -> DataFrame:
+        named = tops[level].select("g", "i", F.col("digest").alias("top"), *(carried if level == 0 else []))
         return named.withColumn("path", none) if above is None else named.join(above, "g")
 
-    at = ends(tops[len(runs)])
+    at = ends(len(runs))
     for level in range(len(runs) - 1, -1, -1):
         own = F.pmod(F.col("i"), F.lit(fan_out)).cast("int")
         before, after = F.slice("run", F.lit(1), own), F.slice("run", own + 2, F.lit(fan_out))
         step = F.struct(F.array_join(before, "").alias("before"), F.array_join(after, "").alias("after"))
         higher = at.select("g", F.col("i").alias("parent"), "top", F.col("path").alias("higher"))
-        found = runs[level].join(higher, ["g", "parent"]).select("g", "i", "top", F.concat(F.array(step), "higher").alias("path"))
-        at = found.unionByName(ends(tops[level]))
+        found = runs[level].join(higher, ["g", "parent"])
+        found = found.select("g", "i", "top", F.concat(F.array(step), "higher").alias("path"), *(carried if level == 0 else []))
+        at = found.unionByName(ends(level))
     return at
 
 
@@ -120,16 +124,17 @@ def manifest(
     rows = saved(rows, "merkle-rows")
     leaves = _numbered(rows, ["id", "digest", "tie"])
     dropped(rows)
-    runs, tops = _climb(leaves.select("g", "i", "n", "digest"), fan_out)
-    subs = tops[0]
+    runs, tops = _climb(leaves, fan_out)
+    subs = tops[0].select("g", "digest")
     for top in tops[1:]:
-        subs = subs.unionByName(top)
+        subs = subs.unionByName(top.select("g", "digest"))
     subs = _numbered(subs.select(F.lit("").alias("g"), F.col("g").alias("of"), "digest"), ["of"])
-    sub_runs, sub_tops = _climb(subs.select("g", "i", "n", "digest"), fan_out)
+    sub_runs, sub_tops = _climb(subs, fan_out)
     last = sub_tops[len(sub_runs)].first()
     root = F.lit(last["digest"] if last else None).cast("string")
-    above = subs.select("g", "i", "of").join(_descend(sub_runs, sub_tops, None, fan_out), ["g", "i"]).select(F.col("of").alias("g"), "path")
-    found = leaves.join(_descend(runs, tops, saved(above, "merkle-subroots"), fan_out), ["g", "i"])
+    above = saved(_descend(sub_runs, sub_tops, None, fan_out, ["of"]).select(F.col("of").alias("g"), "path"), "merkle-subroots")
+    carried = ["group", "id", "digest", *[f"claim{i}" for i in range(len(claims))]]
+    found = _descend(runs, tops, above, fan_out, carried)
     out = [F.col("group").alias(group), F.col("id").alias(order), F.col("digest").alias("leaf"), F.col("top").alias("subroot"), root.alias("root"), "path"]
     return found.select(*out, *[F.col(f"claim{i}").alias(name) for i, name in enumerate(claims)])
 
