@@ -8,7 +8,23 @@ from pyspark.sql import functions as F
 
 from tierlake.llm import digest, graph, simhash
 
-from .test_pipeline import components
+
+def components(rows, width=3, radius=3):
+    fp = {d: simhash.fingerprint(t or "", width) for d, t in rows}
+    root = {d: d for d in fp}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    ids = sorted(fp)
+    for i, a in enumerate(ids):
+        for b in ids[i + 1 :]:
+            if (fp[a] ^ fp[b]).bit_count() <= radius:
+                x, y = sorted((find(a), find(b)))
+                root[y] = x
+    return {d: find(d) for d in ids}
 
 
 def plain_fingerprint(text, width=3):
@@ -95,23 +111,34 @@ def test_digest_features():
         for window in (4, 11, 16):
             assert near(digest.entropies(np.frombuffer(text.encode(), np.uint8), window, segment=50), brute_entropies(text.encode(), window))
     counts = digest.tally(texts)
-    want = [0] * 17
-    for t in texts:
-        w = min(16, max(4, len(t) // 8))
-        want[w] += max(0, len(t.encode()) - w + 1)
-    assert counts.sum(1).tolist() == want[4:]
+    assert counts.sum() == sum(max(0, len(t.encode()) - 7) for t in texts)
     rare = digest.rarity(counts)
-    for row, n in zip(rare, counts):
-        used = [e for e in range(digest.STEPS) if e >= digest.LEAST]
-        assert sorted(used, key=lambda e: row[e]) == sorted(used, key=lambda e: (n[e], e)) and (row[: digest.LEAST] == digest._NEVER).all()
-    for text in texts:
-        w = min(16, max(4, len(text) // 8))
-        rank = rare[w - 4][digest.entropies(np.frombuffer(text.encode(), np.uint8), w)]
-        run = min(16, max(1, len(rank) // 8))
+    used = [e for e in range(digest.STEPS) if e >= digest.LEAST]
+    assert sorted(used, key=lambda e: rare[e]) == sorted(used, key=lambda e: (counts[e], e)) and (rare[: digest.LEAST] == digest._NEVER).all()
+    for text in [*texts, "thirteen byte", "just nineteen bytes"]:
+        data = np.frombuffer(text.encode(), np.uint8)
+        rank = rare[digest.entropies(data, 8)] if len(data) >= 8 else np.empty(0, np.int16)
+        run = min(16, len(rank))
         points = np.zeros(len(rank), int)
-        for i in range(len(rank) - run + 1):
+        for i in range(len(rank) - run + 1 if len(rank) else 0):
             points[min(range(i, i + run), key=lambda j: (rank[j], j))] += 1
-        assert digest.select(rank, segment=37).tolist() == [i for i in range(len(rank)) if points[i] >= max(1, run // 4) and rank[i] < digest._NEVER]
+        assert digest.select(rank, segment=37).tolist() == [i for i in range(len(rank)) if points[i] >= min(4, len(rank) - run + 1) and rank[i] < digest._NEVER]
+
+
+@pytest.mark.parametrize("length", [60, 100, 119, 120, 127, 128, 135])
+def test_a_text_is_like_the_text_that_it_begins(spark, length):
+    """Texts of all lengths are cut alike."""
+    whole = "".join(chr(97 + (i * i + 7 * i) % 23) if i % 6 else " " for i in range(139))
+    df = spark.createDataFrame([(1, whole[:length]), (2, whole)], "doc_id long, text string")
+    assert digest.digest_documents(df).where("doc_id = 1").first().near_next > 0.95
+
+
+def test_a_kept_table_of_ranks(spark):
+    """Digests of two calls with one table are those of one call with it."""
+    df = spark.createDataFrame([(i, f"text {i} of a few words, and {i * i} more " * 3) for i in range(40)], "doc_id long, text string")
+    rare = digest.rarity(digest.measured(df))
+    of = lambda d: {r.doc_id: r.fingerprint for r in digest.digest_documents(d, rare=rare).collect()}
+    assert of(df) == of(df.where("doc_id < 9")) | of(df.where("doc_id >= 9")) == {r.doc_id: r.fingerprint for r in digest.digest_documents(df).collect()}
 
 
 def test_digest_of_short_texts():

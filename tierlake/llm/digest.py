@@ -1,12 +1,13 @@
 """Improbable-feature digests: rare byte windows in chained Bloom filters, compared by bit overlap.
 
-Every window of 16 bytes of a text has an entropy. How rare an entropy is, is measured: its count over
+Every window of 8 bytes of a text has an entropy. How rare an entropy is, is measured: its count over
 the windows of all documents makes the table of ranks, the rarest entropy first. In every run of 16
-neighbouring windows the rarest one (leftmost of equals) scores a point, and windows with a quarter
-of a run's length in points are the text's features. Windows of nearly constant bytes never are.
-Windows and runs shrink with a short text, so that it has features too: a window has an eighth of the
-text's code points as bytes, 4 to 16 (an edited text has as many), a run an eighth of the text's
-windows, 1 to 16; each length of window has its own table. A text without a feature is one itself.
+neighbouring windows the rarest one (leftmost of equals) scores a point, and windows with four points
+are the text's features. Windows of nearly constant bytes never are. Windows and runs are the
+same for texts of every length, so that a text shares its features with the text that it begins; one
+with fewer than four runs asks for as many points as it has runs, one of fewer than 16 windows is a
+single run. A text without a feature is one itself. A table of ranks can be kept: digests made with
+the same table are comparable, whichever call made them.
 Features enter Bloom filters of 2048 bits, five bits each, at most 160 features to a filter, then
 the next filter of the chain begins. Two digests are compared filter by filter: bits in common
 beyond those that chance explains, over the most that could be in common.
@@ -29,7 +30,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 
 from .common import arrow_map, partitions, table, text_of
 
-WINDOWS, RUN, PER_FILTER, BITS, HASHES = range(4, 17), 16, 160, 2048, 5
+WINDOW, RUN, POINTS, PER_FILTER, BITS, HASHES = 8, 16, 4, 160, 2048, 5
 #: Entropies are thousandths of the largest, STEPS values in all; LEAST is the least that a feature may have.
 STEPS, LEAST = 1001, 100
 SLACK = 0.1
@@ -38,7 +39,7 @@ _NEVER = 1 << 14
 MOST_BUCKETS = 16384
 
 #: _GAIN[c]: by how much the sum of c log2 c over a window's byte counts grows as a count reaches c; in 2**-20.
-_F = np.array([0.0, *(c * np.log2(c) for c in range(1, WINDOWS[-1] + 1))])
+_F = np.array([0.0, *(c * np.log2(c) for c in range(1, 17))])
 _GAIN = np.concatenate(([0], np.rint(np.diff(_F) * (1 << 20)).astype(np.int64)))
 
 
@@ -72,30 +73,21 @@ def entropies(data: np.ndarray, window: int, segment: int = 65536) -> np.ndarray
     return out
 
 
-def _alike(texts: list[str]) -> Iterator[tuple[int, list[int], list[bytes], np.ndarray]]:
-    """(window, places, bytes, entropies of the joined bytes) of the texts of each length of window."""
-    window = [max(WINDOWS[0], min(WINDOWS[-1], len(t) // 8)) for t in texts]
-    for w in sorted(set(window)):
-        places = [i for i, x in enumerate(window) if x == w]
-        raw = [texts[i].encode() for i in places]
-        yield w, places, raw, entropies(np.frombuffer(b"".join(raw), np.uint8), w)
-
-
 def tally(texts: list[str]) -> np.ndarray:
-    """How many windows of the texts have each entropy, by length of window."""
-    counts = np.zeros((len(WINDOWS), STEPS), np.int64)
-    for w, _, raw, every in _alike(texts):
-        at = 0
-        for data in raw:
-            counts[w - WINDOWS[0]] += np.bincount(every[at : at + max(0, len(data) - w + 1)], minlength=STEPS)
-            at += len(data)
+    """How many windows of the texts have each entropy."""
+    raw = [t.encode() for t in texts]
+    every, at = entropies(np.frombuffer(b"".join(raw), np.uint8), WINDOW), 0
+    counts = np.zeros(STEPS, np.int64)
+    for data in raw:
+        counts += np.bincount(every[at : at + max(0, len(data) - WINDOW + 1)], minlength=STEPS)
+        at += len(data)
     return counts
 
 
 def rarity(counts: np.ndarray) -> np.ndarray:
-    """The rank of each entropy, by length of window: lower is rarer, equally rare ones by entropy; _NEVER below LEAST."""
-    out = np.argsort(np.argsort(counts, axis=1, kind="stable"), axis=1, kind="stable").astype(np.int16)
-    out[:, :LEAST] = _NEVER
+    """The rank of each entropy: lower is rarer, equally rare ones by entropy; _NEVER below LEAST."""
+    out = np.argsort(np.argsort(counts, kind="stable"), kind="stable").astype(np.int16)
+    out[:LEAST] = _NEVER
     return out
 
 
@@ -115,12 +107,12 @@ def select(rank: np.ndarray, segment: int = 1 << 18) -> np.ndarray:
     """Starts of the features, in order, for the ranks of one text's windows."""
     if not len(rank):
         return np.empty(0, np.int64)
-    width = min(RUN, max(1, len(rank) // 8))
+    width = min(RUN, len(rank))
     points = np.zeros(len(rank), np.int32)
     for at in range(0, len(rank) - width + 1, segment):
         part = rank[at : at + segment + width - 1]
         points[at : at + len(part)] += np.bincount(_least(part, width), minlength=len(part)).astype(np.int32)
-    return np.flatnonzero((points >= max(1, width // 4)) & (rank < _NEVER))
+    return np.flatnonzero((points >= min(POINTS, len(rank) - width + 1)) & (rank < _NEVER))
 
 
 def make(hashes: list[int]) -> Digest:
@@ -135,22 +127,22 @@ def make(hashes: list[int]) -> Digest:
 
 def digests(texts: list[str], rare: np.ndarray) -> list[Digest]:
     """The digest of each whole text, with a table of ranks. A text without a feature has one, all of it; an empty text has none."""
-    out: list[Digest] = [make([])] * len(texts)
-    for w, places, raw, every in _alike(texts):
-        rank, at = rare[w - WINDOWS[0]][every], 0
-        for i, data in zip(places, raw):
-            found = select(rank[at : at + max(0, len(data) - w + 1)]).tolist()
-            parts = [data[j : j + w] for j in found] or [data][: len(data)]
-            out[i] = make([xxhash.xxh64_intdigest(p) for p in parts])
-            at += len(data)
+    raw = [t.encode() for t in texts]
+    rank, at = rare[entropies(np.frombuffer(b"".join(raw), np.uint8), WINDOW)], 0
+    out: list[Digest] = []
+    for data in raw:
+        found = select(rank[at : at + max(0, len(data) - WINDOW + 1)]).tolist()
+        parts = [data[j : j + WINDOW] for j in found] or [data][: len(data)]
+        out.append(make([xxhash.xxh64_intdigest(p) for p in parts]))
+        at += len(data)
     return out
 
 
 def measured(docs: DataFrame, text_col: str = "text") -> np.ndarray:
-    """``tally`` of all documents' whole texts; a count for each window length and entropy is what reaches the driver."""
+    """``tally`` of all documents' whole texts; a count for each entropy is what reaches the driver."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros((len(WINDOWS), STEPS), np.int64)
+        counts = np.zeros(STEPS, np.int64)
         for batch in batches:
             part, size = [], 0
             for text in batch.column(0).to_pylist():
@@ -161,13 +153,13 @@ def measured(docs: DataFrame, text_col: str = "text") -> np.ndarray:
                     part, size = [], 0
             counts += tally(part)
         some = np.flatnonzero(counts)
-        yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array(counts.ravel()[some])], names=["at", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array(counts[some])], names=["at", "n"])
 
     found = docs.select(text_of(text_col).alias("text")).transform(arrow_map, run, "at long, n long").groupBy("at").agg(F.sum("n").alias("n"))
-    out = np.zeros(len(WINDOWS) * STEPS, np.int64)
+    out = np.zeros(STEPS, np.int64)
     for r in found.collect():
         out[r["at"]] = r["n"]
-    return out.reshape(-1, STEPS)
+    return out
 
 
 def likeness(a: Digest, b: Digest) -> float:
@@ -227,17 +219,17 @@ def _neighbours(docs: DataFrame, id_col: str, text_col: str, buckets_per_partiti
     return rows.repartition(n, "bucket").sortWithinPartitions("bucket", "tail", "key", "text"), n
 
 
-def digest_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", buckets_per_partition: int = 8) -> DataFrame:
+def digest_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", buckets_per_partition: int = 8, rare: np.ndarray | None = None) -> DataFrame:
     """Fingerprint every whole text, its edited text, and compare both and the next document.
 
     Returns the id column, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited,
     near_next. Rows follow each other by id, null ids first, rows of one id by text; after the last
     comes the first, so a single row follows itself. A null text counts as empty; an empty text has
     no features and is like another empty text (1.0) and unlike any other (0.0). Other columns are
-    not read. The texts are read once for the ranks, that is counts of entropies over all documents,
-    and shuffled once.
+    not read. The texts are shuffled once. ``rare`` is a kept table of ranks (``rarity(measured(...))``
+    of some corpus); without one the texts are read once more, and all documents make the table.
     """
-    rare = rarity(measured(docs, text_col))
+    rare = rarity(measured(docs, text_col)) if rare is None else rare
     rows, _ = _neighbours(docs, id_col, text_col, buckets_per_partition)
 
     def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[object, str, str]]:
