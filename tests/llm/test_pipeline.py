@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tierlake.llm import language, packing, simhash
+from tierlake.llm import language, packing
 
 from .test_secrets import brute as secrets_of
 from .test_substring import brute as passages_of
@@ -45,35 +45,11 @@ def test_language_threshold_follows_chance(spark, monkeypatch):
     model = language.Model([f"l{i:02}" for i in range(20)])
     monkeypatch.setattr(cp.language, "sample", lambda *a: [])
     monkeypatch.setattr(cp.language, "train", lambda *a: model)
-    monkeypatch.setattr(cp.language, "predict", lambda docs, model: docs.withColumn("lang_pred", F.lit("l01")).withColumn("score", F.col("doc_id") / 100))
+    monkeypatch.setattr(cp.language, "predicted", lambda docs, model: docs.select(F.struct("*").alias("row"), F.lit("l01").alias("lang_pred"), (F.col("doc_id") / 100).alias("score")))
     df = spark.createDataFrame([(20, None, "a"), (30, None, "b"), (10, "l02", "c"), (10, "other", "d")], "doc_id long, lang string, text string")
     assert {r.text: r.lang for r in cp.identify_language(spark, df, "").collect()} == {"b": "l01", "d": "other"}
 
 
-def components(rows, width=3, radius=3):
-    fp = {d: simhash.fingerprint(t or "", width) for d, t in rows}
-    root = {d: d for d in fp}
-
-    def find(x):
-        while root[x] != x:
-            x = root[x]
-        return x
-
-    ids = sorted(fp)
-    for i, a in enumerate(ids):
-        for b in ids[i + 1 :]:
-            if (fp[a] ^ fp[b]).bit_count() <= radius:
-                x, y = sorted((find(a), find(b)))
-                root[y] = x
-    return {d: find(d) for d in ids}
-
-
-@pytest.mark.xfail(strict=True, reason="links of op2 (three words, three bits); the stage takes five words and a similarity of 0.8, which the test below holds it to")
-def test_near_copies(stages):
-    rows = [(r.doc_id, r.text) for r in stages[1].collect()]
-    assert {r.doc_id for r in stages[2].collect()} == set(components(rows).values())
-
-
 def jaccard_components(rows, width=5, least=0.8):
     sets, have = {}, {}
     for d, t in rows:
@@ -161,3 +137,55 @@ def check_pieces(texts, rows):
         assert at == total
     sizes = [sum(n for _, n in p) for p in by_seq.values()]
     assert all(s <= 4096 and s & (s - 1) == 0 for s in sizes)
+
+
+#: Names that the stages and their operators use inside, and other rows that they must take as they are.
+CLASHES = ["row", "rest", "new_text", "secret_spans", "score", "lang_pred", "key", "spread", "r1", "r2", "component", "kept", "n_removed", "n_words", "k", "hot", "g"]
+
+
+@pytest.mark.parametrize("name,stage", cp.STAGES[:-1])
+def test_clashing_columns(spark, name, stage):
+    """Columns of any name come out as they went in, and what the stage decides does not depend on them."""
+    words = " ".join(f"word{i}" for i in range(60))
+    texts = [words, words, "password=abcdefghij " + words[::-1], "Some other words, quite different ones, are here.", None, "", "x" * 30_000]
+    plain = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    wide = plain.select("*", *[F.concat(F.lit(c), F.col("doc_id").cast("string")).alias(c) for c in CLASHES])
+    want = sorted(stage(spark, plain, "").collect(), key=str)
+    out = stage(spark, wide, "")
+    assert out.columns == wide.columns
+    got = out.collect()
+    assert sorted((r[:5] for r in got), key=str) == [tuple(r) for r in want] and want
+    assert all(r[c] == f"{c}{r.doc_id}" for r in got for c in CLASHES)
+
+
+def test_packing_takes_clashing_columns(spark):
+    docs = spark.createDataFrame([(1, "some words", "x", 9), (2, None, "y", 9)], "doc_id long, text string, tokens string, sequence_id long")
+    assert {r.doc_id for r in cp.pack_sequences(spark, docs, "").collect()} == {1, 2}
+
+
+@pytest.mark.parametrize("name,stage", cp.STAGES)
+def test_empty_tables(spark, name, stage):
+    docs = spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long")
+    out = stage(spark, docs, "")
+    assert out.count() == 0 and (out.columns == docs.columns or name == "packing")
+
+
+def chains():
+    """Groups of near copies that are joined to each other by single pairs just above the bound."""
+    r = random.Random(8)
+    rows = []
+    for shape in range(12):
+        words = [f"c{shape}w{i}" for i in range(120)]
+        at = 0
+        for step in range(4):  # each group moves on by as much as one pair may
+            for _ in range(3 if step % 2 else 8):
+                rows.append((len(rows), " ".join(words + [f"e{r.randrange(10**6)}"] * (_ > 0))))
+            words = words[:at] + [f"s{shape}{step}{i}" for i in range(9)] + words[at + 9 :]
+            at += 9
+    return rows
+
+
+def test_near_copies_in_chains(spark):
+    rows = chains()
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {x.doc_id for x in cp.drop_near_copies(spark, df, "").collect()} == set(jaccard_components(rows).values())

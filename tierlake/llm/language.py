@@ -170,11 +170,16 @@ def sample(docs: DataFrame, per_language: int, chars: int, max_languages: int, k
 
 
 def predict(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """``docs`` with columns lang_pred and score, from whole texts.
+    """``predicted`` beside the columns of ``docs``; columns named lang_pred and score are replaced."""
+    found = predicted(docs, model, text_col)
+    return found.select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns if c not in ("lang_pred", "score")], "lang_pred", "score")
+
+
+def predicted(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
+    """(row, lang_pred, score) from whole texts, the rows of ``docs`` as one column, so that no name can clash.
 
     A null text and one without a letter are ``und`` with score 0, as is every text if the model
-    knows no language. Columns of these names are replaced; an empty table gives an empty one.
-    No shuffle.
+    knows no language. An empty table gives an empty one. No shuffle.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -193,8 +198,7 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(2), pa.array([n for n, _ in named], pa.string()), pa.array([s for _, s in named], pa.float64())], names=["row", "lang_pred", "score"])
 
     rows = docs.select(text_of(text_col).alias("text"), F.rlike(text_of(text_col), F.lit(r"\p{L}")).alias("letters"), F.struct("*").alias("row"))
-    found = rows.transform(arrow_map, run, T.StructType().add("row", rows.schema["row"].dataType).add("lang_pred", "string").add("score", "double"))
-    return found.select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns if c not in ("lang_pred", "score")], "lang_pred", "score")
+    return rows.transform(arrow_map, run, T.StructType().add("row", rows.schema["row"].dataType).add("lang_pred", "string").add("score", "double"))
 
 
 def op3_language(spark: SparkSession, sf_dir: str, per_language: int = 500, chars: int = 4000, max_languages: int = 64) -> DataFrame:

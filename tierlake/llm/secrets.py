@@ -211,9 +211,15 @@ def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str = "doc_id
 
     ``kind`` is the rule's number. A null text counts as empty and has no spans. Rows of one id
     share their postings, so one of them may be verified in vain; null ids, which no posting can
-    point to, are verified by every rule. Other columns stay, whatever their names; an empty
-    table gives an empty table.
+    point to, are verified by every rule. A column named secret_spans is replaced, other columns
+    stay; an empty table gives an empty table.
     """
+    found = _scanned(docs, rules, id_col, text_col)
+    return found.select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns if c != "secret_spans"], "secret_spans")
+
+
+def _scanned(docs: DataFrame, rules: tuple[Rule, ...], id_col: str, text_col: str) -> DataFrame:
+    """(row, secret_spans): whole rows under one name, so that no column of theirs can clash."""
     # rows of null id have no partner; by their own hash they do not all go to one task
     spread = F.when(F.col("key").isNull(), F.pmod(F.xxhash64("text"), F.lit(1 << 20))).otherwise(F.lit(0)).cast("int")
     inner = docs.select(F.struct("*").alias("row"), F.col(id_col).alias("key"), text_of(text_col).alias("text")).withColumn("spread", spread)
@@ -228,24 +234,33 @@ def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str = "doc_id
             ask = F.rlike(F.col("text"), F.lit(r.gate)) if r.gate else F.lit(True)
         found.append(F.when(ask, spans_of(F.col("text"), i, r)).otherwise(none))
     spans = F.array_sort(F.concat(*found))
-    return joined.select("row", spans.alias("secret_spans")).select("row.*", "secret_spans")  # apart, as columns of row could be meant by spans
+    return joined.select("row", spans.alias("secret_spans"))
 
 
 def redact(docs: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str = "doc_id", text_col: str = "text", mark: str = "[SECRET]") -> DataFrame:
-    """``docs`` with every found span replaced by the mark, overlapping spans by one; a null text stays null."""
-    found = scan(docs, rules, id_col, text_col)
-    text = F.col(text_col)
-    merged = F.aggregate(
-        "secret_spans",
-        F.struct(F.lit(0).alias("at"), F.lit("").alias("out")),
-        lambda acc, s: F.struct(
-            F.greatest(acc["at"], s["end"]).alias("at"),
-            F.when(s["start"] >= acc["at"], F.concat(acc["out"], F.substring(text, acc["at"] + 1, s["start"] - acc["at"]), F.lit(mark))).otherwise(acc["out"]).alias("out"),
-        ),
-        lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text) - acc["at"])),
-    )
-    names = [c for c in docs.columns]
-    return found.select(*[F.when(F.size("secret_spans") > 0, merged).otherwise(text).alias(c) if c == text_col else F.col(f"`{c}`") for c in names], "secret_spans")
+    """``docs``, the same columns, with every found span replaced by the mark, overlapping spans by one; a null text stays null.
+
+    The pieces of a text between its spans are gathered in blocks and joined once.
+    """
+    text = F.col(f"row.`{text_col}`")
+    kind = "struct<at:int,out:array<string>>"
+    none = F.array().cast("array<string>")
+
+    def cut(acc: Column, s: Column) -> Column:
+        # what lies between the spans so far and this one; a span that begins inside them adds nothing
+        more = F.concat(acc["out"], F.array(F.substring(text, acc["at"] + 1, s["start"] - acc["at"])))
+        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.when(s["start"] >= acc["at"], more).otherwise(acc["out"]).alias("out")).cast(kind)
+
+    def block(acc: Column, part: Column) -> Column:
+        inner = F.aggregate(part, F.struct(acc["at"].alias("at"), none.alias("out")).cast(kind), cut)
+        return F.struct(inner["at"].alias("at"), F.concat(acc["out"], F.array(inner["out"])).alias("out"))
+
+    blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size("secret_spans") - 1) / MATCHES).cast("int")), lambda i: F.slice("secret_spans", i * MATCHES + 1, MATCHES))
+    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<array<string>>").alias("out"))
+    end = lambda acc: F.array_join(F.concat(F.flatten(acc["out"]), F.array(F.substring(text, acc["at"] + 1, F.length(text) - acc["at"]))), mark)
+    clean = F.when(F.size("secret_spans") > 0, F.aggregate(blocks, start, block, end)).otherwise(text)
+    found = _scanned(docs, rules, id_col, text_col)
+    return found.select(*[(clean if c == text_col else F.col(f"row.`{c}`")).alias(c) for c in docs.columns])
 
 
 def listed(spans: Column, rules: tuple[Rule, ...]) -> Column:
