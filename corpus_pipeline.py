@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tierlake.llm import copies, language, packing, secrets, substring
@@ -20,19 +20,25 @@ LEAST_OVER_CHANCE = 0.2
 SHINGLE_WORDS, LEAST_SIMILARITY = 5, 0.8
 
 
+def _columns(docs: DataFrame, row: str, **new: Column) -> list[Column]:
+    """The columns of ``docs`` out of the struct ``row``, in their order, those of ``new`` replaced."""
+    return [new.get(c, F.col(f"{row}.`{c}`")).alias(c) for c in docs.columns]
+
+
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents without a letter and those whose language stays uncertain; a null lang gets the prediction.
 
     What the model cannot judge stays: all documents if it knows no language, and those labelled with one it did not learn.
     """
     model = language.train(language.sample(docs, 500, 4000, 64, id_remainder("doc_id", 3) != 1))
-    found = language.predict(docs, model).where(F.rlike(text_of("text"), F.lit(r"\p{L}")))
-    if not model.labels:
-        return found.select(*docs.columns)
-    chance = 1 / len(model.labels)
-    sure = F.col("score") >= chance + LEAST_OVER_CHANCE * (1 - chance)
-    unlearned = F.coalesce(~F.col("lang").isin(model.labels), F.lit(False))
-    return found.where(sure | unlearned).withColumn("lang", F.coalesce("lang", "lang_pred")).select(*docs.columns)
+    found = language.predicted(docs, model).where(F.rlike(text_of(F.col("row.text")), F.lit(r"\p{L}")))
+    lang = F.col("row.lang")
+    if model.labels:
+        chance = 1 / len(model.labels)
+        sure = F.col("score") >= chance + LEAST_OVER_CHANCE * (1 - chance)
+        found = found.where(sure | F.coalesce(~lang.isin(model.labels), F.lit(False)))
+        lang = F.coalesce(lang, "lang_pred")
+    return found.select(*_columns(docs, "row", lang=lang))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -53,7 +59,7 @@ def remove_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     """Removes passages of 20 words and more that also occur earlier; the blanks and line breaks of what stays are kept."""
     found = substring.deduplicate(docs, spaced=True)
     text = F.when(F.col("n_removed") > 0, F.col("kept")).otherwise(F.col("rest.text"))
-    return found.select("rest.*", text.alias("new_text")).withColumn("text", F.col("new_text")).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+    return found.select(*_columns(docs, "rest", text=text, n_chars=F.length(text).cast("long")))
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
