@@ -56,7 +56,9 @@ def test_plain_and_stemmed_terms(spark):
         assert keys(search.search(made, folded, q)) == [want]
     plain = index.build(made.docs, index.WORDS)
     assert search.rank_words(plain, [["deploying"]], None).count() == 0 and search.rank_words(plain, [["snake_case"]], None).count() == 1
-    assert porter.counted(["a b", None, "B"]) == [("a", [0]), ("b", [1, 4])]
+    docs = spark.createDataFrame([("entity", "t", 1, ["a b", "", "B", "Ünder_scored x²"])], "tier string, tenant_id string, seq long, parts array<string>")
+    got = {r.term: (r.tf, r.dl, r.pos) for r in index.postings_of(docs, index.PORTER).collect()}
+    assert got == {"a": (1, 6, [0]), "b": (2, 6, [1, 4]), "under": (1, 6, [6]), "score": (1, 6, [7]), "x²": (1, 6, [8])}
 
 
 def test_hits_have_snippets(spark):

@@ -1,4 +1,5 @@
 import json
+import random
 import sqlite3
 
 import pytest
@@ -146,3 +147,59 @@ def test_saved_index(spark, tmp_path):
 def test_snippet():
     assert search.snippet("one two three", ["two"]) == "one [two] three"
     assert search.snippet("w " * 20 + "end", ["end"]).startswith("...")
+
+
+def saved_references(spark, tmp_path, rows, **options):
+    df = spark.createDataFrame(rows, "seq long, tenant_id string, doc_key string, body string, updated_at string")
+    return index.build(index.searchable(reference=df), **options).save(str(tmp_path / "ix"), 4)
+
+
+def test_trigram_postings_answer_like_a_scan(spark, tmp_path, monkeypatch):
+    r = random.Random(5)
+    texts = ["".join(r.choice("abAB é東京ł_1 ") for _ in range(r.randrange(0, 60))) for _ in range(150)]
+    texts += ["", "a", "ab", "abab", "東", "ba東", "x" * 500 + "needle" + "y" * 300, "aaaaaaaa", "😀😀😀a", "needle"]
+    rows = [(i, "t" if i % 3 else "u", f"k{i}", t, "2024") for i, t in enumerate(texts)] + [(0, "t", "k0", texts[0], "2024")] * 0
+    monkeypatch.setattr(index, "GRAM_CHARS", 100)  # texts in pieces, blocks of a few texts
+    saved = saved_references(spark, tmp_path, rows, terms=index.WORDS)
+    scanned, grams = index.folded(saved.docs).cache(), saved.substrings()
+    assert isinstance(grams, index.Grams)
+    queries = ["aba", "ab", "東", "東京 ab", "needle", "aaaa", "b_1 é", "abab ba", "京", "zzz", "?", "xxxxxxxneedleyyy", "😀😀", "é1", "k1", "aab bab"]
+    for tenant in (None, "u"):
+        got = {(x.variant, x.seq): x["rank"] for x in search.rank_substrings(grams, queries, None, tenant=tenant).collect()}
+        want = {(x.variant, x.seq): x["rank"] for x in search.rank_substrings(scanned, queries, None, tenant=tenant).collect()}
+        assert got.keys() == want.keys() and len(got) > 100 and all(abs(got[k] - want[k]) < 1e-9 for k in got)
+    top = [tuple(x) for x in search.rank_substrings(grams, ["aba", "b"], 7).collect()]
+    assert len(top) == 7 and [x[2] for x in sorted(top, key=lambda x: x[4])] == [x.seq for x in search.rank_substrings(scanned, ["aba", "b"], 7).orderBy("pos").collect()]
+    plan = search.rank_substrings(grams, ["needle"], 7)._jdf.queryExecution().toString()
+    assert "folded" not in plan and "body" not in plan and "In(gram" in plan.replace(" ", "")
+
+
+def test_pruned_ranks_are_those_of_all_postings(spark, tmp_path, monkeypatch):
+    """Blocks that cannot reach the limit are not read, whatever ties and tenants there are."""
+    r = random.Random(7)
+    monkeypatch.setattr(index, "BLOCK_DOCS", 8)
+    monkeypatch.setattr(index, "COMMON", 20)
+    monkeypatch.setattr(search, "FIRST_BLOCKS", 3)
+    words = ["red", "fox", "tree", *[f"w{i}" for i in range(40)]]
+    rows = [(i, "t" if i % 4 else "u", f"k{i}", " ".join(r.choices(words, [9, 6, 3, *[1] * 40], k=r.randrange(2, 80))), "2024") for i in range(900)]
+    rows += [(1000 + i, "t", "same", "red fox red", "2024") for i in range(30)]
+    saved = saved_references(spark, tmp_path, rows, terms=index.WORDS)
+    variants = [["red"], ["red", "fox"], ["fox", "tree", "red"], ["red", "red"], ["w3", "red"], ["nowhere", "red"]]
+    for limit, tenant in ((1, None), (5, None), (10, "u")):
+        ask = lambda prune: sorted(map(tuple, search.rank_words(saved, variants, limit, tenant=tenant, prune=prune).collect()))  # noqa: E731, B023
+        got, want = ask(True), ask(False)
+        assert [x[:3] + x[5:] for x in got] == [x[:3] + x[5:] for x in want] and all(abs(x[4] - y[4]) < 1e-9 for x, y in zip(got, want))
+    kept = search.best_blocks(saved, [["red"]], 5, index.TIERS, None).count()
+    assert 0 < kept < saved.blocks.where("term = 'red'").count() / 2
+    assert saved.documents() == 930 < search.PRUNE_FROM
+
+
+def test_only_new_words_are_stemmed(spark, tmp_path):
+    saved = saved_references(spark, tmp_path, [(1, "t", "a", "Running runs, RUNNING jumps", "2024")])
+    assert {x.word: x.terms for x in saved.words.collect()} == {"a": ["a"], "running": ["run"], "runs": ["run"], "jumps": ["jump"]}
+    assert {x.term: (x.tf, x.pos) for x in saved.postings.collect()} == {"a": (1, [0]), "run": (3, [2, 3, 4]), "jump": (1, [5])}
+    marked = saved.words.withColumn("terms", index.F.array(index.F.concat(index.F.lit("known-"), "word")))
+    more = spark.createDataFrame([(2, "t", "b", "runs swimming", "2024")], "seq long, tenant_id string, doc_key string, body string, updated_at string")
+    again = index.build(index.searchable(reference=more)).save(str(tmp_path / "more"), 2, known=marked)
+    assert {x.word: x.terms for x in again.words.collect()} == {"b": ["b"], "runs": ["known-runs"], "swimming": ["swim"]}
+    assert {x.term for x in again.postings.collect()} == {"b", "known-runs", "swim"}

@@ -38,7 +38,9 @@ def _cvc(w: str) -> bool:
 #: Suffixes of the published algorithm's steps 2 to 4, longest match first.
 _STEP2 = dict(ational="ate", tional="tion", enci="ence", anci="ance", izer="ize", logi="log", bli="ble", alli="al", entli="ent", eli="e", ousli="ous", ization="ize", ation="ate", ator="ate", alism="al", iveness="ive", fulness="ful", ousness="ous", aliti="al", iviti="ive", biliti="ble")
 _STEP3 = dict(icate="ic", ative="", alize="al", iciti="ic", ical="ic", ful="", ness="")
+_ENDS2, _ENDS3 = (sorted(t, key=len, reverse=True) for t in (_STEP2, _STEP3))
 _STEP4 = ("al", "ance", "ence", "er", "ic", "able", "ible", "ant", "ement", "ment", "ent", "ion", "ou", "ism", "ate", "iti", "ous", "ive", "ize")
+_ENDS4 = sorted(_STEP4, key=len, reverse=True)
 
 
 @lru_cache(maxsize=1 << 16)
@@ -66,13 +68,13 @@ def porter(w: str) -> str:
                 break
     if w.endswith("y") and _vowel(w[:-1]):
         w = w[:-1] + "i"
-    for table in (_STEP2, _STEP3):
-        for old in sorted(table, key=len, reverse=True):
+    for table, ends in ((_STEP2, _ENDS2), (_STEP3, _ENDS3)):
+        for old in ends:
             if w.endswith(old):
                 if _measure(w[: -len(old)]) > 0:
                     w = w[: -len(old)] + table[old]
                 break
-    for old in sorted(_STEP4, key=len, reverse=True):
+    for old in _ENDS4:
         if w.endswith(old):
             base = w[: -len(old)]
             if _measure(base) > 1 and (old != "ion" or base.endswith(("s", "t"))):
@@ -100,24 +102,6 @@ def terms(text: str | None) -> list[str]:
     return [porter(w) for w in words(text)]
 
 
-def counted(parts: list[str | None]) -> list[tuple[str, list[int]]]:
-    """Every term of a document's columns with its places; a gap between columns keeps phrases inside one."""
-    places: dict[str, list[int]] = {}
-    at = 0
-    for part in parts:
-        for t in terms(part):
-            places.setdefault(t, []).append(at)
-            at += 1
-        at += 1
-    return list(places.items())
-
-
 @F.pandas_udf(T.ArrayType(T.StringType()))  # type: ignore[call-overload]
 def terms_col(text: pd.Series) -> pd.Series:
     return text.map(terms)
-
-
-@F.pandas_udf(T.ArrayType(T.StructType([T.StructField("term", T.StringType()), T.StructField("pos", T.ArrayType(T.IntegerType()))])))  # type: ignore[call-overload]
-def counted_col(parts: pd.Series) -> pd.Series:
-    """One pass over a document: its distinct words are stemmed once, repeated ones by a cache."""
-    return parts.map(lambda ps: [{"term": t, "pos": at} for t, at in counted(list(ps))])

@@ -81,6 +81,11 @@ def normalized(value: object) -> str:
     return " ".join("".join(c if c.isalnum() or c == "_" else " " for c in text.lower()).split())
 
 
+def words(text: str | None) -> list[str]:
+    """Lower-cased runs of letters, digits and underscores, in order."""
+    return re.findall(r"\w+", text.lower()) if text else []
+
+
 def min_cover(words: list[str], wanted: set[str]) -> int | None:
     """Length of the shortest run of words that holds all wanted ones."""
     last: dict[str, int] = {}

@@ -8,10 +8,12 @@ and of queries. The index is derived data: it is built once, saved, and read by
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import porter
@@ -45,38 +47,107 @@ def searchable(entities: DataFrame | None = None, state: DataFrame | None = None
 
 @dataclass(frozen=True)
 class Analyzer:
-    """``query``: the terms of one query word; ``parts``: of an array of texts an array of (term, pos), or else ``terms``: of a text its terms."""
+    """``query``: the terms of one query word; ``words``: of a text its words in order, or else ``column``; ``stem``: of a word its terms.
+
+    ``stem`` sees each distinct word once: postings of words are joined with a dictionary of them.
+    """
 
     name: str
     query: Callable[[str], list[str]]
-    parts: Callable[[Column], Column] | None = None
-    terms: Callable[[Column], Column] | None = None
+    words: Callable[[str], list[str]] | None = None
+    stem: Callable[[str], list[str]] | None = None
+    column: Callable[[Column], Column] | None = None
 
 
-#: Case, diacritics and inflections do not count, and underscores split; words are stemmed in Python, once a document.
-PORTER = Analyzer("porter", porter.terms, parts=porter.counted_col)
-#: Lower-cased words as they stand, without leaving the JVM.
-WORDS = Analyzer("words", lambda w: [w.lower()], terms=tx.words_col)
+#: Case, diacritics and inflections do not count, and underscores split; distinct words are stemmed.
+PORTER = Analyzer("porter", porter.terms, porter.words, lambda w: [porter.porter(w)])
+#: Lower-cased words as they stand.
+WORDS = Analyzer("words", lambda w: [w.lower()], tx.words)
 _KNOWN = {a.name: a for a in (PORTER, WORDS)}
 
 
+@dataclass
+class Grams:
+    """Trigram postings of the folded texts: (tier, gram, seqs, tenants, sizes, places), and (tier, n_docs, size) of the texts.
+
+    A row has a gram's documents of one block of texts; ``places`` are where it begins in each. Texts end with two
+    blanks that no text has, so that one gram begins at every place, the last ones included.
+    """
+
+    postings: DataFrame
+    stats: DataFrame
+
+
+#: Fixed kind of a trigram's rows; PAD ends every text.
+_GRAMS = "tier string, gram string, seqs array<long>, tenants array<string>, sizes array<int>, places array<array<int>>"
+PAD = "\0"
+#: Characters of texts that are cut into trigrams at once, and documents of a block of postings.
+GRAM_CHARS, BLOCK_DOCS = 2 << 20, 64
+#: Terms of fewer documents have no block maxima: all their postings are read.
+COMMON = 256
+
+
 @dataclass
 class Index:
-    """``postings``: (tier, tenant_id, seq, term, tf, dl, pos); ``stats``: (tier, n_docs, avgdl); ``docs``: the documents."""
+    """``postings``: (tier, tenant_id, seq, term, tf, dl, pos); ``stats``: (tier, n_docs, avgdl); ``docs``: the documents.
+
+    A saved index has more: ``grams``; ``words``, its dictionary (word, terms); postings have the ``block`` of their document, and
+    ``blocks`` has (tier, term, block, n, best) of each block of a common term: its postings, and the most that one of
+    them can add to a rank, by the index's mean length.
+    """
 
     docs: DataFrame
     postings: DataFrame
     stats: DataFrame
     analyzer: Analyzer = PORTER
+    grams: Grams | None = None
+    words: DataFrame | None = None
+    blocks: DataFrame | None = None
+    raw: DataFrame | None = None
+    size: int | None = None
 
-    def save(self, path: str, buckets: int = 64) -> Index:
-        """Write the index and return it as read back; term order lets a term's scan skip row groups."""
+    def save(self, path: str, buckets: int = 64, known: DataFrame | None = None) -> Index:
+        """Write the index and return it as read back; term order lets a term's scan skip row groups and pages.
+
+        ``known`` is the dictionary of an earlier index: only words that it does not have are stemmed.
+        """
         spark = self.docs.sparkSession
         self.docs.write.mode("overwrite").partitionBy("tier").parquet(f"{path}/docs")
-        self.postings.repartition(buckets, "term").sortWithinPartitions("term").write.mode("overwrite").partitionBy("tier").parquet(f"{path}/postings")
-        docs, postings = (spark.read.parquet(f"{path}/{n}") for n in ("docs", "postings"))
+        docs = spark.read.parquet(f"{path}/docs")
+        (self.postings if self.raw is None else self.raw).write.mode("overwrite").parquet(f"{path}/raw")
+        raw, words = spark.read.parquet(f"{path}/raw"), None
+        postings = raw
+        if self.raw is not None and self.analyzer.stem is not None:
+            stemmed(raw.select("term"), self.analyzer, known).write.mode("overwrite").parquet(f"{path}/words")
+            words = spark.read.parquet(f"{path}/words")
+            postings = by_dictionary(raw, words, buckets)
+        else:
+            postings = postings.repartition(buckets, "term")
+        blocked(postings, raw).sortWithinPartitions("term", "block").write.mode("overwrite").partitionBy("tier").parquet(f"{path}/postings")
+        delete(spark, f"{path}/raw")
+        postings = spark.read.parquet(f"{path}/postings")
         _stats(docs, postings, ("tier",)).write.mode("overwrite").parquet(f"{path}/stats")  # from what is written, not from the texts again
-        return Index(docs, postings, spark.read.parquet(f"{path}/stats"), self.analyzer)
+        maxima(postings, spark.read.parquet(f"{path}/stats")).repartition(buckets, "term").sortWithinPartitions("term", "block").write.mode("overwrite").parquet(f"{path}/blocks")
+        write_grams(docs, f"{path}/grams", buckets)
+        read = lambda name: spark.read.parquet(f"{path}/{name}")
+        grams = Grams(spark.read.schema(_GRAMS).parquet(f"{path}/grams/postings"), read("grams/stats"))
+        return Index(docs, postings, read("stats"), self.analyzer, grams, words, read("blocks"))
+
+    def documents(self) -> int:
+        """How many documents there are, read once."""
+        if self.size is None:
+            self.size = self.stats.agg(F.sum("n_docs")).first()[0] or 0
+        return self.size
+
+    def substrings(self) -> Grams | DataFrame:
+        """What substring search reads: the trigram postings of a saved index, else the folded texts."""
+        return folded(self.docs) if self.grams is None else self.grams
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    """Delete a folder that nothing reads any more."""
+    there = spark._jvm.org.apache.hadoop.fs.Path(path)
+    there.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(there, True)
 
 
 def _analyzer(terms: Analyzer | Callable[[Column], Column]) -> Analyzer:
@@ -84,26 +155,182 @@ def _analyzer(terms: Analyzer | Callable[[Column], Column]) -> Analyzer:
         return terms
     if terms is porter.terms_col:
         return PORTER
-    return WORDS if terms is tx.words_col else Analyzer("own", lambda w: [w], terms=terms)
+    return WORDS if terms is tx.words_col else Analyzer("own", lambda w: [w], column=terms)
 
 
-def postings_of(docs: DataFrame, analyzer: Analyzer, keep: tuple[str, ...] = ("tier", "tenant_id")) -> DataFrame:
-    """(tier, tenant_id, seq, term, tf, dl, pos) of documents with their parts."""
+def words_of(docs: DataFrame, analyzer: Analyzer, keep: tuple[str, ...] = ("tier", "tenant_id")) -> DataFrame:
+    """(tier, tenant_id, seq, term, tf, dl, pos) of documents with their parts, with words as they stand in the texts as terms.
+
+    Documents are dealt out once, by number, as a large file with few row groups is few tasks; their words are counted where they are.
+    """
     parts = F.col("parts") if "parts" in docs.columns else F.array("text")
     names = [*keep, "seq"]
-    if analyzer.parts is not None:  # a document's terms are counted in its own row: no shuffle
-        rows = docs.select(*names, analyzer.parts(parts).alias("terms"))
-        rows = rows.withColumn("dl", F.aggregate("terms", F.lit(0), lambda n, t: n + F.size(t["pos"])))
-        return rows.select(*names, "dl", F.explode("terms").alias("t")).select(*names, "t.term", F.size("t.pos").alias("tf"), "dl", "t.pos")
-    own = analyzer.terms
+    rows = docs.select(*names, parts.alias("parts")).repartition("seq")
+    if analyzer.words is not None:
+        kinds = ", ".join(f"{n} {rows.schema[n].dataType.simpleString()}" for n in names)
+        return rows.mapInArrow(_counted(analyzer.words, names), f"{kinds}, term string, tf int, dl int, pos array<int>")
     gap = F.array(F.lit(""))  # between columns
-    terms = F.flatten(F.transform(parts, lambda p: F.concat(own(p), gap)))
-    rows = docs.select(*names, terms.alias("terms")).withColumn("dl", F.size(F.filter("terms", lambda t: t != "")))
+    terms = F.flatten(F.transform("parts", lambda p: F.concat(analyzer.column(p), gap)))
+    rows = rows.select(*names, terms.alias("terms")).withColumn("dl", F.size(F.filter("terms", lambda t: t != "")))
     placed = rows.select(*names, "dl", F.posexplode("terms").alias("pos", "term")).where("term <> ''")
     made = placed.groupBy(*names, "term", "dl").agg(F.count(F.lit(1)).cast("int").alias("tf"), F.sort_array(F.collect_list("pos")).alias("pos"))
     return made.select(*names, "term", "tf", "dl", "pos")
 
 
+#: Words of documents that are counted before their postings are handed on.
+COUNTED_WORDS = 500_000
+
+
+def _counted(words: Callable[[str], list[str]], names: list[str]) -> Callable:
+    """A map over batches of (names, parts): each document's words with their places; a gap between columns keeps phrases inside one."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows, term, tf, dl, pos, size = [], [], [], [], [], 0
+
+            def made() -> pa.RecordBatch:
+                offsets = np.concatenate(([0], np.cumsum(tf))).astype(np.int32)
+                own = [batch.column(n).take(pa.array(rows, pa.int64())) for n in names]
+                lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(pos, pa.int32()))
+                return pa.RecordBatch.from_arrays([*own, pa.array(term, pa.string()), pa.array(tf, pa.int32()), pa.array(dl, pa.int32()), lists], names=[*names, "term", "tf", "dl", "pos"])
+
+            for i, parts in enumerate(batch.column("parts").to_pylist()):
+                places: dict[str, list[int]] = {}
+                at = 0
+                for part in parts:
+                    for w in words(part):
+                        if w in places:
+                            places[w].append(at)
+                        else:
+                            places[w] = [at]
+                        at += 1
+                    at += 1
+                length = at - len(parts)
+                rows += [i] * len(places)
+                term += places
+                tf += map(len, places.values())
+                dl += [length] * len(places)
+                for found in places.values():
+                    pos += found
+                size += length
+                if size >= COUNTED_WORDS:
+                    yield made()
+                    rows, term, tf, dl, pos, size = [], [], [], [], [], 0
+            if rows:
+                yield made()
+
+    return run
+
+
+def stemmed(words: DataFrame, analyzer: Analyzer, known: DataFrame | None = None) -> DataFrame:
+    """(word, terms): the dictionary of the distinct words in the column; only those that ``known`` does not have reach Python."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            word = batch.column(0)
+            yield pa.RecordBatch.from_arrays([word, pa.array([analyzer.stem(w) for w in word.to_pylist()], pa.list_(pa.string()))], names=["word", "terms"])
+
+    new = words.select(words.columns[0]).distinct().toDF("word")
+    if known is None:
+        return new.mapInArrow(run, "word string, terms array<string>")
+    return new.join(known.select("word"), "word", "left_anti").mapInArrow(run, "word string, terms array<string>").unionByName(known.join(new, "word", "left_semi"))
+
+
+def by_dictionary(raw: DataFrame, words: DataFrame, buckets: int | None = None) -> DataFrame:
+    """Postings of words as postings of the dictionary's terms; words of one term are joined. Terms of one word share its places."""
+    names = [c for c in raw.columns if c not in ("term", "tf", "pos")]
+    found = raw.join(words, raw["term"] == words["word"]).select(*names, F.explode("terms").alias("term"), "pos")
+    found = found.repartition("term") if buckets is None else found.repartition(buckets, "term")
+    made = found.groupBy(*names, "term").agg(F.sort_array(F.flatten(F.collect_list("pos"))).alias("pos"))
+    return made.select(*[c for c in names if c != "dl"], "term", F.size("pos").alias("tf"), "dl", "pos")
+
+
+def postings_of(docs: DataFrame, analyzer: Analyzer, keep: tuple[str, ...] = ("tier", "tenant_id"), known: DataFrame | None = None) -> DataFrame:
+    """(tier, tenant_id, seq, term, tf, dl, pos) of documents with their parts."""
+    raw = words_of(docs, analyzer, keep)
+    return raw if analyzer.stem is None else by_dictionary(raw, stemmed(raw.select("term"), analyzer, known))
+
+
+def blocked(postings: DataFrame, every: DataFrame) -> DataFrame:
+    """Postings with the block of their document: those of about the same length, BLOCK_DOCS in a block by a hash of their number.
+
+    ``every`` has all postings and is only counted.
+    """
+    step = F.floor(4 * F.log2(F.col("dl") + 1.0)).cast("long")
+    docs = every.select("tier", "seq", step.alias("step")).distinct()
+    sizes = docs.groupBy("tier", "step").agg(F.ceil(F.count(F.lit(1)) / BLOCK_DOCS).alias("many"))  # a row for each power of the fourth root of two
+    rows = postings.withColumn("step", step).join(F.broadcast(sizes), ["tier", "step"])
+    return rows.withColumn("block", F.col("step") * (1 << 40) + F.pmod(F.xxhash64("seq"), F.col("many"))).select(*postings.columns, "block")
+
+
+def maxima(postings: DataFrame, stats: DataFrame) -> DataFrame:
+    """(tier, term, block, n, best): of each block of a common term's postings their number, and the largest weight of a posting in it."""
+    rows = postings.select("tier", "term", "block", "tf", "dl").join(F.broadcast(stats.select("tier", "avgdl")), "tier")
+    found = rows.groupBy("tier", "term", "block").agg(F.count(F.lit(1)).alias("n"), F.max(weight(F.col("tf"), F.col("dl"), F.col("avgdl"))).alias("best"))
+    return found.withColumn("df", F.sum("n").over(Window.partitionBy("tier", "term"))).where(F.col("df") >= COMMON).drop("df")
+
+
+def grams_of(docs: DataFrame) -> DataFrame:
+    """Trigram postings of the documents' folded texts, as a map over the texts: a row for each gram of a block of them.
+
+    A text longer than a block is cut, and then has its gram in several rows.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part: list[tuple] = []
+        size = 0
+        for batch in batches:
+            for tier, tenant, seq, text in zip(*(c.to_pylist() for c in batch.columns)):
+                points = np.frombuffer((text + 2 * PAD).encode("utf-32-le", "surrogatepass"), np.uint32)
+                for at in range(0, max(1, len(points) - 2), GRAM_CHARS):
+                    part.append((tier, tenant, seq, len(text), at, points[at : at + GRAM_CHARS + 2]))
+                    size += len(part[-1][5])
+                    if size >= GRAM_CHARS:
+                        yield from _gram_rows(part)
+                        part, size = [], 0
+        if part:
+            yield from _gram_rows(part)
+
+    return docs.select("tier", "tenant_id", "seq", tx.fold_col(F.coalesce("text", F.lit(""))).alias("text")).mapInArrow(run, _GRAMS)
+
+
+def _gram_rows(part: list[tuple]) -> Iterator[pa.RecordBatch]:
+    for tier in sorted({p[0] for p in part}):
+        own = [p for p in part if p[0] == tier]
+        sizes = np.array([max(0, len(p[5]) - 2) for p in own])
+        code = np.concatenate([(p[5][:-2].astype(np.int64) << 42) | (p[5][1:-1].astype(np.int64) << 21) | p[5][2:] for p in own])
+        if not len(code):
+            continue
+        owner = np.repeat(np.arange(len(own)), sizes)
+        place = np.arange(len(code)) - np.repeat(np.cumsum(sizes) - sizes - np.array([p[4] for p in own]), sizes)
+        order = np.argsort(code, kind="stable")  # within a gram by text, then by place
+        code, owner, place = code[order], owner[order], place[order].astype(np.int32)
+        new_gram = np.diff(code, prepend=-1) != 0
+        new_doc = new_gram | (np.diff(owner, prepend=-1) != 0)
+        docs, starts = owner[new_doc], np.flatnonzero(new_doc)
+        grams = code[new_gram]
+        per_gram = np.concatenate((np.cumsum(new_doc)[new_gram] - 1, [len(docs)])).astype(np.int32)
+        offsets = pa.array(per_gram)
+        lists = lambda values: pa.ListArray.from_arrays(offsets, values)
+        places = pa.ListArray.from_arrays(pa.array(np.append(starts, len(place)).astype(np.int32)), pa.array(place))
+        take = lambda i, kind: pa.array([p[i] for p in own], kind).take(pa.array(docs))
+        names = ["".join(map(chr, (g >> 42, g >> 21 & 0x1FFFFF, g & 0x1FFFFF))) for g in grams.tolist()]
+        columns = [pa.array([tier] * len(grams)), pa.array(names, pa.string()), lists(take(2, pa.int64())), lists(take(1, pa.string())), lists(take(3, pa.int32())), lists(places)]
+        yield pa.RecordBatch.from_arrays(columns, names=[c.split()[0] for c in _GRAMS.split(", ")])
+
+
+def gram_stats(docs: DataFrame) -> DataFrame:
+    size = F.sum(F.greatest(F.lit(0), F.length(tx.fold_col(F.coalesce("text", F.lit("")))) - 2))
+    return docs.groupBy("tier").agg(F.count(F.lit(1)).alias("n_docs"), size.alias("size"))
+
+
+def write_grams(docs: DataFrame, path: str, buckets: int) -> None:
+    spark = docs.sparkSession
+    dealt = docs.select("tier", "tenant_id", "seq", "text").repartition(buckets, "tier", "seq")  # a few large files would be a few tasks
+    grams_of(dealt).repartition(buckets, "gram").sortWithinPartitions("gram").write.mode("overwrite").partitionBy("tier").parquet(f"{path}/postings")
+    gram_stats(docs).coalesce(1).write.mode("overwrite").parquet(f"{path}/stats")
+
+
 def _stats(docs: DataFrame, postings: DataFrame, by: tuple[str, ...]) -> DataFrame:
     tokens = postings.groupBy(*by).agg(F.sum("tf").alias("tokens"))
     counts = docs.groupBy(*by).agg(F.count(F.lit(1)).alias("n_docs"))
@@ -116,8 +343,9 @@ def build(docs: DataFrame, terms: Analyzer | Callable[[Column], Column] = PORTER
     A document's length goes into its postings, so that scoring needs no join with a table of lengths.
     """
     analyzer = _analyzer(terms)
-    postings = postings_of(docs, analyzer)
-    return Index(docs.drop("parts"), postings, _stats(docs, postings, by), analyzer)
+    raw = words_of(docs, analyzer)
+    postings = raw if analyzer.stem is None else by_dictionary(raw, stemmed(raw.select("term"), analyzer))
+    return Index(docs.drop("parts"), postings, _stats(docs, postings, by), analyzer, raw=raw)
 
 
 class Segments:
@@ -178,10 +406,18 @@ class Segments:
 _POSTINGS = "tier string, tenant_id string, seq long, term string, tf int, dl int, pos array<int>"
 
 
+def weight(tf: Column, dl: Column, avgdl: Column) -> Column:
+    """What a term's occurrences in a document count, whatever the term."""
+    return tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl))
+
+
+def idf(n_docs: Column, df: Column) -> Column:
+    return F.greatest(F.log((n_docs - df + 0.5) / (df + 0.5)), F.lit(1e-6))
+
+
 def bm25(tf: Column, dl: Column, n_docs: Column, avgdl: Column, df: Column) -> Column:
     """A term's share of the rank, lower is better; common terms count next to nothing, never against."""
-    idf = F.greatest(F.log((n_docs - df + 0.5) / (df + 0.5)), F.lit(1e-6))
-    return -idf * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl))
+    return -idf(n_docs, df) * weight(tf, dl, avgdl)
 
 
 def folded(docs: DataFrame) -> DataFrame:

@@ -202,12 +202,12 @@ class Memory:
         """
         if path is None and not options:
             built = self.segments.index()
-            return built, index.folded(built.docs)
+            return built, built.substrings()
         live = self.store.live
         docs = index.searchable(live("entities"), live("state_documents"), live("reference_documents"), live("journal_events"))
         built = index.build(docs, **options)
         built = built.save(path) if path else built
-        return built, index.folded(built.docs)
+        return built, built.substrings()
 
     def rebuild_index(self) -> None:
         self.segments.rebuild()

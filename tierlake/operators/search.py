@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
-from .index import TIERS, Analyzer, Index, bm25
+from .index import TIERS, Analyzer, Grams, Index, bm25, idf
 
 Hit = dict
 
@@ -28,14 +28,83 @@ def _variants(index: Index, variants: list[list[str]], prefix: bool = False) ->
     return index.docs.sparkSession.createDataFrame(rows, "variant int, slot int, part int, word string, starts boolean, slots int, parts int")
 
 
-def _matched(index: Index, asked: DataFrame, words: list[str], prefix: bool, phrases: bool, tiers: tuple[str, ...]) -> DataFrame:
-    """(variant, slot, slots, tier, tenant_id, seq, dl, tf): how often a document has a query's word or phrase."""
+def document_counts(index: Index, words: list[str], tiers: tuple[str, ...]) -> DataFrame:
+    """(tier, term, df): of common terms from their blocks, of others from their few postings."""
+    asked = lambda df: df.where(F.col("tier").isin(*tiers) & F.col("term").isin(words))
+    common = asked(index.blocks).groupBy("tier", "term").agg(F.sum("n").alias("df"))
+    rare = asked(index.postings).join(F.broadcast(common), ["tier", "term"], "left_anti").groupBy("tier", "term").agg(F.count(F.lit(1)).alias("df"))
+    return common.unionByName(rare)
+
+
+#: Documents from which on word search prunes by default.
+PRUNE_FROM = 1_000_000
+#: Blocks of each variant and tier that are scored first, to know what the others have to beat.
+FIRST_BLOCKS = 8
+#: Blocks that are kept by a broadcast of their names; more of them are joined by a shuffle.
+SENT_BLOCKS = 100_000
+
+
+def best_blocks(index: Index, variants: list[list[str]], limit: int, tiers: tuple[str, ...], tenant: str | None) -> DataFrame | None:
+    """(variant, tier, block): the blocks of documents that can hold one of the best ``limit``; None if nothing is saved by it.
+
+    A block's bound is the sum of its terms' largest shares. The
+    blocks of the best bounds are scored first. The rank that their documents reach is what any other
+    block has to reach as well, at equal ranks too, since the smaller number goes first. Only variants all of
+    whose words are common have bounds; the others' postings are few, and read.
+    """
+    spark = index.docs.sparkSession
+    made = [[t for x in ws for t in index.analyzer.query(x)] for ws in variants]  # a word asked for twice counts twice
+    rows = [(v, i, t, len(ts)) for v, ts in enumerate(made) for i, t in enumerate(ts)]
+    if not rows:
+        return None
+    words = sorted({t for ts in made for t in ts})
+    asked = F.broadcast(spark.createDataFrame(rows, "variant int, slot int, term string, many int"))
+    held = index.blocks.where(F.col("tier").isin(*tiers) & F.col("term").isin(words))
+    df = F.broadcast(held.groupBy("tier", "term").agg(F.sum("n").alias("df")))  # a row for each word and tier
+    share = bm25(F.col("tf"), F.col("dl"), F.col("n_docs"), F.col("avgdl"), F.col("df"))
+    bounds = held.join(df, ["tier", "term"]).join(F.broadcast(index.stats), "tier").join(asked, "term")
+    most_of = -idf(F.col("n_docs"), F.col("df")) * F.col("best")
+    bounds = bounds.groupBy("variant", "many", "tier", "block").agg((F.sum(most_of) * (1 + 1e-9)).alias("bound"), F.count(F.lit(1)).alias("held"))
+    bounds = bounds.where("held = many")
+    order = Window.partitionBy("variant", "tier").orderBy("bound", "block")
+    # which variants and tiers have bounds at all, and their best blocks: bounded by the query
+    first = bounds.withColumn("at", F.row_number().over(order)).where(F.col("at") <= FIRST_BLOCKS).select("variant", "tier", "block").collect()
+    if not first:
+        return None
+    start = F.broadcast(spark.createDataFrame([tuple(r) for r in first], "variant int, tier string, block long"))
+    few = [r["block"] for r in first]
+    seen = held_postings(index, words, tiers).where(F.col("block").isin(few)).join(asked, "term").join(start, ["variant", "tier", "block"])
+    seen = seen if tenant is None else seen.where(F.col("tenant_id") == tenant)
+    scored = seen.join(df, ["tier", "term"]).join(F.broadcast(index.stats), "tier")
+    ranks = scored.groupBy("variant", "many", "tier", "seq").agg(F.sum(share).alias("rank"), F.count(F.lit(1)).alias("held")).where("held = many")
+    most = F.when(F.col("tier") == "journal", max(1, limit // 4)).otherwise(limit)
+    last = ranks.withColumn("at", F.row_number().over(Window.partitionBy("variant", "tier").orderBy("rank"))).where(F.col("at") == F.least(most, F.lit(limit)))
+    reached = F.broadcast(last.select("variant", "tier", (F.col("rank") * (1 - 1e-9)).alias("reached")))
+    kept = bounds.join(reached, ["variant", "tier"], "left").where(F.col("bound") <= F.coalesce("reached", F.lit(0.0)))
+    return kept.select("variant", "tier", "block")
+
+
+def held_postings(index: Index, words: list[str], tiers: tuple[str, ...]) -> DataFrame:
+    return index.postings.where(F.col("tier").isin(*tiers) & F.col("term").isin(words))
+
+
+def _matched(index: Index, asked: DataFrame, words: list[str], prefix: bool, phrases: bool, tiers: tuple[str, ...], kept: DataFrame | None = None) -> DataFrame:
+    """(variant, slot, slots, tier, tenant_id, seq, dl, tf): how often a document has a query's word or phrase.
+
+    ``kept`` names the blocks to read of the variants and tiers that it has; the others are read whole.
+    """
     postings = index.postings.where(F.col("tier").isin(*tiers))
     own = ["variant", "slot", "slots", "tier", "tenant_id", "seq", "dl"]
     if prefix:
         found = postings.join(asked, F.when(F.col("starts"), F.startswith("term", F.col("word"))).otherwise(F.col("term") == F.col("word")))
     else:
         found = postings.where(F.col("term").isin(words)).join(asked, F.col("term") == F.col("word"))
+    if kept is not None:
+        names = kept.withColumn("in", F.lit(True))
+        n = kept.count()
+        held = F.broadcast(kept.select("variant", "tier").distinct().withColumn("cut", F.lit(True)))  # at most a row for each variant and tier
+        found = found.join(F.broadcast(names) if n <= SENT_BLOCKS else names, ["variant", "tier", "block"], "left").join(held, ["variant", "tier"], "left")
+        found = found.where(F.col("cut").isNull() | F.col("in"))
     single = found.where("parts = 1") if phrases else found
     single = single.groupBy(*own).agg(F.sum("tf").alias("tf")) if prefix else single.select(*own, "tf")
     if not phrases:
@@ -46,13 +115,14 @@ def _matched(index: Index, asked: DataFrame, words: list[str], prefix: bool, phr
     return single.unionByName(named.where("n = parts").groupBy(*own).agg(F.count(F.lit(1)).alias("tf")).select(*own, "tf"))
 
 
-def rank_words(index: Index, variants: list[list[str]], limit: int | None, prefix: bool = False, tiers: Iterable[str] = TIERS, tenant: str | None = None, where: Column | None = None, any_word: bool = False) -> DataFrame:
+def rank_words(index: Index, variants: list[list[str]], limit: int | None, prefix: bool = False, tiers: Iterable[str] = TIERS, tenant: str | None = None, where: Column | None = None, any_word: bool = False, prune: bool | None = None) -> DataFrame:
     """(variant, tier, seq, tenant_id, rank, pos): per variant and tier the best documents holding all its words.
 
     Words are analyzed as documents are; one that becomes several terms is a phrase, one that becomes
     none is left out. Each tier gives at most ``limit`` documents, the journal a quarter of it; with
     None every match comes back, unnumbered (without pos). Corpus figures are those of all tenants;
-    the tenant filters afterwards. ``any_word`` asks for one word instead of all.
+    the tenant filters afterwards. ``any_word`` asks for one word instead of all. ``prune`` leaves out blocks of
+    documents that cannot reach the limit, which takes two small jobs first; by default where the index is large. Results are the same.
     """
     tiers = tuple(tiers) or TIERS
     unknown = set(tiers) - set(TIERS)
@@ -60,8 +130,17 @@ def rank_words(index: Index, variants: list[list[str]], limit: int | None, prefi
         raise ValueError(f"unknown tiers: {sorted(unknown)}")
     asked = F.broadcast(_variants(index, variants, prefix))  # as many rows as the query has words
     terms = [index.analyzer.query(w) for ws in variants for w in ws]
-    matched = _matched(index, asked, sorted({t for ts in terms for t in ts}), prefix, any(len(ts) > 1 for ts in terms), tiers)
-    df = matched.groupBy("variant", "slot", "tier").agg(F.count(F.lit(1)).alias("df"))
+    words = sorted({t for ts in terms for t in ts})
+    phrases = any(len(ts) > 1 for ts in terms)
+    kept = None
+    can = index.blocks is not None and limit is not None and limit > 0 and not prefix and not phrases and not any_word and where is None
+    if can and (prune or prune is None and index.documents() >= PRUNE_FROM):
+        kept = best_blocks(index, variants, limit, tiers, tenant)
+    matched = _matched(index, asked, words, prefix, phrases, tiers, kept)
+    if kept is None:
+        df = matched.groupBy("variant", "slot", "tier").agg(F.count(F.lit(1)).alias("df"))
+    else:
+        df = document_counts(index, words, tiers).join(asked.select("variant", "slot", "word"), F.col("term") == F.col("word")).select("variant", "slot", "tier", "df")
     scored = matched.join(F.broadcast(df), ["variant", "slot", "tier"]).join(F.broadcast(index.stats), "tier")
     share = bm25(F.col("tf"), F.col("dl"), F.col("n_docs"), F.col("avgdl"), F.col("df"))
     hits = scored.groupBy("variant", "slots", "tier", "tenant_id", "seq").agg(F.sum(share).alias("rank"), F.count_distinct("slot").alias("held"))
@@ -84,26 +163,98 @@ def rank_phrase(index: Index, phrase: str, limit: int | None, **options) -> Data
     return rank_words(whole, [[phrase]] if terms else [], limit, **options)
 
 
-def rank_substrings(folded: DataFrame, queries: list[str], limit: int | None, tiers: Iterable[str] = TIERS, tenant: str | None = None) -> DataFrame:
-    """(variant, tier, seq, rank, pos): documents whose folded text holds all parts of a folded query.
+def _cover(part: str) -> list[tuple[int, str]]:
+    """(offset, gram): trigrams that together are the part, as few as it takes."""
+    at = [*range(0, len(part) - 2, 3), len(part) - 3]
+    return [(i, part[i : i + 3]) for i in sorted(set(at))]
 
-    Parts of three characters and more are ranked by trigram BM25 (occurrences of the part, length in
-    trigrams); shorter parts only filter where they are not ASCII, and are dropped where they are.
-    With a limit of None every match comes back, unnumbered (without pos).
+
+def _occurrences(grams: Grams, parts: list[str], tiers: tuple[str, ...]) -> DataFrame:
+    """(part, tier, seq, tenant_id, size, tf): the documents that have a part, and at how many places, from trigram postings.
+
+    Places of a part's trigrams, moved back by their offsets, have the part's places in common. Parts of fewer than three characters
+    are prefixes of the trigrams that begin where they do. Texts are not read.
     """
-    spark = folded.sparkSession
-    tiers = tuple(tiers) or TIERS
-    docs = folded.where(F.col("tier").isin(*tiers))
-    asked: list[tuple[int, list[str], list[str]]] = []
+    spark = grams.postings.sparkSession
+    pieces = [(i, o, g, len(_cover(p))) for i, p in enumerate(parts) if len(p) >= 3 for o, g in _cover(p)]
+    rows = grams.postings.where(F.col("tier").isin(*tiers))
+    flat = lambda df: df.select("part", "offset", "many", "tier", F.explode(F.arrays_zip("seqs", "tenants", "sizes", "places")).alias("d"))
+    found = []
+    if pieces:
+        asked = F.broadcast(spark.createDataFrame(pieces, "part int, offset int, gram string, many int"))
+        found.append(flat(rows.where(F.col("gram").isin(sorted({g for _, _, g, _ in pieces}))).join(asked, "gram")))
+    for i, p in enumerate(parts):
+        if len(p) < 3:
+            found.append(flat(rows.where(F.startswith("gram", F.lit(p))).select("*", F.lit(i).alias("part"), F.lit(0).alias("offset"), F.lit(1).alias("many"))))
+    every = found[0]
+    for more in found[1:]:
+        every = every.unionByName(more)
+    doc = ["part", "many", "tier", F.col("d.seqs").alias("seq"), F.col("d.tenants").alias("tenant_id"), F.col("d.sizes").alias("size")]
+    moved = every.select(*doc, F.col("offset"), F.transform("d.places", lambda x: x - F.col("offset")).alias("at"))
+    own = ["part", "many", "tier", "seq", "tenant_id", "size"]
+    # several rows of one gram and document are parts of a long text, or grams with one beginning
+    by_gram = moved.groupBy(*own, "offset").agg(F.flatten(F.collect_list("at")).alias("at"))
+    by_doc = by_gram.groupBy(*own).agg(F.collect_list("at").alias("ats")).where(F.size("ats") == F.col("many"))
+    common = F.aggregate(F.slice("ats", 2, 1 << 30), F.col("ats")[0], lambda acc, x: F.array_intersect(acc, x))
+    return by_doc.select("part", "tier", "seq", "tenant_id", "size", F.size(common).alias("tf")).where("tf > 0")
+
+
+def _asked_parts(queries: list[str]) -> list[tuple[int, list[str], list[str]]]:
+    """Of each query its number, the parts that rank, and those that only filter."""
+    asked = []
     for v, query in enumerate(queries):
         parts = [p for p in "".join(c if c.isalnum() or c == "_" else " " for c in tx.fold(query)).split()]
         ranked = list(dict.fromkeys(p for p in parts if len(p) >= 3))
         also = list(dict.fromkeys(p for p in parts if len(p) < 3 and not p.isascii()))
         if ranked or also:
             asked.append((v, ranked, also))
+    return asked
+
+
+def _gram_hits(grams: Grams, asked: list[tuple[int, list[str], list[str]]], tiers: tuple[str, ...], tenant: str | None) -> DataFrame:
+    """(variant, tier, seq, rank) of every document that holds all parts of a query."""
+    spark = grams.postings.sparkSession
+    parts = list(dict.fromkeys(p for _, ranked, also in asked for p in ranked + also))
+    held = _occurrences(grams, parts, tiers)
+    df = held.groupBy("part").agg(F.count(F.lit(1)).alias("df"))
+    figures = grams.stats.where(F.col("tier").isin(*tiers)).agg(F.sum("n_docs").alias("n_docs"), (F.sum("size") / F.sum("n_docs")).alias("avgdl"))  # one row
+    wanted = [(v, parts.index(p), p in ranked, len(ranked) + len(also)) for v, ranked, also in asked for p in ranked + also]
+    of = F.broadcast(spark.createDataFrame(wanted, "variant int, part int, ranks boolean, parts int"))
+    hits = held.join(F.broadcast(df), "part").crossJoin(F.broadcast(figures)).join(of, "part")
+    hits = hits if tenant is None else hits.where(F.col("tenant_id") == tenant)
+    share = bm25(F.col("tf"), F.col("size") - 2, F.col("n_docs"), F.col("avgdl"), F.col("df"))
+    out = hits.groupBy("variant", "parts", "tier", "seq").agg(F.sum(F.when(F.col("ranks"), share).otherwise(0.0)).alias("rank"), F.count(F.lit(1)).alias("held"))
+    return out.where("held = parts").select("variant", "tier", "seq", "rank")
+
+
+def rank_substrings(folded: DataFrame | Grams, queries: list[str], limit: int | None, tiers: Iterable[str] = TIERS, tenant: str | None = None) -> DataFrame:
+    """(variant, tier, seq, rank, pos): documents whose folded text holds all parts of a folded query.
+
+    Parts of three characters and more are ranked by trigram BM25 (occurrences of the part, length in
+    trigrams); shorter parts only filter where they are not ASCII, and are dropped where they are.
+    With a limit of None every match comes back, unnumbered (without pos). Trigram postings answer without
+    reading a text; folded texts are scanned twice.
+    """
+    saved = isinstance(folded, Grams)
+    spark = (folded.postings if saved else folded).sparkSession
+    tiers = tuple(tiers) or TIERS
+    asked = _asked_parts(queries)
     if not asked:
         return spark.createDataFrame([], "variant int, tier string, seq long, rank double" + (", pos int" if limit is not None else ""))
-    # all queries in one pass for the figures and one for the hits
+    out = _gram_hits(folded, asked, tiers, tenant) if saved else _scanned(folded.where(F.col("tier").isin(*tiers)), asked, tenant)
+    if limit is None:
+        return out
+    fetched = Window.partitionBy("variant").orderBy("rank", "tier", "seq")
+    out = out.withColumn("at", F.row_number().over(fetched)).where(F.col("at") <= 4 * limit).drop("at")
+    # the journal is held to a quarter of the limit, then the whole to the limit
+    own = Window.partitionBy("variant", "tier").orderBy("rank", "seq")
+    kept = out.withColumn("own", F.row_number().over(own)).where((F.col("tier") != "journal") | (F.col("own") <= max(1, limit // 4)))
+    order = Window.partitionBy("variant").orderBy("rank", "tier", "seq")
+    return kept.withColumn("pos", F.row_number().over(order)).where(F.col("pos") <= limit).select("variant", "tier", "seq", "rank", "pos")
+
+
+def _scanned(docs: DataFrame, asked: list[tuple[int, list[str], list[str]]], tenant: str | None) -> DataFrame:
+    """``_gram_hits`` from the folded texts themselves: one pass for the figures of all queries and one for the hits."""
     every = list(dict.fromkeys(p for _, ranked, _ in asked for p in ranked))
     figures = docs.agg(
         F.count(F.lit(1)).alias("n_docs"), F.avg(F.greatest(F.lit(0), F.length("folded") - 2)).alias("avgdl"),
@@ -120,16 +271,7 @@ def rank_substrings(folded: DataFrame, queries: list[str], limit: int | None, ti
         rank = sum((bm25(tf(p), F.length("folded") - 2, F.col("n_docs"), F.col("avgdl"), F.col(f"df{every.index(p)}")) for p in ranked), F.lit(0.0))
         found.append(F.when(cond, F.struct(F.lit(v).alias("variant"), rank.alias("rank"))))
     hits = part.crossJoin(F.broadcast(figures))  # one row of figures
-    out = hits.select("tier", "seq", F.explode(F.array_compact(F.array(*found))).alias("h")).select("h.variant", "tier", "seq", "h.rank")
-    if limit is None:
-        return out
-    fetched = Window.partitionBy("variant").orderBy("rank", "tier", "seq")
-    out = out.withColumn("at", F.row_number().over(fetched)).where(F.col("at") <= 4 * limit).drop("at")
-    # the journal is held to a quarter of the limit, then the whole to the limit
-    own = Window.partitionBy("variant", "tier").orderBy("rank", "seq")
-    kept = out.withColumn("own", F.row_number().over(own)).where((F.col("tier") != "journal") | (F.col("own") <= max(1, limit // 4)))
-    order = Window.partitionBy("variant").orderBy("rank", "tier", "seq")
-    return kept.withColumn("pos", F.row_number().over(order)).where(F.col("pos") <= limit).select("variant", "tier", "seq", "rank", "pos")
+    return hits.select("tier", "seq", F.explode(F.array_compact(F.array(*found))).alias("h")).select("h.variant", "tier", "seq", "h.rank")
 
 
 def _shown(body: Column, *more: Column) -> Column:
@@ -222,7 +364,7 @@ def _grouped(pairs: list[tuple[int, str]]) -> dict[int, list[str]]:
     return out
 
 
-def search_many(index: Index, folded: DataFrame, queries: list[str], limit: int = 20, prefix: bool = False, tiers: Iterable[str] = TIERS, tenant: str | None = None) -> list[list[Hit]]:
+def search_many(index: Index, folded: DataFrame | Grams, queries: list[str], limit: int = 20, prefix: bool = False, tiers: Iterable[str] = TIERS, tenant: str | None = None) -> list[list[Hit]]:
     """The full ladder for several queries in the same few jobs.
 
     Head: the strict search, or the first weaker form that finds anything. Then, while there is
@@ -284,7 +426,7 @@ def search_many(index: Index, folded: DataFrame, queries: list[str], limit: int
     return out
 
 
-def search(index: Index, folded: DataFrame, query: str, **options) -> DataFrame:
+def search(index: Index, folded: DataFrame | Grams, query: str, **options) -> DataFrame:
     """The ladder for one query, as a table (pos, tier, key, category, body, rank, ts)."""
     hits = search_many(index, folded, [query], **options)[0]
     return as_table(index.docs.sparkSession, with_bodies(index, hits, tx.query_tokens(query)))
@@ -349,7 +491,7 @@ def record_tokens(query: str) -> list[str]:
     return uniq
 
 
-def search_records(index: Index, folded: DataFrame, query: str, limit: int = 10, tenant: str | None = None, function_words: frozenset[str] = FUNCTION_WORDS, corpus: int | None = None) -> DataFrame:
+def search_records(index: Index, folded: DataFrame | Grams, query: str, limit: int = 10, tenant: str | None = None, function_words: frozenset[str] = FUNCTION_WORDS, corpus: int | None = None) -> DataFrame:
     """Retrieve, then verify: records that cover the query's informative words, its rarest above all.
 
     Every word is searched by the full ladder (all in the same jobs). A word that finds nothing is

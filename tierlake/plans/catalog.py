@@ -161,8 +161,7 @@ def proximity_bucket(spark, sf):
 
 @query("SELECT doc_id FROM documents WHERE contains(lower(text), 'inging') AND contains(lower(text), 'est')")
 def substring_and(spark, sf):
-    folded = index.folded(_refs(spark, sf).docs)
-    return search.rank_substrings(folded, ["inging est"], None).select(F.col("seq").alias("doc_id"))
+    return search.rank_substrings(_refs(spark, sf).substrings(), ["inging est"], None).select(F.col("seq").alias("doc_id"))
 
 
 @query(
@@ -177,8 +176,7 @@ SELECT doc_id, round(rank, 6) AS rank FROM r ORDER BY r.rank, doc_id LIMIT 20
 """
 )
 def trigram_rank(spark, sf):
-    folded = index.folded(_refs(spark, sf).docs)
-    return search.rank_substrings(folded, ["tionen"], 20).select(F.col("seq").alias("doc_id"), F.round("rank", 6).alias("rank"))
+    return search.rank_substrings(_refs(spark, sf).substrings(), ["tionen"], 20).select(F.col("seq").alias("doc_id"), F.round("rank", 6).alias("rank"))
 
 
 @query("SELECT doc_id, replace(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZłøđıðŁØĐÐ', 'abcdefghijklmnopqrstuvwxyzlodidlodd'), 'ß', 'ss') AS folded FROM documents")
@@ -251,7 +249,7 @@ SELECT CAST(pos AS INT) AS pos, 'reference' AS tier, (SELECT source || '/' || d.
 )
 def search_ladder(spark, sf):
     built = _refs(spark, sf)
-    return search.search(built, index.folded(built.docs), "which estion and oution", limit=20).select("pos", "tier", "key", F.round("rank", 6).alias("rank"))
+    return search.search(built, built.substrings(), "which estion and oution", limit=20).select("pos", "tier", "key", F.round("rank", 6).alias("rank"))
 
 
 @query(
@@ -273,7 +271,7 @@ SELECT CAST(pos AS INT) AS pos, 'reference' AS tier, (SELECT source || '/' || x.
 )
 def search_records(spark, sf):
     built = _refs(spark, sf)
-    return search.search_records(built, index.folded(built.docs), "estion oution the", corpus=built.docs.count()).select("pos", "tier", "key", F.round("rank", 6).alias("rank"))
+    return search.search_records(built, built.substrings(), "estion oution the", corpus=built.docs.count()).select("pos", "tier", "key", F.round("rank", 6).alias("rank"))
 
 
 @query()
@@ -286,7 +284,7 @@ def porter_search(spark, sf):
 def abstain(spark, sf):
     """A content word without a hit empties the whole result."""
     built = _refs(spark, sf)
-    return search.search_records(built, index.folded(built.docs), "estion qqqzzz").select("pos", "tier", "key")
+    return search.search_records(built, built.substrings(), "estion qqqzzz").select("pos", "tier", "key")
 
 
 # tables
