@@ -1,4 +1,5 @@
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -123,7 +124,8 @@ def test_learning_passes(mem):
     assert done.first()["status"] == "accepted" and refs.first()["doc_key"] == f"skill/{first['proposed_slug']}"
     none, no_refs = learn.review(done, first["id"], True, "2024-02-01")
     assert none.count() == no_refs.count() == 0
-    assert learn.evidence(mem.store.scan("journal_events"), learn.propose(mem.store.scan("journal_events"))).count() == 1
+    events = mem.store.scan("journal_events")
+    assert learn.all_evidence(events, learn.propose(events).where("pattern_kind = 'repeated_action'")).count() == 1
 
 
 def test_lint(mem):
@@ -161,3 +163,37 @@ def test_files_and_credentials(spark, tmp_path):
     (tmp_path / "c.json").write_text('{"tenant_id": " ", "account_id": "acc"}')
     assert tables.credentials(spark, str(tmp_path / "c.json")).first()[0] == "acc"
     assert tables.stored_files(spark, str(tmp_path)).count() == 1
+
+
+def test_stream_of_files_equals_one_batch(spark, tmp_path):
+    """However events are dealt out to files, late ones included, the proposals are those of all of them."""
+    r = random.Random(6)
+    rows = []
+    for i in range(60):
+        minute = i * 17 if i % 9 else i * 17 - 300  # some come late
+        ts = f"2024-01-{1 + minute // 1440:02d}T{minute // 60 % 24:02d}:{minute % 60:02d}:00.000Z" if minute >= 0 else None
+        rows.append((i + 1, f"e{i}", "t", ts, json.dumps({"task": i, f"k{i % 3}": 1}), json.dumps([["deploy staging", "run tests", "send mail"][r.randrange(3)]]), None, None))
+    schema = tables.TABLES["journal_events"]
+    found = []
+    for name, size in (("one", 60), ("many", 7)):
+        path, out = str(tmp_path / name / "journal"), str(tmp_path / name / "out")
+        for at in range(0, 60, size):
+            spark.createDataFrame(rows[at : at + size], schema).coalesce(1).write.mode("append").parquet(path)
+        journal.mine(journal.read_journal(spark, path, 1), out, str(tmp_path / name / "check")).awaitTermination()
+        last = max(int(p.name[6:]) for p in (tmp_path / name / "out").glob("batch=*"))
+        assert last == (0 if size == 60 else 8)
+        found.append(sorted((x.pattern_kind, x.slug, round(x.confidence, 9), x.hits, x.detail, x.first_seq) for x in spark.read.parquet(f"{out}/batch={last}").collect()))
+    batch = learn.propose(spark.createDataFrame(rows, schema))
+    assert found[0] == found[1] == sorted((x.pattern_kind, x.slug, round(x.confidence, 9), x.hits, x.detail, x.first_seq) for x in batch.collect()) != []
+
+
+def test_frequent_pairs_in_two_passes(spark):
+    r = random.Random(2)
+    rows = [(i, json.dumps([f"word{r.randrange(400)}" for _ in range(12)] + ["often seen", "with this"] * (i % 4 == 0)), None) for i in range(200)]
+    events = spark.createDataFrame(rows, "seq long, evaluated string, acted string")
+    plain = lambda df: sorted(map(tuple, df.collect()))
+    want = learn.co_occurrence(events, 4)
+    for buckets in (8, 1 << 16):
+        assert plain(learn.co_occurrence(events, 4, buckets)) == plain(want) != []
+    every, kept = learn.pairs_of(events).count(), learn.frequent_pairs(events, 4, 1 << 16).count()
+    assert kept < every / 10, f"{kept} of {every} pairs"

@@ -61,24 +61,47 @@ def tokens(event_cols: tuple[str, ...] = ("evaluated", "acted")) -> Column:
     return F.slice(F.array_distinct(F.filter(phrases, lambda p: F.coalesce(p != "", F.lit(False)))), 1, MAX_TOKENS)
 
 
-
-def repeated_actions(events: DataFrame, min_hits: int = 3) -> DataFrame:
-    groups = events.select("seq", signature(F.col("acted")).alias("sig")).where("sig is not null").groupBy("sig").agg(F.count(F.lit(1)).alias("hits"), F.min("seq").alias("first_seq"))
-    return groups.where(F.col("hits") >= max(2, min_hits)).select(F.lit(KINDS[0]).alias("pattern_kind"), tx.slug_col(F.concat(F.lit("repeat-"), "sig")).alias("slug"), F.least(F.lit(0.95), 0.4 + 0.05 * F.col("hits")).alias("confidence"), "hits", F.col("sig").alias("detail"), "first_seq")
+def action_groups(events: DataFrame) -> DataFrame:
+    """(detail, hits, first_seq) of each action."""
+    rows = events.select("seq", signature(F.col("acted")).alias("detail")).where("detail is not null")
+    return rows.groupBy("detail").agg(F.count(F.lit(1)).alias("hits"), F.min("seq").alias("first_seq"))
 
 
-def shared_shapes(events: DataFrame, min_hits: int = 3) -> DataFrame:
-    groups = events.select("seq", shape(F.col("evaluated")).alias("keys")).where("keys is not null").groupBy("keys").agg(F.count(F.lit(1)).alias("hits"), F.min("seq").alias("first_seq"))
-    name = F.array_join(F.slice(F.split("keys", ","), 1, 4), "-")
-    return groups.where(F.col("hits") >= max(2, min_hits)).select(F.lit(KINDS[1]).alias("pattern_kind"), tx.slug_col(F.concat(F.lit("shape-"), name)).alias("slug"), F.least(F.lit(0.85), 0.3 + 0.04 * F.col("hits")).alias("confidence"), "hits", F.col("keys").alias("detail"), "first_seq")
+def shape_groups(events: DataFrame) -> DataFrame:
+    """(detail, hits, first_seq) of each set of keys."""
+    rows = events.select("seq", shape(F.col("evaluated")).alias("detail")).where("detail is not null")
+    return rows.groupBy("detail").agg(F.count(F.lit(1)).alias("hits"), F.min("seq").alias("first_seq"))
 
 
-def co_occurrence(events: DataFrame, min_hits: int = 3) -> DataFrame:
-    """Pairs of tokens in one event. An event has at most 64 tokens, so at most 2,016 pairs."""
+def pairs_of(events: DataFrame) -> DataFrame:
+    """(seq, a, b): the pairs of tokens in one event, in order. An event has at most 64 tokens, so at most 2,016 pairs."""
     one = events.select("seq", F.array_sort(tokens()).alias("t"))
     pairs = F.flatten(F.transform("t", lambda a, i: F.transform(F.slice("t", i + 2, F.lit(MAX_TOKENS)), lambda b: F.struct(a.alias("a"), b.alias("b")))))
-    groups = one.select("seq", F.explode(pairs).alias("p")).groupBy("p.a", "p.b").agg(F.count(F.lit(1)).alias("hits"), F.min("seq").alias("first_seq"))
-    return groups.where(F.col("hits") >= max(2, min_hits)).select(F.lit(KINDS[2]).alias("pattern_kind"), tx.slug_col(F.concat(F.lit("pair-"), "a", F.lit("-"), "b")).alias("slug"), F.least(F.lit(0.80), 0.25 + 0.04 * F.col("hits")).alias("confidence"), "hits", F.concat("a", F.lit(","), "b").alias("detail"), "first_seq")
+    return one.select("seq", F.explode(pairs).alias("p")).select("seq", "p.a", "p.b")
+
+
+#: Buckets of the first pass over pairs: what is broadcast after it is at most a number for each.
+PAIR_BUCKETS = 1 << 20
+
+
+def frequent_pairs(events: DataFrame, least: int, buckets: int = PAIR_BUCKETS) -> DataFrame:
+    """(seq, a, b): the pairs that can have ``least`` events, in two passes.
+
+    The first pass counts hashes of pairs in a fixed number of buckets. A pair in a bucket of fewer than
+    ``least`` is rare itself and is not made, and so not shuffled, in the second.
+    """
+    every = pairs_of(events)
+    bucket = F.pmod(F.xxhash64("a", "b"), F.lit(buckets)).cast("int")
+    full = every.select(bucket.alias("bucket")).groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least).select("bucket")
+    return every.withColumn("bucket", bucket).join(F.broadcast(full), "bucket", "left_semi").drop("bucket")
+
+
+def pair_groups(events: DataFrame, least: int | None = None, buckets: int = PAIR_BUCKETS) -> DataFrame:
+    """(detail, hits, first_seq) of each pair of tokens; with ``least`` of those with as many events, found in two passes."""
+    rows = pairs_of(events) if least is None else frequent_pairs(events, least, buckets)
+    found = rows.groupBy("a", "b").agg(F.count(F.lit(1)).alias("hits"), F.min("seq").alias("first_seq"))
+    found = found if least is None else found.where(F.col("hits") >= least)
+    return found.select(F.concat("a", F.lit(","), "b").alias("detail"), "hits", "first_seq")
 
 
 def cadence(events: DataFrame) -> DataFrame:
@@ -89,9 +112,48 @@ def cadence(events: DataFrame) -> DataFrame:
     return timed.select("sig", "hits", "mean_gap", F.when(F.col("mean_gap") > 0, F.col("sd") / F.col("mean_gap")).alias("cov"), "first_seq")
 
 
+def _candidates(groups: DataFrame, kind: str, slug: Column, confidence: Column) -> DataFrame:
+    return groups.select(F.lit(kind).alias("pattern_kind"), tx.slug_col(slug).alias("slug"), confidence.alias("confidence"), "hits", "detail", "first_seq")
+
+
+def actions_of(groups: DataFrame, min_hits: int) -> DataFrame:
+    sure = F.least(F.lit(0.95), 0.4 + 0.05 * F.col("hits"))
+    return _candidates(groups.where(F.col("hits") >= max(2, min_hits)), KINDS[0], F.concat(F.lit("repeat-"), "detail"), sure)
+
+
+def shapes_of(groups: DataFrame, min_hits: int) -> DataFrame:
+    name = F.array_join(F.slice(F.split("detail", ","), 1, 4), "-")
+    sure = F.least(F.lit(0.85), 0.3 + 0.04 * F.col("hits"))
+    return _candidates(groups.where(F.col("hits") >= max(2, min_hits)), KINDS[1], F.concat(F.lit("shape-"), name), sure)
+
+
+def co_occurrences_of(groups: DataFrame, min_hits: int) -> DataFrame:
+    sure = F.least(F.lit(0.80), 0.25 + 0.04 * F.col("hits"))
+    return _candidates(groups.where(F.col("hits") >= max(2, min_hits)), KINDS[2], F.concat(F.lit("pair-"), F.replace("detail", F.lit(","), F.lit("-"))), sure)
+
+
+def routines_of(groups: DataFrame, min_hits: int, max_cov: float = 0.6) -> DataFrame:
+    """``groups``: as ``cadence`` has them."""
+    found = groups.where((F.col("hits") >= max(3, min_hits)) & (F.col("cov") < max_cov))
+    said = F.concat("sig", F.lit(" every "), F.format_number(F.round("mean_gap", 1), 1), F.lit(" min"))
+    return _candidates(found.withColumn("detail", said), KINDS[3], F.concat(F.lit("routine-"), "sig"), F.least(F.lit(0.9), 0.5 + 0.5 * (1 - F.col("cov"))))
+
+
+def repeated_actions(events: DataFrame, min_hits: int = 3) -> DataFrame:
+    return actions_of(action_groups(events), min_hits)
+
+
+def shared_shapes(events: DataFrame, min_hits: int = 3) -> DataFrame:
+    return shapes_of(shape_groups(events), min_hits)
+
+
+def co_occurrence(events: DataFrame, min_hits: int = 3, buckets: int | None = None) -> DataFrame:
+    """Pairs of tokens in one event. ``buckets`` finds them in two passes, for events with very many rare pairs."""
+    return co_occurrences_of(pair_groups(events) if buckets is None else pair_groups(events, max(2, min_hits), buckets), min_hits)
+
+
 def routines(events: DataFrame, min_hits: int = 3, max_cov: float = 0.6) -> DataFrame:
-    found = cadence(events).where((F.col("hits") >= max(3, min_hits)) & (F.col("cov") < max_cov))
-    return found.select(F.lit(KINDS[3]).alias("pattern_kind"), tx.slug_col(F.concat(F.lit("routine-"), "sig")).alias("slug"), F.least(F.lit(0.9), 0.5 + 0.5 * (1 - F.col("cov"))).alias("confidence"), "hits", F.concat("sig", F.lit(" every "), F.format_number(F.round("mean_gap", 1), 1), F.lit(" min")).alias("detail"), "first_seq")
+    return routines_of(cadence(events), min_hits, max_cov)
 
 
 def propose(events: DataFrame, pending: DataFrame | None = None, min_hits: int = 3, most: int = MAX_PROPOSALS) -> DataFrame:
@@ -100,7 +162,12 @@ def propose(events: DataFrame, pending: DataFrame | None = None, min_hits: int =
     Equals go by detector, then by the first event. Pending slugs are left out after the cut.
     """
     all_of = repeated_actions(events, min_hits).unionByName(shared_shapes(events, min_hits)).unionByName(co_occurrence(events, min_hits)).unionByName(routines(events, min_hits))
-    ranked = all_of.withColumn("detector", F.array_position(F.array(*map(F.lit, KINDS)), F.col("pattern_kind")))
+    return selected(all_of, pending, most)
+
+
+def selected(candidates: DataFrame, pending: DataFrame | None = None, most: int = MAX_PROPOSALS) -> DataFrame:
+    """Of candidates those that are proposed, as ``propose`` says."""
+    ranked = candidates.withColumn("detector", F.array_position(F.array(*map(F.lit, KINDS)), F.col("pattern_kind")))
     best = ranked.groupBy("slug").agg(F.min(F.struct((-F.col("confidence")).alias("c"), "detector", "first_seq", "pattern_kind", "confidence", "hits", "detail")).alias("b")).select("slug", "b.*")
     top = best.orderBy(F.desc("confidence"), "detector", "first_seq", "slug").limit(most)
     if pending is not None:
@@ -124,16 +191,6 @@ def rendered(proposals: DataFrame) -> DataFrame:
     return proposals.withColumn("proposed_title", title_col(F.col("slug"))).withColumn("proposed_body", body)
 
 
-def evidence(events: DataFrame, proposals: DataFrame) -> DataFrame:
-    """(slug, evidence): JSON of the first twenty events of each repeated action among few proposals."""
-    wanted = F.broadcast(proposals.where(F.col("pattern_kind") == KINDS[0]).select("slug", F.col("detail").alias("sig")))  # at most MAX_PROPOSALS rows
-    rows = events.withColumn("sig", signature(F.col("acted"))).join(wanted, "sig")
-    order = Window.partitionBy("slug").orderBy("seq")
-    firsts = rows.withColumn("n", F.row_number().over(order)).where(F.col("n") <= MAX_EVIDENCE)
-    item = F.struct("seq", F.col("id").alias("event_id"), "ts", F.substring("acted", 1, 120).alias("snippet"))
-    return firsts.groupBy("slug").agg(F.to_json(F.transform(F.array_sort(F.collect_list(item)), lambda e: F.struct(e["event_id"].alias("event_id"), e["ts"].alias("ts"), e["snippet"].alias("snippet")))).alias("evidence"))
-
-
 def all_evidence(events: DataFrame, proposals: DataFrame) -> DataFrame:
     """(slug, evidence): JSON of the first twenty events of every proposal, whatever its kind; ``proposals`` are at most MAX_PROPOSALS rows."""
     parts = F.split("detail", ",")
