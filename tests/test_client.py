@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from tierlake.functions import porter, text as tx
 from tierlake.operators import index, learn, memory, search
-from tierlake.sources import tables
+from tierlake.sources import manifest, tables
 
 from .test_search import built, keys
 
@@ -205,7 +205,8 @@ def test_versions_and_index_checks(mem, spark):
     assert mem.lint().count() == 0
     mem.set_entity("c", "a", {}), mem.search("a")
     assert mem.lint().count() == 0
-    spark.createDataFrame([], index._POSTINGS).write.mode("overwrite").partitionBy("tier").parquet(f"{mem.segments.root}/postings")
+    segment = mem.segments._state()[1]["segments"][0]["id"]
+    spark.createDataFrame([], index._POSTINGS).write.mode("overwrite").partitionBy("tier").parquet(f"{mem.segments.root}/{segment}/postings")
     found = mem.lint().collect()
     assert [r.check for r in found] == ["fts-rowcount-mismatch"] and found[0].recovery
     mem.rebuild_index()
@@ -221,3 +222,56 @@ def test_files_are_found_once(spark, tmp_path):
     found = tables.discovered(spark, [f"{tmp_path}/*.db", f"{tmp_path}/a.*", f"{tmp_path}/none"])
     assert found.count() == 1 and tables.total_size(found) == 5
     assert tables.total_size(tables.discovered(spark, [f"{tmp_path}/none"])) == 0
+
+
+def test_segments_merge_and_keep_figures(mem, monkeypatch):
+    """Whatever came, was replaced and deleted, and however segments were merged: figures, ranks and substring hits are those of a new index."""
+    monkeypatch.setattr(index, "FAN_IN", 2)
+    r = random.Random(4)
+    for step in range(4):
+        rows = [("c", f"n{r.randrange(12)}", json.dumps({"t": " ".join(r.choices(["deploys", "red", "fox", "Bełżyce", "w1"], k=r.randrange(1, 9)))}, ensure_ascii=False)) for _ in range(7)]
+        rows = list({x[:2]: x for x in rows}.values())
+        mem.put_all("entities", mem.spark.createDataFrame(rows, "category string, name string, body string"))
+        if step == 2:
+            mem.delete_entity("c", rows[0][1]), mem.set_state("s", {"t": "red deploy"}), mem.set_state("s", {"t": "deploy twice, deploy"})
+        mem.segments.refresh()
+    n, state = mem.segments._state()
+    levels = [s["level"] for s in state["segments"]]
+    assert max(levels) >= 2 and len(levels) == len(set(levels))
+    kept, live = mem.segments.index(), mem.store.live
+    fresh = index.build(index.searchable(live("entities"), live("state_documents"), live("reference_documents"), live("journal_events")))
+    assert sorted(map(tuple, kept.stats.collect())) == sorted(map(tuple, fresh.stats.collect()))
+    assert sorted((x.tier, x.seq, x.term, x.tf, x.dl, x.pos) for x in kept.postings.collect()) == sorted((x.tier, x.seq, x.term, x.tf, x.dl, x.pos) for x in fresh.postings.collect())
+    hits = lambda i, source: {(x.tier, x.seq): round(x["rank"], 9) for x in search.rank_substrings(source, ["deploy", "ełży"], None).collect()}
+    assert hits(kept, kept.substrings()) == hits(fresh, fresh.substrings()) != {}
+    # a search reads the postings of its words: the term is pushed to every segment, and nothing is counted
+    plan = search.rank_words(kept, [["red"]], 5)._jdf.queryExecution().executedPlan().toString()
+    assert plan.replace(" ", "").count("EqualTo(term,red)") >= len(levels)
+    words = mem.segments._words(state).collect()
+    assert len(words) == len({w.word for w in words})
+
+
+def test_two_writers_of_one_state(mem):
+    a, b = manifest.Manifest(mem.spark, f"{mem.store.root}/m", keep=2), manifest.Manifest(mem.spark, f"{mem.store.root}/m")
+    assert a.read() == (0, {}) and a.commit(0, {"x": 1}) == 1
+    with pytest.raises(tables.ConflictError):
+        b.commit(0, {"x": 2})
+    assert b.read() == (1, {"x": 1})
+    for n in range(1, 5):
+        a.commit(n, {"x": n})
+    assert b.read() == (5, {"x": 4}) and len(a._numbers()) <= 3
+
+
+@pytest.mark.parametrize("word", ["war", "die", "hat", "con", "son", "era", "ten", "can", "may"])
+def test_words_that_mean_something_abstain(word):
+    assert word not in search.FUNCTION_WORDS
+    assert {"the", "nicht", "och", "para"} & search.FUNCTION_WORDS == {"the", "nicht", "para"}
+
+
+def test_record_searches_in_one_plan(spark):
+    rows = [(k, f"{k}-{i}", {"text": f"co{i:04d} topic{i % 2}alpha {k} words"}) for i in range(12) for k in ("report", "email")]
+    made, folded = built(spark, rows)
+    queries = ["co0007 topic1alpha", "co0003 report", "war archive", "the co0001 nicht", ""]
+    many = search.search_records_many(made, folded, queries, limit=50).collect()
+    got = {i: sorted(r.seq for r in many if r["query"] == i) for i in range(5)}
+    assert got[0] == [15, 16] and got[2] == got[4] == [] and set(got[3]) == {3, 4} and got[1][:1] == [7]

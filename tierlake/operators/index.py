@@ -8,6 +8,7 @@ and of queries. The index is derived data: it is built once, saved, and read by
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -15,9 +16,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import porter
 from ..functions import text as tx
+from ..sources.manifest import Manifest
+from ..sources.tables import small
 
 TIERS = ("entity", "state", "reference", "journal")
 
@@ -76,6 +80,7 @@ class Grams:
 
     postings: DataFrame
     stats: DataFrame
+    dead: DataFrame | None = None  # (tier, seq) of documents that do not count
 
 
 #: Fixed kind of a trigram's rows; PAD ends every text.
@@ -348,62 +353,214 @@ def build(docs: DataFrame, terms: Analyzer | Callable[[Column], Column] = PORTER
     return Index(docs.drop("parts"), postings, _stats(docs, postings, by), analyzer, raw=raw)
 
 
+#: Segments of a level that are merged to one of the next, and dead rows that a broadcast takes.
+FAN_IN, SENT_DEAD = 4, 1_000_000
+#: Keys of a batch that are looked up among the segments' documents by their hashes; more are joined.
+LOOKED_UP = 5_000
+_POSTINGS = "tier string, tenant_id string, seq long, term string, tf int, dl int, pos array<int>"
+_DOCS = "tier string, tenant_id string, seq long, category string, key string, text string, body string, ts string, hash long, dl int, size int"
+_DEAD = "segment string, tier string, seq long, dl int, size int"
+
+
 class Segments:
-    """An index kept beside a store's logs: postings of every put row, appended as rows come; what is live is decided when it is read."""
+    """An index kept beside a store's logs, in segments that do not change.
+
+    What came since the last time makes a new segment: documents, postings and trigrams, each sorted. A
+    version that a later row replaces or deletes is noted as dead, and corpus figures are kept by adding and
+    subtracting, so nothing is counted again. FAN_IN segments of a level become one of the next,
+    without their dead rows. A manifest says which segments and dead rows count.
+    """
 
     def __init__(self, store, analyzer: Analyzer = PORTER):
         self.store, self.spark, self.analyzer, self.root = store, store.spark, analyzer, f"{store.root}/_index/{analyzer.name}"
+        self.manifest = Manifest(self.spark, f"{self.root}/state")
+
+    def _state(self) -> tuple[int, dict]:
+        n, state = self.manifest.read()
+        return n, state or {"marks": {}, "segments": [], "dead": [], "n_dead": 0, "stats": {}, "words": [], "garbage": []}
 
-    def _read(self, name: str, schema: str) -> DataFrame:
-        try:
-            return self.spark.read.schema(schema).parquet(f"{self.root}/{name}")
-        except Exception as e:
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
+    def _read(self, name: str, schema: str, state: dict | None = None) -> DataFrame:
+        """Of all segments the rows of one kind, dead ones too."""
+        state = self._state()[1] if state is None else state
+        paths = [f"{self.root}/{s['id']}/{name}" for s in state["segments"]]
+        if not paths:
             return self.spark.createDataFrame([], schema)
+        # each has its own folder of tiers
+        parts = [self.spark.read.schema(schema).parquet(p) for p in paths]
+        out = parts[0]
+        for part in parts[1:]:
+            out = out.unionByName(part)
+        return out
+
+    def _dead(self, state: dict) -> DataFrame | None:
+        return self.spark.read.schema(_DEAD).parquet(*[f"{self.root}/{p}" for p in state["dead"]]) if state["dead"] else None
+
+    def _alive(self, rows: DataFrame, state: dict) -> DataFrame:
+        dead = self._dead(state)
+        if dead is None:
+            return rows
+        names = dead.select("tier", "seq")
+        return rows.join(F.broadcast(names) if state["n_dead"] <= SENT_DEAD else names, ["tier", "seq"], "left_anti")
+
+    def _words(self, state: dict) -> DataFrame | None:
+        if self.analyzer.stem is None or not state["words"]:
+            return None
+        return self.spark.read.schema("word string, terms array<string>").parquet(*[f"{self.root}/{p}" for p in state["words"]])
 
-    def refresh(self) -> None:
-        """Index the rows that came since the last time; rows of one table are numbered as they come."""
-        marks = {r["name"]: r["seq"] for r in self._read("marks", "name string, seq long").groupBy("name").agg(F.max("seq").alias("seq")).collect()}  # one row a table
+    def _new_rows(self, state: dict) -> tuple[DataFrame | None, dict]:
+        """(documents and deletes of all tables that came since, marks): of a key the last row alone."""
         tables = {"entities": "entities", "state_documents": "state", "reference_documents": "reference", "journal_events": "journal"}
-        new, seen = {}, []
+        found, marks = None, dict(state["marks"])
         for table, tier in tables.items():
             rows = self.store.scan(table).where(F.col("seq") > marks.get(table, -1))
             top = rows.agg(F.max("seq")).first()[0]
-            if top is not None:
-                rows = rows.where(F.col("seq") <= top)
-                new[tier] = rows if table == "journal_events" else rows.where("op = 'put'").withColumn("updated_at", F.col("ts"))
-                seen.append((table, top))
-        if not seen:
+            if top is None:
+                continue
+            marks[table] = top
+            rows = rows.where(F.col("seq") <= top)
+            gone = F.lit(False) if table == "journal_events" else F.col("op") == "delete"
+            keep = rows if table == "journal_events" else rows.withColumn("updated_at", F.col("ts"))
+            docs = searchable(**{tier: keep}).join(rows.select("seq", gone.alias("gone")), "seq")
+            found = docs if found is None else found.unionByName(docs)
+        if found is None:
+            return None, marks
+        key = F.xxhash64("tier", "tenant_id", "category", "key")
+        last = Window.partitionBy("tier", "tenant_id", "category", "key").orderBy(F.desc("seq"))
+        return found.withColumn("hash", key).withColumn("at", F.row_number().over(last)).where("at = 1").drop("at"), marks
+
+    def refresh(self) -> None:
+        """Index the rows that came since the last time, then merge what is due."""
+        n, state = self._state()
+        new, marks = self._new_rows(state)
+        if new is None:
             return
-        docs = searchable(new.get("entities"), new.get("state"), new.get("reference"), new.get("journal"))
-        postings_of(docs, self.analyzer).sortWithinPartitions("term").write.mode("append").partitionBy("tier").parquet(f"{self.root}/postings")
-        self.spark.createDataFrame(seen, "name string, seq long").coalesce(1).write.mode("append").parquet(f"{self.root}/marks")
+        name = f"segment-{uuid.uuid4().hex}"
+        new.write.parquet(f"{self.root}/{name}/rows")
+        new = self.spark.read.parquet(f"{self.root}/{name}/rows")
+        live = new.where("not gone").drop("gone")
+        raw = words_of(live, self.analyzer)
+        state = state | {"marks": marks, "garbage": state["garbage"]}
+        if self.analyzer.stem is not None:
+            raw.write.parquet(f"{self.root}/{name}/raw")
+            raw = self.spark.read.parquet(f"{self.root}/{name}/raw")
+            known, words = self._words(state), raw.select("term").distinct().toDF("word")
+            fresh = words if known is None else words.join(known.select("word"), "word", "left_anti")
+            stemmed(fresh, self.analyzer).write.parquet(f"{self.root}/{name}/words")
+            state = state | {"words": [*state["words"], f"{name}/words"]}
+            raw = by_dictionary(raw, self._words(state))
+        raw.sortWithinPartitions("term").write.partitionBy("tier").parquet(f"{self.root}/{name}/postings")
+        postings = self.spark.read.schema(_POSTINGS).parquet(f"{self.root}/{name}/postings")
+        lengths = postings.groupBy("tier", "seq").agg(F.max("dl").alias("dl"))
+        size = F.greatest(F.lit(0), F.length(tx.fold_col(F.coalesce("text", F.lit("")))) - 2)
+        docs = live.drop("parts").join(lengths, ["tier", "seq"], "left").withColumn("dl", F.coalesce("dl", F.lit(0))).withColumn("size", size)
+        names = [f.name for f in T.StructType.fromDDL(_DOCS)]
+        docs.select(*names).repartitionByRange("hash").sortWithinPartitions("hash").write.partitionBy("tier").parquet(f"{self.root}/{name}/docs")
+        grams_of(live).repartition("gram").sortWithinPartitions("gram").write.partitionBy("tier").parquet(f"{self.root}/{name}/grams")
+        dead = self._replaced(new, state)
+        if dead is not None:
+            dead.write.parquet(f"{self.root}/{name}/dead")
+            dead = self.spark.read.schema(_DEAD).parquet(f"{self.root}/{name}/dead")
+        added = self._figures(self.spark.read.schema(_DOCS).parquet(f"{self.root}/{name}/docs"))
+        gone = self._figures(dead) if dead is not None else {}
+        stats = {t: [a + b - c for a, b, c in zip(state["stats"].get(t, [0] * 3), added.get(t, [0] * 3), gone.get(t, [0] * 3))] for t in {*state["stats"], *added}}
+        n_dead = sum(f[0] for f in gone.values())
+        state = state | {"stats": stats, "segments": [*state["segments"], {"id": name, "level": 0}], "n_dead": state["n_dead"] + n_dead}
+        state = state | {"dead": [*state["dead"], f"{name}/dead"] if n_dead else state["dead"]}
+        n = self.manifest.commit(n, state)
+        for part in ("rows", "raw"):
+            delete(self.spark, f"{self.root}/{name}/{part}")
+        self._merge(n, state)
+
+    @staticmethod
+    def _figures(docs: DataFrame) -> dict[str, list[int]]:
+        """By tier documents, tokens and characters: a row for each tier."""
+        rows = docs.groupBy("tier").agg(F.count(F.lit(1)).alias("n"), F.sum("dl").alias("tokens"), F.sum("size").alias("size")).collect()
+        return {r["tier"]: [r["n"], r["tokens"], r["size"]] for r in rows}
+
+    def _replaced(self, new: DataFrame, state: dict) -> DataFrame | None:
+        """Live rows of the segments whose keys have come again."""
+        if not state["segments"]:
+            return None
+        keys = new.where("tier <> 'journal'").select("hash", "tier", "tenant_id", F.col("category").alias("c"), F.col("key").alias("k"))
+        parts = None
+        few = keys.count() <= LOOKED_UP
+        hashes = [r["hash"] for r in keys.select("hash").distinct().collect()] if few else None  # a sorted column: pages without them are skipped
+        for s in state["segments"]:
+            docs = self.spark.read.schema(_DOCS).parquet(f"{self.root}/{s['id']}/docs")
+            docs = docs.where(F.col("hash").isin(hashes)) if few else docs
+            part = docs.select(F.lit(s["id"]).alias("segment"), "hash", "tier", "tenant_id", "category", "key", "seq", "dl", "size")
+            parts = part if parts is None else parts.unionByName(part)
+        same = F.col("category").eqNullSafe(F.col("c")) & (F.col("key") == F.col("k"))
+        keys = F.broadcast(keys) if few else keys
+        found = self._alive(parts, state).join(keys, ["hash", "tier", "tenant_id"]).where(same)
+        return found.select(*[f.name for f in T.StructType.fromDDL(_DEAD)])
+
+    def _merge(self, n: int, state: dict) -> None:
+        """Merge the lowest level that has FAN_IN segments, and so on."""
+        for old in state["garbage"]:  # folders of the merge before
+            delete(self.spark, f"{self.root}/{old}")
+        while True:
+            levels = [s["level"] for s in state["segments"]]
+            due = next((level for level in sorted(set(levels)) if levels.count(level) >= FAN_IN), None)
+            if due is None:
+                return
+            parts = [s for s in state["segments"] if s["level"] == due]
+            rest = [s for s in state["segments"] if s["level"] != due]
+            own = {p["id"] for p in parts}
+            name = f"segment-{uuid.uuid4().hex}"
+            some = state | {"segments": parts}
+            for kind, schema, key in (("postings", _POSTINGS, "term"), ("docs", _DOCS, "hash")):
+                self._alive(self._read(kind, schema, some), state).repartitionByRange(key).sortWithinPartitions(key).write.partitionBy("tier").parquet(f"{self.root}/{name}/{kind}")
+            self._merged_grams(some, state).repartitionByRange("gram").sortWithinPartitions("gram").write.partitionBy("tier").parquet(f"{self.root}/{name}/grams")
+            now = state | {"segments": [*rest, {"id": name, "level": due + 1}], "garbage": [f"{p}/{kind}" for p in own for kind in ("postings", "docs", "grams")]}
+            if len(state["words"]) > FAN_IN:  # the dictionary of all segments, as one
+                self._words(state).repartitionByRange("word").sortWithinPartitions("word").write.parquet(f"{self.root}/{name}/words")
+                now = now | {"words": [f"{name}/words"], "garbage": [*now["garbage"], *state["words"]]}
+            dead = self._dead(state)
+            if dead is not None:
+                left = dead.where(~F.col("segment").isin(sorted(own)))
+                count = left.count()
+                if count:
+                    left.write.parquet(f"{self.root}/{name}/dead")
+                now = now | {"dead": [f"{name}/dead"] if count else [], "n_dead": count}
+            state, n = now, self.manifest.commit(n, now)
+
+    def _merged_grams(self, some: dict, state: dict) -> DataFrame:
+        """Trigram rows of several segments without their dead documents; rows of one gram stay apart, in their order."""
+        rows = self._read("grams", _GRAMS, some)
+        dead = self._dead(state)
+        if dead is None:
+            return rows
+        each = rows.withColumn("row", F.monotonically_increasing_id()).select("row", "tier", "gram", F.explode(F.arrays_zip("seqs", "tenants", "sizes", "places")).alias("d"))
+        each = self._alive(each.withColumn("seq", F.col("d.seqs")), state)
+        # a row has the documents of one block of texts
+        made = each.groupBy("row", "tier", "gram").agg(F.collect_list("d").alias("d"))
+        return made.select("tier", "gram", F.col("d.seqs").alias("seqs"), F.col("d.tenants").alias("tenants"), F.col("d.sizes").alias("sizes"), F.col("d.places").alias("places"))
 
     def indexed(self, tenant: str | None = None) -> DataFrame | None:
-        """(tier, seq) of the rows whose terms are there; None if nothing has been indexed or rows have come since."""
-        marks = {r["name"]: r["seq"] for r in self._read("marks", "name string, seq long").groupBy("name").agg(F.max("seq").alias("seq")).collect()}
-        if not marks or (self.store.scan("entities").agg(F.max("seq")).first()[0] or 0) > marks.get("entities", -1):
+        """(tier, seq) of the live rows whose terms are there; None if nothing has been indexed or rows have come since."""
+        state = self._state()[1]
+        if not state["marks"] or (self.store.scan("entities").agg(F.max("seq")).first()[0] or 0) > state["marks"].get("entities", -1):
             return None
-        rows = self._read("postings", _POSTINGS)
+        rows = self._alive(self._read("postings", _POSTINGS, state), state)
         return (rows if tenant is None else rows.where(F.col("tenant_id") == tenant)).select("tier", "seq").distinct()
 
     def rebuild(self) -> None:
         """Forget all segments; the next refresh indexes every row."""
-        self.spark.createDataFrame([], "name string, seq long").write.mode("overwrite").parquet(f"{self.root}/marks")
-        self.spark.createDataFrame([], _POSTINGS).write.mode("overwrite").partitionBy("tier").parquet(f"{self.root}/postings")
+        n, state = self._state()
+        old = [s["id"] for s in state["segments"]] + [p.partition("/")[0] for p in (*state["words"], *state["dead"])]
+        self.manifest.commit(n, {"marks": {}, "segments": [], "dead": [], "n_dead": 0, "stats": {}, "words": [], "garbage": sorted({*old, *state["garbage"]})})
 
     def index(self) -> Index:
-        """The live documents and their postings, brought up to date."""
+        """The live documents and their postings, brought up to date. Nothing is counted for it."""
         self.refresh()
-        live = self.store.live
-        docs = searchable(live("entities"), live("state_documents"), live("reference_documents"), live("journal_events"))
-        postings = self._read("postings", _POSTINGS).dropDuplicates(["tier", "seq", "term"])  # a refresh that was cut off and ran again
-        postings = postings.join(docs.select("tier", "seq"), ["tier", "seq"], "left_semi")
-        return Index(docs.drop("parts"), postings, _stats(docs, postings, ("tier",)), self.analyzer)
-
-
-_POSTINGS = "tier string, tenant_id string, seq long, term string, tf int, dl int, pos array<int>"
+        state = self._state()[1]
+        docs = self._alive(self._read("docs", _DOCS, state), state).drop("hash", "dl", "size")
+        postings = self._alive(self._read("postings", _POSTINGS, state), state)
+        figures = [(t, n, tokens / n, size) for t, (n, tokens, size) in sorted(state["stats"].items()) if n]
+        stats = small(self.spark, [f[:3] for f in figures], "tier string, n_docs long, avgdl double")
+        grams = Grams(self._read("grams", _GRAMS, state), small(self.spark, [(t, n, size) for t, n, _, size in figures], "tier string, n_docs long, size long"), self._dead(state))
+        return Index(docs, postings, stats, self.analyzer, grams)
 
 
 def weight(tf: Column, dl: Column, avgdl: Column) -> Column:

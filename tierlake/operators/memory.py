@@ -9,7 +9,7 @@ import json
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
@@ -237,7 +237,7 @@ class Memory:
         Markers are taken out of the texts, long ones are cut, and so is the whole answer.
         """
         if len(query.strip()) < 3:
-            return search.as_table(self.spark, [])
+            return search.nothing(self.spark)
         n = min(50, max(1, clamp_limit(limit)))
         hits = self.search(query, limit=n, tiers=tiers) if tiers is not None else self.search_records(query, n)
         scrubbed = hits.withColumns({c: tx.scrub_col(F.col(c)) for c in ("body", "snippet")})
@@ -254,9 +254,10 @@ class Memory:
             return self.spark.createDataFrame([], "tier string, key string, match_count long, best_rank double")
         built, folded = self.build_index()
         words = [w for w in dict.fromkeys(w.lower() for w in tx.query_tokens(query[:1000])) if w not in tx.STOPWORDS][:5]
-        found = search.search_many(built, folded, [query[:1000], *words], limit=hits, tenant=self.tenant)
-        rows = found[0] if len(found[0]) >= hits else [h for part in found for h in part]
-        return shape.merged(search.as_table(self.spark, rows), hits)
+        found = search.ladder(built, folded, [query[:1000], *words], limit=hits, tenant=self.tenant)
+        enough = F.sum((F.col("q") == 0).cast("int")).over(Window.partitionBy(F.lit(1))) >= hits  # a few rows: hits of seven searches
+        rows = found.withColumn("enough", enough).where((F.col("q") == 0) | ~F.col("enough"))
+        return shape.merged(rows, hits)
 
     def learn(self, min_hits: int = 3, since: str | None = None, summarize: Callable[[str, dict, list[dict]], str] | None = None) -> DataFrame:
         """Mine the events past the last run's watermark; append proposals and the run.

@@ -1,22 +1,23 @@
 """Lexical search: ranked word search over tiers, substring search, and the ladder that joins them.
 
-The table work of a query is a handful of plans, each over all variants of the query at once, with
-its result cut to the limit per variant and tier. Only those rows, whose number is bounded by the
-limits, reach the driver, where the ladder puts them in order.
+A search is one plan, over all variants of all its queries at once: ranked rows are cut to the limit per
+variant and tier, and the ladder's stages are rows with a stage number, joined so that a later stage never
+moves or repeats what an earlier one has. Nothing is collected before the page.
 """
 
 from __future__ import annotations
 
+from collections import deque
 from collections.abc import Callable, Iterable
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
+from ..sources.tables import small
+from . import shape
 from .index import TIERS, Analyzer, Grams, Index, bm25, idf
 
-Hit = dict
-
 
 def _variants(index: Index, variants: list[list[str]], prefix: bool = False) -> DataFrame:
     """(variant, slot, part, term, starts, slots, parts): a word of a query is a slot, and a phrase where the analyzer makes several terms of it."""
@@ -25,7 +26,7 @@ def _variants(index: Index, variants: list[list[str]], prefix: bool = False) ->
         made = [t for w in words if (t := index.analyzer.query(w))]
         for i, terms in enumerate(made):
             rows += [(v, i, j, t, prefix and i == len(made) - 1 and j == len(terms) - 1, len(made), len(terms)) for j, t in enumerate(terms)]
-    return index.docs.sparkSession.createDataFrame(rows, "variant int, slot int, part int, word string, starts boolean, slots int, parts int")
+    return small(index.docs.sparkSession, rows, "variant int, slot int, part int, word string, starts boolean, slots int, parts int")
 
 
 def document_counts(index: Index, words: list[str], tiers: tuple[str, ...]) -> DataFrame:
@@ -58,7 +59,7 @@ def best_blocks(index: Index, variants: list[list[str]], limit: int, tiers: tupl
     if not rows:
         return None
     words = sorted({t for ts in made for t in ts})
-    asked = F.broadcast(spark.createDataFrame(rows, "variant int, slot int, term string, many int"))
+    asked = F.broadcast(small(spark, rows, "variant int, slot int, term string, many int"))
     held = index.blocks.where(F.col("tier").isin(*tiers) & F.col("term").isin(words))
     df = F.broadcast(held.groupBy("tier", "term").agg(F.sum("n").alias("df")))  # a row for each word and tier
     share = bm25(F.col("tf"), F.col("dl"), F.col("n_docs"), F.col("avgdl"), F.col("df"))
@@ -71,7 +72,7 @@ def best_blocks(index: Index, variants: list[list[str]], limit: int, tiers: tupl
     first = bounds.withColumn("at", F.row_number().over(order)).where(F.col("at") <= FIRST_BLOCKS).select("variant", "tier", "block").collect()
     if not first:
         return None
-    start = F.broadcast(spark.createDataFrame([tuple(r) for r in first], "variant int, tier string, block long"))
+    start = F.broadcast(small(spark, [tuple(r) for r in first], "variant int, tier string, block long"))
     few = [r["block"] for r in first]
     seen = held_postings(index, words, tiers).where(F.col("block").isin(few)).join(asked, "term").join(start, ["variant", "tier", "block"])
     seen = seen if tenant is None else seen.where(F.col("tenant_id") == tenant)
@@ -181,7 +182,7 @@ def _occurrences(grams: Grams, parts: list[str], tiers: tuple[str, ...]) -> Data
     flat = lambda df: df.select("part", "offset", "many", "tier", F.explode(F.arrays_zip("seqs", "tenants", "sizes", "places")).alias("d"))
     found = []
     if pieces:
-        asked = F.broadcast(spark.createDataFrame(pieces, "part int, offset int, gram string, many int"))
+        asked = F.broadcast(small(spark, pieces, "part int, offset int, gram string, many int"))
         found.append(flat(rows.where(F.col("gram").isin(sorted({g for _, _, g, _ in pieces}))).join(asked, "gram")))
     for i, p in enumerate(parts):
         if len(p) < 3:
@@ -190,6 +191,8 @@ def _occurrences(grams: Grams, parts: list[str], tiers: tuple[str, ...]) -> Data
     for more in found[1:]:
         every = every.unionByName(more)
     doc = ["part", "many", "tier", F.col("d.seqs").alias("seq"), F.col("d.tenants").alias("tenant_id"), F.col("d.sizes").alias("size")]
+    if grams.dead is not None:
+        every = every.withColumn("seq", F.col("d.seqs")).join(grams.dead.select("tier", "seq"), ["tier", "seq"], "left_anti").drop("seq")
     moved = every.select(*doc, F.col("offset"), F.transform("d.places", lambda x: x - F.col("offset")).alias("at"))
     own = ["part", "many", "tier", "seq", "tenant_id", "size"]
     # several rows of one gram and document are parts of a long text, or grams with one beginning
@@ -219,7 +222,7 @@ def _gram_hits(grams: Grams, asked: list[tuple[int, list[str], list[str]]], tier
     df = held.groupBy("part").agg(F.count(F.lit(1)).alias("df"))
     figures = grams.stats.where(F.col("tier").isin(*tiers)).agg(F.sum("n_docs").alias("n_docs"), (F.sum("size") / F.sum("n_docs")).alias("avgdl"))  # one row
     wanted = [(v, parts.index(p), p in ranked, len(ranked) + len(also)) for v, ranked, also in asked for p in ranked + also]
-    of = F.broadcast(spark.createDataFrame(wanted, "variant int, part int, ranks boolean, parts int"))
+    of = F.broadcast(small(spark, wanted, "variant int, part int, ranks boolean, parts int"))
     hits = held.join(F.broadcast(df), "part").crossJoin(F.broadcast(figures)).join(of, "part")
     hits = hits if tenant is None else hits.where(F.col("tenant_id") == tenant)
     share = bm25(F.col("tf"), F.col("size") - 2, F.col("n_docs"), F.col("avgdl"), F.col("df"))
@@ -240,7 +243,7 @@ def rank_substrings(folded: DataFrame | Grams, queries: list[str], limit: int |
     tiers = tuple(tiers) or TIERS
     asked = _asked_parts(queries)
     if not asked:
-        return spark.createDataFrame([], "variant int, tier string, seq long, rank double" + (", pos int" if limit is not None else ""))
+        return small(spark, [], "variant int, tier string, seq long, rank double" + (", pos int" if limit is not None else ""))
     out = _gram_hits(folded, asked, tiers, tenant) if saved else _scanned(folded.where(F.col("tier").isin(*tiers)), asked, tenant)
     if limit is None:
         return out
@@ -279,170 +282,159 @@ def _shown(body: Column, *more: Column) -> Column:
     return tx.normalized_col(F.concat_ws(" ", *[F.coalesce(c, F.lit("")) for c in (body, *more)]))
 
 
-def _fetch(index: Index, ranked: DataFrame, words: list[list[str]] | None = None) -> dict[int, list[Hit]]:
-    """The ranked documents without their contents, by variant, in order; of variants of several words with how near these are."""
-    near = F.lit(0)
-    text = _shown(F.col("body"), F.col("key"), F.col("category"))
-    for v, ws in enumerate(words or []):
-        if len(ws) >= 2:
-            near = F.when(F.col("variant") == v, tx.proximity_col(ws, text)).otherwise(near)
-    rows = ranked.join(index.docs.select("tier", "seq", "category", "key", "body", "ts"), ["tier", "seq"])
-    rows = rows.select("variant", "tier", "seq", "category", "key", "ts", "rank", near.alias("near")).collect()  # as many rows as the limits allow, of bounded size
-    out: dict[int, list[Hit]] = {}
-    for r in sorted(rows, key=lambda r: (r["variant"], r["rank"], TIERS.index(r["tier"]), r["seq"])):
-        out.setdefault(r["variant"], []).append(r.asDict())
-    return out
+# the ladder
 
+_HIT = ["q", "stage", "pos", "tier", "seq", "category", "key", "ts", "rank", "part"]
+#: What a hit is: rows of one identity are one hit, wherever they were found.
+IDENTITY = ["q", "tier", "category", "key"]
+#: Stages of a ladder's result, in order.
+HEAD, SUBSTRINGS, STEMMED, ONE_STEM, HELD_BACK = range(5)
 
-def _ordered(hits: list[Hit], words: list[str], limit: int) -> list[Hit]:
-    """Words near each other first, then by rank; ties keep the tiers' order."""
-    return sorted(hits, key=lambda h: (h["near"], h["rank"]))[:limit]
 
+#: Candidates of the latest searches, which their plans read several times; as few rows as limits allow. One that is let go is made again.
+_KEPT: deque[DataFrame] = deque()
+MOST_KEPT = 24
 
-def _picked(index: Index, hits: list[Hit]) -> DataFrame:
-    """The documents of some hits, by their place in the list."""
-    rows = index.docs.sparkSession.createDataFrame([(i, h["tier"], h["seq"]) for i, h in enumerate(hits)], "at int, tier string, seq long")
-    return index.docs.join(F.broadcast(rows), ["tier", "seq"])
 
+def _kept(df: DataFrame) -> DataFrame:
+    _KEPT.append(df.persist())
+    while len(_KEPT) > MOST_KEPT:
+        old = _KEPT.popleft()
+        if not old.sparkSession.sparkContext._jsc.sc().isStopped():
+            old.unpersist()
+    return df
 
-def with_bodies(index: Index, hits: list[Hit], words: list[str] = ()) -> list[Hit]:
-    """The hits of a page with body and snippet."""
-    if not hits:
-        return hits
-    wanted = {t for w in words for t in index.analyzer.query(w)}
-    for r in _picked(index, hits).select("at", "body", "text").collect():
-        text = r["text"] if r["body"] is None else r["body"]
-        hits[r["at"]] |= {"body": r["body"], "snippet": tx.fold(text)[:SHORT_SNIPPET] if hits[r["at"]].get("part") else snippet(text, list(wanted), terms=index.analyzer.query)}
-    return hits
 
+def _who() -> Column:
+    return F.to_json(F.struct("tier", "category", "key"))
 
-#: Characters of a substring hit's snippet.
-SHORT_SNIPPET = 120
+
+def _tier_order() -> Column:
+    return F.coalesce(*[F.when(F.col("tier") == t, F.lit(i)) for i, t in enumerate(TIERS)])
 
 
-def _identity(h: Hit) -> tuple:
-    return h["tier"], h["category"], h["key"]
+def _documents(index: Index, hits: DataFrame, *more: str) -> DataFrame:
+    """Hits (tier, seq, ...), as many as limits allow, with what names their documents."""
+    return index.docs.select("tier", "seq", "category", "key", "ts", *more).join(F.broadcast(hits), ["tier", "seq"])
 
 
-def _head(q: int, heads: list[list[Hit]], single: list[bool], by_probe: dict, cap: int) -> list[Hit]:
-    """A query's head as it stands after the substring hits, before stems are tried."""
-    head = heads[q]
-    if single[q] and cap >= 2 and len(head) >= cap:
-        head = head[: cap - max(1, cap // 4)]
-    seen = {_identity(h) for h in head}
-    out = list(head)
-    for h in by_probe.get((q, "raw"), []):
-        if len(out) < cap and _identity(h) not in seen:
-            seen.add(_identity(h))
-            out.append(h)
+def _near(words: dict[int, list[str]]) -> Column:
+    """How near the words of a row's variant are in its document's body, key and category."""
+    out, text = F.lit(0), _shown(F.col("body"), F.col("key"), F.col("category"))
+    for v, ws in words.items():
+        if len(ws) >= 2:
+            out = F.when(F.col("variant") == v, tx.proximity_col(ws, text)).otherwise(out)
     return out
 
 
-def _open_stems(index: Index, queries: list[str], heads: list[list[Hit]], single: list[bool], by_probe: dict, cap: int) -> dict[int, list[str]]:
-    """By query the stems that no head text holds, for all queries in one job that brings back no text."""
-    asked, hits = [], []
-    for q, query in enumerate(queries):
-        head = _head(q, heads, single, by_probe, cap)
-        stems = list(dict.fromkeys(s for w in tx.query_tokens(query) if (s := tx.stem(w)) != w))
-        if stems and len(head) < cap:
-            asked += [(q, s) for s in stems]
-            hits += [h | {"q": q} for h in head]
-    if not hits:
-        return _grouped(asked)
+def _heads(index: Index, queries: list[str], cap: int, prefix: bool, tiers: Iterable[str], tenant: str | None) -> DataFrame:
+    """Of each query the hits of its first form that has any, near words first; of a full head by one word the last quarter as HELD_BACK."""
     spark = index.docs.sparkSession
-    text = tx.fold_col(F.substring(_shown(F.col("key"), F.col("category"), F.col("body")), 1, tx.GATE_CHARS))
-    rows = _picked(index, hits).join(F.broadcast(spark.createDataFrame([(i, h["q"]) for i, h in enumerate(hits)], "at int, q int")), "at").select("q", text.alias("text"))
-    stems = F.broadcast(spark.createDataFrame([(q, s, tx.fold(s)) for q, s in asked], "q int, stem string, folded string"))
-    held = {(r["q"], r["stem"]) for r in rows.join(stems, "q").where(F.contains("text", F.col("folded"))).select("q", "stem").distinct().collect()}
-    return _grouped([x for x in asked if x not in held])
+    forms = []  # (query, place among its forms, words)
+    for q, query in enumerate(queries):
+        strict = [w.lower() for w in tx.query_tokens(query, prefix)]
+        forms += [(q, i, ws) for i, ws in enumerate(([strict] if strict else []) + ([] if prefix else tx.relaxed_queries(query)))]
+    if not forms or not cap:
+        return small(spark, [], "q int, stage int, pos int, tier string, seq long, category string, key string, ts string, rank double, part boolean")
+    of = F.broadcast(small(spark, [(v, q, i, i > 0 and len(ws) == 1) for v, (q, i, ws) in enumerate(forms)], "variant int, q int, form int, single boolean"))
+    ranked = rank_words(index, [ws for _, _, ws in forms], cap, prefix, tiers, tenant).drop("pos", "tenant_id")
+    rows = _documents(index, ranked, "body").withColumn("near", _near({v: ws for v, (_, _, ws) in enumerate(forms)})).join(of, "variant")
+    every = Window.partitionBy("q")
+    rows = rows.withColumn("first", F.min("form").over(every)).where("form = first")
+    rows = rows.withColumn("pos", F.row_number().over(every.orderBy("near", "rank", _tier_order(), "seq"))).withColumn("n", F.count(F.lit(1)).over(every)).where(F.col("pos") <= cap)
+    back = F.col("single") & (F.lit(cap) >= 2) & (F.col("n") >= cap) & (F.col("pos") > cap - max(1, cap // 4))
+    return rows.withColumn("stage", F.when(back, HELD_BACK).otherwise(HEAD)).withColumn("part", F.lit(False)).select(*_HIT)
 
 
-def _grouped(pairs: list[tuple[int, str]]) -> dict[int, list[str]]:
-    out: dict[int, list[str]] = {}
-    for q, s in pairs:
-        out.setdefault(q, []).append(s)
-    return out
+def _page(rows: DataFrame, cap: int) -> DataFrame:
+    """Stages joined, each hit where it was found first, to ``cap`` hits of a query, numbered anew."""
+    order = Window.partitionBy("q").orderBy("stage", "at")
+    one = shape.appended(rows, IDENTITY).withColumnRenamed("pos", "at")
+    return one.withColumn("pos", F.row_number().over(order)).where(F.col("pos") <= cap).select(*_HIT)
 
 
-def search_many(index: Index, folded: DataFrame | Grams, queries: list[str], limit: int = 20, prefix: bool = False, tiers: Iterable[str] = TIERS, tenant: str | None = None) -> list[list[Hit]]:
-    """The full ladder for several queries in the same few jobs.
+def ladder(index: Index, folded: DataFrame | Grams, queries: list[str], limit: int = 20, prefix: bool = False, tiers: Iterable[str] = TIERS, tenant: str | None = None) -> DataFrame:
+    """(q, stage, pos, tier, seq, category, key, ts, rank, part): the hits of several queries, all in one plan.
 
     Head: the strict search, or the first weaker form that finds anything. Then, while there is
-    room: substring hits; if some word's stem is in no head text, substring hits of the stemmed
-    query, or else of the one uncovered stem with the fewest hits (longest first) that adds any.
+    room: substring hits; if some word's stem is in no text so far, substring hits of the stemmed
+    query, or else of the one such stem with the fewest hits (longest first) that adds any.
     A head that one single word filled gives back a quarter of its places for this, and takes
-    back what is left of them. A hit's identity is its tier, category and key.
+    back what is left of them. A hit's identity is its tier, category and key. ``part`` marks substring hits.
     """
     cap = tx.clamp_limit(limit)
-    forms = []  # (query number, words), the strict form of each query first
-    for q, query in enumerate(queries):
-        strict = [w.lower() for w in tx.query_tokens(query, prefix)]
-        forms += [(q, ws) for ws in ([strict] if strict else []) + ([] if prefix else tx.relaxed_queries(query))]
-    heads: list[list[Hit]] = [[] for _ in queries]
-    single = [False] * len(queries)
-    if forms and cap:
-        found = _fetch(index, rank_words(index, [ws for _, ws in forms], cap, prefix, tiers, tenant), [ws for _, ws in forms])
-        first = {q: v for v, (q, _) in reversed(list(enumerate(forms)))}
-        for v, (q, words) in enumerate(forms):
-            if not heads[q] and found.get(v):
-                heads[q] = _ordered(found[v], words, cap)
-                single[q] = v != first[q] and len(words) == 1
-    if prefix or not cap:
-        return heads
-    probes = []  # (query number, text): the query, its stemmed form, every stem
+    heads = _kept(_heads(index, queries, cap, prefix, tiers, tenant))
+    spark = index.docs.sparkSession
+    probes, stems = [], []  # (query, kind, stem), its text; (query, stem, its folded form, its place)
     for q, query in enumerate(queries):
         words = tx.query_tokens(query)
-        stems = [tx.stem(w) for w in words]
-        probes += [(q, "raw", query), *([(q, "stemmed", " ".join(stems))] if stems != words else []), *((q, s, s) for w, s in dict(zip(words, stems)).items() if s != w)]
-    subs = _fetch(index, rank_substrings(folded, [p[2] for p in probes], cap, tiers, tenant))
-    by_probe = {(q, kind): [h | {"part": True} for h in subs.get(v, [])] for v, (q, kind, _) in enumerate(probes)}
-    out, open_stems = [], _open_stems(index, queries, heads, single, by_probe, cap)
-    for q, query in enumerate(queries):
-        head, held = heads[q], []
-        if single[q] and cap >= 2 and len(head) >= cap:
-            reserve = max(1, cap // 4)
-            head, held = head[: cap - reserve], head[cap - reserve :]
-        result = list(head)
-        seen = {_identity(h) for h in result}
-
-        def append(rows: list[Hit], result: list[Hit] = result, seen: set = seen) -> int:
-            before = len(result)
-            for h in rows:
-                if len(result) < cap and _identity(h) not in seen:
-                    seen.add(_identity(h))
-                    result.append(h)
-            return len(result) - before
-
-        append(by_probe.get((q, "raw"), []))
-        if len(result) < cap:
-            stems = open_stems.get(q, [])
-            if stems and not append(by_probe.get((q, "stemmed"), [])):
-                tried = [(s, rows) for s in sorted(stems, key=len, reverse=True) if (rows := by_probe.get((q, s)))]
-                for _, rows in sorted(tried, key=lambda sr: (len(sr[1]), -len(sr[0]))):
-                    if append(rows):
-                        break
-        append(held)
-        out.append(result)
-    return out
+        cut = [tx.stem(w) for w in words]
+        own = [s for s, w in {tx.stem(w): w for w in words}.items() if s != w]
+        probes += [((q, SUBSTRINGS, None), query)] + [((q, STEMMED, None), " ".join(cut))] * (cut != words) + [((q, ONE_STEM, s), s) for s in own]
+        stems += [(q, s, tx.fold(s), i) for i, s in enumerate(own)]
+    if prefix or not cap or not probes:
+        return _page(heads, max(1, cap))
+    asked = F.broadcast(small(spark, [(v, *p) for v, (p, _) in enumerate(probes)], "variant int, q int, stage int, stem string"))
+    found = rank_substrings(folded, [text for _, text in probes], cap, tiers, tenant)
+    found = _documents(index, found.select("variant", "tier", "seq", "rank", "pos")).join(asked, "variant").withColumn("part", F.lit(True))
+    found = _kept(found)
+    hits = lambda stage: found.where(F.col("stage") == stage)
+    sure = heads.where(F.col("stage") == HEAD).unionByName(hits(SUBSTRINGS).select(*_HIT))
+    if not stems:
+        return _page(sure.unionByName(heads.where(F.col("stage") == HELD_BACK)), cap)
+    before = _kept(_page(sure, cap))
+    # stems of queries with room that no text so far has
+    full = before.groupBy("q").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= cap).select("q")
+    shown = tx.fold_col(F.substring(_shown(F.col("key"), F.col("category"), F.col("body")), 1, tx.GATE_CHARS))
+    texts = index.docs.join(F.broadcast(before.select("q", "tier", "seq")), ["tier", "seq"]).select("q", shown.alias("text"))
+    every = F.broadcast(small(spark, stems, "q int, stem string, folded string, place int"))
+    held = texts.join(every, "q").where(F.contains("text", F.col("folded"))).select("q", "stem").distinct()
+    open_stems = every.join(full, "q", "left_anti").join(held, ["q", "stem"], "left_anti")
+    seen = before.select("q", _who().alias("who"))
+    fresh = lambda rows: rows.withColumn("who", _who()).join(seen, ["q", "who"], "left_anti").drop("who")
+    stemmed = fresh(hits(STEMMED).join(open_stems.select("q").distinct(), "q", "left_semi"))
+    # of queries that this adds nothing to the one stem whose hits are fewest
+    single = hits(ONE_STEM).join(open_stems.select("q", "stem", "place"), ["q", "stem"]).withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("q", "stem")))
+    single = fresh(single).join(stemmed.select("q").distinct(), "q", "left_anti")
+    best = F.min(F.struct("n", -F.length("stem"), "place")).over(Window.partitionBy("q"))
+    single = single.withColumn("best", best).where(F.col("place") == F.col("best.place"))
+    return _page(heads.unionByName(hits(SUBSTRINGS).select(*_HIT)).unionByName(stemmed.select(*_HIT)).unionByName(single.select(*_HIT)), cap)
+
+
+def page(index: Index, hits: DataFrame, words: list[str] = ()) -> DataFrame:
+    """(pos, tier, key, category, body, rank, ts, snippet): the hits of one query (pos, tier, seq, rank, part) with their contents."""
+    wanted = sorted({t for w in words for t in index.analyzer.query(w)})
+    analyze = index.analyzer.query
+    cut = F.udf(lambda text: snippet(text, wanted, terms=analyze), "string")  # on the rows of a page alone
+    text = F.coalesce("body", "text")
+    rows = _documents(index, hits.select("pos", "tier", "seq", "rank", "part"), "body", "text")
+    shown = F.when(F.col("part"), F.substring(tx.fold_col(text), 1, SHORT_SNIPPET)).otherwise(cut(F.when(~F.col("part"), text)))
+    return rows.select("pos", "tier", "key", "category", "body", "rank", "ts", shown.alias("snippet")).orderBy("pos")
 
 
 def search(index: Index, folded: DataFrame | Grams, query: str, **options) -> DataFrame:
-    """The ladder for one query, as a table (pos, tier, key, category, body, rank, ts)."""
-    hits = search_many(index, folded, [query], **options)[0]
-    return as_table(index.docs.sparkSession, with_bodies(index, hits, tx.query_tokens(query)))
+    """The ladder for one query, as a table (pos, tier, key, category, body, rank, ts, snippet)."""
+    return page(index, ladder(index, folded, [query], **options), tx.query_tokens(query))
 
 
-def as_table(spark, hits: list[Hit]) -> DataFrame:
-    rows = [(i + 1, h["tier"], h["key"], h["category"], h.get("body"), float(h["rank"]), h["ts"], h.get("snippet")) for i, h in enumerate(hits)]
-    return spark.createDataFrame(rows, "pos int, tier string, key string, category string, body string, rank double, ts string, snippet string")
+def nothing(spark: SparkSession) -> DataFrame:
+    return small(spark, [], "pos int, tier string, key string, category string, body string, rank double, ts string, snippet string")
 
 
 def search_entities(index: Index, query: str, limit: int = 20, prefix: bool = False, category: str | None = None, tenant: str | None = None) -> DataFrame:
     """The strict search over entities alone, of one category if given; near words first."""
     words = [w.lower() for w in tx.query_tokens(query, prefix)]
     cap = tx.clamp_limit(limit)
-    found = {} if not words or not cap else _fetch(index, rank_words(index, [words], cap, prefix, ("entity",), tenant, F.col("category") == category if category else None), [words])
-    return as_table(index.docs.sparkSession, with_bodies(index, _ordered(found.get(0, []), words, cap), words))
+    if not words or not cap:
+        return nothing(index.docs.sparkSession)
+    ranked = rank_words(index, [words], cap, prefix, ("entity",), tenant, F.col("category") == category if category else None)
+    rows = _documents(index, ranked.select("variant", "tier", "seq", "rank"), "body").withColumn("near", _near({0: words}))
+    rows = rows.withColumn("pos", F.row_number().over(Window.partitionBy("variant").orderBy("near", "rank", "seq"))).withColumn("part", F.lit(False))
+    return page(index, rows, words)
+
+
+#: Characters of a substring hit's snippet.
+SHORT_SNIPPET = 120
 
 
 def snippet(text: str | None, words: list[str], width: int = 12, terms: Callable[[str], list[str]] = lambda p: tx.normalized(p).split()) -> str:
@@ -467,13 +459,15 @@ BAND, FLOOR, HIGH, PER_WORD, FAN_OUT = 2.0, 0.45, 0.65, 200, 24
 #: Words that carry no content of their own, by language; one that nothing matches is left out of a record search instead of
 #: emptying it. Articles, pronouns, prepositions and forms of to be and to have; callers pass their own set for more.
 _LITTLE = {
-    "de": "der die das den dem ein eine einen einem einer ich du er sie es wir ihr ist sind war waren hat haben hatte und oder aber nicht von zu zum zur mit bei auf aus für an im in wann wer wie wo",
-    "es": "el la los las un una unos unas yo tú él ella nosotros ellos es son era fue ha han y o pero no de del a al con en por para sobre cuándo quién cómo dónde qué",
+    "de": "der das den dem ein eine einen einem einer ich du er sie es wir ihr ist sind waren haben hatte und oder aber nicht von zu zum zur mit bei auf aus für im wann wer wie wo",
+    "es": "el la los las un una unos unas yo tú él ella nosotros ellos es han y o pero no de del a al en por para sobre cuándo quién cómo dónde qué",
     "fr": "le la les un une des je tu il elle nous vous ils est sont était a ont et ou mais ne pas de du au aux avec dans en pour par sur quand qui comment où que quoi",
-    "it": "il lo la gli le un uno una io tu lui lei noi voi è sono era ha hanno e o ma non di del da con in su per quando chi come dove che cosa",
-    "pl": "ja ty on ona my wy oni jest są był była było ma mają i lub ale nie w we na z ze do od po za o u dla kiedy kto jak gdzie co czy się to ten ta te",
+    "it": "il lo la gli le un uno una io tu lui lei noi voi è sono ha hanno e o ma non di del da in su per quando chi come dove che cosa",
+    "pl": "ja ty on ona my wy oni jest są był była było ma mają i lub ale nie w we na z ze do od po za o u dla kiedy kto jak gdzie co czy się ten ta te",
 }
-FUNCTION_WORDS = tx.STOPWORDS | frozenset(w for words in _LITTLE.values() for w in words.split())
+#: Words of these lists that mean something in another language that the library knows, such as the month May or a can: never dropped.
+CONTENT = frozenset("war die hat con son era ten can may might will".split())
+FUNCTION_WORDS = (tx.STOPWORDS | frozenset(w for words in _LITTLE.values() for w in words.split())) - CONTENT
 
 
 def record_tokens(query: str) -> list[str]:
@@ -492,45 +486,51 @@ def record_tokens(query: str) -> list[str]:
 
 
 def search_records(index: Index, folded: DataFrame | Grams, query: str, limit: int = 10, tenant: str | None = None, function_words: frozenset[str] = FUNCTION_WORDS, corpus: int | None = None) -> DataFrame:
-    """Retrieve, then verify: records that cover the query's informative words, its rarest above all.
+    """``search_records_many`` for one query, as a table (pos, tier, key, category, body, rank, ts, snippet)."""
+    found = search_records_many(index, folded, [query], limit, tenant, function_words, corpus)
+    return page(index, found, record_tokens(query))
+
+
+def search_records_many(
+    index: Index, folded: DataFrame | Grams, queries: list[str], limit: int = 10, tenant: str | None = None, function_words: frozenset[str] = FUNCTION_WORDS, corpus: int | None = None
+) -> DataFrame:
+    """(query, pos, tier, seq, rank, part): retrieve, then verify, for several queries in one plan.
 
-    Every word is searched by the full ladder (all in the same jobs). A word that finds nothing is
-    dropped if it is a function word, else the whole search abstains. A record counts if the
-    inverse frequencies of its words make up enough of the total, and it holds one of the rarest
+    Every distinct word is searched by the full ladder once, for all queries that have it. A word that
+    finds nothing is dropped if it is a function word, else its query abstains. A record counts if the
+    inverse frequencies of its words make up enough of the total, and it holds one of the query's rarest
     words or covers a good deal more. Asked for a final state, records that only prepare are left out.
     """
-    import math
-
     spark = index.docs.sparkSession
-    words = record_tokens(query)
-    final = bool(set(words) & FINAL_WORDS)
-    found = dict(zip(words, search_many(index, folded, words, limit=PER_WORD, tenant=tenant))) if words else {}
-    df = {w: len(h) for w, h in found.items()}
-    if not words or any(not n and w not in function_words for w, n in df.items()) or not (words := [w for w in words if df[w]]):
-        return as_table(spark, [])
+    asked = [(i, place, w) for i, query in enumerate(queries) for place, w in enumerate(record_tokens(query))]
+    words = list(dict.fromkeys(w for _, _, w in asked))
+    if not words:
+        return small(spark, [], "query int, pos int, tier string, seq long, rank double, part boolean")
+    hits = _kept(ladder(index, folded, words, PER_WORD, tenant=tenant))
+    final = {i for i, _, w in asked if w in FINAL_WORDS}
+    rows = [(i, place, words.index(w), w in function_words, i in final) for i, place, w in asked]
+    tokens = F.broadcast(small(spark, rows, "query int, place int, q int, little boolean, final boolean"))
     if corpus is None:
         own = index.docs.where(F.col("tier") == "entity")
-        corpus = (own if tenant is None else own.where(F.col("tenant_id") == tenant)).count()
-    idf = {w: math.log((corpus + 1) / (df[w] + 1)) + 1 for w in words}
-    total = sum(idf.values()) or 1.0
-    rare = {w for w in words if df[w] <= max(2, round(BAND * min(df[x] for x in words)))}
-    records: dict[tuple, dict] = {}
-    for w in words:
-        for h in found[w]:
-            e = records.setdefault((h["tier"], h["key"], h["category"]), {"words": set(), "best": 0.0, "hit": h})
-            e["words"].add(w)
-            e["best"] = min(e["best"], h["rank"])
-    kept = []
-    for e in records.values():
-        cover = sum(idf[w] for w in e["words"]) / total
-        if cover < FLOOR or rare and not e["words"] & rare and cover < HIGH:
-            continue
-        kept.append((-cover, e["hit"]["tier"] == "journal", e["best"], e["hit"]))
-    kept.sort(key=lambda x: x[:3])
-    hits = [h for *_, h in kept]
-    if final and hits:  # drafts are told by their text, where it lies
+        size = (own if tenant is None else own.where(F.col("tenant_id") == tenant)).agg(F.count(F.lit(1)).alias("corpus"))
+    else:
+        size = small(spark, [(corpus,)], "corpus long")
+    every = Window.partitionBy("query")
+    n = F.coalesce("n", F.lit(0))
+    found = tokens.join(hits.groupBy("q").agg(F.count(F.lit(1)).alias("n")), "q", "left").withColumn("n", n).crossJoin(F.broadcast(size))  # one row
+    found = found.withColumn("abstains", F.max((F.col("n") == 0) & ~F.col("little")).over(every)).where((F.col("n") > 0) & ~F.col("abstains"))
+    found = found.withColumn("idf", F.log((F.col("corpus") + 1.0) / (F.col("n") + 1.0)) + 1)
+    found = found.withColumn("total", F.sum("idf").over(every)).withColumn("rare", F.col("n") <= F.greatest(F.lit(2), F.bround(BAND * F.min("n").over(every))))
+    # as many rows as the queries have words
+    match = hits.join(F.broadcast(found.select("query", "place", "q", "idf", "total", "rare", "final")), "q")
+    first = F.min(F.struct("place", F.col("pos").alias("at"), "seq", "rank", "part")).alias("first")
+    records = match.groupBy("query", "final", "tier", "category", "key").agg(
+        F.round(F.sum("idf") / F.first("total"), 12).alias("cover"), F.max("rare").alias("rare"), F.least(F.lit(0.0), F.min("rank")).alias("best"), first
+    )
+    kept = records.where((F.col("cover") >= FLOOR) & (F.col("rare") | (F.col("cover") >= HIGH))).select("query", "final", "tier", "first.*", "cover", "best")
+    if final:  # drafts are told by their text
         low = F.lower(F.to_json(F.struct("body")))
-        drafts = _picked(index, hits).where(F.rlike(low, F.lit(DRAFT_TEXT)) & ~F.rlike(low, F.lit(FINAL_TEXT)))
-        gone = {r["at"] for r in drafts.select("at").collect()}
-        hits = [h for i, h in enumerate(hits) if i not in gone]
-    return as_table(spark, with_bodies(index, hits[: tx.clamp_limit(limit)], words))
+        drafts = index.docs.join(F.broadcast(kept.where("final").select("query", "tier", "seq")), ["tier", "seq"]).where(F.rlike(low, F.lit(DRAFT_TEXT)) & ~F.rlike(low, F.lit(FINAL_TEXT)))
+        kept = kept.join(drafts.select("query", "tier", "seq"), ["query", "tier", "seq"], "left_anti")
+    order = every.orderBy(F.desc("cover"), F.col("tier") == "journal", "best", "place", "at")
+    return kept.withColumn("pos", F.row_number().over(order)).where(F.col("pos") <= tx.clamp_limit(limit)).select("query", "pos", "tier", "seq", "rank", "part")

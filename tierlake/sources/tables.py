@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import re
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 #: Fixed values of the data model.
 DEFAULT_TENANT = "00000000-0000-0000-0000-000000000001"
@@ -70,6 +72,13 @@ TABLES = {
 KEYS = {"entities": ["tenant_id", "category", "name"], "state_documents": ["tenant_id", "document_key"], "reference_documents": ["tenant_id", "doc_key"]}
 
 
+def small(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    """A few rows of a query as a table that is part of its plan: no job and no Python worker reads it."""
+    fields = T.StructType.fromDDL(schema)
+    columns = [pa.array([r[i] for r in rows], to_arrow_type(f.dataType)) for i, f in enumerate(fields)]
+    return spark.createDataFrame(pa.Table.from_arrays(columns, names=fields.names), fields)
+
+
 def valid_identifier(value: object) -> str:
     """The identifier, or a ValidationError."""
     if not isinstance(value, str) or not value or len(value) > MAX_IDENTIFIER or ".." in value or set(value) & _FORBIDDEN or any(ord(c) < 0x20 or ord(c) == 0x7F for c in value):
