@@ -222,6 +222,8 @@ def test_files_are_found_once(spark, tmp_path):
     found = tables.discovered(spark, [f"{tmp_path}/*.db", f"{tmp_path}/a.*", f"{tmp_path}/none"])
     assert found.count() == 1 and tables.total_size(found) == 5
     assert tables.total_size(tables.discovered(spark, [f"{tmp_path}/none"])) == 0
+    found = tables.discovered(spark, [f"file://{tmp_path}/a.*", f"{tmp_path}/a.db", f"file://{tmp_path}/none*"])  # and in any file system
+    assert found.count() == 1 and tables.total_size(found) == 5
 
 
 def test_segments_merge_and_keep_figures(mem, monkeypatch):

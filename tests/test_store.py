@@ -94,6 +94,16 @@ def test_filters(spark, spec, want):
     assert {r.i for r in df.where(documents.compile_filter(F.col("body"), spec)).collect()} == want
 
 
+@pytest.mark.parametrize(
+    "spec,want",
+    [({"a'b": 1}, {0}), ({'a"b': 1}, {1}), ({"a'\"b": 1}, {2}), ({"a.b": {"$gte": 1}}, {3}), ({"big": 9007199254740993}, {4}), ({"big": {"$gt": 9007199254740992}}, {4}), ({"big": 9007199254740992.0}, {5}), ({"n": {"$lt": 1.5}}, {6}), ({"n": 1.0}, {6}), ({"n": {"$ne": None}}, {6})],
+)
+def test_filters_of_any_name_and_size(spark, spec, want):
+    values = [{"a'b": 1}, {'a"b': 1}, {"a'\"b": 1}, {"a.b": 1}, {"big": 9007199254740993}, {"big": 9007199254740992}, {"n": 1}, {"n": None}]
+    df = spark.createDataFrame([(i, json.dumps(v)) for i, v in enumerate(values)], "i int, body string")
+    assert {r.i for r in df.where(documents.compile_filter(F.col("body"), spec)).collect()} == want
+
+
 def events(spark, rows):
     data = [(i + 1, f"e{i}", "t", ts, None if e is None else json.dumps(e), None if a is None else json.dumps(a), None, None) for i, (ts, e, a) in enumerate(rows)]
     return spark.createDataFrame(data, tables.TABLES["journal_events"])

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import json
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -34,39 +37,51 @@ def checked_value(value: object, depth: int = 0) -> object:
     return value
 
 
-def _field(body: Column, name: str) -> tuple[Column, Column]:
-    """A top-level field as text, and its JSON kind (null, boolean, number, string, other)."""
-    v = F.try_variant_get(F.try_parse_json(body), "$." + name if name.isidentifier() else f"$['{name}']", "variant")
+def _variant(body: Column, name: str) -> Column:
+    """A top-level field, whatever characters its name has."""
+    if "'" not in name:
+        return F.try_variant_get(F.try_parse_json(body), f"$['{name}']", "variant")
+    if '"' not in name:
+        return F.try_variant_get(F.try_parse_json(body), f'$["{name}"]', "variant")
+    return F.from_json(body, "map<string,variant>")[name]  # a path cannot hold both quotes
+
+
+def _field(body: Column, name: str) -> tuple[Column, Column, Column]:
+    """A top-level field as text, its JSON kind (null, boolean, number, string, other), and whether it is an integer."""
+    v = _variant(body, name)
     kind = F.schema_of_variant(v)
     named = F.when(kind.isNull() | (kind == "VOID"), "null").when(kind == "BOOLEAN", "boolean").when(kind.rlike("^(BIGINT|DOUBLE|DECIMAL|FLOAT)"), "number").when(kind == "STRING", "string").otherwise("other")
     text = F.when(named == "boolean", F.when(v.cast("string") == "true", "1").otherwise("0")).otherwise(v.cast("string"))
-    return text, named
+    return text, named, F.coalesce(kind.rlike(r"^(BIGINT|DECIMAL\([0-9]+,0\))"), F.lit(False))
+
+
+def _compared(text: Column, whole: Column, value: bool | int | float, compare: Callable[[Column, Column], Column]) -> Column:
+    """A number compared with a number: two integers exactly, others as doubles."""
+    near = compare(text.try_cast("double"), F.lit(float(value)))
+    if isinstance(value, float) and not value.is_integer() or abs(value) >= 10**38:
+        return near
+    return F.when(whole, compare(text.try_cast("decimal(38,0)"), F.lit(str(int(value))).cast("decimal(38,0)"))).otherwise(near)
 
 
 def _equal(body: Column, name: str, value: object) -> Column:
-    """Equality as of Python values: a missing field is None, True is 1, 1 is 1.0."""
-    text, kind = _field(body, name)
+    """Equality as of Python values: a missing field is None, True is 1, 1 is 1.0; integers are not rounded."""
+    text, kind, whole = _field(body, name)
     if value is None:
         return kind == "null"
     if isinstance(value, (bool, int, float)):
-        return kind.isin("number", "boolean") & (text.cast("double") == float(value))
+        return kind.isin("number", "boolean") & _compared(text, whole, value, lambda a, b: a == b)
     if isinstance(value, str):
         return (kind == "string") & (text == value)
-    import json
-
     want = F.to_json(F.try_parse_json(F.lit(json.dumps(value))))
-    return (kind == "other") & (F.to_json(F.try_variant_get(F.try_parse_json(body), f"$.{name}", "variant")) == want)
+    return (kind == "other") & (F.to_json(_variant(body, name)) == want)
 
 
 def _ordered(body: Column, name: str, op: str, value: object) -> Column:
-    text, kind = _field(body, name)
+    text, kind, whole = _field(body, name)
+    compare = {"$gt": lambda a, b: a > b, "$gte": lambda a, b: a >= b, "$lt": lambda a, b: a < b, "$lte": lambda a, b: a <= b}[op]
     if isinstance(value, (bool, int, float)):
-        ok, left, right = kind.isin("number", "boolean"), text.cast("double"), F.lit(float(value))
-    elif isinstance(value, str):
-        ok, left, right = kind == "string", text, F.lit(value)
-    else:
-        return F.lit(False)
-    return ok & {"$gt": left > right, "$gte": left >= right, "$lt": left < right, "$lte": left <= right}[op]
+        return kind.isin("number", "boolean") & _compared(text, whole, value, compare)
+    return (kind == "string") & compare(text, F.lit(value)) if isinstance(value, str) else F.lit(False)
 
 
 def compile_filter(body: Column, spec: dict) -> Column:
@@ -85,7 +100,7 @@ def compile_filter(body: Column, spec: dict) -> Column:
             return F.coalesce(_ordered(body, name, op, operand), F.lit(False))
         if op in ("$in", "$nin"):
             if isinstance(operand, str):
-                text, kind = _field(body, name)
+                text, kind, _ = _field(body, name)
                 some = (kind == "string") & F.contains(F.lit(operand), text)
             elif hasattr(operand, "__iter__"):
                 some = F.lit(False)

@@ -190,10 +190,16 @@ def stem_truncation(spark, sf):
     return words.select("term", tx.stem_col(F.col("term")).alias("stem"))
 
 
-@query(_score("estion", "oution") + " , v AS (SELECT 1 AS variant, doc_id FROM hit WHERE held = 2 AND false UNION ALL SELECT 2, doc_id FROM tf WHERE term = 'estion') SELECT variant, count(*) AS hits FROM v WHERE variant = (SELECT min(variant) FROM v) GROUP BY variant")
+@query(
+    _score("estion", "zzzz")
+    + """, v AS (SELECT 0 AS variant, doc_id FROM hit WHERE held = 2 UNION ALL SELECT 1, doc_id FROM tf WHERE term = 'estion' UNION ALL SELECT 2, doc_id FROM tf WHERE term = 'zzzz')
+SELECT variant, count(*) AS hits FROM v WHERE variant = (SELECT min(variant) FROM v) GROUP BY variant"""
+)
 def relax_first_hit(spark, sf):
-    """Of weaker forms tried in turn the first with hits: the whole (a word that no document has with it), then single words."""
-    got = search.rank_words(_refs(spark, sf), [["estion", "zzzz"], ["zzzz"], ["estion"]], None)
+    """Of a query and its weaker forms the first with hits, and how many: both words, or else the longer or first one alone."""
+    query = "estion zzzz"
+    forms = [tx.query_tokens(query), *tx.relaxed_queries(query)]
+    got = search.rank_words(_refs(spark, sf), forms, None)
     first = got.agg(F.min("variant").alias("variant"))  # one row
     return got.join(F.broadcast(first), "variant").groupBy("variant").agg(F.count(F.lit(1)).alias("hits"))
 
@@ -252,13 +258,15 @@ def search_ladder(spark, sf):
     return search.search(built, built.substrings(), "which estion and oution", limit=20).select("pos", "tier", "key", F.round("rank", 6).alias("rank"))
 
 
-@query(
-    # each word's hits are the documents that have it as a word, then those that have it anywhere, 200 in all
-    "WITH " + STATS + f"""tf AS (SELECT doc_id, term, count(*) AS tf FROM tok WHERE term IN ('estion', 'oution') GROUP BY doc_id, term), df AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
+def _records(*words: str) -> str:
+    """A record search: each word's hits are the documents that have it as a word, then those that have it anywhere, 200 in all."""
+    listed = ", ".join(f"'{w}'" for w in words)
+    return (
+        "WITH " + STATS + f"""tf AS (SELECT doc_id, term, count(*) AS tf FROM tok WHERE term IN ({listed}) GROUP BY doc_id, term), df AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
 head AS (SELECT * FROM (SELECT term, doc_id, {BM25} AS rank, row_number() OVER (PARTITION BY term ORDER BY {BM25}, doc_id) AS pos FROM tf JOIN df USING (term) JOIN dl USING (doc_id), st) WHERE pos <= 200),
 f AS (SELECT doc_id, replace(translate(source || '/' || doc_id || ' ' || text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZłøđıðŁØĐÐ', 'abcdefghijklmnopqrstuvwxyzlodidlodd'), 'ß', 'ss') AS t FROM documents),
 gs AS (SELECT count(*) AS n, avg(greatest(0, length(t) - 2)) AS avgdl FROM f),
-sh AS (SELECT term, doc_id, length(t) - 2 AS dl, (length(t) - length(replace(t, term, ''))) / length(term) AS tf FROM f, (SELECT unnest(['estion', 'oution']) AS term) WHERE contains(t, term)),
+sh AS (SELECT term, doc_id, length(t) - 2 AS dl, (length(t) - length(replace(t, term, ''))) / length(term) AS tf FROM f, (SELECT unnest([{listed}]) AS term) WHERE contains(t, term)),
 sd AS (SELECT term, count(*) AS df FROM sh GROUP BY term),
 sp AS (SELECT * FROM (SELECT term, doc_id, {BM25} AS rank, row_number() OVER (PARTITION BY term ORDER BY {BM25}, doc_id) AS pos FROM sh JOIN sd USING (term), gs) WHERE pos <= 200),
 more AS (SELECT sp.*, row_number() OVER (PARTITION BY sp.term ORDER BY sp.pos) AS k FROM sp LEFT JOIN head ON head.term = sp.term AND head.doc_id = sp.doc_id WHERE head.doc_id IS NULL),
@@ -268,10 +276,13 @@ c AS (SELECT doc_id, sum(idf) / (SELECT sum(idf) FROM i) AS cover, least(0, min(
   max(CASE WHEN df <= greatest(2, round_even(2.0 * (SELECT min(df) FROM i), 0)) THEN 1 ELSE 0 END) AS rare FROM hits JOIN i USING (term) GROUP BY doc_id),
 k AS (SELECT *, row_number() OVER (ORDER BY cover DESC, best, doc_id) AS pos FROM c WHERE cover >= 0.45 AND (rare = 1 OR cover >= 0.65))
 SELECT CAST(pos AS INT) AS pos, 'reference' AS tier, (SELECT source || '/' || x.doc_id FROM documents x WHERE x.doc_id = k.doc_id) AS key, round(k.rank, 6) AS rank FROM k WHERE pos <= 10"""
-)
+    )
+
+
+@query(_records("estion", "oution"))
 def search_records(spark, sf):
     built = _refs(spark, sf)
-    return search.search_records(built, built.substrings(), "estion oution the", corpus=built.docs.count()).select("pos", "tier", "key", F.round("rank", 6).alias("rank"))
+    return search.search_records(built, built.substrings(), "estion oution the", corpus=built.documents()).select("pos", "tier", "key", F.round("rank", 6).alias("rank"))
 
 
 @query()
@@ -280,11 +291,13 @@ def porter_search(spark, sf):
     return search.rank_words(built, [["the", "and"]], 20).select(F.col("seq").alias("doc_id"), F.round("rank", 6).alias("rank"))
 
 
-@query("SELECT CAST(row_number() OVER () AS INT) AS pos, 'reference' AS tier, source || '/' || doc_id AS key FROM documents WHERE contains(lower(text), 'estion') AND contains(lower(text), 'qqqzzz')")
+@query("SELECT 1 AS query, pos, key FROM (" + _records("estion") + ")")
 def abstain(spark, sf):
-    """A content word without a hit empties the whole result."""
+    """A content word without a hit empties its query's whole result; the same query without it has one."""
     built = _refs(spark, sf)
-    return search.search_records(built, built.substrings(), "estion qqqzzz").select("pos", "tier", "key")
+    found = search.search_records_many(built, built.substrings(), ["estion qqqzzz", "estion the"], corpus=built.documents())
+    named = found.join(built.docs.select("tier", "seq", "key"), ["tier", "seq"])
+    return named.select("query", "pos", "key")
 
 
 # tables
@@ -506,7 +519,8 @@ for _name, _spec, _where in (
     ("filter_ne", {"vip": {"$ne": True}}, "NOT vip"),
     ("filter_missing", {"vip": None}, "NOT vip"),
     ("filter_range", {"nation": {"$gt": 5, "$lte": 9}}, "nation > 5 AND nation <= 9"),
-    ("filter_types", {"nation_text": {"$gte": 1}}, "false"),
+    # texts are ordered as texts, True is 1, and a text is not compared with a number
+    ("filter_types", {"nation_text": {"$gte": "w", "$ne": 1}, "nation": {"$lt": True}}, "t AND nation < 1"),
     ("filter_in", {"nation": {"$in": [1, 2.0, "3"]}}, "nation IN (1, 2)"),
     ("filter_nin", {"nation_text": {"$nin": ["x"]}}, "NOT t"),
     ("filter_substring", {"kind": {"$in": "machinery and household"}}, "kind IN ('machinery', 'household')"),

@@ -266,13 +266,23 @@ def stored_files(spark: SparkSession, pattern: str | list[str]) -> DataFrame:
 
 
 def discovered(spark: SparkSession, patterns: list[str]) -> DataFrame:
-    """(path, length) of the files that any pattern names, each once by the place it resolves to; patterns without a file give none."""
+    """(path, length) of the files that any pattern names, each once by the place it resolves to; patterns without a file give none.
+
+    A pattern with a scheme is looked up in its file system, one without on this machine.
+    """
     import glob
     import os
 
     # names only; a store's folders are few
-    found = sorted({os.path.realpath(f) for p in patterns for f in glob.glob(os.path.expanduser(p), recursive=True) if os.path.isfile(f)})
-    return stored_files(spark, found) if found else spark.createDataFrame([], "path string, length long")
+    found = set()
+    for p in patterns:
+        if "://" in p:
+            path = spark._jvm.org.apache.hadoop.fs.Path(p)
+            listed = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(path)
+            found |= {f.getPath().toString() for f in listed or [] if f.isFile()}
+        else:
+            found |= {os.path.realpath(f) for f in glob.glob(os.path.expanduser(p), recursive=True) if os.path.isfile(f)}
+    return stored_files(spark, sorted(found)) if found else spark.createDataFrame([], "path string, length long")
 
 
 def total_size(files: DataFrame) -> int:
