@@ -207,3 +207,52 @@ def test_frequent_pairs_in_two_passes(spark):
         assert plain(learn.co_occurrence(events, 4, buckets)) == plain(want) != []
     every, kept = learn.pairs_of(events).count(), learn.frequent_pairs(events, 4, 1 << 16).count()
     assert kept < every / 10, f"{kept} of {every} pairs"
+
+
+def test_snapshots_have_the_live_rows_of_the_log(mem, spark, monkeypatch):
+    """Whatever is compacted when: live rows, their birth and ids are those of the whole log, and a point read opens few files."""
+    r = random.Random(9)
+    for step in range(5):
+        for _ in range(4):
+            name = f"n{r.randrange(5)}"
+            if r.random() < 0.3:
+                mem.delete_entity("c", name)
+            else:
+                mem._add("entities", op="put", id=f"i{step}{r.random()}", category="c", name=name, body=json.dumps({"x": r.random()}), ts=f"2024-01-0{step + 1}T00:00:00.000Z")
+        if step in (1, 2, 3):
+            mem.store.compact("entities")
+    log = mem.store.scan("entities")
+    want = sorted(map(tuple, tables.latest(log, tables.KEYS["entities"]).select("category", "name", "id", "body", "created_at", "updated_at", "seq").collect()))
+    assert sorted(map(tuple, mem.store.live("entities").select("category", "name", "id", "body", "created_at", "updated_at", "seq").collect())) == want != []
+    for row in want:
+        assert mem.store.one("entities", mem.tenant, category="c", name=row[1]).seq == row[6]
+    assert mem.recall("c", "nobody") is None and mem.store.next_seq("entities") == log.agg(F.max("seq")).first()[0] + 1
+    own = mem.store._of(mem.store._state()[1], "entities")
+    assert len(own["old"]) == 3 and own["parts"] == []
+    mem.write_event(acted=["a b"]), mem.store.compact("journal_events"), mem.write_event(acted=["c d"]), mem.store.compact("journal_events")
+    assert mem.read_events().count() == 2 and len(mem.store._of(mem.store._state()[1], "journal_events")["parts"]) == 1
+    monkeypatch.setattr(memory, "COMPACT_EVERY", 2)
+    before = mem.store.version()
+    mem.set_state("k", {"a": 1}), mem.set_state("k", {"a": 2})
+    assert mem.store.version() > before and mem.get_state("k") == {"a": 2}
+
+
+def test_archive_is_all_or_nothing(mem, monkeypatch):
+    mem.set_entity("c", "a", {"x": 1})
+    real = mem.store._written
+
+    def cut_off(table, rows, folder):
+        if table == "entities" and folder.startswith("_parts"):
+            raise OSError("the cluster went away")
+        real(table, rows, folder)
+
+    monkeypatch.setattr(mem.store, "_written", cut_off)
+    with pytest.raises(OSError):
+        mem.archive_entity("c", "a")
+    assert mem.store.scan("archived_entities").count() == 0 and mem.recall("c", "a")
+    monkeypatch.setattr(mem.store, "_written", real)
+    version = mem.store.version()
+    mem.archive_entity("c", "a", "old")
+    assert mem.recall("c", "a") is None and mem.store.scan("archived_entities").count() == 1
+    with pytest.raises(tables.ConflictError):  # another writer's rows were made from the state before
+        mem.store.commit({"entities": mem.store.scan("entities").limit(0)}, version)

@@ -30,6 +30,10 @@ def dumps(value: object) -> str | None:
 PAYLOAD = ("body", "metadata", "evaluated", "acted", "forward", "extra")
 
 
+#: Writes of a table, each a file, after which it is compacted.
+COMPACT_EVERY = 64
+
+
 class Memory:
     """A tenant's view of a store. Single writes append one row; ``put_all`` takes a DataFrame.
 
@@ -41,6 +45,7 @@ class Memory:
         self.store.create()
         self.segments = index.Segments(self.store)
         self._next: dict[str, int] = {}
+        self._files: dict[str, int] = {}
         self._bytes: int | None = None
 
     def _seq(self, table: str, n: int = 1) -> int:
@@ -59,13 +64,31 @@ class Memory:
                 raise CapExceededError("the store's cap is reached")
         self._bytes = (self._bytes or 0) + size
 
-    def _add(self, table: str, **row) -> dict:
+    def _row(self, table: str, row: dict) -> tuple[dict, DataFrame]:
+        """A row with its number, as it stands and as a table."""
         self._admit(sum(len(str(row[c]).encode()) for c in PAYLOAD if row.get(c) is not None))
         row = {"seq": self._seq(table), "tenant_id": self.tenant} | row
-        names = [f.name for f in TABLES[table]]
-        self.store.append(table, self.spark.createDataFrame([tuple(row.get(n) for n in names)], TABLES[table]))
+        return row, self.spark.createDataFrame([tuple(row.get(f.name) for f in TABLES[table])], TABLES[table])
+
+    def _add(self, table: str, **row) -> dict:
+        row, df = self._row(table, row)
+        self.store.append(table, df)
+        self._written(table)
         return row
 
+    def _written(self, table: str) -> None:
+        """Every write makes a file; after COMPACT_EVERY of them the table is compacted."""
+        self._files[table] = self._files.get(table, 0) + 1
+        if self._files[table] >= COMPACT_EVERY:
+            self._files[table] = 0
+            self.store.compact(table)
+
+    def _add_all(self, after: int, **rows: dict) -> dict[str, dict]:
+        """One row for each table, all or none; ConflictError if another writer came since state ``after``."""
+        made = {table: self._row(table, row) for table, row in rows.items()}
+        self.store.commit({table: df for table, (_, df) in made.items()}, after)
+        return {table: row for table, (row, _) in made.items()}
+
     @staticmethod
     def _body(value: object) -> str:
         if not isinstance(value, (dict, list)):
@@ -80,7 +103,7 @@ class Memory:
         return self.get_entity(category, name)
 
     def get_entity(self, category: str, name: str) -> dict:
-        row = self.store.live("entities", self.tenant).where((F.col("category") == category) & (F.col("name") == name)).first()
+        row = self.store.one("entities", self.tenant, category=category, name=name)
         if row is None:
             raise NotFoundError(f"{category}/{name}")
         return row.asDict() | {"body": json.loads(row["body"])}
@@ -98,10 +121,11 @@ class Memory:
         return True
 
     def archive_entity(self, category: str, name: str, reason: str | None = None) -> dict:
-        row = self.get_entity(category, name)
-        out = self._add("archived_entities", id=str(uuid.uuid4()), original_entity_id=row["id"], category=category, name=name, body=dumps(row["body"]), archived_at=now(), archive_reason=reason)
-        self.delete_entity(category, name)
-        return {"archived_id": out["id"], "original_id": row["id"]}
+        """Move an entity to the archive, in one state of the store."""
+        version, row = self.store.version(), self.get_entity(category, name)
+        entry = {"id": str(uuid.uuid4()), "original_entity_id": row["id"], "category": category, "name": name, "body": dumps(row["body"]), "archived_at": now(), "archive_reason": reason}
+        self._add_all(version, archived_entities=entry, entities={"op": "delete", "category": category, "name": name, "ts": now()})
+        return {"archived_id": entry["id"], "original_id": row["id"]}
 
     def list_entities(self, category: str | None = None, status: str | None = None, limit: object = 100) -> DataFrame:
         rows = self.store.live("entities", self.tenant)
@@ -114,7 +138,7 @@ class Memory:
         self._add("state_documents", op="put", document_key=valid_identifier(key), body=self._body(body), ts=now())
 
     def get_state(self, key: str) -> object | None:
-        row = self.store.live("state_documents", self.tenant).where(F.col("document_key") == key).first()
+        row = self.store.one("state_documents", self.tenant, document_key=key)
         return None if row is None else json.loads(row["body"])
 
     def set_reference(self, key: str, body: object, metadata: dict | None = None) -> None:
@@ -123,7 +147,7 @@ class Memory:
         self._add("reference_documents", op="put", doc_key=valid_identifier(key), body=body if isinstance(body, str) else dumps(body), metadata=dumps(metadata), ts=now())
 
     def get_reference(self, key: str) -> str | None:
-        row = self.store.live("reference_documents", self.tenant).where(F.col("doc_key") == key).first()
+        row = self.store.one("reference_documents", self.tenant, doc_key=key)
         return None if row is None else row["body"]
 
     def write_event(self, evaluated=None, acted=None, forward=None, extra=None, ts: str | None = None) -> str:
@@ -301,14 +325,13 @@ class Memory:
         return row.asDict() | {"evidence": json.loads(row["evidence"] or "[]")}
 
     def _review(self, id_: str, accept: bool, note: str | None) -> dict:
-        status = self.get_proposal(id_)["status"]
+        version, status = self.store.version(), self.get_proposal(id_)["status"]
         if status != "pending":
             raise ConflictError(f"proposal {id_} is {status}")
         done, refs = learn.review(self.store.proposals(self.tenant), id_, accept, now(), note)
-        for row in refs.collect():  # one at most; the reference is there before the proposal says so
-            self._add("reference_documents", **{k: v for k, v in row.asDict().items() if k != "tenant_id"})
-        for row in done.collect():
-            self._add("skill_proposals", **{k: v for k, v in row.asDict().items() if k not in ("seq", "tenant_id")})
+        # one row each at most; both are there, or neither
+        rows = {"reference_documents": [r.asDict() for r in refs.collect()], "skill_proposals": [r.asDict() for r in done.collect()]}
+        self._add_all(version, **{t: {k: v for k, v in rs[0].items() if k not in ("seq", "tenant_id")} for t, rs in rows.items() if rs})
         return self.get_proposal(id_)
 
     def accept_proposal(self, id_: str, note: str | None = None) -> dict:

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import re
+import uuid
+from collections.abc import Callable
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -133,11 +135,67 @@ def latest(log: DataFrame, keys: list[str]) -> DataFrame:
     return live.join(first, keys).select(*cols, F.col("put.ts").alias("created_at"), F.col("last.ts").alias("updated_at"), F.col("last.seq").alias("seq"))
 
 
+def with_delta(snapshot: DataFrame, log: DataFrame, keys: list[str]) -> DataFrame:
+    """``latest`` of a log whose earlier part is known by its live rows: those of later rows' keys are made anew, all others stay.
+
+    A key that comes again keeps its created_at (and id), unless it was deleted in between.
+    """
+    named = "id" in log.columns
+    own = [c for c in ("id", "created_at") if c in snapshot.columns]
+    payload = [c for c in log.columns if c not in (*keys, "seq", "op", "ts", "id")]
+    is_del = F.col("op") == "delete"
+    last = log.groupBy(*keys).agg(F.max(F.struct("seq", "op", "ts", *payload)).alias("last"), F.max(F.when(is_del, F.col("seq"))).alias("gone"))
+    puts = log.where(~is_del).select(*keys, F.struct("seq", "ts", *(["id"] if named else [])).alias("put"))
+    first = puts.join(last.select(*keys, "gone"), keys).where(F.col("put.seq") > F.coalesce("gone", F.lit(-1))).groupBy(*keys).agg(F.min("put").alias("put"))
+    before = snapshot.select(*keys, F.struct(*own).alias("was"))
+    new = last.where(F.col("last.op") != "delete").join(first, keys).join(before, keys, "left")
+    kept = F.col("was").isNotNull() & F.col("gone").isNull()
+    born = lambda was, now: F.when(kept, F.col(f"was.{was}")).otherwise(F.col(now))
+    made = new.select(
+        *keys, *([born("id", "put.id").alias("id")] if named else []), *[F.col(f"last.{c}").alias(c) for c in payload],
+        born("created_at", "put.ts").alias("created_at"), F.col("last.ts").alias("updated_at"), F.col("last.seq").alias("seq"),
+    )
+    return snapshot.join(last.select(*keys), keys, "left_anti").select(*made.columns).unionByName(made)
+
+
 class Store:
-    """A folder of parquet logs, one per table, partitioned by tenant."""
+    """A folder of parquet logs, one per table, partitioned by tenant.
+
+    Single rows are appended to a table's open folder. Rows of several tables that belong together are written to
+    folders of their own, which one new state of the manifest names, or none does. ``compact`` closes a
+    table's folders: a keyed table gets a snapshot of its live rows, sorted by key with Bloom filters, beside which only
+    what came later is read for the live rows.
+    """
 
     def __init__(self, spark: SparkSession, root: str):
+        from .manifest import Manifest
+
         self.spark, self.root = spark, root.rstrip("/")
+        self.manifest = Manifest(spark, f"{self.root}/_state")
+
+    def _state(self) -> tuple[int, dict]:
+        n, state = self.manifest.read()
+        return n, state or {"tables": {}, "garbage": []}
+
+    @staticmethod
+    def _of(state: dict, table: str) -> dict:
+        """A table's folders: ``open`` takes rows, ``parts`` have come since the snapshot, ``old`` before it."""
+        return state["tables"].get(table) or {"open": table, "parts": [], "old": [], "snapshot": None, "seq": 0}
+
+    def _folders(self, names: list[str], schema: T.StructType) -> DataFrame:
+        out = None
+        for name in filter(self._exists, names):  # apart, as each has its own folders of tenants
+            part = self._read(name, schema)
+            out = part if out is None else out.unionByName(part)
+        return self.spark.createDataFrame([], schema) if out is None else out
+
+    def _path(self, name: str):
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
+        return path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), path
+
+    def _exists(self, name: str) -> bool:
+        system, path = self._path(name)
+        return system.exists(path)
 
     def create(self) -> None:
         """Note the version in a new store; one that has a version stays as it is, a later one is refused."""
@@ -162,18 +220,103 @@ class Store:
 
     def scan(self, table: str, tenant: str | None = None) -> DataFrame:
         """All rows of a table, empty if nothing has been written; a tenant prunes partitions."""
-        df = self._read(table, TABLES[table])
+        own = self._of(self._state()[1], table)
+        return self._owned(self._rows([*own["old"], *own["parts"], own["open"]], table), tenant)
+
+    def _rows(self, names: list[str], table: str) -> DataFrame:
+        return self._folders(names, TABLES[table]) if len(names) > 1 else self._read(names[0], TABLES[table])
+
+    @staticmethod
+    def _owned(df: DataFrame, tenant: str | None) -> DataFrame:
         return df.where(F.col("tenant_id") == tenant) if tenant is not None else df
 
-    def append(self, table: str, rows: DataFrame) -> None:
+    def _written(self, table: str, rows: DataFrame, folder: str) -> None:
         names = [f.name for f in TABLES[table]]
-        rows.select(*[F.col(c).cast(TABLES[table][c].dataType) if c in rows.columns else F.lit(None).cast(TABLES[table][c].dataType).alias(c) for c in names]).write.mode("append").partitionBy("tenant_id").parquet(f"{self.root}/{table}")
+        rows.select(*[F.col(c).cast(TABLES[table][c].dataType) if c in rows.columns else F.lit(None).cast(TABLES[table][c].dataType).alias(c) for c in names]).write.mode("append").partitionBy("tenant_id").parquet(f"{self.root}/{folder}")
+
+    def append(self, table: str, rows: DataFrame) -> None:
+        self._written(table, rows, self._of(self._state()[1], table)["open"])
+
+    def commit(self, rows: dict[str, DataFrame], after: int | None = None) -> None:
+        """Append to several tables, all or none. ``after``: the state that the rows were made from; ConflictError if another has come since."""
+        n, state = self._state()
+        if after is not None and after != n:
+            raise ConflictError(f"the store has changed since state {after}")
+        tables = dict(state["tables"])
+        for table, df in rows.items():
+            folder = f"_parts/{table}/{uuid.uuid4().hex}"
+            self._written(table, df, folder)
+            own = self._of(state, table)
+            tables[table] = own | {"parts": [*own["parts"], folder]}
+        self.manifest.commit(n, state | {"tables": tables})
+
+    def version(self) -> int:
+        """The number of the manifest's state, for ``commit``."""
+        return self._state()[0]
 
     def next_seq(self, table: str) -> int:
-        return (self.scan(table).agg(F.max("seq")).first()[0] or 0) + 1
+        own = self._of(self._state()[1], table)
+        newer = self._rows([*own["parts"], own["open"]], table).agg(F.max("seq")).first()[0] or 0
+        return max(newer, own["seq"]) + 1
+
+    def _snapshot(self, own: dict, tenant: str | None) -> DataFrame | None:
+        return None if own["snapshot"] is None else self._owned(self.spark.read.parquet(f"{self.root}/{own['snapshot']}"), tenant)
 
     def live(self, table: str, tenant: str | None = None) -> DataFrame:
-        return latest(self.scan(table, tenant), KEYS[table]) if table in KEYS else self.scan(table, tenant)
+        if table not in KEYS:
+            return self.scan(table, tenant)
+        return self._live(table, tenant, lambda df: df)
+
+    def _live(self, table: str, tenant: str | None, some: Callable[[DataFrame], DataFrame]) -> DataFrame:
+        own = self._of(self._state()[1], table)
+        snapshot = self._snapshot(own, tenant)
+        log = some(self._owned(self._rows([*own["parts"], own["open"]], table), tenant))
+        return latest(log, KEYS[table]) if snapshot is None else with_delta(some(snapshot), log, KEYS[table])
+
+    def one(self, table: str, tenant: str, **keys: str):
+        """The live row of one key, or None. The key is pushed to the snapshot, whose Bloom filters skip files, and to what came after it."""
+        def some(df: DataFrame) -> DataFrame:
+            for name, value in keys.items():
+                df = df.where(F.col(name) == value)
+            return df
+
+        return self._live(table, tenant, some).first()
+
+    def compact(self, table: str) -> None:
+        """Close a table's folders: what came since the last time becomes one sorted folder, and a keyed table a new snapshot.
+
+        Rows that come meanwhile belong to the next time: the open folder changes first.
+        """
+        n, state = self._state()
+        own = self._of(state, table)
+        name = uuid.uuid4().hex
+        closed = [*own["parts"], own["open"]]
+        rows = self._rows(closed, table)
+        own = own | {"open": f"_open/{table}/{name}", "parts": [f for f in closed if self._exists(f)]}
+        for old in state["garbage"]:  # of the time before last
+            system, path = self._path(old)
+            system.delete(path, True)
+        state = state | {"tables": state["tables"] | {table: own}, "garbage": []}
+        n = self.manifest.commit(n, state)
+        top = rows.agg(F.max("seq")).first()[0]
+        if top is None:
+            return
+        keys = [k for k in KEYS.get(table, []) if k != "tenant_id"]
+        order = keys or (["ts"] if "ts" in rows.columns else ["seq"])
+        rows.repartitionByRange("tenant_id", *order).sortWithinPartitions("tenant_id", *order).write.partitionBy("tenant_id").parquet(f"{self.root}/_parts/{table}/{name}")
+        garbage = list(own["parts"])
+        if keys:
+            snapshot = self._snapshot(own, None)
+            live = latest(rows, KEYS[table]) if snapshot is None else with_delta(snapshot, rows, KEYS[table])
+            writer = live.repartitionByRange("tenant_id", *keys).sortWithinPartitions("tenant_id", *keys).write.partitionBy("tenant_id")
+            for key in keys:
+                writer = writer.option(f"parquet.bloom.filter.enabled#{key}", "true")
+            writer.parquet(f"{self.root}/_snapshots/{table}/{name}")
+            garbage += [own["snapshot"]] if own["snapshot"] else []
+            own = own | {"snapshot": f"_snapshots/{table}/{name}", "old": [*own["old"], f"_parts/{table}/{name}"], "parts": []}
+        else:
+            own = own | {"parts": [f"_parts/{table}/{name}"]}
+        self.manifest.commit(n, state | {"tables": state["tables"] | {table: own | {"seq": max(top, own["seq"])}}, "garbage": garbage})
 
     def proposals(self, tenant: str | None = None) -> DataFrame:
         """Every proposal as it stands: a review appends a row of the same id."""
@@ -215,9 +358,9 @@ class Store:
     def archive(self, keys: DataFrame, at: str, reason: str | None = None) -> int:
         """Move live entities (tenant_id, category, name) to the archive; returns how many.
 
-        The archive is written first: what is cut off in between is in both places, not in none, and
-        a second run does not archive again what is there already.
+        Both tables change in one state of the manifest: what is cut off in between has changed neither.
         """
+        version = self.version()
         rows = self.live("entities").join(keys.select(*KEYS["entities"]).distinct(), KEYS["entities"], "left_semi")
         there = self.scan("archived_entities").select(F.col("original_entity_id").alias("id"))
         made = rows.join(there, "id", "left_anti").select(
@@ -225,8 +368,7 @@ class Store:
         )
         gone = rows.withColumn("seq", F.col("seq") * 0 + F.lit(self.next_seq("entities")) + F.monotonically_increasing_id()).withColumn("op", F.lit("delete")).withColumn("ts", F.lit(at))
         n = rows.count()
-        self.append("archived_entities", made)
-        self.append("entities", gone.select("seq", "op", "id", *KEYS["entities"], "ts"))
+        self.commit({"archived_entities": made, "entities": gone.select("seq", "op", "id", *KEYS["entities"], "ts")}, version)
         return n
 
     def count_rows(self, table: str, tenant: str) -> int:
