@@ -136,3 +136,23 @@ def test_index_is_kept(spark, rows, tmp_path):
         before = before + part
     assert sorted(out, key=str) == brute(rows)
     assert not [t for t in spark.catalog.listTables() if t.name.startswith("tierlake_run")]
+
+
+def test_index_reads_of_history_what_it_needs(spark, tmp_path, monkeypatch):
+    """Only the texts that share something with the batch are verified, and ids that come too late are refused."""
+    words = lambda name, n=40: " ".join(f"{name}{i}" for i in range(n))
+    old = [(i, words(f"doc{i}x"), 5) for i in range(30)]
+    new = [(100, words("doc7x") + " " + words("new"), 5), (101, words("other"), 5)]
+    frame = lambda part: spark.createDataFrame(part, "doc_id long, text string, key int")
+    seen, real = [], substring._resolved
+    monkeypatch.setattr(substring, "_resolved", lambda keyed, older, *a: seen.append(older) or real(keyed, older, *a))
+    for few in (1 << 20, 0):
+        monkeypatch.setattr(substring, "SENT_KEYS", few)
+        index = substring.Index(spark, f"file://{tmp_path}/index{few}")
+        index.add(frame(old)).count()
+        found = index.add(frame(new), frame(old))
+        assert sorted(got(found), key=str) == [r for r in brute([r[:2] for r in old + new]) if r[0] >= 100]
+        assert [r.key for r in seen[-1].collect()] == [7]
+        with pytest.raises(ValueError, match="come after"):
+            index.add(frame([(50, "x", 5)]), frame(old + new))
+        index.close(remove=True)

@@ -42,6 +42,8 @@ _INVERSE = pow(_STEP, -1, 1 << 64)
 _POWERS: dict[int, np.ndarray] = {}
 #: Bytes of words that are hashed at a time, and windows whose fingerprints are.
 SEGMENT = 1 << 20
+#: Documents whose keys a broadcast takes, 8 bytes each; more are joined by a shuffle.
+SENT_KEYS = 1 << 20
 #: The key of a null id, before all others.
 _LEAST = -(1 << 63)
 #: Marks, among the other columns, a text that was null.
@@ -296,12 +298,21 @@ class Index:
     def add(self, docs: DataFrame, history: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text", spaced: bool = False) -> DataFrame:
         """Insert a batch and remove from it what ``history``, all documents inserted before, or the batch itself has earlier.
 
-        The batch's ids come after those of history. Returns what ``deduplicate`` does, for the batch.
+        The batch's ids come after those of history, else ValueError. Returns what ``deduplicate`` does, for the batch. Of history
+        only the documents that share a fingerprint with the batch, or have one that it repeats, are shuffled and verified.
         """
         keyed = _keyed(docs, id_col, text_col)
+        if self.batches:
+            last, first = self.postings().agg(F.max("key")).first()[0], keyed.agg(F.min("key")).first()[0]
+            if last is not None and first is not None and first < last:
+                raise ValueError(f"ids of a batch come after those of earlier ones: {first} is below {last}")
         repeated = self.insert(keyed)
         lists = _lists(self.postings(), repeated)
-        older = None if history is None else _keyed(history, id_col, text_col).select("key", "text")
+        older = None
+        if history is not None:
+            keys = lists.select("key")
+            keys = F.broadcast(keys) if keys.count() <= SENT_KEYS else keys
+            older = _keyed(history, id_col, text_col).select("key", "text").join(keys, "key", "left_semi")
         return _finished(_resolved(keyed, older, lists, self.length, self.gram, spaced), docs, id_col, text_col)
 
 
