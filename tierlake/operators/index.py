@@ -111,10 +111,11 @@ class Index:
     raw: DataFrame | None = None
     size: int | None = None
 
-    def save(self, path: str, buckets: int = 64, known: DataFrame | None = None) -> Index:
+    def save(self, path: str, buckets: int = 64, known: DataFrame | None = None, grams: bool = True) -> Index:
         """Write the index and return it as read back; term order lets a term's scan skip row groups and pages.
 
         ``known`` is the dictionary of an earlier index: only words that it does not have are stemmed.
+        Without ``grams`` there are no trigram postings, and substring search scans the texts.
         """
         spark = self.docs.sparkSession
         self.docs.write.mode("overwrite").partitionBy("tier").parquet(f"{path}/docs")
@@ -133,10 +134,12 @@ class Index:
         postings = spark.read.parquet(f"{path}/postings")
         _stats(docs, postings, ("tier",)).write.mode("overwrite").parquet(f"{path}/stats")  # from what is written, not from the texts again
         maxima(postings, spark.read.parquet(f"{path}/stats")).repartition(buckets, "term").sortWithinPartitions("term", "block").write.mode("overwrite").parquet(f"{path}/blocks")
-        write_grams(docs, f"{path}/grams", buckets)
         read = lambda name: spark.read.parquet(f"{path}/{name}")
-        grams = Grams(spark.read.schema(_GRAMS).parquet(f"{path}/grams/postings"), read("grams/stats"))
-        return Index(docs, postings, read("stats"), self.analyzer, grams, words, read("blocks"))
+        held = None
+        if grams:
+            write_grams(docs, f"{path}/grams", buckets)
+            held = Grams(spark.read.schema(_GRAMS).parquet(f"{path}/grams/postings"), read("grams/stats"))
+        return Index(docs, postings, read("stats"), self.analyzer, held, words, read("blocks"))
 
     def documents(self) -> int:
         """How many documents there are, read once."""

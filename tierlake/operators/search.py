@@ -300,7 +300,8 @@ def _kept(df: DataFrame) -> DataFrame:
     _KEPT.append(df.persist())
     while len(_KEPT) > MOST_KEPT:
         old = _KEPT.popleft()
-        if not old.sparkSession.sparkContext._jsc.sc().isStopped():
+        context = old.sparkSession.sparkContext._jsc
+        if context is not None and not context.sc().isStopped():
             old.unpersist()
     return df
 

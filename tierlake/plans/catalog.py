@@ -60,15 +60,15 @@ def _made(spark: SparkSession, sf: str, name: str, tables: tuple[str, ...], make
     return _MADE[key]
 
 
-def _saved(spark: SparkSession, sf: str, name: str, analyzer: index.Analyzer, tables: tuple[str, ...], **tiers: Callable) -> index.Index:
+def _saved(spark: SparkSession, sf: str, name: str, analyzer: index.Analyzer, tables: tuple[str, ...], grams: bool = False, **tiers: Callable) -> index.Index:
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     docs = lambda: index.searchable(**{tier: rows(spark, sf) for tier, rows in tiers.items()})
-    return _made(spark, sf, f"{name}-{analyzer.name}", tables, lambda path: index.build(docs(), analyzer).save(path, n))
+    return _made(spark, sf, f"{name}-{analyzer.name}", tables, lambda path: index.build(docs(), analyzer).save(path, n, grams=grams))
 
 
 def _refs(spark: SparkSession, sf: str, analyzer: index.Analyzer = index.WORDS) -> index.Index:
-    """The saved index of the documents as references."""
-    return _saved(spark, sf, "references", analyzer, ("documents",), reference=ad.references)
+    """The saved index of the documents as references, the plain one with trigrams for the substring queries."""
+    return _saved(spark, sf, "references", analyzer, ("documents",), analyzer is index.WORDS, reference=ad.references)
 
 
 def _store(spark: SparkSession, sf: str, name: str, source: tuple[str, ...], **tables: Callable) -> Store:
