@@ -296,14 +296,19 @@ _KEPT: deque[DataFrame] = deque()
 MOST_KEPT = 24
 
 
-def _kept(df: DataFrame) -> DataFrame:
+#: Queries whose candidates lie in one partition: what is done with so few rows then needs no exchange.
+TOGETHER = 100
+
+
+def _kept(df: DataFrame, queries: int) -> DataFrame:
+    df = df.repartition(1) if queries <= TOGETHER else df
     _KEPT.append(df.persist())
     while len(_KEPT) > MOST_KEPT:
         old = _KEPT.popleft()
         context = old.sparkSession.sparkContext._jsc
         if context is not None and not context.sc().isStopped():
             old.unpersist()
-    return df
+    return df.coalesce(1) if queries <= TOGETHER else df
 
 
 def _who() -> Column:
@@ -364,7 +369,7 @@ def ladder(index: Index, folded: DataFrame | Grams, queries: list[str], limit: i
     back what is left of them. A hit's identity is its tier, category and key. ``part`` marks substring hits.
     """
     cap = tx.clamp_limit(limit)
-    heads = _kept(_heads(index, queries, cap, prefix, tiers, tenant))
+    heads = _kept(_heads(index, queries, cap, prefix, tiers, tenant), len(queries))
     spark = index.docs.sparkSession
     probes, stems = [], []  # (query, kind, stem), its text; (query, stem, its folded form, its place)
     for q, query in enumerate(queries):
@@ -378,12 +383,12 @@ def ladder(index: Index, folded: DataFrame | Grams, queries: list[str], limit: i
     asked = F.broadcast(small(spark, [(v, *p) for v, (p, _) in enumerate(probes)], "variant int, q int, stage int, stem string"))
     found = rank_substrings(folded, [text for _, text in probes], cap, tiers, tenant)
     found = _documents(index, found.select("variant", "tier", "seq", "rank", "pos")).join(asked, "variant").withColumn("part", F.lit(True))
-    found = _kept(found)
+    found = _kept(found, len(queries))
     hits = lambda stage: found.where(F.col("stage") == stage)
     sure = heads.where(F.col("stage") == HEAD).unionByName(hits(SUBSTRINGS).select(*_HIT))
     if not stems:
         return _page(sure.unionByName(heads.where(F.col("stage") == HELD_BACK)), cap)
-    before = _kept(_page(sure, cap))
+    before = _kept(_page(sure, cap), len(queries))
     # stems of queries with room that no text so far has
     full = before.groupBy("q").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= cap).select("q")
     shown = tx.fold_col(F.substring(_shown(F.col("key"), F.col("category"), F.col("body")), 1, tx.GATE_CHARS))
@@ -507,7 +512,7 @@ def search_records_many(
     words = list(dict.fromkeys(w for _, _, w in asked))
     if not words:
         return small(spark, [], "query int, pos int, tier string, seq long, rank double, part boolean")
-    hits = _kept(ladder(index, folded, words, PER_WORD, tenant=tenant))
+    hits = _kept(ladder(index, folded, words, PER_WORD, tenant=tenant), len(words))
     final = {i for i, _, w in asked if w in FINAL_WORDS}
     rows = [(i, place, words.index(w), w in function_words, i in final) for i, place, w in asked]
     tokens = F.broadcast(small(spark, rows, "query int, place int, q int, little boolean, final boolean"))
