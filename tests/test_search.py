@@ -1,9 +1,11 @@
 import json
 import random
+import re
 import sqlite3
 
 import pytest
 
+from tierlake.functions import text as tx
 from tierlake.functions.porter import terms_col
 from tierlake.operators import index, search
 from tierlake.plans import catalog
@@ -203,3 +205,41 @@ def test_only_new_words_are_stemmed(spark, tmp_path):
     again = index.build(index.searchable(reference=more)).save(str(tmp_path / "more"), 2, known=marked)
     assert {x.word: x.terms for x in again.words.collect()} == {"b": ["b"], "runs": ["known-runs"], "swimming": ["swim"]}
     assert {x.term for x in again.postings.collect()} == {"b", "known-runs", "swim"}
+
+
+@pytest.mark.parametrize("analyzer", [index.WORDS, index.PORTER], ids=lambda a: a.name)
+@pytest.mark.parametrize("saved", [False, True])
+def test_nearness_from_places(spark, tmp_path, analyzer, saved):
+    """As near as a walk over the words says: repeated words, inflections of one stem, words of two columns, gaps of every length."""
+    r = random.Random(11)
+    words = ["run", "running", "Runs", "fox", "foxes", "Café", "x_y", "a", "b", "c", "d"]
+    rows = [(i, "t", r.choice(["run", "fox b", "key", "running fox"]), " ".join(r.choices(words, k=r.randrange(0, 40))), "2024") for i in range(250)]
+    rows += [(900, "t", "run", "fox", "2024"), (901, "t", "", "", "2024"), (902, "t", "k", "run " * 3000 + "fox", "2024"), (903, "t", "k", "fox", "2024")]
+    df = spark.createDataFrame(rows, "seq long, tenant_id string, doc_key string, body string, updated_at string")
+    made = index.build(index.searchable(reference=df), analyzer)
+    made = made.save(str(tmp_path / "ix"), 4) if saved else made
+    variants = [["run", "fox"], ["fox", "run"], ["running", "run", "fox"], ["run", "run"], ["a", "b", "c", "a"], ["x_y", "café"], ["fox"], ["a", "nowhere"], ["_", "a"]]
+    got = {(x.variant, x.seq): x.near for x in search.nearness(made, dict(enumerate(variants)), ("reference",)).collect()}
+    want = {}
+    for v, ws in enumerate(variants):
+        plain = [p for w in ws for p in analyzer.words(w)]
+        for seq, _, key, body, _ in rows:
+            parts = [analyzer.words(t) for t in (key, body)]
+            if len(ws) > 1 and {t for p in plain for t in analyzer.query(p)} <= {t for p in parts for w in p for t in analyzer.query(w)}:
+                want[v, seq] = tx.proximity(plain, " | ".join(" ".join(p) for p in parts))
+    assert got == want and set(want.values()) == {0, 1, 2} and len(want) > 300
+    some = spark.createDataFrame([(0, "reference", 902), (1, "reference", 902), (0, "reference", 903)], "variant int, tier string, seq long")
+    of_hits = search.nearness(made, dict(enumerate(variants)), ("reference",), some)
+    assert sorted(map(tuple, of_hits.collect())) == [(0, "reference", 902, want[0, 902]), (1, "reference", 902, want[1, 902])]
+
+
+def test_ranking_reads_no_text(spark, tmp_path):
+    rows = [(i, "t", f"k{i}", f"red {'x ' * i}fox", "2024") for i in range(12)]
+    saved = saved_references(spark, tmp_path, rows)
+    heads = search._heads(saved, ["red fox"], 20, False, ("reference",), None)
+    plan = heads._jdf.queryExecution().executedPlan().toString()
+    read = re.findall(r"ReadSchema: struct<([^\n]*)>", plan)
+    assert len(read) >= 2 and not any(column in schema for schema in read for column in ("body:", "text:"))
+    assert [r.seq for r in heads.orderBy("pos").collect()] == list(range(12))
+    found = search.search_entities(saved, "red fox")
+    assert found.count() == 0

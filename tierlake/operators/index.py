@@ -96,6 +96,7 @@ COMMON = 256
 class Index:
     """``postings``: (tier, tenant_id, seq, term, tf, dl, pos); ``stats``: (tier, n_docs, avgdl); ``docs``: the documents.
 
+    Postings of stems have ``forms`` as well, the words that they stand for.
     A saved index has more: ``grams``; ``words``, its dictionary (word, terms); postings have the ``block`` of their document, and
     ``blocks`` has (tier, term, block, n, best) of each block of a common term: its postings, and the most that one of
     them can add to a rank, by the index's mean length.
@@ -245,16 +246,21 @@ def stemmed(words: DataFrame, analyzer: Analyzer, known: DataFrame | None = None
 
 
 def by_dictionary(raw: DataFrame, words: DataFrame, buckets: int | None = None) -> DataFrame:
-    """Postings of words as postings of the dictionary's terms; words of one term are joined. Terms of one word share its places."""
+    """Postings of words as postings of the dictionary's terms; words of one term are joined. Terms of one word share its places.
+
+    ``forms`` are the words that a posting stands for, each with its places; null where the term itself is the only one.
+    """
     names = [c for c in raw.columns if c not in ("term", "tf", "pos")]
-    found = raw.join(words, raw["term"] == words["word"]).select(*names, F.explode("terms").alias("term"), "pos")
+    found = raw.join(words, raw["term"] == words["word"]).select(*names, F.explode("terms").alias("term"), "word", "pos")
     found = found.repartition("term") if buckets is None else found.repartition(buckets, "term")
-    made = found.groupBy(*names, "term").agg(F.sort_array(F.flatten(F.collect_list("pos"))).alias("pos"))
-    return made.select(*[c for c in names if c != "dl"], "term", F.size("pos").alias("tf"), "dl", "pos")
+    made = found.groupBy(*names, "term").agg(F.collect_list(F.struct("word", "pos")).alias("forms"))
+    plain = (F.size("forms") == 1) & (F.col("forms")[0]["word"] == F.col("term"))
+    made = made.withColumn("pos", F.sort_array(F.flatten("forms.pos")))
+    return made.select(*[c for c in names if c != "dl"], "term", F.size("pos").alias("tf"), "dl", "pos", F.when(~plain, F.col("forms")).alias("forms"))
 
 
 def postings_of(docs: DataFrame, analyzer: Analyzer, keep: tuple[str, ...] = ("tier", "tenant_id"), known: DataFrame | None = None) -> DataFrame:
-    """(tier, tenant_id, seq, term, tf, dl, pos) of documents with their parts."""
+    """(tier, tenant_id, seq, term, tf, dl, pos) of documents with their parts, and ``forms`` where terms are stems."""
     raw = words_of(docs, analyzer, keep)
     return raw if analyzer.stem is None else by_dictionary(raw, stemmed(raw.select("term"), analyzer, known))
 
@@ -360,7 +366,7 @@ def build(docs: DataFrame, terms: Analyzer | Callable[[Column], Column] = PORTER
 FAN_IN, SENT_DEAD = 4, 1_000_000
 #: Keys of a batch that are looked up among the segments' documents by their hashes; more are joined.
 LOOKED_UP = 5_000
-_POSTINGS = "tier string, tenant_id string, seq long, term string, tf int, dl int, pos array<int>"
+_POSTINGS = "tier string, tenant_id string, seq long, term string, tf int, dl int, pos array<int>, forms array<struct<word string, pos array<int>>>"
 _DOCS = "tier string, tenant_id string, seq long, category string, key string, text string, body string, ts string, hash long, dl int, size int"
 _DEAD = "segment string, tier string, seq long, dl int, size int"
 

@@ -364,9 +364,9 @@ class Memory:
             built = self.build_index()[0]
             words = [w.lower() for w in tx.query_tokens(query)]
             ranked = search.rank_words(built, [words] if words else [], None, tiers=("entity",), tenant=self.tenant)
-            text = search._shown(F.col("body"), F.col("key"), F.col("category"))
-            docs = built.docs.where("tier = 'entity'").select("seq", "body", "key", "category")
-            ranked = ranked.join(docs, "seq").select("seq", tx.proximity_col(words, text).alias("near"), "rank")
+            near = search.nearness(built, {0: words}, ("entity",)).select("seq", "near")
+            most = F.lit(2 if len(words) >= 2 else 0)
+            ranked = ranked.select("seq", "rank").join(near, "seq", "left").select("seq", F.coalesce("near", most).alias("near"), "rank")
         return documents.timed(documents.search(self.store.live("entities", self.tenant), prefix, ranked=ranked, **options))
 
     def namespaces(self, **options) -> DataFrame:

@@ -333,6 +333,64 @@ def _near(words: dict[int, list[str]]) -> Column:
     return out
 
 
+def nearness(index: Index, variants: dict[int, list[str]], tiers: Iterable[str] = TIERS, hits: DataFrame | None = None) -> DataFrame:
+    """(variant, tier, seq, near) of documents with all words of a variant, from the places in their postings: no text is read.
+
+    0: the words are a phrase inside one column. 1: the shortest run of places that has them all is short. 2: else. Words
+    count as they stand, not by their stems, and are told apart as the analyzer does. Places go through the columns in
+    the order in which they are indexed, with one between two columns. A variant of fewer than two words has no rows. ``hits``
+    (variant, tier, seq), few enough to be sent to every task, are the only documents looked at, if given.
+    """
+    rows = []
+    for v, ws in variants.items():
+        plain = [p for w in ws for p in index.analyzer.words(w)]
+        if len(ws) < 2 or not plain:
+            continue
+        own = list(dict.fromkeys(plain))
+        rows += [(v, i, w, index.analyzer.query(w)[0], [k for k, p in enumerate(plain) if p == w], len(own), len(plain)) for i, w in enumerate(own)]
+    spark = index.docs.sparkSession
+    if not rows:
+        return small(spark, [], "variant int, tier string, seq long, near int")
+    asked = F.broadcast(small(spark, rows, "variant int, word_id int, asked string, term string, offsets array<int>, many int, length int"))
+    found = held_postings(index, sorted({r[3] for r in rows}), tuple(tiers) or TIERS).join(asked, "term")
+    if hits is not None:
+        found = found.join(F.broadcast(hits.select("variant", "tier", "seq")), ["variant", "tier", "seq"])
+    places = F.when(F.col("asked") == F.col("term"), F.col("pos")).otherwise(F.array().cast("array<int>"))
+    if "forms" in index.postings.columns:
+        held = F.flatten(F.transform(F.filter("forms", lambda f: f["word"] == F.col("asked")), lambda f: f["pos"]))
+        places = F.when(F.col("forms").isNull(), places).otherwise(held)
+    each = found.select("variant", "tier", "seq", "many", "length", F.struct("word_id", "offsets", places.alias("places")).alias("w"))
+    docs = each.groupBy("variant", "tier", "seq", "many", "length").agg(F.collect_list("w").alias("w")).where(F.size("w") == F.col("many"))
+    starts = F.flatten(F.flatten(F.transform("w", lambda w: F.transform(w["offsets"], lambda o: F.transform(w["places"], lambda p: p - o)))))
+    # a start that every word of the phrase names is one: per word and offset the starts are distinct
+    docs = docs.withColumn("starts", F.array_sort(starts))
+    phrase = F.exists(F.transform("starts", lambda s, i: s == F.get("starts", i + F.col("length") - 1)), lambda same: same)
+    merged = F.array_sort(F.flatten(F.transform("w", lambda w: F.transform(w["places"], lambda p: F.struct(p.alias("at"), w["word_id"].alias("id"))))))
+    never = F.lit(1 << 30)
+    start = F.struct(never.alias("best"), F.array_repeat(F.lit(-1), F.col("many")).alias("seen"))
+
+    def step(acc: Column, place: Column) -> Column:
+        seen = F.transform(acc["seen"], lambda x, i: F.when(i == place["id"], place["at"]).otherwise(x))
+        first = F.array_min(seen)
+        return F.struct(F.when(first >= 0, F.least(acc["best"], place["at"] - first + 1)).otherwise(acc["best"]).alias("best"), seen.alias("seen"))
+
+    span = F.aggregate(merged, start, step, lambda acc: acc["best"])
+    near = F.when(phrase, 0).when(span <= F.col("length") + tx.PROXIMITY_SLACK, 1).otherwise(2)
+    return docs.select("variant", "tier", "seq", near.alias("near"))
+
+
+def _with_near(index: Index, ranked: DataFrame, words: dict[int, list[str]], tiers: Iterable[str]) -> DataFrame:
+    """Ranked hits (variant, tier, seq, ...), as many as limits allow, with their nearness and what names their documents."""
+    if all(len(ws) < 2 for ws in words.values()):
+        return _documents(index, ranked).withColumn("near", F.lit(0))
+    if index.analyzer.words is None:  # such an analyzer has no words of its own to compare
+        return _documents(index, ranked, "body").withColumn("near", _near(words))
+    ranked = _kept(ranked, len(words))
+    near = F.broadcast(nearness(index, words, tiers, ranked))
+    most = F.when(F.col("variant").isin([v for v, ws in words.items() if len(ws) >= 2]), 2).otherwise(0)
+    return _documents(index, ranked.join(near, ["variant", "tier", "seq"], "left").withColumn("near", F.coalesce("near", most)))
+
+
 def _heads(index: Index, queries: list[str], cap: int, prefix: bool, tiers: Iterable[str], tenant: str | None) -> DataFrame:
     """Of each query the hits of its first form that has any, near words first; of a full head by one word the last quarter as HELD_BACK."""
     spark = index.docs.sparkSession
@@ -344,7 +402,7 @@ def _heads(index: Index, queries: list[str], cap: int, prefix: bool, tiers: Iter
         return small(spark, [], "q int, stage int, pos int, tier string, seq long, category string, key string, ts string, rank double, part boolean")
     of = F.broadcast(small(spark, [(v, q, i, i > 0 and len(ws) == 1) for v, (q, i, ws) in enumerate(forms)], "variant int, q int, form int, single boolean"))
     ranked = rank_words(index, [ws for _, _, ws in forms], cap, prefix, tiers, tenant).drop("pos", "tenant_id")
-    rows = _documents(index, ranked, "body").withColumn("near", _near({v: ws for v, (_, _, ws) in enumerate(forms)})).join(of, "variant")
+    rows = _with_near(index, ranked, {v: ws for v, (_, _, ws) in enumerate(forms)}, tiers).join(of, "variant")
     every = Window.partitionBy("q")
     rows = rows.withColumn("first", F.min("form").over(every)).where("form = first")
     rows = rows.withColumn("pos", F.row_number().over(every.orderBy("near", "rank", _tier_order(), "seq"))).withColumn("n", F.count(F.lit(1)).over(every)).where(F.col("pos") <= cap)
@@ -434,7 +492,7 @@ def search_entities(index: Index, query: str, limit: int = 20, prefix: bool = Fa
     if not words or not cap:
         return nothing(index.docs.sparkSession)
     ranked = rank_words(index, [words], cap, prefix, ("entity",), tenant, F.col("category") == category if category else None)
-    rows = _documents(index, ranked.select("variant", "tier", "seq", "rank"), "body").withColumn("near", _near({0: words}))
+    rows = _with_near(index, ranked.select("variant", "tier", "seq", "rank"), {0: words}, ("entity",))
     rows = rows.withColumn("pos", F.row_number().over(Window.partitionBy("variant").orderBy("near", "rank", "seq"))).withColumn("part", F.lit(False))
     return page(index, rows, words)
 

@@ -154,9 +154,8 @@ l AS (SELECT doc_id, i, max(CASE WHEN word = 'the' THEN i END) OVER u AS x, max(
 s AS (SELECT doc_id, min(i - least(x, y) + 1) AS span FROM l WHERE x IS NOT NULL AND y IS NOT NULL GROUP BY doc_id)
 SELECT doc_id, CASE WHEN contains(' ' || t || ' ', ' the of ') THEN 0 WHEN span <= 6 THEN 1 ELSE 2 END AS bucket FROM n LEFT JOIN s USING (doc_id)""")
 def proximity_bucket(spark, sf):
-    hits = search.rank_words(_refs(spark, sf), [["the", "of"]], None).select(F.col("seq").alias("doc_id"))
-    docs = ad.table(spark, sf, "documents").join(hits, "doc_id")
-    return docs.select("doc_id", tx.proximity_col(["the", "of"], tx.normalized_col(F.col("text"))).alias("bucket"))
+    """How near two words are in each document that has both, from the places in the index."""
+    return search.nearness(_refs(spark, sf), {0: ["the", "of"]}).select(F.col("seq").alias("doc_id"), F.col("near").alias("bucket"))
 
 
 @query("SELECT doc_id FROM documents WHERE contains(lower(text), 'inging') AND contains(lower(text), 'est')")
