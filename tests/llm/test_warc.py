@@ -62,3 +62,5 @@ def test_reads_go_by_bytes(spark):
     total = sum(r.length for r in index.collect())
     back = warc.read(index, folder, per_task=total // 8)
     assert 8 <= back.rdd.getNumPartitions() <= 9 and back.count() == 200
+    few = warc.read(index, folder, per_task=total // 100, most_tasks=5)
+    assert few.rdd.getNumPartitions() <= 5 and got(few) == got(back)

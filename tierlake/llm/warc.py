@@ -111,16 +111,18 @@ def write(pages: DataFrame, folder: str, min_bytes: int = 0, max_file: int = 64
     return pages.sparkSession.read.schema(INDEX).parquet(path)
 
 
-def read(index: DataFrame, folder: str, gap: int = 65536, most: int = 8 << 20, keep_payload: bool = False, per_task: int = 4 << 20) -> DataFrame:
+def read(index: DataFrame, folder: str, gap: int = 65536, most: int = 8 << 20, keep_payload: bool = False, per_task: int = 4 << 20, most_tasks: int = 20_000) -> DataFrame:
     """The records that rows of the index name, by ranged reads of the archives under ``folder``.
 
     Returns page_id, url, payload_bytes, payload_digest, record_type, refers_to, with
     ``keep_payload`` also payload (null for revisits). Ranges at most ``gap`` bytes apart are
     fetched together, up to ``most`` bytes; a longer record is fetched alone. The records are dealt
-    to tasks by ranges of file and offset, as many as make about ``per_task`` archive bytes each.
+    to tasks by ranges of file and offset, as many as make about ``per_task`` archive bytes each, or
+    equal shares of more bytes where that would be over ``most_tasks`` tasks: a task holds one fetch at a time,
+    whatever its share.
     """
     total = index.agg(F.sum("length")).first()[0] or 0
-    tasks = max(1, -(-total // per_task))
+    tasks = min(most_tasks, max(1, -(-total // per_task)))
     ranged = index.select("file", "offset", "length").repartitionByRange(tasks, "file", "offset").sortWithinPartitions("file", "offset")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
