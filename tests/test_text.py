@@ -1,8 +1,10 @@
 import sqlite3
 
 import pytest
+from pyspark.sql import functions as F
 
 from tierlake.functions import porter, text as tx
+from tierlake.operators import lint
 from tierlake.sources import tables
 
 
@@ -66,3 +68,15 @@ def test_identifiers():
             tables.valid_identifier(bad)
     assert tables.valid_identifier("a/b\\c'd") == "a/b\\c'd"
     assert tables.tenant_of(" ", "acc") == "acc" and tables.tenant_of(None, None) == tables.DEFAULT_TENANT
+
+
+def test_json_is_checked_in_python_where_in_doubt(spark):
+    texts = ['{"a": 1}', "[]", "1", '"x"', "null", "true", " 1.5e3 \n", '{"a":1,"a":2}', '{"a":{"a":1}}', "[" * 60 + "]" * 60, '"é😀\\u00e9"', "-0"]
+    wrong = ["", " ", "{", "{} x", "1, 2", "1],[2", "1] }", "1}", '1,"b":2', '1}, {"a":2', "NaN", "[Infinity]", "01", "'x'", "{a:1}", "[1,]", "// x\n1", '"a\nb"', "\ufeff1", "tru", "1 1", "[" * 100_000]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate([*texts, *wrong, None])], "seq long, body string")
+    found = lint.invalid_json(rows, "check", F.col("seq"), ["body"], 1000)
+    assert [int(r.detail) for r in found.collect()] == [*range(len(texts), len(texts) + len(wrong))]
+    sure = rows.where(~lint.json_doubtful(F.col("body"))).collect()
+    assert {r.body for r in sure} == {*texts, None} - {'{"a":1,"a":2}'}
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.index("ArrowEvalPython") < plan.index("try_parse_json" if "try_parse_json" in plan else "parse")
