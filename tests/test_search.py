@@ -243,3 +243,21 @@ def test_ranking_reads_no_text(spark, tmp_path):
     assert [r.seq for r in heads.orderBy("pos").collect()] == list(range(12))
     found = search.search_entities(saved, "red fox")
     assert found.count() == 0
+
+
+@pytest.mark.parametrize("analyzer", [index.WORDS, index.PORTER], ids=lambda a: a.name)
+def test_postings_stay_with_their_documents(spark, tmp_path, monkeypatch, analyzer):
+    """A document's postings and trigrams are in one file, so none are shuffled by term; block figures bound what the postings weigh."""
+    monkeypatch.setattr(index, "COMMON", 2)
+    monkeypatch.setattr(index, "COUNTED_WORDS", 40)  # several runs of a file
+    rows = [(i, "t", f"k{i}", f"red running fox{i} " * (1 + i % 5), "2024") for i in range(60)]
+    saved = saved_references(spark, tmp_path, rows, terms=analyzer)
+    file = index.F.input_file_name().alias("file")
+    assert saved.postings.select("seq", file).distinct().count() == 60
+    assert saved.grams.postings.select(index.F.explode("seqs").alias("seq"), file).distinct().count() == 60
+    blocks = {(b.term, b.block): (b.n, b.best) for b in saved.blocks.collect()}
+    weigh = index.weight(index.F.col("tf"), index.F.col("dl"), index.F.col("avgdl"))
+    found = saved.postings.join(saved.stats, "tier").groupBy("term", "block").agg(index.F.count("*").alias("n"), index.F.max(weigh).alias("most")).collect()
+    common = [x for x in found if (x.term, x.block) in blocks]
+    assert len(common) == len(blocks) > 0 and all(blocks[x.term, x.block][0] == x.n and blocks[x.term, x.block][1] >= x.most - 1e-9 for x in common)
+    assert not (tmp_path / "ix" / "raw").exists() and not (tmp_path / "ix" / "blocks").exists()

@@ -13,6 +13,7 @@ from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -111,16 +112,35 @@ class Index:
     blocks: DataFrame | None = None
     raw: DataFrame | None = None
     size: int | None = None
+    source: DataFrame | None = None
 
-    def save(self, path: str, buckets: int = 64, known: DataFrame | None = None, grams: bool = True) -> Index:
+    def save(self, path: str, buckets: int = 64, known: DataFrame | None = None, grams: bool = True, copy: bool = True) -> Index:
         """Write the index and return it as read back; term order lets a term's scan skip row groups and pages.
 
-        ``known`` is the dictionary of an earlier index: only words that it does not have are stemmed.
-        Without ``grams`` there are no trigram postings, and substring search scans the texts.
+        Postings stay with their documents: those of one part of the documents are a file, sorted by term, and no posting is shuffled.
+        ``known`` is the dictionary of an earlier index: only words that it does not have are stemmed, and postings go by term to be joined with it.
+        Without ``grams`` there are no trigram postings, and substring search scans the texts. Without ``copy`` the
+        documents are read where they are, which suits tables that do not change.
         """
         spark = self.docs.sparkSession
-        self.docs.write.mode("overwrite").partitionBy("tier").parquet(f"{path}/docs")
-        docs = spark.read.parquet(f"{path}/docs")
+        docs = self.docs
+        if copy:
+            docs.write.mode("overwrite").partitionBy("tier").parquet(f"{path}/docs")
+            docs = spark.read.parquet(f"{path}/docs")
+        read = lambda name: spark.read.parquet(f"{path}/{name}")
+        if self.source is not None and self.analyzer.words is not None and known is None:
+            sharded(self.source, self.analyzer, buckets).write.mode("overwrite").parquet(f"{path}/postings")
+            words = None if self.analyzer.stem is None else dictionary(read("postings"))
+        else:
+            words = self._by_term(path, buckets, known)
+        postings = read("postings")
+        _stats(docs, postings, ("tier",)).write.mode("overwrite").parquet(f"{path}/stats")  # from what is written, not from the texts again
+        held = saved_grams(docs, f"{path}/grams", buckets) if grams else None
+        return Index(docs, postings.drop("head"), read("stats"), self.analyzer, held, words, maxima(postings, read("stats")))
+
+    def _by_term(self, path: str, buckets: int, known: DataFrame | None) -> DataFrame | None:
+        """Postings dealt out by term, of words that a dictionary stems or that are made as a column; returns the dictionary."""
+        spark = self.docs.sparkSession
         (self.postings if self.raw is None else self.raw).write.mode("overwrite").parquet(f"{path}/raw")
         raw, words = spark.read.parquet(f"{path}/raw"), None
         postings = raw
@@ -132,15 +152,7 @@ class Index:
             postings = postings.repartition(buckets, "term")
         blocked(postings, raw).sortWithinPartitions("term", "block").write.mode("overwrite").partitionBy("tier").parquet(f"{path}/postings")
         delete(spark, f"{path}/raw")
-        postings = spark.read.parquet(f"{path}/postings")
-        _stats(docs, postings, ("tier",)).write.mode("overwrite").parquet(f"{path}/stats")  # from what is written, not from the texts again
-        maxima(postings, spark.read.parquet(f"{path}/stats")).repartition(buckets, "term").sortWithinPartitions("term", "block").write.mode("overwrite").parquet(f"{path}/blocks")
-        read = lambda name: spark.read.parquet(f"{path}/{name}")
-        held = None
-        if grams:
-            write_grams(docs, f"{path}/grams", buckets)
-            held = Grams(spark.read.schema(_GRAMS).parquet(f"{path}/grams/postings"), read("grams/stats"))
-        return Index(docs, postings, read("stats"), self.analyzer, held, words, read("blocks"))
+        return words
 
     def documents(self) -> int:
         """How many documents there are, read once."""
@@ -186,51 +198,175 @@ def words_of(docs: DataFrame, analyzer: Analyzer, keep: tuple[str, ...] = ("tier
     return made.select(*names, "term", "tf", "dl", "pos")
 
 
-#: Words of documents that are counted before their postings are handed on.
-COUNTED_WORDS = 500_000
-
+#: Words of documents that are counted and sorted at once.
+COUNTED_WORDS = 2_000_000
+#: Words that are numbered at once, and postings that are handed on at once.
+NUMBERED_WORDS, HANDED_ON = 200_000, 50_000
+_FORMS = "array<struct<word string, pos array<int>>>"
+
+
+class _Run:
+    """Words of some documents with their places, as numbers, until they are handed on sorted by term."""
+
+    def __init__(self):
+        self.numbers: dict[str, int] = {}
+        self.docs, self.lengths, self.size = [], [], 0
+        self.codes, self.owners, self.places = [], [], []
+        self.words, self.spans = [], []  # not yet numbered: words, and (document, first place, how many) of each column
+
+    def add(self, doc: tuple, columns: list[list[str]]) -> None:
+        """A gap between columns keeps phrases inside one."""
+        at = 0
+        for words in columns:
+            self.spans.append((len(self.docs), at, len(words)))
+            self.words += words
+            at += len(words) + 1
+        self.docs.append(doc)
+        self.lengths.append(at - len(columns))
+        self.size += self.lengths[-1]
+        if len(self.words) >= NUMBERED_WORDS:
+            self.number()
+
+    def number(self) -> None:
+        codes, found = pd.factorize(np.array(self.words, object))
+        numbers = self.numbers
+        self.codes.append(np.array([numbers.setdefault(w, len(numbers)) for w in found], np.int64)[codes] if len(found) else np.empty(0, np.int64))
+        owner, first, count = np.array(self.spans, np.int64).reshape(-1, 3).T
+        self.owners.append(np.repeat(owner, count))
+        self.places.append(np.arange(count.sum()) - np.repeat(np.cumsum(count) - count - first, count))
+        self.words, self.spans = [], []
+
+    def postings(self, stem: Callable[[str], list[str]] | None, order: np.ndarray) -> tuple:
+        """(documents, terms, counts, places, forms) sorted by term, then by the documents' ``order``; forms only with stems."""
+        self.number()
+        code, owner, place = (np.concatenate(x) for x in (self.codes, self.owners, self.places))
+        words = list(self.numbers)
+        made = [[w] for w in words] if stem is None else [stem(w) for w in words]
+        ids, terms = pd.factorize(np.array([t for ts in made for t in ts], object), sort=True)
+        many = np.array([len(ts) for ts in made], np.int64)
+        begin, times = (np.cumsum(many) - many)[code], many[code]
+        if (times != 1).any():  # terms of one word share its places
+            again = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+            term = ids[np.repeat(begin, times) + again]
+            code, owner, place = (np.repeat(x, times) for x in (code, owner, place))
+        else:
+            term = ids[begin]
+        key = term * len(self.docs) + order[owner]
+        by = np.argsort(key, kind="stable")  # places of a term in a document stay in order
+        key, code, owner, place, term = key[by], code[by], owner[by], place[by], term[by]
+        new = np.flatnonzero(np.diff(key, prepend=-1))
+        count = np.diff(np.append(new, len(key)))
+        term_of = pa.array(terms, pa.string()).take(pa.array(term[new]))
+        lists = pa.ListArray.from_arrays(pa.array(np.append(new, len(key)).astype(np.int32)), pa.array(place.astype(np.int32)))
+        return owner[new], term_of, count, lists, None if stem is None else self.forms(words, terms, code, place, term, new, count)
 
-def _counted(words: Callable[[str], list[str]], names: list[str]) -> Callable:
-    """A map over batches of (names, parts): each document's words with their places; a gap between columns keeps phrases inside one."""
+    @staticmethod
+    def forms(words: list[str], terms: np.ndarray, code: np.ndarray, place: np.ndarray, term: np.ndarray, new: np.ndarray, count: np.ndarray) -> pa.Array:
+        """Of each posting the words that it stands for, each with its places; null where the term itself is the only one."""
+        numbers = {w: i for i, w in enumerate(words)}
+        own = np.array([numbers.get(t, -1) for t in terms], np.int64)
+        other = np.add.reduceat((code != own[term]).astype(np.int64), new) > 0 if len(new) else np.empty(0, bool)
+        some = np.repeat(other, count)
+        group, code, place = np.repeat(np.arange(len(new)), count)[some], code[some], place[some]
+        by = np.lexsort((code, group))
+        group, code, place = group[by], code[by], place[by]
+        first = np.flatnonzero((np.diff(group, prepend=-1) != 0) | (np.diff(code, prepend=-1) != 0))
+        held = pa.StructArray.from_arrays(
+            [pa.array(words, pa.string()).take(pa.array(code[first])), pa.ListArray.from_arrays(pa.array(np.append(first, len(code)).astype(np.int32)), pa.array(place.astype(np.int32)))], ["word", "pos"]
+        )
+        offsets = np.concatenate(([0], np.cumsum(np.bincount(group[first], minlength=len(new))))).astype(np.int32)
+        return pa.ListArray.from_arrays(pa.array(offsets), held, mask=pa.array(~other))
+
+
+#: Of the postings of one term and block how many they are, the most occurrences, and the shortest document; on the first of them.
+_HEAD = "struct<n: int, tf: int, dl: int>"
+
+
+def _heads(tier: np.ndarray, block: np.ndarray, term: pa.Array, count: np.ndarray, length: np.ndarray) -> pa.Array:
+    if not len(count):
+        return pa.nulls(0, pa.struct([(n, pa.int32()) for n in ("n", "tf", "dl")]))
+    term = term.dictionary_encode().indices.to_numpy()
+    new = np.flatnonzero((np.diff(term, prepend=-1) != 0) | (np.diff(tier, prepend=-1) != 0) | (np.diff(block, prepend=-1) != 0))
+    figures = [np.zeros(len(count), np.int32) for _ in range(3)]
+    for to, found in zip(figures, (np.diff(np.append(new, len(count))), np.maximum.reduceat(count, new), np.minimum.reduceat(length, new))):
+        to[new] = found
+    mask = np.ones(len(count), bool)
+    mask[new] = False
+    return pa.StructArray.from_arrays([pa.array(f) for f in figures], ["n", "tf", "dl"], mask=pa.array(mask))
+
+
+def _counted(words: Callable[[str], list[str]], names: list[str], stem: Callable[[str], list[str]] | None = None) -> Callable:
+    """A map over batches of (names, parts): each document's words, or their stems, with their places, in runs sorted by term and ``names`` from the last."""
+
+    def made(run: _Run, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+        keys = [pa.array([d[i] for d in run.docs], schema.field(n).type) for i, n in enumerate(names)]
+        sort = pa.Table.from_arrays([*keys, pa.array(range(len(run.docs)))], [*names, "_at"]).sort_by([(n, "ascending") for n in (*reversed(names), "_at")])
+        order = np.empty(len(run.docs), np.int64)
+        order[sort.column("_at").to_numpy()] = np.arange(len(run.docs))
+        owner, term, count, places, forms = run.postings(stem, order)
+        length, rows = np.array(run.lengths, np.int64)[owner], pa.array(owner)
+        columns = [k.take(rows) for k in keys] + [term, pa.array(count, pa.int32()), pa.array(length, pa.int32()), places] + ([] if forms is None else [forms])
+        named = [*names, "term", "tf", "dl", "pos", *([] if forms is None else ["forms"])]
+        if "block" in names:
+            columns.append(_heads(keys[names.index("tier")].dictionary_encode().indices.to_numpy()[owner], keys[names.index("block")].to_numpy()[owner], term, count, length))
+            named.append("head")
+        batch = pa.RecordBatch.from_arrays(columns, names=named)
+        for at in range(0, batch.num_rows, HANDED_ON):
+            yield batch.slice(at, HANDED_ON)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, schema = _Run(), None
         for batch in batches:
-            rows, term, tf, dl, pos, size = [], [], [], [], [], 0
-
-            def made() -> pa.RecordBatch:
-                offsets = np.concatenate(([0], np.cumsum(tf))).astype(np.int32)
-                own = [batch.column(n).take(pa.array(rows, pa.int64())) for n in names]
-                lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(pos, pa.int32()))
-                return pa.RecordBatch.from_arrays([*own, pa.array(term, pa.string()), pa.array(tf, pa.int32()), pa.array(dl, pa.int32()), lists], names=[*names, "term", "tf", "dl", "pos"])
-
-            for i, parts in enumerate(batch.column("parts").to_pylist()):
-                places: dict[str, list[int]] = {}
-                at = 0
-                for part in parts:
-                    for w in words(part):
-                        if w in places:
-                            places[w].append(at)
-                        else:
-                            places[w] = [at]
-                        at += 1
-                    at += 1
-                length = at - len(parts)
-                rows += [i] * len(places)
-                term += places
-                tf += map(len, places.values())
-                dl += [length] * len(places)
-                for found in places.values():
-                    pos += found
-                size += length
-                if size >= COUNTED_WORDS:
-                    yield made()
-                    rows, term, tf, dl, pos, size = [], [], [], [], [], 0
-            if rows:
-                yield made()
+            schema = batch.schema
+            docs = zip(*(batch.column(n).to_pylist() for n in names)) if names else iter([()] * batch.num_rows)
+            for doc, parts in zip(docs, batch.column("parts").to_pylist()):
+                now.add(doc, [words(p) for p in parts])
+                if now.size >= COUNTED_WORDS:
+                    yield from made(now, schema)
+                    now = _Run()
+        if now.docs:
+            yield from made(now, schema)
 
     return run
 
 
+#: Characters of the documents whose postings, or trigrams, are one file at most where more than the asked number of files would be needed.
+SHARD_CHARS = 32 << 20
+#: Characters of a block of documents, about.
+BLOCK_CHARS = 4 << 20
+
+
+def _shards(chars: int, buckets: int) -> int:
+    return max(buckets, -(-chars // SHARD_CHARS))
+
+
+def sharded(docs: DataFrame, analyzer: Analyzer, buckets: int) -> DataFrame:
+    """Postings of documents with the block of their document, made and sorted where the documents are dealt to.
+
+    A block is of documents of about the same number of characters, BLOCK_DOCS in a block by a hash of their number, and of long ones fewer.
+    Its documents are dealt out together, so that what is to be known of its postings is known there.
+    """
+    chars = F.aggregate("parts", F.lit(0).cast("long"), lambda n, p: n + F.length(p))
+    rows = docs.select("tier", "tenant_id", "seq", "parts", chars.alias("chars")).withColumn("step", F.floor(4 * F.log2(F.col("chars") + 1.0)).cast("long"))
+    # a row for each power of the fourth root of two
+    found = rows.groupBy("step").agg(F.count(F.lit(1)).alias("n"), F.sum("chars").alias("chars")).collect()
+    many = lambda r: max(-(-r["n"] // BLOCK_DOCS), -(-r["chars"] // BLOCK_CHARS))
+    sizes = small(docs.sparkSession, [(r["step"], many(r)) for r in found], "step long, many long")
+    block = F.col("step") * (1 << 40) + F.pmod(F.xxhash64("seq"), F.col("many"))
+    rows = rows.join(F.broadcast(sizes), "step").select(block.alias("block"), "tenant_id", "seq", "tier", "parts")
+    names = ["tenant_id", "seq", "block", "tier"]
+    kinds = ", ".join(f"{n} {rows.schema[n].dataType.simpleString()}" for n in names)
+    schema = f"{kinds}, term string, tf int, dl int, pos array<int>" + ("" if analyzer.stem is None else f", forms {_FORMS}") + f", head {_HEAD}"
+    made = rows.repartition(_shards(sum(r["chars"] for r in found), buckets), "block").mapInArrow(_counted(analyzer.words, names, analyzer.stem), schema)
+    return made.select("tier", "tenant_id", "seq", "term", "tf", "dl", "pos", *([] if analyzer.stem is None else ["forms"]), "block", "head")
+
+
+def dictionary(postings: DataFrame) -> DataFrame:
+    """(word, terms): the words that postings of stems stand for."""
+    word = F.explode(F.coalesce(F.transform("forms", lambda f: f["word"]), F.array("term")))
+    return postings.select(word.alias("word"), "term").groupBy("word").agg(F.array_sort(F.collect_set("term")).alias("terms"))
+
+
 def stemmed(words: DataFrame, analyzer: Analyzer, known: DataFrame | None = None) -> DataFrame:
     """(word, terms): the dictionary of the distinct words in the column; only those that ``known`` does not have reach Python."""
 
@@ -278,9 +414,15 @@ def blocked(postings: DataFrame, every: DataFrame) -> DataFrame:
 
 
 def maxima(postings: DataFrame, stats: DataFrame) -> DataFrame:
-    """(tier, term, block, n, best): of each block of a common term's postings their number, and the largest weight of a posting in it."""
-    rows = postings.select("tier", "term", "block", "tf", "dl").join(F.broadcast(stats.select("tier", "avgdl")), "tier")
-    found = rows.groupBy("tier", "term", "block").agg(F.count(F.lit(1)).alias("n"), F.max(weight(F.col("tf"), F.col("dl"), F.col("avgdl"))).alias("best"))
+    """(tier, term, block, n, best): of each block of a common term's postings their number, and the most that a posting in it can weigh.
+
+    Asked for some terms, it reads these alone. Where postings have heads, the most frequent occurrence in the shortest document is the bound.
+    """
+    rows = postings.select("tier", "term", "block", F.lit(1).alias("n"), "tf", "dl")
+    if "head" in postings.columns:
+        rows = postings.where(F.col("head").isNotNull()).select("tier", "term", "block", "head.*")
+    rows = rows.join(F.broadcast(stats.select("tier", "avgdl")), "tier")
+    found = rows.groupBy("tier", "term", "block").agg(F.sum("n").alias("n"), F.max(weight(F.col("tf"), F.col("dl"), F.col("avgdl"))).alias("best"))
     return found.withColumn("df", F.sum("n").over(Window.partitionBy("tier", "term"))).where(F.col("df") >= COMMON).drop("df")
 
 
@@ -339,10 +481,18 @@ def gram_stats(docs: DataFrame) -> DataFrame:
 
 
 def write_grams(docs: DataFrame, path: str, buckets: int) -> None:
+    """Trigram postings stay with their documents, as those of words do: a file has blocks of some texts, each sorted by gram."""
     spark = docs.sparkSession
-    dealt = docs.select("tier", "tenant_id", "seq", "text").repartition(buckets, "tier", "seq")  # a few large files would be a few tasks
-    grams_of(dealt).repartition(buckets, "gram").sortWithinPartitions("gram").write.mode("overwrite").partitionBy("tier").parquet(f"{path}/postings")
     gram_stats(docs).coalesce(1).write.mode("overwrite").parquet(f"{path}/stats")
+    chars = spark.read.parquet(f"{path}/stats").agg(F.sum("size")).first()[0] or 0
+    dealt = docs.select("tier", "tenant_id", "seq", "text").repartition(_shards(chars, buckets), "tier", "seq")  # a few large files would be a few tasks
+    grams_of(dealt).write.mode("overwrite").option("compression", "zstd").parquet(f"{path}/postings")
+
+
+def saved_grams(docs: DataFrame, path: str, buckets: int) -> Grams:
+    write_grams(docs, path, buckets)
+    spark = docs.sparkSession
+    return Grams(spark.read.schema(_GRAMS).parquet(f"{path}/postings"), spark.read.parquet(f"{path}/stats"))
 
 
 def _stats(docs: DataFrame, postings: DataFrame, by: tuple[str, ...]) -> DataFrame:
@@ -359,14 +509,14 @@ def build(docs: DataFrame, terms: Analyzer | Callable[[Column], Column] = PORTER
     analyzer = _analyzer(terms)
     raw = words_of(docs, analyzer)
     postings = raw if analyzer.stem is None else by_dictionary(raw, stemmed(raw.select("term"), analyzer))
-    return Index(docs.drop("parts"), postings, _stats(docs, postings, by), analyzer, raw=raw)
+    return Index(docs.drop("parts"), postings, _stats(docs, postings, by), analyzer, raw=raw, source=docs if "parts" in docs.columns else None)
 
 
 #: Segments of a level that are merged to one of the next, and dead rows that a broadcast takes.
 FAN_IN, SENT_DEAD = 4, 1_000_000
 #: Keys of a batch that are looked up among the segments' documents by their hashes; more are joined.
 LOOKED_UP = 5_000
-_POSTINGS = "tier string, tenant_id string, seq long, term string, tf int, dl int, pos array<int>, forms array<struct<word string, pos array<int>>>"
+_POSTINGS = "tier string, tenant_id string, seq long, term string, tf int, dl int, pos array<int>, forms " + _FORMS
 _DOCS = "tier string, tenant_id string, seq long, category string, key string, text string, body string, ts string, hash long, dl int, size int"
 _DEAD = "segment string, tier string, seq long, dl int, size int"
 
