@@ -256,3 +256,13 @@ def test_archive_is_all_or_nothing(mem, monkeypatch):
     assert mem.recall("c", "a") is None and mem.store.scan("archived_entities").count() == 1
     with pytest.raises(tables.ConflictError):  # another writer's rows were made from the state before
         mem.store.commit({"entities": mem.store.scan("entities").limit(0)}, version)
+
+
+def test_filter_parses_a_body_once(spark):
+    from tierlake.operators import documents
+
+    spec = {"a": {"$in": [1, 2.0, "3"], "$ne": None}, "b": {"$gt": 1, "$lt": 9}}
+    rows = spark.createDataFrame([('{"a": 1, "b": 2}',), ('{"a": "3", "b": 8.5}',), ('{"a": 3, "b": 2}',), ('{"a": 2, "b": 9}',), ("{",), (None,)], "body string")
+    found = rows.where(documents.compile_filter(rows.body, spec))
+    assert [r.body for r in found.collect()] == ['{"a": 1, "b": 2}', '{"a": "3", "b": 8.5}']
+    assert found._jdf.queryExecution().optimizedPlan().toString().lower().count("parsejson") == 1

@@ -37,22 +37,31 @@ def checked_value(value: object, depth: int = 0) -> object:
     return value
 
 
-def _variant(body: Column, name: str) -> Column:
-    """A top-level field, whatever characters its name has."""
+def _once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is computed once, however often it is used."""
+    return F.transform(F.array(value), use)[0]
+
+
+def _variant(body: Column, parsed: Column, name: str) -> Column:
+    """A top-level field of a body, whatever characters its name has."""
     if "'" not in name:
-        return F.try_variant_get(F.try_parse_json(body), f"$['{name}']", "variant")
+        return F.try_variant_get(parsed, f"$['{name}']", "variant")
     if '"' not in name:
-        return F.try_variant_get(F.try_parse_json(body), f'$["{name}"]', "variant")
+        return F.try_variant_get(parsed, f'$["{name}"]', "variant")
     return F.from_json(body, "map<string,variant>")[name]  # a path cannot hold both quotes
 
 
-def _field(body: Column, name: str) -> tuple[Column, Column, Column]:
-    """A top-level field as text, its JSON kind (null, boolean, number, string, other), and whether it is an integer."""
-    v = _variant(body, name)
-    kind = F.schema_of_variant(v)
-    named = F.when(kind.isNull() | (kind == "VOID"), "null").when(kind == "BOOLEAN", "boolean").when(kind.rlike("^(BIGINT|DOUBLE|DECIMAL|FLOAT)"), "number").when(kind == "STRING", "string").otherwise("other")
-    text = F.when(named == "boolean", F.when(v.cast("string") == "true", "1").otherwise("0")).otherwise(v.cast("string"))
-    return text, named, F.coalesce(kind.rlike(r"^(BIGINT|DECIMAL\([0-9]+,0\))"), F.lit(False))
+def _field(v: Column) -> Column:
+    """A field as text, its JSON kind (null, boolean, number, string, other), whether it is an integer, and as JSON where it is none of these."""
+
+    def told(x: Column) -> Column:
+        kind = x["kind"]
+        named = F.when(kind.isNull() | (kind == "VOID"), "null").when(kind == "BOOLEAN", "boolean").when(kind.rlike("^(BIGINT|DOUBLE|DECIMAL|FLOAT)"), "number").when(kind == "STRING", "string").otherwise("other")
+        text = F.when(kind == "BOOLEAN", F.when(x["text"] == "true", "1").otherwise("0")).otherwise(x["text"])
+        whole = F.coalesce(kind.rlike(r"^(BIGINT|DECIMAL\([0-9]+,0\))"), F.lit(False))
+        return F.struct(text.alias("text"), named.alias("kind"), whole.alias("whole"), x["v"].alias("v"))
+
+    return _once(F.struct(F.schema_of_variant(v).alias("kind"), v.cast("string").alias("text"), v.alias("v")), told)
 
 
 def _compared(text: Column, whole: Column, value: bool | int | float, compare: Callable[[Column, Column], Column]) -> Column:
@@ -63,9 +72,9 @@ def _compared(text: Column, whole: Column, value: bool | int | float, compare: C
     return F.when(whole, compare(text.try_cast("decimal(38,0)"), F.lit(str(int(value))).cast("decimal(38,0)"))).otherwise(near)
 
 
-def _equal(body: Column, name: str, value: object) -> Column:
+def _equal(field: Column, value: object) -> Column:
     """Equality as of Python values: a missing field is None, True is 1, 1 is 1.0; integers are not rounded."""
-    text, kind, whole = _field(body, name)
+    text, kind, whole = field["text"], field["kind"], field["whole"]
     if value is None:
         return kind == "null"
     if isinstance(value, (bool, int, float)):
@@ -73,11 +82,11 @@ def _equal(body: Column, name: str, value: object) -> Column:
     if isinstance(value, str):
         return (kind == "string") & (text == value)
     want = F.to_json(F.try_parse_json(F.lit(json.dumps(value))))
-    return (kind == "other") & (F.to_json(_variant(body, name)) == want)
+    return (kind == "other") & (F.to_json(field["v"]) == want)
 
 
-def _ordered(body: Column, name: str, op: str, value: object) -> Column:
-    text, kind, whole = _field(body, name)
+def _ordered(field: Column, op: str, value: object) -> Column:
+    text, kind, whole = field["text"], field["kind"], field["whole"]
     compare = {"$gt": lambda a, b: a > b, "$gte": lambda a, b: a >= b, "$lt": lambda a, b: a < b, "$lte": lambda a, b: a <= b}[op]
     if isinstance(value, (bool, int, float)):
         return kind.isin("number", "boolean") & _compared(text, whole, value, compare)
@@ -89,37 +98,46 @@ def compile_filter(body: Column, spec: dict) -> Column:
 
     $eq, $ne, $gt, $gte, $lt, $lte, $in, $nin. A missing field equals None, so $ne and $nin pass on
     it; values of other types than the operand's are not ordered; a string as the operand of $in
-    asks whether it contains the value.
+    asks whether it contains the value. A body is parsed once, and a field read once.
     """
 
-    def one(name: str, op: str, operand: object) -> Column:
+    def one(field: Column, op: str, operand: object) -> Column:
         if op in ("$eq", "$ne"):
-            same = F.coalesce(_equal(body, name, operand), F.lit(False))
+            same = F.coalesce(_equal(field, operand), F.lit(False))
             return same if op == "$eq" else ~same
         if op in ("$gt", "$gte", "$lt", "$lte"):
-            return F.coalesce(_ordered(body, name, op, operand), F.lit(False))
+            return F.coalesce(_ordered(field, op, operand), F.lit(False))
         if op in ("$in", "$nin"):
             if isinstance(operand, str):
-                text, kind, _ = _field(body, name)
-                some = (kind == "string") & F.contains(F.lit(operand), text)
+                some = (field["kind"] == "string") & F.contains(F.lit(operand), field["text"])
             elif hasattr(operand, "__iter__"):
                 some = F.lit(False)
                 for v in operand:  # type: ignore[attr-defined]
-                    some = some | F.coalesce(_equal(body, name, v), F.lit(False))
+                    some = some | F.coalesce(_equal(field, v), F.lit(False))
             else:
                 raise ValueError(f"{op} takes a collection")
             some = F.coalesce(some, F.lit(False))
             return some if op == "$in" else ~some
         raise ValueError(f"unknown operator: {op}")
 
-    out = F.lit(True)
-    for name, want in spec.items():
-        if isinstance(want, dict) and want and all(k.startswith("$") for k in want):
-            for op, operand in want.items():
-                out = out & one(name, op, operand)
-        else:
-            out = out & one(name, "$eq", want)
-    return out
+    def held(want: object) -> Callable[[Column], Column]:
+        def all_of(field: Column) -> Column:
+            if isinstance(want, dict) and want and all(k.startswith("$") for k in want):
+                out = F.lit(True)
+                for op, operand in want.items():
+                    out = out & one(field, op, operand)
+                return out
+            return one(field, "$eq", want)
+
+        return all_of
+
+    def every(parsed: Column) -> Column:
+        out = F.lit(True)
+        for name, want in spec.items():
+            out = out & _once(_field(_variant(body, parsed, name)), held(want))
+        return out
+
+    return _once(F.try_parse_json(body), every) if spec else F.lit(True)
 
 
 def path_matches(path: Column, pattern: tuple[str, ...], at: str = "prefix") -> Column:
