@@ -266,3 +266,17 @@ def test_filter_parses_a_body_once(spark):
     found = rows.where(documents.compile_filter(rows.body, spec))
     assert [r.body for r in found.collect()] == ['{"a": 1, "b": 2}', '{"a": "3", "b": 8.5}']
     assert found._jdf.queryExecution().optimizedPlan().toString().lower().count("parsejson") == 1
+
+
+def test_archive_finds_its_rows_once(spark, tmp_path, monkeypatch):
+    from tierlake.sources.tables import Store
+
+    store, plans = Store(spark, str(tmp_path / "s")), []
+    real = store.commit
+    monkeypatch.setattr(store, "commit", lambda rows, after: plans.extend(df._jdf.queryExecution().optimizedPlan().toString() for df in rows.values()) or real(rows, after))
+    put = spark.createDataFrame([(i, "put", f"i{i}", "t", "c", f"n{i}", "F" if i % 2 else "O", "{}", "2024") for i in range(6)], "seq long, op string, id string, tenant_id string, category string, name string, status string, body string, ts string")
+    store.append("entities", put)
+    assert store.archive(store.live("entities").where("status = 'X'"), "2024-02") == 0
+    assert store.archive(store.live("entities").where("status = 'F'"), "2024-02") == 3
+    assert {r.name for r in store.live("entities").collect()} == {"n0", "n2", "n4"} and store.scan("archived_entities").count() == 3
+    assert "first" not in plans[3] and "Join" not in plans[3] and not list((tmp_path / "s" / "_moving").glob("*"))

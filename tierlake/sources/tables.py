@@ -358,17 +358,25 @@ class Store:
     def archive(self, keys: DataFrame, at: str, reason: str | None = None) -> int:
         """Move live entities (tenant_id, category, name) to the archive; returns how many.
 
-        Both tables change in one state of the manifest: what is cut off in between has changed neither.
+        Both tables change in one state of the manifest: what is cut off in between has changed neither. The rows that
+        move are found once, and kept in a folder until both tables have them.
         """
         version = self.version()
+        moving = f"{self.root}/_moving/{uuid.uuid4().hex}"
         rows = self.live("entities").join(keys.select(*KEYS["entities"]).distinct(), KEYS["entities"], "left_semi")
+        rows.write.parquet(moving)
+        rows = self.spark.read.schema(rows.schema).parquet(moving)
         there = self.scan("archived_entities").select(F.col("original_entity_id").alias("id"))
         made = rows.join(there, "id", "left_anti").select(
             F.col("seq"), F.concat(F.lit("a-"), "id").alias("id"), "tenant_id", F.col("id").alias("original_entity_id"), "category", "name", "body", F.lit(at).alias("archived_at"), F.lit(reason).cast("string").alias("archive_reason"),
         )
         gone = rows.withColumn("seq", F.col("seq") * 0 + F.lit(self.next_seq("entities")) + F.monotonically_increasing_id()).withColumn("op", F.lit("delete")).withColumn("ts", F.lit(at))
-        n = rows.count()
-        self.commit({"archived_entities": made, "entities": gone.select("seq", "op", "id", *KEYS["entities"], "ts")}, version)
+        try:
+            n = rows.count()
+            self.commit({"archived_entities": made, "entities": gone.select("seq", "op", "id", *KEYS["entities"], "ts")}, version)
+        finally:
+            system, path = self._path(moving.removeprefix(f"{self.root}/"))
+            system.delete(path, True)
         return n
 
     def count_rows(self, table: str, tenant: str) -> int:
