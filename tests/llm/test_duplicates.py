@@ -6,7 +6,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from tierlake.llm import digest, graph, simhash
+from tierlake.llm import copies, digest, graph, simhash
 
 
 def components(rows, width=3, radius=3):
@@ -207,3 +207,38 @@ def test_tiles_skip_by_population_count(monkeypatch):
     linked = np.bitwise_count(fp[:, None] ^ fp[None]) <= 3
     label = simhash._labels(linked)
     assert (rest == np.flatnonzero(label != np.arange(len(fp)))).all() and (to == label[rest]).all() and len(rest) >= 250
+
+
+def test_proposals_grow_with_a_group_not_with_its_parts(spark, monkeypatch):
+    """Near copies that fill many tiles propose as many links each as those that fill few, and are one component."""
+    plain, made = copies.arrow_map, {}
+
+    def counted(df, run, schema):
+        n = made.setdefault(run.__qualname__.partition(".")[0], [])
+        n.append(spark.sparkContext.accumulator(0))
+        to = n[-1]
+
+        def each(batches):
+            for batch in run(batches):
+                to.add(batch.num_rows)
+                yield batch
+
+        return plain(df, each, schema)
+
+    monkeypatch.setattr(copies, "arrow_map", counted)
+    monkeypatch.setattr(copies, "TILE", 16)
+    monkeypatch.setattr(copies, "LARGE", 16, raising=False)
+    base, each = [f"w{i * i % 997}" for i in range(200)], []
+    for n in (40, 160):
+        made.clear()
+        texts = [" ".join([*base[:i], f"changed{i}", *base[i + 1 :]]) for i in range(n)] + [" ".join(f"x{i}y{k}" for i in range(50)) for k in range(5)]
+        df = spark.createDataFrame([(i, i, t) for i, t in enumerate(texts)], "r1 long, r2 long, text string")
+        got = {r.r1: r.component for r in copies.copies(df).collect()}
+        assert len({got[i] for i in range(n)}) == 1 and len(set(got.values())) == 6
+        each.append(sum(a.value for name in ("_proposed", "_crossing") for a in made.get(name, [])) / n)
+    assert each[1] < 1.5 * each[0], each
+
+
+def test_largest_label_of_an_item():
+    item, label = np.array([1, 1, 1, 2, 2, 5, 5, 5, 5]), np.array([7, 8, 7, 7, 8, 3, 4, 4, 3])
+    assert copies.in_largest(item, label).tolist() == [True, False, True, False, False, True, False, False, True]

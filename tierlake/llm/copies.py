@@ -4,13 +4,19 @@ The 64 bits of ``simhash`` cannot tell a similarity of 0.8 from chance by any ra
 them could find, so here a text's set of shingles has a SimHash of ``BITS`` bits. Two sets of
 similarity 0.8 agree in each bit with a probability of 0.849, hence in one of the 80 blocks of 16
 bits with 0.998. Every block value is a tile: its members, sorted by the sizes of their sets, are
-compared by exclusive-or and bit counts, and pairs of parts whose sizes exclude the similarity are
-skipped. Large tiles are cut by size class first. Every proposed pair is then decided by the
-similarity of its two sets of shingles, so nothing links that is less similar.
+compared by exclusive-or and bit counts, and parts whose sizes exclude the similarity are skipped.
+Every proposed pair is then decided by the similarity of its two sets of shingles, so nothing
+links that is less similar.
 
 A tile proposes at most two links a member: to its nearest neighbour, and to the neighbour with
 most neighbours, as a rule the original of its copies. Links whose whole fingerprints are too far
 apart go; what the others connect is a cluster, in which all similar sets lie, but not only those.
+Proposals need only connect, so they are made in two rounds. Tiles of the first blocks propose as said, which
+connects what is dense. Tiles of the other blocks compare the rows that are not connected yet, and those outside
+a tile's largest cluster propose, so that a group of near copies, whose members meet in most blocks, proposes no more there. A large value is cut in disjoint parts in the first
+round, another cut for each value; in the second, in every block, the rows outside its largest cluster meet
+each other and that cluster's parts. So a group's rows and proposals grow with its members, not with its pairs of parts.
+
 So each set is sent once to its cluster (a large one is cut in parts, and sets meet in pairs of
 parts), where every pair whose fingerprints allow it is decided, unless it is connected already.
 Texts with the same set of shingles are one node throughout, so copies cost nothing.
@@ -28,7 +34,7 @@ from pyspark.sql import functions as F
 
 from .common import arrow_map, checkpointed, text_of
 from .graph import components
-from .simhash import shingle_hashes, tiled, whole_items
+from .simhash import BROADCAST_KEYS, cut_keys, shingle_hashes, tiled, whole_items
 
 BITS, BLOCK = 1280, 16
 WORDS = BITS // 64
@@ -37,8 +43,12 @@ WORDS = BITS // 64
 CARRIED, RADIUS = 2, 40
 #: Bits of the whole fingerprint: expected 194 of 1,280, and five deviations.
 WIDE_RADIUS = 260
-#: Rows of one tile; a block value with more is cut.
+#: Rows of one tile.
 TILE = 2048
+#: Blocks of the first round; block values of more rows are large.
+FIRST_BLOCKS, LARGE = 8, 2048
+#: Words of the fingerprint, and bits in which a pair may differ there, between parts of a large value (expected 48 of 320, and five deviations).
+MORE_CARRIED, MORE_RADIUS = 5, 81
 #: Shingles (and 256 more for every set) of a part of a cluster.
 PART = 250_000
 #: Proposed nodes up to this number (24 bytes each) are broadcast to pick their texts; more are joined by a shuffle.
@@ -103,19 +113,92 @@ def nodes(rows: DataFrame, text_col: str = "text", width: int = 5) -> DataFrame:
     return rows.select("r1", "r2", text_of(text_col).alias("text")).transform(arrow_map, run, "r1 long, r2 long, node long, size int, fp binary")
 
 
-def _blocks(made: DataFrame) -> DataFrame:
-    """(key, node, size, fp words carried) once for every block of a node's fingerprint."""
+def _blocks(made: DataFrame, begin: int = 0, end: int = BITS // BLOCK, carried: int = CARRIED) -> DataFrame:
+    """(key, node, size, label, fp words carried) once for each of some blocks of a node's fingerprint."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        per = BITS // BLOCK
+        per = end - begin
         for batch in batches:
-            fp = np.frombuffer(b"".join(batch.column(2).to_pylist()), np.uint64).reshape(-1, WORDS)
-            key = fp.view(np.uint16).astype(np.int64) | np.arange(per) << BLOCK
-            cols = [key.ravel(), np.repeat(batch.column(0).to_numpy(), per), np.repeat(batch.column(1).to_numpy(), per)]
-            cols += [np.repeat(fp[:, i].view(np.int64), per) for i in range(CARRIED)]
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["key", "node", "size", *(f"f{i}" for i in range(CARRIED))])
+            fp = np.frombuffer(b"".join(batch.column(3).to_pylist()), np.uint64).reshape(-1, WORDS)
+            key = fp.view(np.uint16)[:, begin:end].astype(np.int64) | np.arange(begin, end) << BLOCK
+            cols = [key.ravel(), *(np.repeat(batch.column(i).to_numpy(), per) for i in range(3))]
+            cols += [np.repeat(fp[:, i].view(np.int64), per) for i in range(carried)]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["key", "node", "size", "label", *(f"f{i}" for i in range(carried))])
+
+    return made.select("node", "size", "label", "fp").transform(arrow_map, run, ", ".join(("key long, node long, size int, label long", *(f"f{i} long" for i in range(carried)))))
+
+
+def _own_tiles(keyed: DataFrame, large: DataFrame) -> DataFrame:
+    """``keyed`` with a column item: a value is one item; ``large`` ones are cut by class and hash, another hash for each value."""
+    work = keyed.join(large, "key", "left")
+    part = F.pmod(F.xxhash64("node", "key"), F.filter("tiles", lambda t: t.kind == F.col("class"))[0]["m"])
+    return work.withColumn("item", F.when(F.col("tiles").isNull(), F.xxhash64("key")).otherwise(F.xxhash64("key", "class", part))).drop("tiles")
+
 
-    return made.select("node", "size", "fp").transform(arrow_map, run, "key long, node long, size int, " + ", ".join(f"f{i} long" for i in range(CARRIED)))
+def _rest_tiles(members: DataFrame) -> DataFrame:
+    """Rows (key, node, size, class, label) of large values with columns item and rest: rows of one value, of classes at most one apart and of different labels meet in an item.
+
+    A band of a value has two neighbouring classes. The rows outside the label that has most rows of the band are its rest; the
+    rest's parts meet each part of that label, and each other. A band of one label has no item.
+    """
+    rows = members.withColumn("band", F.explode(F.array("class", F.col("class") + 1))).drop("class")
+    held = rows.groupBy("key", "band", "label").agg(F.count(F.lit(1)).alias("n")).groupBy("key", "band").agg(F.count(F.lit(1)).alias("labels"), F.sum("n").alias("total"), F.max(F.struct("n", "label")).alias("main"))
+    parts = lambda n: F.ceil(n / TILE).cast("int")
+    mixed = checkpointed(held.where("labels > 1").select("key", "band", F.col("main.label").alias("main"), parts(F.col("main.n")).alias("mains"), parts(F.col("total") - F.col("main.n")).alias("rests")))
+    work = rows.join(F.broadcast(mixed) if mixed.count() <= BROADCAST_KEYS else mixed, ["key", "band"]).withColumn("rest", F.col("label") != F.col("main"))
+    own = F.pmod(F.xxhash64("node", "key"), F.when(F.col("rest"), F.col("rests")).otherwise(F.col("mains"))).cast("int")
+    pair = lambda kind, a, b: F.struct(F.lit(kind).alias("kind"), a.alias("a"), b.alias("b"))
+    upto = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+    work = work.withColumn("own", own)
+    with_main = F.transform(upto("mains"), lambda i: pair(0, i, F.col("own")))
+    with_rest = F.transform(F.filter(upto("rests"), lambda i: i != F.col("own")), lambda i: pair(1, F.least(i, "own"), F.greatest(i, "own")))
+    work = work.withColumn("at", F.explode(F.when(F.col("rest"), F.concat(with_main, with_rest)).otherwise(F.transform(upto("rests"), lambda i: pair(0, F.col("own"), i)))))
+    return work.select(F.xxhash64("key", "band", "at.kind", "at.a", "at.b").alias("item"), "node", "size", "label", "rest")
+
+
+def crossings(size: np.ndarray, fp: np.ndarray, label: np.ndarray, rest: np.ndarray, least: float, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """(row, other) of different labels: every row's nearest one of the rest, and the nearest one outside it of every row of the rest."""
+    none, main = 1 << 14, np.flatnonzero(~rest)
+    best, to = np.full(len(size), none, np.int16), np.zeros(len(size), np.int64)
+    rows, others = [], []
+    own = np.flatnonzero(rest)
+    for at in range(0, len(own), 256):
+        i = own[at : at + 256]
+        differ = np.zeros((len(i), len(size)), np.int16)
+        for k in range(fp.shape[1]):
+            differ += np.bitwise_count(fp[i, None, k] ^ fp[None, :, k])
+        small, large = np.minimum(size[i, None], size[None]), np.maximum(size[i, None], size[None])
+        differ[(differ > radius) | (label[i, None] == label[None]) | (small + 1e-9 < least * large)] = none
+        nearest = differ.argmin(0)
+        found = differ[nearest, np.arange(len(size))]
+        better = found < best
+        best[better], to[better] = found[better], i[nearest[better]]
+        if len(main):
+            nearest = main[differ[:, main].argmin(1)]
+            hit = differ[np.arange(len(i)), nearest] < none
+            rows.append(i[hit]), others.append(nearest[hit])
+    hit = np.flatnonzero(best < none)
+    return np.concatenate([*rows, hit]), np.concatenate([*others, to[hit]])
+
+
+def _crossing(tiles: DataFrame, distinct: DataFrame, least: float) -> DataFrame:
+    """Distinct pairs (u, v), u > v, of nodes of different labels that rows of tiles propose."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for item, node, size, label, rest, fp in whole_items(batches):
+            fp = np.frombuffer(b"".join(fp), np.uint64).reshape(len(item), -1)
+            start = np.flatnonzero(np.concatenate(([True], item[1:] != item[:-1])))
+            u, v = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+            for s, e in zip(start.tolist(), [*start[1:].tolist(), len(item)]):
+                a, b = crossings(size[s:e], fp[s:e], label[s:e], rest[s:e].astype(bool), least, MORE_RADIUS)
+                u.append(node[s + a]), v.append(node[s + b])
+            u, v = np.concatenate(u), np.concatenate(v)
+            pair = np.unique(np.stack((np.maximum(u, v), np.minimum(u, v)), 1), axis=0)
+            yield pa.RecordBatch.from_arrays([pa.array(pair[:, 0]), pa.array(pair[:, 1])], names=["u", "v"])
+
+    words = distinct.select("node", F.substring("fp", 1, 8 * MORE_CARRIED).alias("words"))
+    rows = tiles.join(words, "node").select("item", "node", "size", "label", "rest", "words")
+    return rows.repartition("item").sortWithinPartitions("item", "size", "node").transform(arrow_map, run, "u long, v long").distinct()
 
 
 def close(size: np.ndarray, fp: np.ndarray, least: float, radius: int) -> tuple[np.ndarray, np.ndarray]:
@@ -149,14 +232,14 @@ def proposals(linked: np.ndarray, differ: np.ndarray) -> tuple[np.ndarray, np.nd
     return np.concatenate((rows, rows)), np.concatenate(others)
 
 
-def _small_proposals(item: np.ndarray, small: np.ndarray, size: np.ndarray, fp: np.ndarray, least: float, radius: int) -> tuple[np.ndarray, np.ndarray]:
+def _small_proposals(item: np.ndarray, small: np.ndarray, size: np.ndarray, label: np.ndarray, fp: np.ndarray, least: float, radius: int) -> tuple[np.ndarray, np.ndarray]:
     """``proposals`` for all small tiles at once, by pairs of rows d apart in the same tile."""
     first, second, differ = [np.empty(0, np.int64)], [np.empty(0, np.int64)], [np.empty(0, np.int64)]
     for d in range(1, 32):
         i = np.flatnonzero(small[:-d] & (item[:-d] == item[d:])) if d < len(item) else []
         if not len(i):
             break
-        i = i[size[i] + 1e-9 >= least * size[i + d]]
+        i = i[(size[i] + 1e-9 >= least * size[i + d]) & (label[i] != label[i + d])]
         apart = np.bitwise_count(fp[i] ^ fp[i + d]).sum(1, dtype=np.int64)
         i, apart = i[apart <= radius], apart[apart <= radius]
         first.append(i), second.append(i + d), differ.append(apart)
@@ -170,25 +253,46 @@ def _small_proposals(item: np.ndarray, small: np.ndarray, size: np.ndarray, fp:
     return np.concatenate([r for r, _ in found]), np.concatenate([o for _, o in found])
 
 
+def in_largest(item: np.ndarray, label: np.ndarray) -> np.ndarray:
+    """Which rows have the label that is most frequent in their item, where that is on two rows or more; rows are sorted by item."""
+    by = np.lexsort((label, item))
+    first = np.flatnonzero((np.diff(item[by], prepend=0) != 0) | (np.diff(label[by], prepend=0) != 0) | (np.arange(len(by)) == 0))
+    count = np.diff(np.append(first, len(by)))
+    order = np.lexsort((-count, item[by][first]))
+    runs = item[by][first][order]
+    top = order[np.concatenate(([True], runs[1:] != runs[:-1]))]
+    largest = np.zeros(len(first), bool)
+    largest[top] = count[top] > 1
+    out = np.empty(len(item), bool)
+    out[by] = np.repeat(largest, count)
+    return out
+
+
 def _proposed(tiles: DataFrame, least: float) -> DataFrame:
-    """Distinct pairs (u, v), u > v, of nodes that rows of tiles propose."""
+    """Distinct pairs (u, v), u > v, of nodes of different labels that rows of tiles propose."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for item, node, size, *words in whole_items(batches):
+        for item, node, size, label, *words in whole_items(batches):
             fp = np.stack([w.view(np.uint64) for w in words], 1)
             start = np.flatnonzero(np.concatenate(([True], item[1:] != item[:-1])))
             count = np.diff(np.append(start, len(item)))
-            a, b = _small_proposals(item, np.repeat(count <= 32, count), size, fp, least, RADIUS)
+            a, b = _small_proposals(item, np.repeat(count <= 32, count), size, label, fp, least, RADIUS)
             rows, others = [a], [b]
             for s, n in zip(start[count > 32].tolist(), count[count > 32].tolist()):
-                a, b = proposals(*close(size[s : s + n], fp[s : s + n], least, RADIUS))
+                own = label[s : s + n]
+                if (own == own[0]).all():
+                    continue
+                linked, differ = close(size[s : s + n], fp[s : s + n], least, RADIUS)
+                a, b = proposals(linked & (own[:, None] != own), differ)
                 rows.append(s + a), others.append(s + b)
-            u, v = node[np.concatenate(rows)], node[np.concatenate(others)]
+            a, b = np.concatenate(rows), np.concatenate(others)
+            propose = ~in_largest(item, label)[a]
+            u, v = node[a[propose]], node[b[propose]]
             pair = np.unique(np.stack((np.maximum(u, v), np.minimum(u, v)), 1), axis=0)
             pair = pair[pair[:, 0] != pair[:, 1]]
             yield pa.RecordBatch.from_arrays([pa.array(pair[:, 0]), pa.array(pair[:, 1])], names=["u", "v"])
 
-    rows = tiles.select("item", "node", "size", *(f"f{i}" for i in range(CARRIED))).repartition("item").sortWithinPartitions("item", "size", "node")
+    rows = tiles.select("item", "node", "size", "label", *(f"f{i}" for i in range(CARRIED))).repartition("item").sortWithinPartitions("item", "size", "node")
     return rows.transform(arrow_map, run, "u long, v long").distinct()
 
 
@@ -269,8 +373,19 @@ def copies(rows: DataFrame, text_col: str = "text", width: int = 5, least: float
     made = checkpointed(nodes(rows, text_col, width))
     distinct = checkpointed(made.where(F.col("fp").isNotNull()).groupBy("node").agg(F.first("size").alias("size"), F.first("fp").alias("fp")))
     kind = F.floor(F.log("size") / -np.log(least)).cast("int")  # similar sets have classes at most one apart
-    tiles = tiled(_blocks(distinct).withColumn("class", kind), "key", "class", "node", 1, TILE, TILE)
-    near = _near(checkpointed(_proposed(tiles, least)), distinct)
-    clusters = checkpointed(components(near).withColumnRenamed("component", "cluster").join(distinct, "node"))
+    alone = distinct.withColumn("label", F.col("node"))
+    large = cut_keys(_blocks(alone, carried=0).withColumn("class", kind), "key", "class", TILE, LARGE)
+    count = large.count()
+    large = F.broadcast(large) if count <= BROADCAST_KEYS else large
+    first = _own_tiles(_blocks(alone, 0, FIRST_BLOCKS).withColumn("class", kind), large)
+    connected = components(_near(checkpointed(_proposed(first, least)), distinct))
+    labelled = checkpointed(distinct.join(connected, "node", "left").select("node", "size", "fp", F.coalesce("component", "node").alias("label")))
+    pairs = _proposed(_blocks(labelled, FIRST_BLOCKS).join(large, "key", "left_anti").withColumn("item", F.xxhash64("key")), least)
+    if count:
+        members = checkpointed(_blocks(labelled, carried=0).join(large, "key", "left_semi").withColumn("class", kind))
+        pairs = pairs.union(_crossing(_rest_tiles(members), distinct, least)).distinct()
+    more = _near(checkpointed(pairs), distinct)
+    connected = components(connected.select(F.col("node").alias("u"), F.col("component").alias("v")).union(more))
+    clusters = checkpointed(connected.withColumnRenamed("component", "cluster").join(distinct, "node"))
     found = components(_decided(clusters, made, rows, text_col, width, least, kind))
     return made.join(found, "node", "left").select("r1", "r2", F.coalesce("component", "node").alias("component"))

@@ -91,6 +91,14 @@ def tile_links(fp: np.ndarray, pop: np.ndarray, radius: int) -> tuple[np.ndarray
     return rest, label[rest]
 
 
+def cut_keys(keyed: DataFrame, key: str, kind: str, tile: int, whole: int, weight: Column | None = None) -> DataFrame:
+    """(key, tiles) of the keys with more than ``whole`` rows (or of that weight): of each kind (a small number) its tiles ``m`` of about ``tile`` rows."""
+    sizes = keyed.groupBy(key, kind).agg((F.count(F.lit(1)) if weight is None else F.sum(weight)).alias("n")).groupBy(key).agg(
+        F.sum("n").alias("total"), F.collect_list(F.struct(F.col(kind).alias("kind"), F.ceil(F.col("n") / tile).cast("int").alias("m"))).alias("tiles")
+    ).where(F.col("total") > whole).select(key, "tiles")  # at most one entry for each kind
+    return checkpointed(sizes)  # few keys as a rule, so that the rows need no shuffle by key
+
+
 def tiled(keyed: DataFrame, key: str, kind: str, part: str, reach: int, tile: int, whole: int, weight: Column | None = None) -> DataFrame:
     """``keyed`` with a column item: rows of one key meet in an item if their kinds differ by at most ``reach``.
 
@@ -98,10 +106,7 @@ def tiled(keyed: DataFrame, key: str, kind: str, part: str, reach: int, tile: in
     about ``tile`` rows (or rows of that ``weight``); an item is one tile or a pair of tiles, and
     rows are repeated for every item. Keys of at most ``whole`` rows (or of that weight) are one item.
     """
-    sizes = keyed.groupBy(key, kind).agg((F.count(F.lit(1)) if weight is None else F.sum(weight)).alias("n")).groupBy(key).agg(
-        F.sum("n").alias("total"), F.collect_list(F.struct(F.col(kind).alias("kind"), F.ceil(F.col("n") / tile).cast("int").alias("m"))).alias("tiles")
-    ).where(F.col("total") > whole).select(key, "tiles")  # at most one entry for each kind
-    sizes = checkpointed(sizes)  # few keys as a rule, so that the rows need no shuffle by key
+    sizes = cut_keys(keyed, key, kind, tile, whole, weight)
     sizes = F.broadcast(sizes) if sizes.count() <= BROADCAST_KEYS else sizes
     work = keyed.join(sizes, key, "left")
     own = F.struct(F.col(kind).alias("kind"), F.pmod(F.xxhash64(part), F.filter("tiles", lambda t: t.kind == F.col(kind))[0]["m"]).cast("int").alias("part"))
